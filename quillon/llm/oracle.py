@@ -86,11 +86,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f, em WHERE em.it = {ITERATIONS}"""
 
 
-def op4() -> str:
-    """The targets; ``taken`` needs Spark's own hash order, so there is no SQL for the whole query."""
-    return """
-WITH d AS (SELECT source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents)
-SELECT source, sum(size) AS source_size FROM d GROUP BY source"""
-
-
-SQL = {"op1_quality_rules": op1(), "op2_url_filters": op2(), "op6_secret_scan": op6()}
+def op8() -> str:
+    return r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM d UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.v)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE v = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)"""
+
+
+SQL = {"op1_quality_rules": op1(), "op2_url_filters": op2(), "op6_secret_scan": op6(), "op8_trie_join": op8()}

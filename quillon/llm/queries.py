@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, gif_media, merge_dropout, pii_boost, ppm_langid, quality_rules, secret_scan, toxicity, url_filter
+from . import fair_mix, gif_media, merge_dropout, pii_boost, ppm_langid, quality_rules, secret_scan, toxicity, trie_join, url_filter
 from .oracle import SQL
 from .shared import held_out
 
@@ -78,6 +78,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = trie_join.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
+
+
 def op9_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = ppm_langid.fit(docs)
@@ -94,7 +99,7 @@ def op10_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_gif_media, op4_fair_mix, op5_merge_dropout, op6_secret_scan, op7_toxicity, op9_ppm_langid, op10_pii_boost)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_gif_media, op4_fair_mix, op5_merge_dropout, op6_secret_scan, op7_toxicity, op8_trie_join, op9_ppm_langid, op10_pii_boost)}
 
 
 def oracle_sql() -> dict[str, str]:
