@@ -33,8 +33,8 @@ from .shingles import shingle_sets
 
 #: The threshold as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-#: Cells of the frequency count, in blocks. Fixed, whatever the input.
-CELL_BITS, BLOCKS = 24, 64
+#: Cells of the frequency count and of the sieve of ids, in blocks. Fixed, whatever the input.
+CELL_BITS, BLOCKS, SIEVE_BITS = 24, 64, 24
 #: A shingle posted by up to this many classes has its pairs counted.
 FEW = 24
 #: Postings of one bucket, and shingles of one block of a component, are about this many.
@@ -363,6 +363,41 @@ def link_sets(sets: list[np.ndarray]) -> list[int]:
     return root
 
 
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A fixed number of bits, set where one of the ids falls. It thins out what is shuffled, and decides nothing."""
+    per_block = (1 << SIEVE_BITS) // BLOCKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(b, np.zeros(per_block, dtype=bool))[cell] = True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["_block", "_bits"])
+
+    cell = F.pmod(F.xxhash64("_rep"), F.lit(1 << SIEVE_BITS))
+    cells = ids.select((cell / per_block).cast("int").alias("_block"), (cell % per_block).cast("int").alias("_cell")).distinct()
+    sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
+    for r in cells.repartition(BLOCKS, "_block").mapInArrow(run, "_block int, _bits binary").collect():
+        sieve[r["_block"] * per_block : (r["_block"] + 1) * per_block] = np.unpackbits(np.frombuffer(r["_bits"], dtype=np.uint8)).astype(bool)
+    return np.packbits(sieve)
+
+
+def _sifted(slim: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """The rows of (_id, _text) whose id may be one of the sieve's."""
+    shared = slim.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            cell = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            kept = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)))
+            yield kept.select(["_id", "_text"])
+
+    cell = F.pmod(F.xxhash64("_id"), F.lit(1 << SIEVE_BITS)).alias("_cell")
+    return slim.select("_id", "_text", cell).mapInArrow(run, "_id bigint, _text string")
+
+
 def _joined(tasks: DataFrame) -> DataFrame:
     """Within each (_root, _i, _j) of (_root, _i, _j, _key, _text): the linked digests (_digest, _first)."""
 
@@ -415,7 +450,8 @@ def _finish(rows: DataFrame, empty: DataFrame, classes: DataFrame, member: DataF
     placed = involved.join(blocks, "_root").withColumn("_x", F.pmod("_key", F.col("_more") + 1).cast("int"))
     placed = placed.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_more"))))
     placed = placed.select("_root", "_key", "_rep", F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"))
-    tasks = slim.join(placed, slim["_id"].eqNullSafe(placed["_rep"])).select("_root", "_i", "_j", "_key", "_text")
+    some = _sifted(slim, _sieve(involved.select("_rep")))
+    tasks = some.join(placed, some["_id"].eqNullSafe(placed["_rep"])).select("_root", "_i", "_j", "_key", "_text")
     links = written(_joined(tasks), "links")
     split = blocks.filter("_more > 0").limit(1).count()
     if split:
