@@ -201,9 +201,15 @@ def page_range(start: Column, end: Column) -> Column:
     return F.struct(F.least(start, end).alias("page"), F.greatest(start, end).alias("page_end"))
 
 
+# Where the Windows Turkish code page differs from Latin 1, by code point.
+LATIN_1 = "ÐÝÞðýþ\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9f"
+TURKISH = "ĞİŞğış€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸ"
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 if they are, else as Windows Turkish text."""
-    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "windows-1254")), "^﻿", "")
+    """Bytes as UTF-8 if they are, else as Windows Turkish text, which is Latin 1 with other signs in some places."""
+    turkish = F.translate(F.decode(content, "iso-8859-1"), LATIN_1, TURKISH)
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), turkish), "^\ufeff", "")
 
 
 def unwrapped(lines: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from quillon.functions.text import decoded
 
-CHUNK = T.StructType.fromDDL(
+#: The chunk schema; parsed when used, as parsing needs a session.
+CHUNK = (
     "chunk_id string, document_id string, title string, section string, article string, paragraph string, clause string, text string, source string, source_sha256 string, source_kind string, page int, page_end int, source_url string, document_type string, domain string, subdomain string, validity_status string, approved_for_active_rag boolean, ocr_status string, context_text string, status string, tags array<string>"
 )
 # The first bytes of each kind of file, as hex.
@@ -33,7 +34,7 @@ def signature_fits(path: Column, content: Column) -> Column:
 
 def read_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Chunks of a JSON envelope {..., data: [chunk, ...]}; with ``strict`` a file that fits no envelope raises."""
-    envelope = T.StructType([T.StructField("dataset_name", T.StringType()), T.StructField("data", T.ArrayType(CHUNK))])
+    envelope = T.StructType([T.StructField("dataset_name", T.StringType()), T.StructField("data", T.ArrayType(T.StructType.fromDDL(CHUNK)))])
     whole = spark.read.schema(envelope).json(path, multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE")
     chunks = whole.select(F.explode("data").alias("c")).select("c.*")
     defaults = {"source_kind": "unknown", "document_type": "unknown", "domain": "unknown", "subdomain": "unknown", "validity_status": "needs_verification", "ocr_status": "not_inspected", "status": "unknown"}
