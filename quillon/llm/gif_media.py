@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import replaced
+
 WIDTH = 64
 #: Rows of pixels in one written frame.
 FRAME_ROWS = 256
@@ -247,6 +249,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_gifs(docs: DataFrame, text_column: str = "text", to: str = "_media") -> DataFrame:
     """``docs`` with each text stored as a GIF. Null is empty; equal texts give equal bytes."""
+    docs = replaced(docs, to)
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +268,7 @@ def read_gifs(media: DataFrame, column: str = "_media", payload: str = "_payload
 
     A null or malformed GIF has null frames and a null payload; one without images has none and an empty payload.
     """
+    media = replaced(media, payload, frames)
     place = media.columns.index(column)
     struct_type = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int32()))])
 

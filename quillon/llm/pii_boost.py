@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import replaced
+
 #: Kinds of the base contract, in its order, then those that only the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("hidden_email", "local_phone", "account", "identity", "hardware", "birth_date")
@@ -288,6 +290,7 @@ SPAN = "array<struct<kind:string,rank:int,start:int,end:int>>"
 
 def find_private(docs: DataFrame, text_column: str = "text", model: Booster | None = None) -> DataFrame:
     """``docs`` with _spans (by start, then kind) and _redacted. Null: no spans, null redacted. Repeated rows agree."""
+    docs = replaced(docs, "_spans", "_redacted")
     place = docs.columns.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     span = pa.struct([("kind", pa.string()), ("rank", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])

@@ -60,7 +60,7 @@ def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = encoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "_ids")
     decoded = merge_dropout.decode_pieces(slim, model)
     ids = F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256)
-    return decoded.select("doc_id", F.size("_ids").cast("long").alias("n_pieces"), ids.alias("ids_sha256"), (F.sha2("_decoded", 256).eqNullSafe(F.col("text_sha256"))).alias("lossless"))
+    return decoded.select("doc_id", F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_pieces"), F.coalesce(ids, F.sha2(F.lit(""), 256)).alias("ids_sha256"), (F.sha2("_decoded", 256).eqNullSafe(F.col("text_sha256"))).alias("lossless"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

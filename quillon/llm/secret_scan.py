@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_of
+from .shared import text_of, whole_row
 
 
 class SecretRule(NamedTuple):
@@ -151,13 +151,14 @@ def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, id_colu
     """``docs`` with _spans: an array of (start, rank, end, kind) by start, then the rules' order.
 
     Null text is empty and has no spans. Rows with equal id and text are one posting and agree. A hash that two
-    documents share only makes both run the rules of either.
+    documents share only makes both run the rules of either. Other columns may have any names; _spans is replaced.
     """
     spark = docs.sparkSession
     rules = BASE_RULES + MORE_RULES if rules is None else rules
     asked = [(r, a, t, len(ts)) for r, rule in enumerate(rules) for a, ts in enumerate(trigram_query(rule.pattern)) for t in sorted(ts)]
     always = {r for r, rule in enumerate(rules) if not trigram_query(rule.pattern)}
-    keyed = docs.withColumn("_text", text_of(docs, text_column)).withColumn("_key", F.xxhash64(docs[id_column], F.col("_text")))
+    keyed = docs.select(whole_row(docs), text_of(docs, text_column).alias("_text"), docs[id_column].alias("_id"))
+    keyed = keyed.select("_row", "_text", F.xxhash64("_id", "_text").alias("_key"))
     if asked:
         wanted = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in asked})])
         present = _let(F.lower("_text"), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))
@@ -176,7 +177,8 @@ def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, id_colu
         if r not in always:
             spans = F.when(F.array_contains("_rules", r), spans).otherwise(none)
         found.append(_ranked(spans, r, rule.kind))
-    return keyed.select(*[docs[f"`{c}`"] for c in docs.columns], F.sort_array(F.concat(*found)).alias("_spans"))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != "_spans"]
+    return keyed.select(*kept, F.sort_array(F.concat(*found)).alias("_spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters outside ASCII white space.
@@ -60,6 +60,29 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, _row, so that no name of theirs can clash; ``_row.*`` gives them back."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("_row")
+
+
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names, which an operator is about to add."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def least_hashed(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
+    """Of each group's rows the ``n`` of least hash of the key, with their place _n.
+
+    Group sizes come first; hashes above twice the share that is asked for cannot be among the least, so what reaches
+    a group's task is about 2 n rows, however large the group.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    hashed = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1))
+    near = hashed.join(sizes, group).filter(F.col("_hash") / F.lit(float(2**63)) <= (2.0 * n + 100) / F.col("_size"))
+    first = Window.partitionBy(group).orderBy("_hash", key)
+    return near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_hash", "_size")
+
+
 def held_out(id_column: Column) -> Column:
     """True where crc32 of the id as text, modulo 4, is 2; a null id is never held out."""
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))

@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import whole_row
+
 #: A rule table up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_RULES = 100_000
 
@@ -105,14 +107,16 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule] | None = None, default: s
     """``pages`` with _host, _path, _rule (the site rule that decided, else null), _pattern (the pattern rule that did) and _verdict.
 
     A null url or one without ``://`` has empty host and path, fits no rule, and gets the default. Repeated urls are
-    judged once. The longest fitting site rule wins; among pattern rules the first by name.
+    judged once. The longest fitting site rule wins; among pattern rules the first by name. Other columns may have any
+    names; columns of the added names are replaced.
     """
     spark = pages.sparkSession
     rules = SITE_RULES + PATTERN_RULES if rules is None else rules
     host, path, seen = canonical(pages[url_column])
-    judged = pages.withColumns({"_host": host, "_path": path, "_seen": seen})
+    judged = pages.select(whole_row(pages), host.alias("_host"), path.alias("_path"), seen.alias("_seen"))
+    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c.lower() not in ("_host", "_path", "_rule", "_pattern", "_verdict")]
     if not rules:
-        return judged.select(*[f"`{c}`" for c in pages.columns], "_host", "_path", F.lit(None).cast("string").alias("_rule"), F.lit(None).cast("string").alias("_pattern"), F.lit(default).alias("_verdict"))
+        return judged.select(*kept, "_host", "_path", F.lit(None).cast("string").alias("_rule"), F.lit(None).cast("string").alias("_pattern"), F.lit(default).alias("_verdict"))
     distinct = judged.select("_seen").filter("_seen <> ''").distinct()
     tokens = distinct.select("_seen", F.explode(url_tokens(F.col("_seen"))).alias("_token"))
 
@@ -128,4 +132,4 @@ def filter_urls(pages: DataFrame, rules: list[UrlRule] | None = None, default: s
     best = fetched.groupBy("_seen").agg(F.min(F.struct((-F.col("_priority")).alias("p"), F.col("_name").alias("name"), F.col("_says").alias("says"))).alias("_best"))
     out = judged.join(best, "_seen", "left")
     site = F.col("_best.p") < 0
-    return out.select(*[judged[f"`{c}`"] for c in pages.columns], "_host", "_path", F.when(site, F.col("_best.name")).alias("_rule"), F.when(~site, F.col("_best.name")).alias("_pattern"), F.coalesce(F.col("_best.says"), F.lit(default)).alias("_verdict"))
+    return out.select(*kept, "_host", "_path", F.when(site, F.col("_best.name")).alias("_rule"), F.when(~site, F.col("_best.name")).alias("_pattern"), F.coalesce(F.col("_best.says"), F.lit(default)).alias("_verdict"))
