@@ -239,3 +239,33 @@ def closing_fits(closing: Column, relation: Column) -> Column:
     """Whether a letter's closing belongs to the relation of sender and receiver."""
     said = F.lower(squeeze(closing))
     return F.coalesce(F.array_contains(F.element_at(F.create_map(*[x for k, v in CLOSINGS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))]), relation), said), F.lit(False))
+
+
+def compact_label(c: Column) -> Column:
+    """Letters and digits of a folded label."""
+    return F.regexp_replace(turkish_lower(c), r"[^\p{L}\p{N}]", "")
+
+
+def folded_label(c: Column) -> Column:
+    """A compact label without the signs of Turkish letters."""
+    return F.translate(compact_label(c), "çğıöşü", "cgiosu")
+
+
+def label_forms(c: Column) -> Column:
+    """What a label may read as: exact, folded, and folded with look-alike glyphs repaired, in that order."""
+    marks = F.regexp_replace(turkish_lower(F.regexp_replace(c, r"^[ \t*•#\[\](){}-]+|[ \t*•#\[\](){}-]+$", "")), r"[^\p{L}\p{N}|!]", "")
+    repaired = F.translate(F.translate(marks, "çğıöşü", "cgiosu"), "01|!", "oiii")
+    return F.array_distinct(F.array(compact_label(c), folded_label(c), repaired, F.replace(repaired, F.lit("l"), F.lit("i"))))
+
+
+def is_number_placeholder(c: Column) -> Column:
+    """An official number that says openly that it is still to be given."""
+    return F.upper(F.trim(c)).rlike(r"^E-\d{8}-XXX-XXX$")
+
+
+def query_variants(c: Column, rules: list[tuple[list[str], str]], most: int = 300) -> Column:
+    """The query, and the query with the additions of the rules one of whose terms it holds."""
+    folded = for_search(c)
+    added = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(folded, t)), F.lit(more)) for terms, more in rules]))
+    longer = F.substring(F.concat_ws(" ", F.array(c), added), 1, most)
+    return F.when((F.size(added) > 0) & (for_search(longer) != folded), F.array(c, longer)).otherwise(F.array(c))

@@ -30,7 +30,7 @@ def _words(s: Column, limit: int, slice_long: bool) -> Column:
     if not slice_long:
         return _packed(words, limit)
     # A slice that must stand alone is marked, so that packing leaves it.
-    marked = F.transform(words, lambda w: F.struct((F.length(w) > limit).alias("alone"), w.alias("w")))
+    marked = F.transform(words, lambda w: F.named_struct(F.lit("alone"), F.length(w) > limit, F.lit("w"), w))
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"))
 
     def add(acc: Column, m: Column) -> Column:
@@ -186,3 +186,20 @@ def citation_edges(leaves: DataFrame) -> DataFrame:
     second = inside.select("leaf", F.lit("cites_within").alias("relation"), F.lit(None).cast("string").alias("law"), "article", F.lit(WITHIN).alias("confidence"))
     key = F.concat_ws("|", F.col("leaf").cast("string"), "relation", F.coalesce("law", F.lit("")), F.coalesce("article", F.lit("")))
     return first.unionByName(second).distinct().withColumn("edge_id", F.substring(F.sha2(key, 256), 1, 20))
+
+
+def page_chunks(pages: DataFrame, limit: int = 1800) -> DataFrame:
+    """(doc, page, title, text) cut at blank lines and packed; a page without readable text gives one chunk of its metadata."""
+    blocks = F.filter(F.transform(F.split("text", r"\n\s*\n"), squeeze), lambda b: b != "")
+    pages = pages.withColumn("_found", _packed(F.flatten(F.transform(blocks, lambda b: F.when(F.length(b) <= limit, F.array(b)).otherwise(_words(b, limit, True)))), limit))
+    told = F.concat(F.lit("["), F.coalesce("title", F.lit("")), F.lit(", "), F.col("page").cast("string"), F.lit("]"))
+    bare = F.coalesce(F.size("_found"), F.lit(0)) <= 0
+    out = pages.withColumn("_parts", F.when(bare, F.array(told)).otherwise(F.col("_found")))
+    return out.select("doc", "page", F.posexplode("_parts").alias("part_no", "part"), bare.alias("metadata_only"))
+
+
+def chunk_records(parts: DataFrame, tags: list[str]) -> DataFrame:
+    """Citable chunks of (document_id, title, section, article, paragraph, clause, part): id, breadcrumb, tags."""
+    trail = F.concat_ws(" > ", "title", "section", "article", "paragraph", "clause")
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("document_id", "section", "article", "paragraph", "clause", "part")])
+    return parts.select(F.concat(F.lit("MEV-"), F.upper(F.substring(F.sha2(key, 256), 1, 16))).alias("chunk_id"), "*", trail.alias("context_text"), F.array(*[F.lit(t) for t in tags]).alias("tags"))

@@ -90,3 +90,8 @@ def hash_embedding(dimension: int = 64, task: str = "passage"):
         return texts.map(one)
 
     return embed
+
+
+def contract_faults(provider: dict, store: dict) -> list[str]:
+    """Settings (model, revision, dimension, distance, normalized) in which an embedding provider and a store differ."""
+    return sorted(k for k in provider.keys() | store.keys() if provider.get(k) != store.get(k))

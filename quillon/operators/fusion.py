@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import tokens
+from quillon.functions.text import distinct_parts, tokens
 
 RRF_K = 60
 #: Fixed order of the channels in a hit's contributions; others follow by name.
@@ -131,3 +131,21 @@ def verified(hits: DataFrame, relative: float = 0.30, dense: float = 0.20) -> Da
 def source_trust(kind: Column, approved: Column, digest: Column) -> Column:
     """The trust decision for a source by its kind."""
     return F.when(kind == "synthetic", "synthetic").when((kind == "official") & F.coalesce(approved, F.lit(False)) & digest.rlike("^[0-9a-f]{64}$"), "official").when(kind == "snapshot", "snapshot").otherwise("untrusted")
+
+
+def profile_for(kind: Column, text: Column, rules: list[tuple[str, list[str], str]]) -> Column:
+    """The profile of the first rule (kind, phrases, profile) whose kind is the document's and one of whose phrases, if it has any, is in the text."""
+    out = None
+    for wanted, phrases, profile in rules:
+        fits = kind == wanted
+        if phrases:
+            fits = fits & F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(text, p))
+        out = F.when(fits, profile) if out is None else out.when(fits, profile)
+    return out
+
+
+def expanded(query: Column, profile: Column, expansions: dict[str, list[str]]) -> Column:
+    """The query followed by its profile's phrases; of parts that read the same the first stays."""
+    table = F.create_map(*[x for k, v in expansions.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))])
+    more = F.coalesce(F.element_at(table, profile), F.array().cast("array<string>"))
+    return distinct_parts(F.concat(F.array(query), more))

@@ -184,3 +184,47 @@ def graph_merge_edges(spark: SparkSession, d: str) -> DataFrame:
 def graph_rebuild_differences(spark: SparkSession, d: str) -> DataFrame:
     _, edges = _graph(spark, d)
     return graph.same_rows(edges, edges.select("*")).select("source", "relation", "target")
+
+
+_WORDS = "w AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS page, l_linenumber / 8 AS confidence FROM lineitem)"
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as the words of scanned pages."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_linenumber").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text"), (F.col("l_linenumber") / 8).alias("confidence"))
+
+
+@R.add(f"WITH {_WORDS} SELECT doc, page, round(avg(confidence), 4) AS mean, round(min(confidence), 4) AS least, round(avg(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END), 4) AS low_share FROM w GROUP BY 1, 2")
+def ocr_page_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.ocr_pages(_words(spark, d))
+
+
+@R.add(f"WITH {_WORDS}, p AS (SELECT doc, round(avg(confidence), 4) AS mean, round(min(confidence), 4) AS least FROM w GROUP BY 1) SELECT doc, round(avg(mean), 4) AS mean, min(least) AS least, CAST(0 AS BIGINT) AS empty_pages FROM p GROUP BY 1")
+def ocr_document_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.ocr_documents(quality.ocr_pages(_words(spark, d).withColumn("page", F.lit(1))))
+
+
+@R.add("SELECT l_orderkey AS doc, l_linenumber % 2 AS page, CAST(floor(l_quantity / 8) AS BIGINT) AS band, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_returnflag) AS text FROM lineitem GROUP BY 1, 2, 3")
+def ocr_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return quality.ocr_lines(_words(spark, d)).select("doc", "page", "band", "text")
+
+
+@R.add("SELECT o_orderkey, (o_orderstatus IN ('F', 'O') AND o_totalprice / 500000 >= 0.80 AND o_orderpriority <> '1-URGENT') AS applied, (o_orderstatus = 'F' AND o_totalprice > 1000) AS decided FROM orders")
+def proposal_gates(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    applied = quality.proposal_applied(F.col("o_orderstatus"), F.array(F.lit("F"), F.lit("O")), F.col("o_totalprice") / 500000, F.col("o_orderpriority") == "1-URGENT")
+    decided = quality.decision({"final": F.col("o_orderstatus") == "F", "worth": F.col("o_totalprice") > 1000})["applied"]
+    return orders.select("o_orderkey", applied.alias("applied"), decided.alias("decided"))
+
+
+@R.add("SELECT l_orderkey AS decision, round(avg(l_linenumber / 8), 4) AS confidence, round(avg(CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE l_linenumber / 8 END), 4) AS placed_confidence FROM lineitem GROUP BY 1")
+def evidence_confidence(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("decision"), (F.col("l_linenumber") / 8).alias("confidence"), F.when(F.col("l_returnflag") != "N", F.lit("box")).alias("bbox"))
+    return quality.evidence_confidence(lines)
+
+
+@R.add("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'missing' WHEN c_custkey % 5 = 0 THEN 'changed' ELSE 'same' END AS status FROM customer")
+def inventory_check(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), "c_acctbal", F.lit(1).alias("bytes"), F.lit("d").alias("sha256"), "c_custkey")
+    found = listed.filter("c_acctbal >= 0").select("path", "bytes", F.when(F.col("c_custkey") % 5 == 0, "e").otherwise("d").alias("sha256"))
+    return quality.inventory_match(listed, found).select("c_custkey", "status")

@@ -193,3 +193,48 @@ def reranked_hits(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
     hits = _bm25(spark, d).select("query", F.col("doc").alias("item"), "rank").join(items, "query").join(_docs(spark, d).select(F.col("doc_id").alias("item"), "text"), "item")
     return fusion.reranked(hits, fusion.overlap_scorer, "q", "text").select("query", "item", "rerank_score", "rank")
+
+
+@R.add("""WITH q AS (SELECT n_nationkey AS query, list_distinct(regexp_extract_all(lower(n_name), '[a-z0-9]+')) AS t FROM nation),
+c AS (SELECT p_partkey AS entry, p_name AS name, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS ty, list_distinct(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z0-9]+')) AS t FROM part),
+h AS (SELECT query, entry, name, sum(CASE WHEN list_contains(ty, w) THEN 2 ELSE 1 END) AS score FROM (SELECT 0 AS query, unnest(['steel', 'part', 'promo', 'ti']) AS w) JOIN c ON list_contains(t, w) AND length(w) >= 3 GROUP BY ALL)
+SELECT query, entry, name, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, name, entry) AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, name, entry) <= 12""")
+def catalog_search(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    catalog = table(spark, d, "part").select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("name"), words(F.col("p_type")).alias("type_tokens"), words(F.concat_ws(" ", "p_type", "p_name")).alias("tokens"))
+    asked = spark.range(1).select(F.lit(0).alias("query"), F.array(*[F.lit(w) for w in ("steel", "part", "promo", "ti")]).alias("tokens"))
+    return lexical.catalog_search(asked, catalog)
+
+
+@R.add("""WITH l AS (SELECT conv_id, turn, len(list_intersect(['the', 'of', 'and', 'la', 'le'], list_distinct(regexp_extract_all(lower(text), '[a-zçğıöşü0-9]+')))) AS overlap FROM conversations)
+SELECT conv_id, turn, CAST(overlap AS BIGINT) AS overlap, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY overlap DESC, turn) AS rank FROM l) WHERE rank <= 6 AND overlap > 0""")
+def overlap_ranking(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.array(*[F.lit(w) for w in ("the", "of", "and", "la", "le")])
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-zçğıöşü0-9]+"), F.lit(0)))
+    return lexical.overlap_ranked(table(spark, d, "conversations"), asked, held, "conv_id", "turn").select("conv_id", "turn", F.col("overlap").cast("long").alias("overlap"), "rank")
+
+
+INTENT = [("road", 1, "the", "any"), ("road", 2, "ing", "any"), ("road", 0, "password", "veto"), ("sea", 1, "eau", "any"), ("sea", 2, "ment", "any")]
+
+
+@R.add(f"""WITH r(profile, g, phrase, kind) AS (VALUES {', '.join(map(str, INTENT))}),
+h AS (SELECT doc_id AS query, profile, list_sort(list(DISTINCT g) FILTER (WHERE kind = 'any')) AS groups, max(CASE WHEN kind = 'veto' THEN 1 ELSE 0 END) AS vetoed FROM documents JOIN r ON contains(lower(text), phrase) GROUP BY ALL)
+SELECT query, profile, coalesce(array_to_string(groups, ','), '') AS groups, vetoed, (coalesce(len(list_filter(groups, lambda x: x <= 2)), 0) = 2 AND vetoed = 0) AS supported FROM h""")
+def intent_gate(spark: SparkSession, d: str) -> DataFrame:
+    asked = _docs(spark, d).select(F.col("doc_id").alias("query"), F.lower("text").alias("text"))
+    found = fusion.intent(asked, spark.createDataFrame(INTENT, "profile string, group int, phrase string, kind string"))
+    return found.withColumn("groups", F.array_join(F.col("groups").cast("array<string>"), ","))
+
+
+@R.add("SELECT doc_id, CASE WHEN lang = 'en' THEN 'road' WHEN lang = 'fr' AND contains(lower(text), 'eau') THEN 'sea' END AS profile, CASE WHEN lang = 'en' THEN lang || ' the way' WHEN lang = 'fr' AND contains(lower(text), 'eau') THEN lang || ' la mer' ELSE lang END AS query FROM documents")
+def profile_expansion(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    profile = fusion.profile_for(F.col("lang"), F.lower("text"), [("en", [], "road"), ("fr", ["eau"], "sea")])
+    return docs.withColumn("profile", profile).select("doc_id", "profile", fusion.expanded(F.col("lang"), F.col("profile"), {"road": ["the way", "EN"], "sea": ["la mer"]}).alias("query"))
+
+
+@R.add(f"""WITH {_COS}, t AS (SELECT query, max(score) AS top FROM cos WHERE query <> item GROUP BY 1) SELECT count(*) FILTER (WHERE query % 40 = 0 AND top >= 0.3) AS false_answers, count(*) FILTER (WHERE query % 40 <> 0 AND top < 0.3) AS false_abstentions, count(*) AS queries FROM t""")
+def control_metrics(spark: SparkSession, d: str) -> DataFrame:
+    queries, vectors = _vectors(spark, d)
+    top = dense.cosine_top_k(queries, vectors, 1, keep=F.col("query") != F.col("item"))
+    return metrics.control_metrics(top.select((F.col("query") % 40 == 0).alias("expected_abstain"), (F.col("score") < 0.3).alias("abstained")))

@@ -146,3 +146,17 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id").select("doc_id", X.point_id(F.col("doc_id").cast("string")).alias("point_id"))
+
+
+_LABEL = "regexp_replace(lower(translate(text, 'Iİ', 'ıi')), '[^\\p{L}\\p{N}]', '', 'g')"
+
+
+@R.add(f"SELECT doc_id, sha256({_LABEL}) AS compact, sha256(translate({_LABEL}, 'çğıöşü', 'cgiosu')) AS folded FROM documents")
+def label_folding(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(X.compact_label(F.col("text")), 256).alias("compact"), F.sha2(X.folded_label(F.col("text")), 256).alias("folded"))
+
+
+@R.add()
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.col("source").alias("title"), "text")
+    return chunking.page_chunks(pages)

@@ -133,3 +133,17 @@ def test_pages(spark):
     assert one(spark, chunking.marked_pages(F.col("t")), t=text.replace("2", "3")) is None
     assert one(spark, chunking.page_at(F.array(F.lit(0), F.lit(10), F.lit(20)), F.lit(12))) == 2
     assert one(spark, chunking.repaired_articles(F.col("t")), t="5 - MADDE metin").startswith("MADDE 5-")
+
+
+def test_labels_and_variants(spark):
+    assert "gonderen" in one(spark, X.label_forms(F.col("t")), t="• G0NDEREN:")
+    assert one(spark, X.is_number_placeholder(F.col("t")), t="e-12345678-xxx-xxx")
+    rules = [(["kiralık"], "sözleşmeli taşıt")]
+    assert one(spark, X.query_variants(F.col("t"), rules), t="Kiralık araç") == ["Kiralık araç", "Kiralık araç sözleşmeli taşıt"]
+    assert one(spark, X.query_variants(F.col("t"), rules), t="araç") == ["araç"]
+
+
+def test_page_chunks(spark):
+    pages = spark.createDataFrame([(1, 1, "T", "a b\n\nc"), (1, 2, "T", "  "), (1, 3, None, "x" * 50)], "doc int, page int, title string, text string")
+    rows = {(r["page"], r["part_no"]): (r["part"], r["metadata_only"]) for r in chunking.page_chunks(pages, 20).collect()}
+    assert rows == {(1, 0): ("a b c", False), (2, 0): ("[T, 2]", True), (3, 0): ("x" * 20, False), (3, 1): ("x" * 20, False), (3, 2): ("x" * 10, False)}
