@@ -398,6 +398,25 @@ def _sifted(slim: DataFrame, sieve: np.ndarray) -> DataFrame:
     return slim.select("_id", "_text", cell).mapInArrow(run, "_id bigint, _text string")
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is among ``ids`` (_rep). Only rows that the sieve catches are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
+    cell = F.pmod(F.xxhash64(docs[id_column].cast("long")), F.lit(1 << SIEVE_BITS)).alias("_sieve_cell")
+
+    def part(caught: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for batch in batches:
+                at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                hit = (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+                yield batch.filter(pa.array(hit == caught)).select(list(range(batch.num_columns - 1)))
+
+        return docs.select("*", cell).mapInArrow(run, docs.schema)
+
+    caught = part(True)
+    return part(False).unionByName(caught.join(ids, caught[id_column] == ids["_rep"], "left_anti"))
+
+
 def _joined(tasks: DataFrame) -> DataFrame:
     """Within each (_root, _i, _j) of (_root, _i, _j, _key, _text): the linked digests (_digest, _first)."""
 
@@ -463,5 +482,11 @@ def _finish(rows: DataFrame, empty: DataFrame, classes: DataFrame, member: DataF
     starred = stars.join(classes.select("_digest", "_rep"), "_digest")
     least = starred.groupBy("_first").agg(F.min("_rep").alias("_component"))
     linked = starred.join(least, "_first").select("_digest", "_component")
-    named = classes.select("_digest", "_rep").join(linked, "_digest", "left").select("_digest", F.coalesce("_component", "_rep").alias("_component"))
-    return rows.join(named, "_digest").select("_id", "_n", "_component").unionByName(empty)
+    named = classes.select("_digest", "_rep", "_copies").join(linked, "_digest", "left").select("_digest", "_copies", F.coalesce("_component", "_rep").alias("_component"))
+    named = written(named, "named")
+    # The classes with the most copies, a bounded number, reach their documents by broadcast; the rest are not skewed.
+    most = F.broadcast(named.orderBy(F.desc("_copies"), "_digest").limit(MOST_COPIED).select("_digest", F.col("_component").alias("_soon")))
+    marked = rows.join(most, "_digest", "left")
+    soon = marked.filter("_soon is not null").select("_id", "_n", F.col("_soon").alias("_component"))
+    late = marked.filter("_soon is null").join(named, "_digest").select("_id", "_n", "_component")
+    return soon.unionByName(late).unionByName(empty)
