@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, text_of, written
+from .shared import WORD, text_of, whole_row, written
 
-#: Rows of one (source, bucket) group are about this many.
-BUCKET_ROWS = 20_000
+#: Buckets of a source: one for so many rows of the table, and at least so many.
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 64
 #: Slices of one unit of finish time.
 SLICES = 4096
 #: Sources up to this many are broadcast; more are joined by shuffle.
@@ -29,9 +29,9 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
-def _order_key(df: DataFrame, id_column: str, seed: int, buckets: int) -> list[Column]:
+def _order_key(id_column: Column, seed: int, buckets: int) -> list[Column]:
     """A document's place in its queue: hash bucket, hash, id."""
-    key = F.xxhash64(F.lit(seed), df[id_column])
+    key = F.xxhash64(F.lit(seed), id_column)
     return [F.pmod(key, F.lit(buckets)).cast("int").alias("_bucket"), key.alias("_key")]
 
 
@@ -66,14 +66,14 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_perc
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own. Rows that agree in source, id
     and size share their fate. The order depends on ids and seed only, so reruns agree. An empty table gives none.
-    Clashing names in ``docs`` are safe unless they begin with an underscore.
+    Other columns may have any names; columns of the added names are replaced.
     """
     size = F.coalesce(F.regexp_count(text_of(docs, text_column), F.lit(WORD)), F.lit(0)).cast("long")
     slim = written(docs.select(docs[source_column].alias("_source"), docs[id_column].alias("_id"), size.alias("_size")), "mix-sizes")
     targets = written(source_targets(slim, weights, total_percent, max_repeats), "mix-targets")
     n_sources = targets.count()
-    buckets = max(8, slim.count() // BUCKET_ROWS)
-    queue = slim.filter("_size > 0").select("*", *_order_key(slim, "_id", seed, buckets))
+    buckets = max(LEAST_BUCKETS, slim.count() // BUCKET_ROWS)
+    queue = slim.filter("_size > 0").select("*", *_order_key(F.col("_id"), seed, buckets))
 
     group = Window.partitionBy("_source", "_bucket")
     inner = group.orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -110,15 +110,17 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_perc
     plan = written(targets.join(cuts, targets["_rank"] == cuts["_r"], "left").drop("_r", "_rank"), "mix-cuts")
     plan = _maybe_broadcast(plan, n_sources)
 
-    sized = docs.withColumn("_size", size)
-    own = F.struct(*_order_key(docs, id_column, seed, buckets), docs[id_column].alias("_id"), F.col("_size"))
+    sized = docs.select(whole_row(docs), docs[id_column].alias("_id"), docs[source_column].alias("_own_source"), size.alias("_size"))
+    own = F.struct(*_order_key(F.col("_id"), seed, buckets), F.col("_id"), F.col("_size"))
     copies = sum((F.coalesce(own <= plan[f"_cut{e}"], F.lit(False)).cast("int") for e in range(max_repeats)), F.lit(0))
-    out = sized.join(plan, sized[source_column].eqNullSafe(plan["_source"]))
-    return out.select(*[sized[f"`{c}`"] for c in docs.columns], F.col("_size"), plan["source_size"].alias("_source_size"), plan["target"].alias("_target"), F.when(F.col("_size") > 0, copies).otherwise(0).alias("_copies"))
+    out = sized.join(plan, sized["_own_source"].eqNullSafe(plan["_source"]))
+    added = ("_size", "_source_size", "_target", "_copies")
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in added]
+    return out.select(*kept, F.col("_size"), plan["source_size"].alias("_source_size"), plan["target"].alias("_target"), F.when(F.col("_size") > 0, copies).otherwise(0).alias("_copies"))
 
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     mix = fair_mix(docs, **settings)
-    repeated = mix.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    repeated = mix.filter("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     return repeated.select(*[f"`{c}`" for c in docs.columns])
