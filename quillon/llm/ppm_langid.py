@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .shared import held_out
+from .shared import held_out, least_hashed, mapped, replaced
 
 #: Bound of the labelled sample: documents of each language.
 SAMPLE_DOCS = 400
@@ -170,9 +169,8 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learn from at most ``sample_docs`` texts of each language that are not held out, those of least hash."""
     known = docs.filter(docs[lang_column].isNotNull() & docs[text_column].isNotNull() & ~held_out(docs[id_column]))
-    slim = known.select(known[lang_column].alias("_lang"), F.xxhash64(F.lit(9), known[id_column]).alias("_key"), known[id_column].alias("_id"))
-    first = Window.partitionBy("_lang").orderBy("_key", "_id")
-    chosen = slim.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= sample_docs).select("_id").distinct()
+    slim = known.select(known[lang_column].alias("_lang"), known[id_column].alias("_id"))
+    chosen = least_hashed(slim, "_lang", "_id", sample_docs, 9).select("_id").distinct()
     # As small as the sample: its bound times the number of languages.
     rows = known.join(F.broadcast(chosen), known[id_column].eqNullSafe(chosen["_id"]), "left_semi").select(known[lang_column].alias("la"), known[text_column].alias("t"))
     texts: dict[str, list[str]] = {}
@@ -183,6 +181,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
 
 def identify(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
     """``docs`` with _lang_pred and _lang_score. Any order, any number of rows; repeated rows agree."""
+    docs = replaced(docs, "_lang_pred", "_lang_score")
     place = docs.columns.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -194,4 +193,4 @@ def identify(docs: DataFrame, model: Model | None, text_column: str = "text") ->
                 said, score = predict(model, batch.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_lang_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
