@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least id; of repeated rows one."""
     found = written(trie_join.near_duplicates(docs), "groups")
-    dropped = found.filter("_id <> _component").select("_id").distinct()
-    kept = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    dropped = found.filter("_id <> _component").select(F.col("_id").alias("_rep")).distinct()
+    kept = trie_join.without_ids(docs, dropped)
     if found.groupBy("_id").count().filter("count > 1").limit(1).count():
         kept = kept.withColumn("_same", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_same"]).drop("_same")
     return kept.select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import replaced
+from .shared import mapped, replaced
 
 WIDTH = 64
 #: Rows of pixels in one written frame.
@@ -99,9 +99,8 @@ def lzw_decode(stream: bytes, least: int, most: int) -> bytes:
     widths = _WIDTHS8 if least == 8 else _widths(4096, least)
     literals = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    got, bit = 0, 0
+    got, bit, since = 0, 0, 0
     table, before = literals.copy(), b""
-    since = 0
     while got < most:
         take = widths[since : since + 4096] if since < 4096 else np.full(4096, 12)
         offsets = bit + np.concatenate([[0], np.cumsum(take)])
@@ -112,21 +111,9 @@ def lzw_decode(stream: bytes, least: int, most: int) -> bytes:
         codes = (words[at >> 3] >> (at & 7).astype(np.uint32)) & ((1 << take) - 1).astype(np.uint32)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         upto = int(stops[0]) if len(stops) else len(codes)
-        append, add = out.append, table.append
-        for code in codes[:upto].tolist():
-            if code < len(table):
-                entry = table[code]
-                if before and len(table) < 4096:
-                    add(before + entry[:1])
-            else:
-                if not before:
-                    raise ValueError("a GIF code stream begins with an unknown code")
-                entry = before + before[:1]
-                if len(table) < 4096:
-                    add(entry)
-            append(entry)
-            got += len(entry)
-            before = entry
+        entries, before = _looked_up(codes[:upto].tolist(), table, before)
+        out += entries
+        got += sum(map(len, entries))
         since += upto
         bit = int(offsets[upto])
         if not len(stops):
@@ -138,6 +125,33 @@ def lzw_decode(stream: bytes, least: int, most: int) -> bytes:
     return b"".join(out)[:most]
 
 
+def _looked_up(codes: list[int], table: list[bytes], before: bytes) -> tuple[list[bytes], bytes]:
+    """The strings of codes without a clear code between them; ``table`` grows up to 4096 of them."""
+    out: list[bytes] = []
+    append, add = out.append, table.append
+    first = 0
+    if codes and not before:
+        if codes[0] >= len(table):
+            raise ValueError("a GIF code stream begins with an unknown code")
+        before = table[codes[0]]
+        append(before)
+        first = 1
+    grows = first + 4096 - len(table)
+    for code in codes[first:grows]:
+        try:
+            entry = table[code]
+        except IndexError:
+            # The string that this very code is about to define.
+            entry = before + before[:1]
+        add(before + entry[:1])
+        append(entry)
+        before = entry
+    for code in codes[max(grows, first) :]:
+        before = table[code]
+        append(before)
+    return out, before
+
+
 def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(part)]) + part for part in (data[i : i + 255] for i in range(0, len(data), 255))) + b"\0"
 
@@ -219,8 +233,10 @@ def decode_gif(data: bytes) -> list[Frame]:
         view = canvas[top : top + h, left : left + w]
         shown = pixels[: view.shape[0], : view.shape[1]]
         opaque = (shown != transparent) & (shown < len(colours))
-        view[opaque, :3] = colours[shown[opaque]]
-        view[opaque, 3] = 255
+        if opaque.all():
+            view[..., :3], view[..., 3] = colours[shown], 255
+        else:
+            view[opaque, :3], view[opaque, 3] = colours[shown[opaque]], 255
         frames.append(Frame(clock, delay, disposal, canvas.copy(), pixels.tobytes()))
         clock += delay
         if disposal == 2:
@@ -233,7 +249,8 @@ def decode_gif(data: bytes) -> list[Frame]:
 
 def histogram(canvas: np.ndarray) -> list[int]:
     """Opaque pixels by red, green and blue value, in equal bins of each."""
-    seen = canvas[canvas[..., 3] > 0][:, :3] // (256 // BINS)
+    shown = canvas[..., 3] > 0
+    seen = (canvas.reshape(-1, 4) if shown.all() else canvas[shown])[:, :3] // (256 // BINS)
     return [int(x) for c in range(3) for x in np.bincount(seen[:, c], minlength=BINS)]
 
 
@@ -257,7 +274,7 @@ def write_gifs(docs: DataFrame, text_column: str = "text", to: str = "_media") -
             media = [encode_gif(payload_of(t)) for t in batch.column(place).to_pylist()]
             yield _appended(batch, {to: pa.array(media, pa.binary())})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.BinaryType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
 FRAMES = "array<struct<start_ms:bigint,delay_ms:bigint,width:int,height:int,histogram:array<int>>>"
@@ -287,4 +304,4 @@ def read_gifs(media: DataFrame, column: str = "_media", payload: str = "_payload
             yield _appended(batch, {payload: pa.array([p for p, _ in both], pa.binary()), frames: pa.array([f for _, f in both], pa.list_(struct_type))})
 
     fields = [T.StructField(payload, T.BinaryType()), T.StructField(frames, T.StructType.fromDDL(f"x {FRAMES}")[0].dataType)]
-    return media.mapInArrow(run, T.StructType([*media.schema.fields, *fields]))
+    return mapped(media, run, T.StructType([*media.schema.fields, *fields]))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import replaced
+from .shared import mapped, replaced
 
 #: Kinds of the base contract, in its order, then those that only the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -307,7 +307,7 @@ def find_private(docs: DataFrame, text_column: str = "text", model: Booster | No
                 yield pa.RecordBatch.from_arrays([*batch.columns, spans, clean], names=[*batch.schema.names, "_spans", "_redacted"])
 
     fields = [T.StructField("_spans", T.StructType.fromDDL(f"x {SPAN}")[0].dataType), T.StructField("_redacted", T.StringType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def joined(spans: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import mapped, written
 from .shingles import shingle_sets
 
 #: The threshold as a fraction: 4 / 5.
@@ -39,6 +39,8 @@ CELL_BITS, BLOCKS, SIEVE_BITS = 24, 64, 24
 FEW = 24
 #: Postings of one bucket, and shingles of one block of a component, are about this many.
 BUCKET_POSTINGS, BLOCK_SHINGLES = 1 << 20, 1 << 22
+#: Postings that a task holds before it passes them on.
+HELD_POSTINGS = 1 << 19
 #: Classes with the most copies, at most so many, post once only.
 MOST_COPIED = 4096
 BATCH = 2048
@@ -105,7 +107,7 @@ def _survey(docs: DataFrame) -> DataFrame:
         if k:
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([_packed(c) for _, c in blocks], pa.binary())], names=columns)
 
-    return docs.mapInArrow(run, "_id bigint, _n bigint, _digest binary, _key bigint, _block int, _counts binary")
+    return mapped(docs, run, "_id bigint, _n bigint, _digest binary, _key bigint, _block int, _counts binary")
 
 
 def _levels(survey: DataFrame, total: int) -> np.ndarray:
@@ -169,12 +171,12 @@ def _postings(docs: DataFrame, levels: np.ndarray, copied: dict[bytes, int | Non
                 first = s[np.argsort(level, kind="stable")[: prefix_length(len(s))]]
                 held.append((first, class_key(d), len(s)))
                 n_held += len(first)
-            if n_held >= 2 * BUCKET_POSTINGS:
+            if n_held >= HELD_POSTINGS:
                 yield flush()
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "_bucket int, _shingles binary, _classes binary, _sizes binary")
+    return mapped(docs, run, "_bucket int, _shingles binary, _classes binary, _sizes binary")
 
 
 def pairs_of(shingles: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +231,7 @@ def _shared_counts(postings: DataFrame, buckets: int) -> DataFrame:
         for first in range(0, len(found[0]), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[first : first + 100_000]) for x in found], names=["_a", "_b", "_na", "_nb", "_shared"])
 
-    return postings.repartition(buckets, "_bucket").mapInArrow(run, "_a bigint, _b bigint, _na bigint, _nb bigint, _shared bigint")
+    return mapped(postings.repartition(buckets, "_bucket"), run, "_a bigint, _b bigint, _na bigint, _nb bigint, _shared bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -395,7 +397,7 @@ def _sifted(slim: DataFrame, sieve: np.ndarray) -> DataFrame:
             yield kept.select(["_id", "_text"])
 
     cell = F.pmod(F.xxhash64("_id"), F.lit(1 << SIEVE_BITS)).alias("_cell")
-    return slim.select("_id", "_text", cell).mapInArrow(run, "_id bigint, _text string")
+    return mapped(slim.select("_id", "_text", cell), run, "_id bigint, _text string")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -411,7 +413,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> D
                 hit = (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
                 yield batch.filter(pa.array(hit == caught)).select(list(range(batch.num_columns - 1)))
 
-        return docs.select("*", cell).mapInArrow(run, docs.schema)
+        return mapped(docs.select("*", cell), run, docs.schema)
 
     caught = part(True)
     return part(False).unionByName(caught.join(ids, caught[id_column] == ids["_rep"], "left_anti"))
