@@ -101,6 +101,9 @@ def least_hashed(rows: DataFrame, group: str, key: str, n: int, seed: int) -> Da
     a group's task is about 2 n rows, however large the group.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    # Labels and languages are few; were they many, the join would shuffle and the groups be small.
+    if sizes.limit(10_001).count() <= 10_000:
+        sizes = F.broadcast(sizes)
     hashed = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1))
     near = hashed.join(sizes, group).filter(F.col("_hash") / F.lit(float(2**63)) <= (2.0 * n + 100) / F.col("_size"))
     first = Window.partitionBy(group).orderBy("_hash", key)
