@@ -54,8 +54,7 @@ def tokens(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Tokens of two characters or more that are not stop words."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens(c), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
 
 
 def numbered_tokens(c: Column) -> Column:
