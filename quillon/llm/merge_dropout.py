@@ -2,13 +2,14 @@
 
 The pieces and scores of a SentencePiece BPE model are read from its file. Encoding keeps an agenda of adjacent
 pairs whose join is a piece, best score first, then leftmost. With dropout, a candidate merge is skipped for good if
-its keyed hash falls below the rate; the hash is of the seed, the variant, the stretch of text and the pair's place
-and length, so a run can be repeated exactly. A stretch is what no piece reaches across (blanks and the word after them), so
-stretches are encoded apart. Which variant an occurrence uses is a hash of the document's key and the place of the
-stretch, so one word is cut in different ways within and across documents.
+its keyed hash falls below the rate; the hash is of the seed, the document's key, the place of the stretch in it and
+the pair's place and length, so every occurrence of a word draws merges of its own and a run can be repeated exactly.
+A stretch is what no piece reaches across (blanks and the word after them), so stretches are encoded apart.
 
-Texts are encoded a batch at a time in arrays: the batch is cut into stretches, equal (stretch, variant) pairs are
-found by sorting their hashes, and the distinct ones of each length go through their merges together.
+Texts are encoded a batch at a time in arrays: the batch is cut into stretches, and equal ones are found by sorting
+their hashes. The distinct ones of each length go through their merges together, without dropout. An occurrence that
+skips none of the merges proposed there takes that result, as its own merges would be the same; each of the others
+goes through its own merges, again together by length.
 
 Characters that the model lacks, and the blank sign itself when it occurs in a text, become byte pieces; decoding
 joins pieces and bytes and gives back every text.
@@ -16,6 +17,7 @@ joins pieces and bytes and gives back every text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -30,8 +32,6 @@ from .shared import mapped, replaced
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Variants of one stretch, a power of two, and of a long one; more give more variety and fewer equal stretches.
-VARIANTS, LONG_VARIANTS, LONG = 4, 2, 8
 #: Stretches of up to this many characters are merged together in arrays, longer ones each by itself.
 TOGETHER = 40
 #: Documents, and about as many characters, of one batch.
@@ -80,12 +80,27 @@ _U = np.uint64
 _FAR = np.int32(1 << 30)
 
 
+_A, _B, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 2**64 - 1
+
+
+def _mix_int(x: int) -> int:
+    """``_mix`` of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
+def _places(left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A number for the merge of the symbols that begin at these places, with these joined lengths."""
+    return left.astype(np.uint64) * _U(_A) + right.astype(np.uint64) * _U(_B) + length.astype(np.uint64)
+
+
 _steps: dict[int, list[np.ndarray]] = {}
 
 
@@ -143,10 +158,10 @@ class PairTable:
 class PieceCoder:
     """Encoder and decoder of one model at one dropout rate and seed."""
 
-    def __init__(self, data: bytes, dropout: float = 0.1, seed: int = 1, variants: int = VARIANTS, encodes: bool = True):
+    def __init__(self, data: bytes, dropout: float = 0.1, seed: int = 1, encodes: bool = True):
         """``encodes=False`` leaves out the tables that only encoding needs."""
         pieces = read_pieces(data)
-        self.dropout, self.seed, self.variants = dropout, seed, variants if dropout > 0 else 1
+        self.dropout, self.seed = dropout, seed
         self.limit = _U(round(dropout * 2**32))
         normal = {t: i for i, (t, _, kind) in enumerate(pieces) if kind == 1}
         self.byte_ids = [0] * 256
@@ -180,33 +195,31 @@ class PieceCoder:
         self.pairs = {a << 21 | b: r << 20 | i for (a, b), (r, i) in splits.items()}
         self.table = PairTable(splits)
 
-    def _keys(self, points: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """A key for each row of code points and its variant, under the seed."""
-        n = points.shape[1]
-        each = _mix(points.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + np.arange(n, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F))
-        return _mix(each.sum(1, dtype=np.uint64) + variants.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(self.seed * 0xA0761D6478BD642F % 2**64))
+    def _keys(self, draws: np.ndarray) -> np.ndarray:
+        """A key for each occurrence's number, under the seed."""
+        return _mix(draws.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(self.seed * 0xA0761D6478BD642F % 2**64))
 
-    def _dropped(self, keys: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether the merges of the symbols that begin at these places, with these joined lengths, are skipped."""
-        place = left.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + right.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + length.astype(np.uint64)
-        return _mix(keys ^ place) >> _U(32) < self.limit
+    def _dropped(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether the merges at these places are skipped."""
+        return _mix(keys ^ places) >> _U(32) < self.limit
 
     def _spelled(self, ids: list[int]) -> list[int]:
         """Ids in which those of characters without a piece become their bytes."""
         return [y for x in ids for y in ([x] if x < self.n_pieces else [self.byte_ids[c] for c in chr(x - self.n_pieces).encode()])]
 
-    def encode_stretch(self, stretch: str, variant: int) -> list[int]:
-        """Ids of one stretch, by an agenda of candidate merges; for stretches of any length."""
+    def encode_stretch(self, stretch: str, draw: int | None) -> list[int]:
+        """Ids of one stretch, by an agenda of candidate merges; for stretches of any length. Without a draw none is skipped."""
         points = np.frombuffer(stretch.encode("utf-32-le"), dtype=np.uint32)
         symbols: list[int] = self.id_of[points].tolist()
         n, find = len(symbols), self.pairs.get
         after, before, length = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-        key = self._keys(points[None, :], np.asarray([variant]))
+        drops, limit = self.dropout > 0 and draw is not None, int(self.limit)
+        key = int(self._keys(np.asarray([draw], dtype=np.uint64))[0]) if drops else 0
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def propose(a: int, b: int) -> None:
             found = find(symbols[a] << 21 | symbols[b])
-            if found is None or self.dropout > 0 and self._dropped(key, np.asarray([a]), np.asarray([b]), np.asarray([length[a] + length[b]]))[0]:
+            if found is None or drops and _mix_int(key ^ (a * _A + b * _B + length[a] + length[b] & _ALL)) >> 32 < limit:
                 return
             heappush(agenda, (found >> 20, a, b, found & 0xFFFFF, length[a] + length[b]))
 
@@ -227,23 +240,29 @@ class PieceCoder:
                 propose(before[a], a)
         return self._spelled([x for x in symbols if x >= 0])
 
-    def _together(self, points: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, points: np.ndarray, draws: np.ndarray | None, proposed: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of stretches of equal length, as rows of code points, one after the other, and their numbers.
 
-        A round makes the best merge of every row that has one.
+        A round makes the best merge of every row that has one. Without draws no merge is skipped; ``proposed`` takes
+        the rows and places of all candidate merges.
         """
         count, n = points.shape
+        drops = self.dropout > 0 and draws is not None
         symbols = self.id_of[points]
         if n > 1:
-            keys = self._keys(points, variants)
+            keys = self._keys(draws) if drops else None
             after = np.tile(np.arange(1, n + 1, dtype=np.int16), (count, 1))
             before, length = after - np.int16(2), np.ones_like(after)
             rank, joined = self.table.find(symbols[:, :-1].reshape(-1), symbols[:, 1:].reshape(-1))
             rank, joined = rank.reshape(count, n - 1), joined.reshape(count, n - 1)
-            if self.dropout > 0:
+            if drops or proposed is not None:
                 r, i = np.nonzero(rank < _FAR)
-                lost = self._dropped(keys[r], i, i + 1, np.full(len(i), 2))
-                rank[r[lost], i[lost]] = _FAR
+                places = _places(i, i + 1, np.full(len(i), 2))
+                if drops:
+                    lost = self._dropped(keys[r], places)
+                    rank[r[lost], i[lost]] = _FAR
+                if proposed is not None:
+                    proposed.append((r, places))
             rows = np.arange(count)
             while len(rows):
                 best = rank[rows].argmin(1)
@@ -268,9 +287,14 @@ class PieceCoder:
                 left = np.concatenate([a[inner], p[outer]])
                 right = np.concatenate([c[inner], a[outer]])
                 found, to = self.table.find(symbols[row2, left], symbols[row2, right])
-                if self.dropout > 0:
-                    lost = self._dropped(keys[row2], left, right, length[row2, left] + length[row2, right])
-                    found = np.where(lost, _FAR, found)
+                if drops or proposed is not None:
+                    real = np.flatnonzero(found < _FAR)
+                    row3, left3, right3 = row2[real], left[real], right[real]
+                    places = _places(left3, right3, length[row3, left3] + length[row3, right3])
+                    if drops:
+                        found[real[self._dropped(keys[row3], places)]] = _FAR
+                    if proposed is not None:
+                        proposed.append((row3, places))
                 rank[row2, left], joined[row2, left] = found, to
         real = symbols >= 0
         ids, sizes = symbols[real], real.sum(1)
@@ -293,7 +317,7 @@ class PieceCoder:
     def encode_batch(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text's begin and the last one's end.
 
-        A key names its text, so that equal words vary between texts. An empty text has no ids.
+        A key names its text; each stretch of it draws its own merges. An empty text has no ids.
         """
         sizes = np.asarray([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
         points = np.frombuffer("".join([" " + t for t in texts if t]).encode("utf-32-le"), dtype=np.uint32)
@@ -304,45 +328,79 @@ class PieceCoder:
         lengths = np.diff(np.append(starts, len(points)))
         owner = np.searchsorted(bounds, starts, side="right") - 1
         place = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[owner]
-        variant = self._variants(np.asarray([k % 2**64 for k in keys], dtype=np.uint64)[owner], place, lengths)
+        draws = _mix(_mix(np.asarray([k % 2**64 for k in keys], dtype=np.uint64)[owner] + _U(self.seed)) + place.astype(np.uint64))
         # Two hashes of each stretch; the first finds equal ones, the second makes sure of them.
         one, two = (_spans_hashed(points, starts, lengths, k) for k in (0, 1))
-        tag = variant.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + lengths.astype(np.uint64)
-        _, rep, which = np.unique(_mix(one ^ tag), return_index=True, return_inverse=True)
-        odd = np.flatnonzero((two[rep[which]] != two) | (lengths[rep[which]] != lengths) | (variant[rep[which]] != variant))
+        _, rep, which = np.unique(_mix(one ^ lengths.astype(np.uint64)), return_index=True, return_inverse=True)
+        odd = np.flatnonzero((two[rep[which]] != two) | (lengths[rep[which]] != lengths))
         if len(odd):
             which[odd] = len(rep) + np.arange(len(odd))
             rep = np.concatenate([rep, odd])
-        # The distinct stretches by length; what each gives is put where the stretches ask for it.
+        # Long stretches hardly ever skip nothing, so with dropout each is encoded for itself.
+        own = lengths > TOGETHER if self.dropout > 0 else np.zeros(len(starts), dtype=bool)
+        shared = np.flatnonzero(~own[rep])
+        proposed: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout > 0 else None
+        parts, n_ids = self._encoded(points, starts[rep[shared]], lengths[rep[shared]], None, proposed)
+        unit = np.zeros(len(rep), dtype=np.int64)
+        unit[shared] = np.arange(len(shared))
+        unit = unit[which]
+        if proposed is not None:
+            own |= self._varied(proposed, len(shared), unit, np.flatnonzero(~own), draws)
+            alone = np.flatnonzero(own)
+            unit[alone] = len(shared) + np.arange(len(alone))
+            more, more_ids = self._encoded(points, starts[alone], lengths[alone], draws[alone], None)
+            parts, n_ids = np.concatenate([parts, more]), np.concatenate([n_ids, more_ids])
+        # What each unit gives is put where the stretches ask for it.
+        at = np.cumsum(n_ids) - n_ids
+        counts = n_ids[unit]
+        ends = np.cumsum(counts)
+        out = parts[np.repeat(at[unit] - (ends - counts), counts) + np.arange(int(ends[-1]))]
+        return out, np.concatenate([[0], ends])[np.searchsorted(starts, bounds)]
+
+    def _encoded(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, draws: np.ndarray | None, proposed: list[tuple[np.ndarray, np.ndarray]] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these stretches one after the other, and their numbers; those of one length are merged together."""
         parts: list[np.ndarray] = []
-        n_ids, at, total = np.zeros(len(rep), dtype=np.int64), np.zeros(len(rep), dtype=np.int64), 0
-        by_length = np.argsort(lengths[rep], kind="stable")
-        edges = np.flatnonzero(np.diff(lengths[rep[by_length]], prepend=-1, append=-1))
+        n_ids, at, total = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64), 0
+        by_length = np.argsort(lengths, kind="stable")
+        edges = np.flatnonzero(np.diff(lengths[by_length], prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            n = int(lengths[rep[by_length[lo]]])
-            for first in range(lo, hi, 30_000 if n <= TOGETHER else 1):
-                some = by_length[first : min(hi, first + (30_000 if n <= TOGETHER else 1))]
+            n = int(lengths[by_length[lo]])
+            step = 30_000 if n <= TOGETHER else 1
+            for first in range(lo, hi, step):
+                some = by_length[first : min(hi, first + step)]
                 if n <= TOGETHER:
-                    ids, counts = self._together(points[starts[rep[some]][:, None] + np.arange(n)], variant[rep[some]])
+                    found: list[tuple[np.ndarray, np.ndarray]] | None = None if proposed is None else []
+                    ids, counts = self._together(points[starts[some][:, None] + np.arange(n)], None if draws is None else draws[some], found)
+                    if proposed is not None:
+                        proposed.extend((some[rows], places) for rows, places in found or [])
                 else:
-                    begin = int(starts[rep[some[0]]])
-                    ids = np.asarray(self.encode_stretch(points[begin : begin + n].tobytes().decode("utf-32-le"), int(variant[rep[some[0]]])), dtype=np.int32)
+                    begin = int(starts[some[0]])
+                    ids = np.asarray(self.encode_stretch(points[begin : begin + n].tobytes().decode("utf-32-le"), None if draws is None else int(draws[some[0]])), dtype=np.int32)
                     counts = np.asarray([len(ids)])
                 parts.append(ids)
                 n_ids[some], at[some] = counts, total + np.cumsum(counts) - counts
                 total += len(ids)
-        flat = np.concatenate(parts)
-        counts = n_ids[which]
-        ends = np.cumsum(counts)
-        out = flat[np.repeat(at[which] - (ends - counts), counts) + np.arange(int(ends[-1]))]
-        return out, np.concatenate([[0], ends])[np.searchsorted(starts, bounds)]
-
-    def _variants(self, keys: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The variant of each stretch: a hash of the text's key and the stretch's place; long stretches have fewer."""
-        if self.variants == 1:
-            return np.zeros(len(place), dtype=np.int64)
-        v = (_mix(_mix(keys + _U(self.seed)) + place.astype(np.uint64)) >> _U(40)).astype(np.int64)
-        return v % np.where(lengths > LONG, min(LONG_VARIANTS, self.variants), self.variants)
+        flat = np.concatenate([np.empty(0, dtype=np.int32), *parts])
+        ends = np.cumsum(n_ids)
+        return flat[np.repeat(at - (ends - n_ids), n_ids) + np.arange(total)], n_ids
+
+    def _varied(self, proposed: list[tuple[np.ndarray, np.ndarray]], n_units: int, unit: np.ndarray, asked: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Which of the occurrences asked for skip a merge that their stretch proposes without dropout."""
+        out = np.zeros(len(unit), dtype=bool)
+        if not proposed:
+            return out
+        rows = np.concatenate([r for r, _ in proposed])
+        order = np.argsort(rows, kind="stable")
+        places = np.concatenate([p for _, p in proposed])[order]
+        counts = np.bincount(rows, minlength=n_units)
+        firsts, keys = np.cumsum(counts) - counts, self._keys(draws)
+        for lo in range(0, len(asked), 100_000):
+            some = asked[lo : lo + 100_000]
+            n = counts[unit[some]]
+            occurrence = np.repeat(some, n)
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[occurrence[self._dropped(keys[occurrence], places[firsts[unit[occurrence]] + within])]] = True
+        return out
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return self.encode_batch([text], [key])[0].tolist()
@@ -352,6 +410,13 @@ class PieceCoder:
         return b"".join(map(self.texts.__getitem__, ids)).decode(errors="replace")[1:]
 
 
+def _key(key: object, text: str | None) -> int:
+    """A number for a document: its key if that is one, else a digest of the key, or of the text if the key is null."""
+    if isinstance(key, int):
+        return key
+    return int.from_bytes(hashlib.blake2b(((text or "") if key is None else str(key)).encode(), digest_size=8).digest(), "little")
+
+
 @lru_cache(maxsize=2)
 def _coder(data: bytes, dropout: float, seed: int, encodes: bool = True) -> PieceCoder:
     """A coder of this Python worker, kept from task to task."""
@@ -381,7 +446,7 @@ def encode_pieces(docs: DataFrame, model: bytes, dropout: float = 0.1, seed: int
         for whole in batches:
             for batch in _bounded(whole, place):
                 texts = batch.column(place).to_pylist()
-                ids, ends = coder.encode_batch([t or "" for t in texts], [k if isinstance(k, int) else 0 for k in batch.column(key_at).to_pylist()])
+                ids, ends = coder.encode_batch([t or "" for t in texts], [_key(k, t) for k, t in zip(batch.column(key_at).to_pylist(), texts, strict=True)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "_ids"])
 

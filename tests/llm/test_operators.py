@@ -292,6 +292,32 @@ def test_pieces_vary_by_seed_place_and_rate(model):
     assert sizes == sorted(sizes) and sizes[-1] == len(text) + 1
 
 
+def test_every_occurrence_draws_its_own_merges(spark, model):
+    coder = merge_dropout.PieceCoder(model, dropout=0.1, seed=1)
+    for word, least in ((" the", 5), (" organisation", 20), (" https://example.org/a/b", 50), (" " + "internationalorganisation" * 4, 100)):
+        one = coder.encode(word.strip(), 0)
+        cuts = [tuple(coder.encode(word.strip(), k)) for k in range(2000)]
+        assert len(set(cuts)) >= least and coder.decode(one) == word.strip()
+        # Within one text as well as across texts.
+        out, _ = coder.encode_batch([word * 2000], [7])
+        assert len(out) != 2000 * len(one) and coder.decode(out.tolist()) == word * 2000
+    # What is shared is what each occurrence would give by itself.
+    texts = ["international organisation of the the the strings and the " * 9, "the the of the " * 50]
+    out, ends = coder.encode_batch(texts, [3, -4])
+    for t, (key, a, b) in zip(texts, [(3, ends[0], ends[1]), (-4, ends[1], ends[2])], strict=True):
+        assert coder.encode(t, key) == out[a:b].tolist()
+        alone, place = [], 0
+        for w in re.findall(" +[^ ]*", " " + t):
+            draw = merge_dropout._mix(merge_dropout._mix(np.asarray([key % 2**64], dtype=np.uint64) + np.uint64(1)) + np.uint64(place))[0]
+            alone, place = alone + coder.encode_stretch(w, int(draw)), place + 1
+        assert alone == out[a:b].tolist()
+    # Keys that are no numbers, and null ones, name their texts too.
+    for ids in ([f"a{k}" for k in range(200)], [None] * 200):
+        rows = [(i, f"international organisation {k % 100}") for k, i in enumerate(ids)]
+        found = merge_dropout.encode_pieces(spark.createDataFrame(rows, "doc_id string, text string"), model).collect()
+        assert len({tuple(r["_ids"][:4]) for r in found}) > 4
+
+
 # Secrets
 
 
