@@ -2,8 +2,9 @@
 
 Texts hide words behind digits and marks, spelled-out letters and repeated letters. Such a stretch becomes a lattice
 of what each character may stand for, may join to or may repeat, and Viterbi search under a character trigram model
-finds the likeliest clear text. Words without such signs have one path only and stay as they are. The restored text
-is scored by a logistic regression over the words it holds and how they begin.
+finds the likeliest clear text. Words without such signs have one path only and stay as they are. The trigrams are
+counted over all texts. The restored text is scored by a logistic regression, learned from a labelled sample, over the
+words it holds and how they begin.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ THRESHOLD = 0.3
 #: Features kept: those that tell the labels apart most, at least this often in the sample.
 MOST_FEATURES, LEAST_DOCS = 6000, 3
 PREFIXES = (4, 5, 6)
-MOST_WEIGHT = 60
 SHARE = 0.25
+#: Different trigrams that a task holds before it hands them on.
+MOST_GRAMS = 500_000
 #: Tokens that a Python worker remembers.
 CACHE = 120_000
 BATCH = 2048
@@ -63,15 +65,26 @@ class CharModel(NamedTuple):
         return x - 0.9 if x is not None else self.one.get(c, self.rest) - 1.8
 
 
-def char_model(words: Iterable[tuple[str, int]]) -> CharModel:
-    """Trigrams of words between blanks, weighted by the texts that hold them, up to a bound."""
-    counts: list[Counter] = [Counter(), Counter(), Counter()]
+def gram_counts(words: Iterable[tuple[str, int]], counts: Counter | None = None) -> Counter:
+    """Trigrams of words between blanks, weighted by the texts that hold them; added to ``counts`` if given."""
+    counts = Counter() if counts is None else counts
     for w, n in words:
-        s, n = f"  {w} ", min(n, MOST_WEIGHT)
+        s = f"  {w} "
         for i in range(2, len(s)):
-            for k in range(3):
-                counts[k][s[i - k : i + 1]] += n
-    one, two, three = counts
+            counts[s[i - 2 : i + 1]] += n
+    return counts
+
+
+def char_model(words: Iterable[tuple[str, int]]) -> CharModel:
+    return model_of(gram_counts(words))
+
+
+def model_of(three: dict[str, int]) -> CharModel:
+    """The model of trigram counts; shorter ones are the trigrams' ends."""
+    one, two = Counter(), Counter()
+    for g, n in three.items():
+        one[g[2]] += n
+        two[g[1:]] += n
     total = sum(one.values()) or 1
     before2, before3 = Counter(), Counter()
     for g, n in two.items():
@@ -173,10 +186,8 @@ def _ratio_statistic(p: np.ndarray, q: np.ndarray, n_pos: float, n_neg: float) -
     return total
 
 
-def train(texts: list[str], labels: list[int]) -> Scorer:
-    """Fit the character model and the regression to labelled texts."""
-    vocabulary = Counter(w.strip(_EDGES) for t in texts for w in set(t.lower().split()))
-    chars = char_model((w, n) for w, n in vocabulary.items() if w.isalpha())
+def train(chars: CharModel, texts: list[str], labels: list[int]) -> Scorer:
+    """Fit the regression to labelled texts, restored by the character model."""
     restorer = Restorer(chars)
     # Features are numbered as they come, so that a text is an array and not a set of strings.
     number: dict[str, int] = {}
@@ -236,10 +247,38 @@ def score_texts(scorer: Scorer, texts: list[str | None], memory: dict[str, tuple
     return out
 
 
+def corpus_chars(docs: DataFrame, text_column: str = "text") -> CharModel:
+    """The character model of all texts: tasks count trigrams of the words that each text holds, Spark adds them up.
+
+    What reaches the driver grows with the different trigrams, not with the texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+
+        grams: Counter = Counter()
+        for batch in batches:
+            words: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                words.update(set((t or "").lower().split()))
+            bare: Counter = Counter()
+            for w, n in words.items():
+                bare[w.strip(_EDGES)] += n
+            gram_counts(((w, n) for w, n in bare.items() if w.isalpha()), grams)
+            if len(grams) > MOST_GRAMS:
+                yield handed_on()
+                grams.clear()
+        yield handed_on()
+
+    counted = mapped(docs.select(docs[text_column].cast("string").alias("_text")), run, "gram string, n long")
+    return model_of({r["gram"]: r["n"] for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Scorer | None:
-    """Learn from at most ``sample_docs`` texts of each label that are not held out, those of least hash.
+    """Learn the labels from at most ``sample_docs`` texts of each that are not held out, those of least hash, and how words are spelled from all texts.
 
-    Rows with a null id, text or label teach nothing. None if no labelled text is left.
+    Rows with a null id, text or label teach nothing about labels. None if no labelled text is left.
     """
     marks = labels.filter(labels[id_column].isNotNull() & labels[label_column].isin(0, 1) & ~held_out(labels[id_column]))
     marks = marks.select(marks[id_column].alias("_id"), marks[label_column].cast("int").alias("_label")).groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -249,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     rows = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")).filter("_text is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
     rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("_label").orderBy("_n"))).filter(F.col("_m") <= sample_docs).orderBy("_label", "_m")
     got = rows.select("_text", "_label").collect()
-    return train([r["_text"] for r in got], [r["_label"] for r in got]) if got else None
+    return train(corpus_chars(docs, text_column), [r["_text"] for r in got], [r["_label"] for r in got]) if got else None
 
 
 def score(docs: DataFrame, scorer: Scorer | None, text_column: str = "text") -> DataFrame:

@@ -361,6 +361,21 @@ def test_restores_hidden_words():
         assert toxicity.restore(chars, hidden) == clear
 
 
+def test_spelling_is_learned_from_all_texts(spark, monkeypatch):
+    # No labelled text holds the word; what is restored depends on all documents.
+    monkeypatch.setattr(toxicity, "MOST_GRAMS", 5)
+    known = [(k, "a plain text about the weather") for k in range(40)]
+    rows = known + [(k, "Ein Schwachkopf, (schwachkopf) redet.") for k in range(100, 140)] + [(None, "schwachkopf"), (200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, labels)
+    assert toxicity.restore(scorer.chars, "5chw4chk0pf") == "schwachkopf"
+    plain = toxicity.char_model([("a", 40), ("plain", 40), ("text", 40), ("about", 40), ("the", 40), ("weather", 40), ("ein", 40), ("schwachkopf", 81), ("redet", 40)])
+    whole = toxicity.corpus_chars(docs)
+    # A text that holds a word with and without marks counts it for each form.
+    assert whole.three.keys() == plain.three.keys() and len(whole.three) > 30
+
+
 def plain_best(model, noisy):
     """All paths of a small lattice."""
     paths = [("", 0.0)]
