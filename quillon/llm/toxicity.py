@@ -44,9 +44,9 @@ JOINERS = " .-_*~'"
 #: Log chances of the channel: a character as it is, a stand-in, a joiner dropped, a joiner kept, a repeated letter dropped.
 KEEP, SWAP, JOIN, SPLIT, SQUEEZE = 0.0, -1.0, 0.0, -3.0, -0.3
 
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
-_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€£¡]+(?:[^\W\d_]|$)|([^\W\d_])\1\1|^(?:\S[.\-_*~]){2,}\S$")
 _EDGES = ".,;:!?\"'()[]{}<>…*"
+_SPELLED = re.compile(rf"(?<!\S)[{re.escape(_EDGES)}]*(\S(?: \S){{2,}})[{re.escape(_EDGES)}]*(?!\S)")
+_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|^[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€£¡]+(?:[^\W\d_]|$)|^[0-9@$!|+(€£¡]*[^\W\d_][0-9@$|+(€£¡]+$|^[0-9@$!|+(€£¡]+[^\W\d_]$|([^\W\d_])\1\1|^(?:\S[.\-_*~]){2,}\S$")
 
 
 class CharModel(NamedTuple):
@@ -148,9 +148,13 @@ class Restorer:
         found = self.known.get(token)
         if found is None:
             bare = token.strip(_EDGES)
-            if _ODD.search(token):
-                own = restore(self.model, bare or token)
-                found = tuple({bare, *(w.strip(_EDGES) for w in own.split())} - {""})
+            # Marks at the edges may be signs or stand-ins, so both forms are looked at.
+            if _ODD.search(token) or bare != token and _ODD.search(bare):
+                own = restore(self.model, bare or token).split()
+                # A stand-in before the word, which is also a mark of its own.
+                if (led := token.lstrip(_EDGES.replace("!", ""))).startswith("!") and bare:
+                    own += restore(self.model, "!" + led.strip(_EDGES)).split()
+                found = tuple({bare, *(w.strip(_EDGES) for w in own)} - {""})
             else:
                 found = (bare,) if bare else ()
             if len(self.known) >= CACHE:
@@ -164,12 +168,18 @@ class Restorer:
         low = text.lower()
         tokens = low.split()
         distinct = set(tokens)
-        if sum(1 for w in distinct if len(w) == 1) >= 2 or len(tokens) > 3 * len(distinct):
+        # Within a run, letters stand without marks.
+        last = len(tokens) - 1
+        if any(len(w) == 1 and 0 < i < last and _single(tokens[i - 1]) and _single(tokens[i + 1]) for i, w in enumerate(tokens)):
             for m in _SPELLED.finditer(" ".join(tokens)):
-                distinct.update(restore(self.model, m[0]).split())
+                distinct.update(restore(self.model, m[1]).split())
         return distinct
 
 
+def _single(token: str) -> bool:
+    return len(token) == 1 or len(token.strip(_EDGES)) == 1
+
+
 class Scorer(NamedTuple):
     chars: CharModel
     weights: dict[str, float]

@@ -376,6 +376,18 @@ def test_spelling_is_learned_from_all_texts(spark, monkeypatch):
     assert whole.three.keys() == plain.three.keys() and len(whole.three) > 30
 
 
+def test_hidden_words_pass_the_gate_with_marks_around():
+    chars = toxicity.char_model([("idiot", 30), ("stupid", 30), ("ass", 30), ("the", 60), ("you", 60)])
+    r = toxicity.Restorer(chars)
+    words = lambda text: {w for token in r.tokens(text) for w in r.clear(token)}
+    for hidden, clear in (("idio7", "idiot"), ("s.t.u.p.i.d", "stupid"), ("a$$", "ass"), ("a55", "ass"), ("1diot", "idiot"), ("i d i o t", "idiot"), ("a s s", "ass")):
+        for before, after in (("", ""), ("", "."), ("", ","), ("", "!"), ("(", ")"), ('"', '"'), ('"', '."'), ("...", "?!")):
+            assert clear in words(f"you {before}{hidden}{after} the you"), before + hidden + after
+            assert clear in words(before + hidden + after), before + hidden + after
+    assert "idiot" in words("you !diot.") and "ass" in words("@s$!")
+    assert words("you, (the) you!") == {"you", "the"}
+
+
 def plain_best(model, noisy):
     """All paths of a small lattice."""
     paths = [("", 0.0)]
