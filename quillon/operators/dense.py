@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Query vectors up to this many are broadcast; more are matched in blocks of the queries.
+#: Query vectors up to this many are broadcast at once; more are matched in blocks of the queries, one after the other.
 BROADCAST_QUERIES = 10_000
 
 
@@ -35,11 +36,24 @@ def normalized(v: Column) -> Column:
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
     """``queries`` (query, qv) against ``vectors`` (item, v, ...): query, item, rank, score rounded to 6.
 
-    ``keep`` is a trust filter on the vectors, and may use the query's columns. Queries are few (checked); each
-    partition of the vectors first keeps its own best, so only k rows a query and partition are shuffled.
+    ``keep`` is a trust filter on the vectors, and may use the query's columns. Each partition of the vectors first
+    keeps its own best, so only k rows a query and partition are shuffled. Queries beyond the bound are split by hash
+    into blocks, each of which is broadcast; a query's rows share a block, so its top k is exact.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries; ask in blocks")
+    blocks = in_blocks(queries, BROADCAST_QUERIES, F.xxhash64(F.lit(5), "query"))
+    return reduce(DataFrame.unionByName, [_block_top_k(b, vectors, k, keep) for b in blocks])
+
+
+def in_blocks(rows: DataFrame, most: int, key: Column) -> list[DataFrame]:
+    """``rows`` whole if there are at most so many, else split by a hash into blocks of about half as many, which chance hardly fills."""
+    n = rows.count()
+    if n <= most:
+        return [rows]
+    blocks = -(-2 * n // most)
+    return [rows.filter(F.pmod(key, F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: Column | None) -> DataFrame:
     qs = queries.withColumn("qn", norm(F.col("qv")))
     vs = vectors.withColumn("vn", norm(F.col("v"))).filter("vn > 0")
     pairs = vs.join(F.broadcast(qs))

@@ -119,6 +119,16 @@ def test_greedy_and_owners(spark):
     assert [(x["id"], x["owner"]) for x in spark.range(1).select(dedup.equivalence_owners(keyed)).first()[0]] == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
 
 
+def test_many_queries_are_matched_in_blocks(spark, monkeypatch):
+    vectors = spark.range(300).select(F.col("id").alias("item"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 7)).alias("v"))
+    queries = vectors.filter("item % 3 = 0").select(F.col("item").alias("query"), F.col("v").alias("qv"))
+    top = lambda: sorted(map(tuple, dense.cosine_top_k(queries, vectors, 4, F.col("query") != F.col("item")).collect()))
+    whole = top()
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 30)
+    assert len(dense.in_blocks(queries, 30, F.xxhash64("query"))) == 7
+    assert top() == whole and len(whole) == 400
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "a"), ("b", "R", "x")], "source string, relation string, target string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
