@@ -113,6 +113,7 @@ def base_spans(text: str) -> list[Candidate]:
 
 
 _HAS_DIGITS = re.compile(r"\d{2}")
+_HAS_HEX = re.compile(r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]")
 _HAS_AT = re.compile(r"(?i)[\[({]at[\])}]| at ")
 
 
@@ -128,7 +129,7 @@ def loose_candidates(text: str) -> list[Candidate]:
                 for m in pattern.finditer(text, low, min(len(text), a.end() + 160)):
                     if m.start() <= a.start() < m.end() and (m.start() > low or low == 0 or not text[low - 1].isalnum()):
                         out.append(Candidate(m.start(), m.end(), kind))
-        elif digits:
+        elif _HAS_HEX.search(text) if kind == "hardware" else digits:
             out += [Candidate(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return sorted(set(out))
 
@@ -194,8 +195,8 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> Tree:
 
 
 def _filled(pattern: str, r: random.Random) -> str:
-    """# a digit, A a capital letter, a a small one, x a hexadecimal digit."""
-    pools = {"#": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz", "x": "0123456789abcdef"}
+    """# a digit, A a capital letter, a a small one, x a hexadecimal digit, y one that is a letter."""
+    pools = {"#": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "a": "abcdefghijklmnopqrstuvwxyz", "x": "0123456789abcdef", "y": "abcdef"}
     return "".join(r.choice(pools[c]) if c in pools else c for c in pattern)
 
 
@@ -214,7 +215,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         "local_phone": (["phone", "call", "tel:", "mobile", "fax", "contact", "", ""], lambda: _filled(r.choice(["(###) ###-####", "###-###-####", "###.###.####", "### ### ####"]), r)),
         "account": (["iban", "account", "bank", "transfer to", "", ""], lambda: _valid_account(r)),
         "identity": (["ssn", "social security", "identity", "tax id", "passport"], lambda: _filled(r.choice(["###-##-####", "###########"]), r)),
-        "hardware": (["mac", "device", "adapter", "", ""], lambda: ":".join(_filled("xx", r) for _ in range(6))),
+        "hardware": (["mac", "device", "adapter", "", ""], lambda: _filled(r.choice(["xx:xx:xx:xx:xx:xx"] * 3 + ["yy:yy:yy:yy:yy:yy"]), r)),
         "birth_date": (["born", "date of birth", "dob", "birthday", "geboren am"], lambda: f"{r.randrange(1, 29):02d}.{r.randrange(1, 13):02d}.{r.randrange(1930, 2010)}"),
     }
     bad = {

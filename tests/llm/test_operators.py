@@ -608,6 +608,14 @@ def test_found_spans_keep_the_base(docs, odd):
                 assert r["_redacted"] == r["text"]
 
 
+def test_hardware_addresses_need_no_two_digits():
+    model = pii_boost.train()
+    for s in ("de:ad:be:ef:ca:fe", "a1:b2:c3:d4:e5:f6", "DE-AD-BE-EF-CA-FE", "00:1a:2b:3c:4d:5e"):
+        text = f"the mac {s} is mine"
+        assert pii_boost.Candidate(8, 8 + len(s), "hardware") in pii_boost.loose_candidates(text)
+        assert s not in pii_boost.redact(text, pii_boost.find(model, text))
+
+
 def test_boosted_trees_tell_private_from_like():
     model = pii_boost.train()
     x, y = pii_boost.examples(1000, seed=77)
