@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import squeeze
 
+from .rules import small
+
 
 def _packed(pieces: Column, limit: int) -> Column:
     """Greedy: neighbours joined by a blank as long as they fit; pieces are within the limit."""
@@ -83,7 +85,12 @@ def page_at(offsets: Column, at: Column) -> Column:
 
 def section_of_page(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Range join of pages with (first, last, section)."""
-    return pages.join(F.broadcast(ranges.limit(10_000)), F.col("page").between(F.col("first"), F.col("last")), "left")
+    inside, few = F.col("page").between(F.col("first"), F.col("last")), small(ranges)
+    if few is not ranges:
+        return pages.join(few, inside, "left")
+    # An outer range join would broadcast the ranges whatever their number; an inner one of the distinct pages need not.
+    found = pages.select("page").distinct().join(ranges, inside)
+    return pages.join(found, "page", "left").select(*pages.columns, *ranges.columns)
 
 
 def carried_forward(rows: DataFrame, value: str, by: str, *order: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from .base import Registry, search_tokens_sql, table
 
 R = Registry()
 TOP = 10
+#: Passages up to this many are broadcast at once.
+BROADCAST_PASSAGES = 100_000
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -166,12 +170,17 @@ f AS (SELECT query, min(rank) AS first FROM bm JOIN rel ON rel.query = bm.query
 SELECT round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS recall, round(avg(coalesce(1.0 / first, 0)), 4) AS mrr, count(*) AS queries FROM benchmark b LEFT JOIN f ON f.query = b.item_id""".replace("SELECT query, min(rank) AS first FROM bm JOIN rel ON", "SELECT bm.query AS query, min(rank) AS first FROM bm JOIN rel ON"))
 def mrr_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
-    # Passages are few; each document is tested against those that it could hold.
-    relevant = _docs(spark, d).join(F.broadcast(items.limit(100_000)), F.contains(F.col("text"), F.col("passage"))).select("query", F.col("doc_id").alias("item"))
+    relevant = holding(_docs(spark, d), items).select("query", F.col("doc_id").alias("item"))
     hits = _bm25(spark, d).select("query", F.col("doc").alias("item"), "rank")
     return metrics.recall_and_mrr(items, hits, relevant, TOP)
 
 
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents (text, ...) with each of the items (query, passage) that they hold; more items than one broadcast takes go in blocks."""
+    blocks = dense.in_blocks(items, BROADCAST_PASSAGES, F.xxhash64("query", "passage"))
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), F.contains(F.col("text"), F.col("passage"))) for b in blocks])
+
+
 _NDCG = f"""WITH {_COS}, dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos) WHERE rank <= 5),
 gr AS (SELECT a.vec_id AS query, b.vec_id AS item, CASE WHEN a.vec_id = b.vec_id THEN 3 ELSE 2 END AS grade FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0),
 ideal AS (SELECT query, sum((pow(2.0, grade) - 1) / log2(rank + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, item) AS rank FROM gr) WHERE rank <= 5 GROUP BY query),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.text import decoded
+from quillon.operators.rules import small
 
 #: The chunk schema; parsed when used, as parsing needs a session.
 CHUNK = (
@@ -123,5 +124,5 @@ def keyword_reasons(text: Column, terms: list[str]) -> Column:
 
 def first_policy(files: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     """Files (path) with the decision of the first rule (place, pattern, decision) whose pattern fits the path."""
-    hits = files.join(F.broadcast(rules.limit(10_000)), F.expr("path rlike pattern")).groupBy("path").agg(F.min(F.struct("place", "decision"))["decision"].alias("decision"))
+    hits = files.join(small(rules), F.expr("path rlike pattern")).groupBy("path").agg(F.min(F.struct("place", "decision"))["decision"].alias("decision"))
     return files.join(hits, "path", "left").fillna({"decision": default})

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import dedup, dense, fusion, graph, lexical, metrics, quality, rules
+from quillon.operators import chunking, dedup, dense, fusion, graph, lexical, metrics, quality, rules
+from quillon.plans import retrieval
+from quillon.sources import readers
 
 
 def test_rrf_order_and_ranks(spark):
@@ -129,6 +131,22 @@ def test_many_queries_are_matched_in_blocks(spark, monkeypatch):
     assert top() == whole and len(whole) == 400
 
 
+def test_no_passage_range_or_policy_is_dropped(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"before <{k}> after") for k in range(50)], "doc_id long, text string")
+    items = spark.range(50).select(F.col("id").alias("query"), F.format_string("<%d>", "id").alias("passage"))
+    monkeypatch.setattr(retrieval, "BROADCAST_PASSAGES", 20)
+    assert sorted((r["doc_id"], r["query"]) for r in retrieval.holding(docs, items).collect()) == [(k, k) for k in range(50)]
+    many = 10_500
+    ranges = spark.range(many).select((F.col("id") * 2).alias("first"), (F.col("id") * 2 + 1).alias("last"), F.col("id").alias("section"))
+    pages = spark.createDataFrame([("a", 0), ("b", 2 * many - 1), ("c", 2 * many), ("d", None)], "doc string, page long")
+    out = chunking.section_of_page(pages, ranges)
+    assert out.columns == ["doc", "page", "first", "last", "section"]
+    assert {r["doc"]: r["section"] for r in out.collect()} == {"a": 0, "b": many - 1, "c": None, "d": None}
+    policy = spark.range(many).select(F.col("id").cast("int").alias("place"), F.format_string("^p%d$", "id").alias("pattern"), F.col("id").cast("string").alias("decision"))
+    files = spark.createDataFrame([("p0",), (f"p{many - 1}",), ("q",)], "path string")
+    assert {r["path"]: r["decision"] for r in readers.first_policy(files, policy, "ask").collect()} == {"p0": "0", f"p{many - 1}": str(many - 1), "q": "ask"}
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "a"), ("b", "R", "x")], "source string, relation string, target string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
