@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,17 +67,45 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("only_in", F.lit("a")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("b")))
 
 
-def closure(tree: DataFrame, node: str = "node", parent: str = "parent", depth: int = 20) -> DataFrame:
-    """(node, ancestor, distance) of a tree, by joining level on level; a cycle shows as a node that is its own ancestor."""
+def closure(tree: DataFrame, node: str = "node", parent: str = "parent", depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) of a tree of any depth, or up to ``depth``, by joining level on level.
+
+    A cycle shows as a node that is its own ancestor; no walk enters a node twice. Each level is written to the shared
+    folder, so that the next one does not compute it anew.
+    """
     up = tree.filter(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
     step = up.select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))
-    level, out = up, up
-    for d in range(2, depth + 1):
-        level = level.filter("node <> ancestor").join(step, F.col("ancestor") == F.col("_n")).select("node", F.col("_a").alias("ancestor"), F.lit(d).alias("distance"))
-        if level.limit(1).count() == 0:
+    folder, d = _levels_dir(tree.sparkSession), 1
+    level = up.withColumn("_seen", F.array("ancestor"))
+    while True:
+        level.write.parquet(f"{folder}/{d}")
+        level = tree.sparkSession.read.schema(level.schema).parquet(f"{folder}/{d}")
+        if d == depth or level.isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        d += 1
+        level = level.filter("node <> ancestor").join(step, F.col("ancestor") == F.col("_n")).filter(~F.array_contains("_seen", F.col("_a")))
+        level = level.select("node", F.col("_a").alias("ancestor"), F.lit(d).alias("distance"), F.concat("_seen", F.array("_a")).alias("_seen"))
+    return tree.sparkSession.read.schema(level.schema).parquet(*[f"{folder}/{k}" for k in range(1, d + 1)]).drop("_seen")
+
+
+def _levels_dir(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``, or in local mode in a temporary one; it goes when the driver's process ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    folder = f"{root.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, folder)
+    return folder
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended before
+        return
 
 
 def tree_faults(tree: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:

@@ -147,6 +147,18 @@ def test_no_passage_range_or_policy_is_dropped(spark, monkeypatch):
     assert {r["path"]: r["decision"] for r in readers.first_policy(files, policy, "ask").collect()} == {"p0": "0", f"p{many - 1}": str(many - 1), "q": "ask"}
 
 
+def test_closure_of_deep_trees_and_long_cycles(spark):
+    chain = spark.range(1, 31).select(F.col("id").alias("node"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"))
+    got = sorted(map(tuple, graph.closure(chain).collect()))
+    assert got == [(n, a, n - a) for n in range(1, 31) for a in range(1, n)]
+    assert graph.closure(chain, depth=3).count() == 29 + 28 + 27
+    # A cycle of 25 nodes, with a tail of one that leads into it.
+    ring = spark.createDataFrame([(k, (k + 1) % 25) for k in range(25)] + [(99, 0)], "node long, parent long")
+    found = graph.tree_faults(ring).collect()
+    assert {(r["node"], r["fault"]) for r in found} == {(k, "cycle") for k in range(25)}
+    assert graph.closure(ring).count() == 25 * 25 + 25
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "a"), ("b", "R", "x")], "source string, relation string, target string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
