@@ -23,13 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id; of repeated rows one."""
-    found = written(trie_join.near_duplicates(docs), "groups")
+    """Of each group of linked documents the one of least id, null the greatest; of repeated rows one.
+
+    Where ids repeat or are null, rows are numbered in the order of their ids, so that each is judged by its own text.
+    """
+    key, rows = "doc_id", docs
+    if docs.groupBy(F.col("doc_id").cast("long").alias("_id")).count().filter("count > 1 or _id is null").limit(1).count():
+        once = docs.withColumn("_same", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_same"])
+        # Partitions are in order after the sort, and so are these numbers; written, they stay as they are.
+        key, rows = "_row", written(once.orderBy(F.col("doc_id").asc_nulls_last(), "_same").withColumn("_row", F.monotonically_increasing_id()).drop("_same"), "numbered")
+    found = written(trie_join.near_duplicates(rows, key), "groups")
     dropped = found.filter("_id <> _component").select(F.col("_id").alias("_rep")).distinct()
-    kept = trie_join.without_ids(docs, dropped)
-    if found.groupBy("_id").count().filter("count > 1").limit(1).count():
-        kept = kept.withColumn("_same", F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", "_same"]).drop("_same")
-    return kept.select(*docs.columns)
+    return trie_join.without_ids(rows, dropped, key).select(*docs.columns)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

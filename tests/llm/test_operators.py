@@ -711,3 +711,16 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
     assert kept.columns == odd.columns
     got = sorted(str(r["doc_id"]) for r in kept.collect())
     assert got.count("4") == 1 and "7" in got and "8" not in got and {"1", "2", "3", "None"} <= set(got)
+
+
+def test_pipeline_drops_rows_and_not_ids(spark):
+    import corpus_pipeline as pipeline
+
+    words = [f"word{k}" for k in range(60)]
+    near, clean, other = " ".join(words), " ".join(f"clean{k}" for k in range(40)), " ".join(f"other{k}" for k in range(40))
+    # 5 occurs with a near copy of 1 and a clean text; of the null ids' near copies one stays; 7 leads one group and copies another.
+    rows = [(1, near), (5, near + " more"), (5, clean), (5, clean), (None, other), (None, other + " more"), (7, " ".join(words[::-1])), (7, near + " again"), (9, " ".join(words[::-1]) + " end")]
+    docs = table(spark, [(i, t, "a") for i, t in rows]).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(k for k in kept if k[0] is not None) == sorted([(1, near), (5, clean), (7, " ".join(words[::-1]))])
+    assert len([k for k in kept if k[0] is None]) == 1
