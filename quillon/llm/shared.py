@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -110,6 +111,13 @@ def least_hashed(rows: DataFrame, group: str, key: str, n: int, seed: int) -> Da
     return near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_hash", "_size")
 
 
+def listed(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table of constant rows, as one literal of the plan: no Python process serves it."""
+    names = [c.split()[0] for c in ddl.split(", ")]
+    literal = F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows]))
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(literal, f"array<struct<{ddl}>>")))
+
+
 def held_out(id_column: Column) -> Column:
     """True where crc32 of the id as text, modulo 4, is 2; a null id is never held out."""
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))
