@@ -23,6 +23,8 @@ FRAME_ROWS = 256
 #: Delay of a written frame, in hundredths of a second.
 DELAY = 10
 BINS = 8
+#: Pixels of a canvas or an image block; a GIF that claims more counts as malformed, as it would take that memory.
+MOST_PIXELS = 1 << 24
 #: Rows of one batch that the Python side returns.
 BATCH = 512
 
@@ -141,7 +143,9 @@ def _looked_up(codes: list[int], table: list[bytes], before: bytes) -> tuple[lis
         try:
             entry = table[code]
         except IndexError:
-            # The string that this very code is about to define.
+            # The string that this very code is about to define; no other code may lie beyond the table.
+            if code != len(table):
+                raise ValueError("a GIF code stream holds an unknown code") from None
             entry = before + before[:1]
         add(before + entry[:1])
         append(entry)
@@ -187,6 +191,11 @@ def _deinterlaced(rows: np.ndarray) -> np.ndarray:
 
 def decode_gif(data: bytes) -> list[Frame]:
     """All frames of a GIF as they are shown; a malformed header or image raises ValueError."""
+    return [f._replace(canvas=f.canvas.copy()) for f in shown_frames(data)]
+
+
+def shown_frames(data: bytes) -> Iterator[Frame]:
+    """The frames one by one, on one canvas that is only right until the next is asked for."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
@@ -202,8 +211,10 @@ def decode_gif(data: bytes) -> list[Frame]:
             at += 1 + data[at]
         return b"".join(parts), at + 1
 
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
-    frames, clock = [], 0
+    clock = 0
     disposal, delay, transparent = 0, 0, -1
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
@@ -223,6 +234,8 @@ def decode_gif(data: bytes) -> list[Frame]:
             colours, at = np.frombuffer(data[at : at + n], dtype=np.uint8).reshape(-1, 3), at + n
         if colours is None:
             raise ValueError("an image has no palette")
+        if w * h > MOST_PIXELS or not 1 <= data[at] <= 11:
+            raise ValueError("an image is too large or has no such codes")
         stream, at_next = sub_blocks(at + 1)
         indices = lzw_decode(stream, data[at], w * h)
         at = at_next
@@ -237,14 +250,13 @@ def decode_gif(data: bytes) -> list[Frame]:
             view[..., :3], view[..., 3] = colours[shown], 255
         else:
             view[opaque, :3], view[opaque, 3] = colours[shown[opaque]], 255
-        frames.append(Frame(clock, delay, disposal, canvas.copy(), pixels.tobytes()))
+        yield Frame(clock, delay, disposal, canvas, pixels.tobytes())
         clock += delay
         if disposal == 2:
             view[:] = 0
         elif before is not None:
             canvas = before
         disposal, delay, transparent = 0, 0, -1
-    return frames
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
@@ -265,7 +277,12 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_gifs(docs: DataFrame, text_column: str = "text", to: str = "_media") -> DataFrame:
-    """``docs`` with each text stored as a GIF. Null is empty; equal texts give equal bytes."""
+    """``docs`` with each text stored as a GIF.
+
+    - A null or empty text is one row of zero bytes. A long one takes more frames; its task holds it a few times.
+    - Equal texts, and so repeated rows, give equal bytes. An empty table gives no rows.
+    - Other columns may have any names; one of the added name, in any case, is replaced.
+    """
     docs = replaced(docs, to)
     place = docs.columns.index(text_column)
 
@@ -283,20 +300,27 @@ FRAMES = "array<struct<start_ms:bigint,delay_ms:bigint,width:int,height:int,hist
 def read_gifs(media: DataFrame, column: str = "_media", payload: str = "_payload", frames: str = "_frames") -> DataFrame:
     """``media`` with the frames that the GIFs show and the colour indices that they hold, all frames in order.
 
-    A null or malformed GIF has null frames and a null payload; one without images has none and an empty payload.
+    - A null or malformed GIF, and one whose canvas or image has more than MOST_PIXELS pixels, has null frames and a null
+      payload; one without images has no frames and an empty payload. A code stream that ends early gives what it holds.
+    - Any number of frames is read: one canvas at a time is held, beside the payload.
+    - Repeated rows agree. An empty table gives no rows.
+    - Other columns may have any names; those of the added names, in any case, are replaced.
     """
     media = replaced(media, payload, frames)
     place = media.columns.index(column)
     struct_type = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int32()))])
 
     def one(data: bytes | None) -> tuple[bytes | None, list | None]:
+        if data is None:
+            return None, None
+        held, shown = [], []
         try:
-            shown = decode_gif(data) if data is not None else None
+            for f in shown_frames(data):
+                held.append(f.indices)
+                shown.append({"start_ms": f.start_ms, "delay_ms": f.delay_ms, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "histogram": histogram(f.canvas)})
         except (ValueError, IndexError, struct.error):
-            shown = None
-        if shown is None:
             return None, None
-        return b"".join(f.indices for f in shown), [{"start_ms": f.start_ms, "delay_ms": f.delay_ms, "width": f.canvas.shape[1], "height": f.canvas.shape[0], "histogram": histogram(f.canvas)} for f in shown]
+        return b"".join(held), shown
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
