@@ -1,9 +1,12 @@
-"""Secret scans over a trigram inverted index.
+"""Secret scans by trigram queries.
 
 Each rule's regular expression is parsed into a Boolean trigram query: a list of alternatives, each a set of
-trigrams that must all occur. The index holds postings (trigram, document) for the trigrams that some query asks
-for. Intersecting postings, by counting how many trigrams of an alternative a document holds, gives the candidates
-of a rule, and only these run its expression. A rule without mandatory trigrams scans every text.
+trigrams that must all occur. The trigrams that some query asks for are indexed: a document's postings are those that
+it holds, and the postings that an alternative needs are intersected with them. The rules with a met alternative are
+the document's candidates, and only these run their expression. A rule without mandatory trigrams scans every text.
+
+Every document gets its spans, so its postings stay beside its text: an index of its own, joined back, would shuffle
+all texts to hand each a short list.
 """
 
 from __future__ import annotations
@@ -147,29 +150,39 @@ def _ranked(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), x["e"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def alternatives(rules: list[SecretRule]) -> tuple[list[tuple[int, frozenset[str]]], set[int]]:
+    """(rule, trigrams) for each alternative of the rules' queries, and the rules without a query."""
+    queries = [trigram_query(rule.pattern) for rule in rules]
+    return [(r, trigrams) for r, query in enumerate(queries) for trigrams in query], {r for r, query in enumerate(queries) if not query}
+
+
+def candidate_rules(text: Column, asked: list[tuple[int, frozenset[str]]]) -> Column:
+    """Rules of which the text holds all trigrams of an alternative.
+
+    The text's postings, the asked trigrams that occur in it, are intersected with what each alternative needs.
+    """
+    wanted = F.array(*[F.lit(t) for t in sorted({t for _, needs in asked for t in needs})])
+    listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.array(*[F.lit(t) for t in sorted(needs)]).alias("needs")) for r, needs in asked])
+    postings = _let(F.lower(text), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))
+    met = _let(postings, lambda has: F.filter(listed, lambda a: F.size(F.array_except(a["needs"], has)) == 0))
+    return F.array_distinct(F.transform(met, lambda a: a["rule"]))
+
+
+def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, text_column: str = "text") -> DataFrame:
     """``docs`` with _spans: an array of (start, rank, end, kind) by start, then the rules' order.
 
-    Null text is empty and has no spans. Rows with equal id and text are one posting and agree. A hash that two
-    documents share only makes both run the rules of either. Other columns may have any names; _spans is replaced.
+    - A null text is empty; an empty one has no spans.
+    - Texts of any length are scanned whole, as code points.
+    - Spans of several kinds may overlap or begin together (ties go by the rules' order); those of one do not.
+    - Each row is scanned for itself, so repeated rows agree. An empty table gives no rows.
+    - Other columns may have any names; _spans, in any case, is replaced.
     """
-    spark = docs.sparkSession
     rules = BASE_RULES + MORE_RULES if rules is None else rules
-    asked = [(r, a, t, len(ts)) for r, rule in enumerate(rules) for a, ts in enumerate(trigram_query(rule.pattern)) for t in sorted(ts)]
-    always = {r for r, rule in enumerate(rules) if not trigram_query(rule.pattern)}
-    keyed = docs.select(whole_row(docs), text_of(docs, text_column).alias("_text"), docs[id_column].alias("_id"))
-    keyed = keyed.select("_row", "_text", F.xxhash64("_id", "_text").alias("_key"))
-    if asked:
-        wanted = F.array(*[F.lit(t) for t in sorted({t for _, _, t, _ in asked})])
-        present = _let(F.lower("_text"), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))
-        postings = keyed.select("_key", F.explode(present).alias("_trigram"))
-        # As small as the rules' own trigrams.
-        queries = F.broadcast(spark.createDataFrame(asked, "_rule int, _alternative int, _trigram string, _needs int"))
-        hits = postings.join(queries, "_trigram").groupBy("_key", "_rule", "_alternative", "_needs").agg(F.count_distinct("_trigram").alias("_has"))
-        candidates = hits.filter("_has = _needs").groupBy("_key").agg(F.collect_set("_rule").alias("_rules"))
-        keyed = keyed.join(candidates, "_key", "left")
-    else:
-        keyed = keyed.withColumn("_rules", F.lit(None).cast("array<int>"))
+    asked, always = alternatives(rules)
+    keyed = docs.select(whole_row(docs), text_of(docs, text_column).alias("_text"))
+    found_rules = candidate_rules(F.col("_text"), asked) if asked else F.array().cast("array<int>")
+    # A generator, so that the optimizer does not repeat the postings for every rule.
+    keyed = keyed.select("_row", "_text", F.explode(F.array(found_rules)).alias("_rules"))
     none = F.array().cast("array<struct<s:int,e:int,ok:boolean>>")
     found = []
     for r, rule in enumerate(rules):
@@ -178,7 +191,8 @@ def scan_secrets(docs: DataFrame, rules: list[SecretRule] | None = None, id_colu
             spans = F.when(F.array_contains("_rules", r), spans).otherwise(none)
         found.append(_ranked(spans, r, rule.kind))
     kept = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != "_spans"]
-    return keyed.select(*kept, F.sort_array(F.concat(*found)).alias("_spans"))
+    spans = F.sort_array(F.concat(*found)) if found else F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    return keyed.select(*kept, spans.alias("_spans"))
 
 
 def joined(spans: Column) -> Column:

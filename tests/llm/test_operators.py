@@ -203,8 +203,17 @@ def test_gif_lzw_fuzz():
 
 
 def test_malformed_gifs_are_null(spark):
-    df = spark.createDataFrame([(b"nothing",), (None,), (b"GIF89a",)], "m binary")
-    assert [r["_payload"] for r in gif_media.read_gifs(df, "m").collect()] == [None, None, None]
+    wild = image(0, 0, 1, 1, [1])
+    unknown = wild[:12] + bytes([0b00_111_100]) + wild[13:]
+    huge = [gif(65535, 65535, PALETTE, wild), gif(1, 1, PALETTE, image(0, 0, 65535, 65535, [1])), gif(1, 1, PALETTE, unknown), gif(1, 1, PALETTE, image(0, 0, 1, 1, [1], least=2)[:10] + b"\x0c\x01\0\0")]
+    df = spark.createDataFrame([(b"nothing",), (None,), (b"GIF89a",), *((h,) for h in huge)], "m binary")
+    assert [r["_payload"] for r in gif_media.read_gifs(df, "m").collect()] == [None] * 7
+    # Of many frames on a large canvas one is held at a time.
+    many = gif(1000, 1000, PALETTE, *[image(0, 0, 1, 1, [k % 4]) for k in range(40)])
+    row = gif_media.read_gifs(spark.createDataFrame([(many,)], "m binary"), "m").first()
+    assert len(row["_frames"]) == 40 and len(row["_payload"]) == 40
+    with pytest.raises(ValueError, match="unknown code"):
+        gif_media.lzw_decode(struct.pack("<Q", 256 | 65 << 9 | 300 << 18), 8, 10)
 
 
 # Mixing
@@ -244,7 +253,7 @@ def test_mix_targets_and_shares(docs, odd):
 
 def test_mix_follows_the_queue(docs):
     """Against the whole order, built in one place."""
-    rows = fair_mix.fair_mix(docs).withColumn("_k", F.xxhash64(F.lit(7), "doc_id")).collect()
+    rows = fair_mix.fair_mix(docs).withColumn("_k", F.xxhash64(F.lit(7), "doc_id", "text")).collect()
     ranks = {s: i for i, s in enumerate(sorted({r["source"] for r in rows}))}
     buckets, entries = fair_mix.LEAST_BUCKETS, []
     for s in ranks:
@@ -262,6 +271,14 @@ def test_mix_follows_the_queue(docs):
     assert {r["doc_id"]: r["_copies"] for r in rows if r["_copies"]} == want
 
 
+def test_mix_of_one_hot_or_null_id(spark):
+    rows = [(None, "w " * (k % 7 + 1) + str(k), "a") for k in range(300)] + [(5, f"x y {k}", "a") for k in range(300)] + [(k, f"z {k}", "b") for k in range(50)]
+    out = fair_mix.fair_mix(table(spark, rows)).collect()
+    for s in "ab":
+        taken = sum(r["_size"] * r["_copies"] for r in out if r["source"] == s)
+        assert abs(taken - next(r["_target"] for r in out if r["source"] == s)) <= 20
+
+
 def test_mix_reruns_agree_and_handle_nothing(docs, empty):
     once, again = ({(r["doc_id"], r["_copies"]) for r in fair_mix.fair_mix(docs.repartition(n)).collect()} for n in (1, 7))
     assert once == again
