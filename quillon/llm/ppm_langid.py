@@ -1,12 +1,16 @@
 """Language identification by prediction by partial matching.
 
-For each language a context tree over bytes is counted, of variable depth up to three bytes. The statistics are then
-frozen: a byte's probability in its longest kept context follows from the counts, with escapes (as many as there are
-distinct followers) to the next shorter context, from which the followers already seen are excluded, down to equal
-chances. A text's code length under a language is the sum of its bytes' costs, and the shortest code wins.
+For each language a context tree over bytes is counted, up to ``DEPTH`` bytes deep, with a node for every context of
+the sample. The statistics are then frozen: a byte's probability in its longest context follows from the counts, with
+escapes (as many as there are distinct followers) to the next shorter context, from which the followers already seen
+are excluded, down to equal chances of all 256 bytes. A text's code length under a language is the exact sum of its
+bytes' costs, in floating point, and the shortest code wins.
 
-Frozen trees make the cost of a byte a function of it and its context, so costs come from one table of contexts by
-bytes by languages, and whole batches of texts are scored by array look-ups.
+Frozen trees make the cost of a byte a function of it and its context. A context c that knows the byte b costs
+-log P(b | c); one that does not costs its escape, and the next shorter context goes on. The grams (contexts with their
+next byte) of all languages' trees are one hash table. For each a row holds, by language, the cost of its last byte
+after the others, and the escapes summed over all contexts that end it. A byte's cost is then that of the longest gram
+that ends with it, plus the escapes of the contexts before it that are longer: two look-ups, for whole batches of texts.
 """
 
 from __future__ import annotations
@@ -23,127 +27,200 @@ from pyspark.sql import types as T
 
 from .shared import held_out, least_hashed, mapped, replaced
 
-#: Bound of the labelled sample: documents of each language.
-SAMPLE_DOCS = 400
-#: Contexts of two and three bytes are kept if the sample has them this often, the most frequent first.
-LEAST_COUNT, MOST_CONTEXTS = 4, 12_000
-#: Costs are held in units of 1 / 2048 bit.
-UNIT = 2048
-#: Symbols: the most frequent bytes, and one for all others.
-MOST_SYMBOLS = 112
-CHUNK = 1 << 20
+#: Bounds of the labelled sample: documents of each language, bytes of one document, and bytes of each language.
+SAMPLE_DOCS, SAMPLE_TEXT, SAMPLE_BYTES = 400, 1 << 17, 1 << 20
+#: Bytes of the longest context.
+DEPTH = 4
+#: Bytes that are scored together.
+CHUNK = 1 << 19
 BATCH = 4096
 _LETTER = re.compile(r"[^\W\d_]")
-_PAD = b"   "
+_PAD = b" " * DEPTH
+_U = np.uint64
 
 
 class Model(NamedTuple):
+    """Grams as a hash table, and by gram and language the costs; row 0 is the empty context.
+
+    ``cost``: of the last byte after the others, less the escapes of these. ``escapes``: summed over the gram as a
+    context and all shorter ones that end it. ``inner``: the row of the gram without its first byte if it is longer than a context.
+    """
+
     languages: list[str]
-    symbol_of: np.ndarray
-    n_symbols: int
-    node_of: np.ndarray
-    costs: np.ndarray
+    slots: np.ndarray
+    keys: np.ndarray
+    cost: np.ndarray
+    escapes: np.ndarray
+    inner: np.ndarray
+
+
+def _grams(data: np.ndarray, n: int) -> np.ndarray:
+    """The grams of n bytes that end at each place from ``DEPTH`` on, as numbers: the bytes, and the length above them."""
+    out = np.full(len(data) - DEPTH, n << 56, dtype=np.uint64)
+    for k in range(n):
+        out |= data[DEPTH - k : len(data) - k].astype(np.uint64) << _U(8 * k)
+    return out
+
+
+def _short(keys: np.ndarray, n: int) -> np.ndarray:
+    """Grams of n bytes without their first."""
+    return (_U(n - 1) << _U(56)) | (keys & _U((1 << 8 * (n - 1)) - 1))
+
+
+def _context(keys: np.ndarray, n: int) -> np.ndarray:
+    """Grams of n bytes without their last."""
+    return (_U(n - 1) << _U(56)) | ((keys & _U((1 << 8 * n) - 1)) >> _U(8))
+
+
+def _hashed(keys: np.ndarray, shift: int) -> np.ndarray:
+    return ((keys * _U(0x9E3779B97F4A7C15)) ^ ((keys * _U(0x9E3779B97F4A7C15)) >> _U(29))) * _U(0xBF58476D1CE4E5B9) >> _U(shift)
+
 
+def _table(keys: np.ndarray) -> np.ndarray:
+    """Open addressing with steps of one: rows of the keys by hash, at most half full."""
+    # At least 13 bits, so that the room for steps past the end does not change the size that look-ups read off.
+    bits = max(13, int(2 * len(keys)).bit_length())
+    slots = np.full((1 << bits) + 4096, -1, dtype=np.int32)
+    at, rest = _hashed(keys, 64 - bits).astype(np.int64), np.arange(len(keys), dtype=np.int32)
+    while len(rest):
+        free = slots[at] < 0
+        slots[at[free]] = rest[free]
+        lost = slots[at] != rest
+        rest, at = rest[lost], at[lost] + 1
+    return slots
 
-def _refined(parent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Probabilities in contexts with these counts, given those in the next shorter contexts."""
-    total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-    seen = counts > 0
-    rest = np.where(seen, 0, parent).sum(1, keepdims=True)
-    escaped = distinct / np.maximum(total + distinct, 1) * np.where(seen, 0, parent) / np.maximum(rest, 1e-12)
-    # With every symbol seen there is nothing to escape to.
-    direct = counts / np.maximum(np.where(rest > 0, total + distinct, total), 1)
-    return np.where(total > 0, np.where(seen, direct, escaped), parent)
+
+def _found(model: Model, keys: np.ndarray) -> np.ndarray:
+    """Rows of the keys; -1 for those that no tree has."""
+    bits = len(model.slots).bit_length() - 1
+    at = _hashed(keys, 64 - bits).astype(np.int64)
+    rows = model.slots[at]
+    todo = np.flatnonzero((rows >= 0) & (model.keys[rows] != keys))
+    while len(todo):
+        at[todo] += 1
+        rows[todo] = model.slots[at[todo]]
+        todo = todo[(rows[todo] >= 0) & (model.keys[rows[todo]] != keys[todo])]
+    return rows
+
+
+def _tree(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By gram length: the grams of one language, and the costs of their last bytes; the contexts, and their escapes."""
+    levels = []
+    # Chances of each gram's last byte in the level above, with the grams they belong to; at first all are equal.
+    above: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+    for n in range(1, DEPTH + 2):
+        grams, times = np.unique(_grams(data, n), return_counts=True)
+        contexts, first, total = np.unique(_context(grams, n), return_index=True, return_counts=True)
+        of = np.repeat(np.arange(len(contexts)), total)
+        # Grams of one context stand together, as the context is their upper part.
+        distinct, count = total.astype(float), np.bincount(of, weights=times)
+        if above is None:
+            lower = np.full(len(grams), 1 / 256)
+        else:
+            lower = above[1][np.searchsorted(above[0], _short(grams, n))]
+        # What the followers leave of the chances in the shorter context.
+        rest = np.maximum(1 - np.bincount(of, weights=lower), 0)
+        open_ = (distinct < 256) & (rest > 1e-12)
+        chance = times / np.where(open_, count + distinct, count)[of]
+        escape = np.zeros(len(contexts))
+        escape[open_] = -np.log2(distinct[open_] / (count + distinct)[open_] / rest[open_])
+        levels.append((grams, -np.log2(chance), contexts, escape))
+        above = (grams, chance, contexts, escape)
+    return levels
 
 
 def train(texts: dict[str, list[str]]) -> Model:
     """Freeze a model of the languages' texts."""
     languages = sorted(texts)
-    joined = {la: b"".join(_PAD + t.lower().encode() for t in texts[la]) + _PAD for la in languages}
-    freq = sum(np.bincount(np.frombuffer(b, dtype=np.uint8), minlength=256) for b in joined.values())
-    common = [int(b) for b in np.argsort(-freq, kind="stable")[:MOST_SYMBOLS] if freq[b] > 0]
-    symbol_of = np.zeros(256, dtype=np.int32)
-    symbol_of[common] = np.arange(1, len(common) + 1)
-    s = len(common) + 1
-    runs = {la: symbol_of[np.frombuffer(b, dtype=np.uint8)] for la, b in joined.items()}
-
-    def context(x: np.ndarray, order: int) -> np.ndarray:
-        """Index of the context of each symbol from the fourth on."""
-        out = np.zeros(len(x) - 3, dtype=np.int64)
-        for k in range(order, 0, -1):
-            out = out * s + x[3 - k : len(x) - k]
-        return out
-
-    nodes: list[np.ndarray] = []
-    for order in (2, 3):
-        ids = np.concatenate([context(x, order) for x in runs.values()])
-        found, n = np.unique(ids, return_counts=True)
-        keep = np.argsort(-n, kind="stable")[:MOST_CONTEXTS]
-        nodes.append(np.sort(found[keep][n[keep] >= LEAST_COUNT]))
-    two, three = nodes
-    # Rows of the table: order 0, order 1, kept order 2, kept order 3.
-    first_two, first_three = 1 + s, 1 + s + len(two)
-    node_of = np.tile(np.arange(1, s + 1, dtype=np.int32), s * s)
-    node_of = node_of.reshape(s, s * s)
-    node_of[:, two] = first_two + np.arange(len(two))
-    node_of = node_of.reshape(-1)
-    node_of[three] = first_three + np.arange(len(three))
-    costs = np.empty((first_three + len(three), s, len(languages)), dtype=np.uint16)
-    equal = np.full((1, s), 1 / 257)
-    for j, la in enumerate(languages):
-        x = runs[la]
-        last = x[3:]
-        zero = _refined(equal, np.bincount(last, minlength=s)[None, :].astype(float))
-        one = _refined(np.repeat(zero, s, 0), np.bincount(context(x, 1) * s + last, minlength=s * s).reshape(s, s).astype(float))
-
-        def kept(order: int, ids: np.ndarray, x=x, last=last) -> np.ndarray:
-            c = context(x, order)
-            row = np.minimum(np.searchsorted(ids, c), max(len(ids) - 1, 0))
-            here = ids[row] == c if len(ids) else np.zeros(len(c), dtype=bool)
-            return np.bincount(row[here] * s + last[here], minlength=len(ids) * s).reshape(len(ids), s).astype(float)
-
-        p2 = _refined(one[two % s], kept(2, two)) if len(two) else np.empty((0, s))
-        parents = one[three % s].copy()
-        if len(two) and len(three):
-            row = np.minimum(np.searchsorted(two, three % (s * s)), len(two) - 1)
-            inner = two[row] == three % (s * s)
-            parents[inner] = p2[row[inner]]
-        p3 = _refined(parents, kept(3, three)) if len(three) else np.empty((0, s))
-        bits = -np.log2(np.maximum(np.concatenate([zero, one, p2, p3]), 2.0**-30))
-        costs[:, :, j] = np.round(bits * UNIT)
-    return Model(languages, symbol_of, s, node_of, costs.reshape(-1, len(languages)))
+    trees = [_tree(np.frombuffer(b"".join(_PAD + t.lower().encode() for t in texts[la]) + _PAD, dtype=np.uint8)) for la in languages]
+    by_length = [np.unique(np.concatenate([t[n][0] for t in trees])) for n in range(DEPTH + 1)]
+    keys = np.concatenate([np.zeros(1, dtype=np.uint64), *by_length])
+    firsts = np.cumsum([1, *map(len, by_length)])
+    cost, escapes = np.zeros((len(keys), len(languages))), np.zeros((len(keys), len(languages)))
+    inner = np.arange(len(keys), dtype=np.int32)
+    own = [np.empty((0, len(languages)))] * (DEPTH + 1)
+    for n in range(DEPTH + 2):
+        # Escapes of the contexts of n bytes, on top of those of the shorter ones.
+        rows = np.arange(1) if n == 0 else np.arange(firsts[n - 1], firsts[n])
+        shorter = np.zeros(len(rows), dtype=np.int64) if n <= 1 else firsts[n - 2] + np.searchsorted(by_length[n - 2], _short(keys[rows], n))
+        if n > DEPTH:
+            inner[rows] = shorter
+        else:
+            escapes[rows] = 0 if n == 0 else escapes[shorter]
+            for j, tree in enumerate(trees):
+                _, _, contexts, escape = tree[n]
+                at = rows if n == 0 else firsts[n - 1] + np.searchsorted(by_length[n - 1], contexts)
+                escapes[at, j] += escape
+    for n in range(1, DEPTH + 2):
+        rows = np.arange(firsts[n - 1], firsts[n])
+        # A gram that a language lacks escapes from its context to the shorter one.
+        context = np.zeros(len(rows), dtype=np.int64) if n == 1 else firsts[n - 2] + np.searchsorted(by_length[n - 2], _context(keys[rows], n))
+        if n == 1:
+            whole = np.full((len(rows), len(languages)), 8.0) + escapes[0]
+        else:
+            longer = escapes[context] - escapes[_parents(keys, firsts, by_length, context, n - 1)]
+            whole = own[n - 2][np.searchsorted(by_length[n - 2], _short(keys[rows], n))] + longer
+        for j, tree in enumerate(trees):
+            grams, costs, _, _ = tree[n - 1]
+            whole[np.searchsorted(by_length[n - 1], grams), j] = costs
+        own[n - 1] = whole
+        cost[rows] = whole - escapes[context]
+    return Model(languages, _table(keys), keys, cost, escapes, inner)
+
+
+def _parents(keys: np.ndarray, firsts: np.ndarray, by_length: list[np.ndarray], rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the next shorter contexts of these rows, which are grams of n bytes."""
+    return np.zeros(len(rows), dtype=np.int64) if n <= 1 else firsts[n - 2] + np.searchsorted(by_length[n - 2], _short(keys[rows], n))
+
+
+def _costs(model: Model, data: np.ndarray) -> np.ndarray:
+    """Bits of each byte from ``DEPTH`` on, by language."""
+    # The longest known gram that ends at each place; a place may end none.
+    rows = np.zeros(len(data) - DEPTH + 1, dtype=np.int64)
+    todo = np.arange(1, len(rows))
+    for n in range(DEPTH + 1, 0, -1):
+        got = _found(model, _grams(data, n)[todo - 1])
+        here = got > 0
+        rows[todo[here]] = got[here]
+        todo = todo[~here]
+        if not len(todo):
+            break
+    # The context of the first byte is what stands before it.
+    for n in range(DEPTH, 0, -1):
+        before = (_U(n) << _U(56)) | _U(int.from_bytes(data[DEPTH - n : DEPTH].tobytes(), "big"))
+        got = _found(model, np.asarray([before], dtype=np.uint64))
+        if got[0] > 0:
+            rows[0] = got[0]
+            break
+    out = model.cost[rows[1:]] + model.escapes[model.inner[rows[:-1]]]
+    out[rows[1:] == 0] += 8.0
+    return out
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     """Bits of each lower-cased text under each language."""
     out = np.zeros((len(texts), len(model.languages)))
-    s = model.n_symbols
 
     def score(some: list[tuple[int, bytes]]) -> None:
-        data = np.frombuffer(b"".join(_PAD + t for _, t in some), dtype=np.uint8)
-        x = model.symbol_of[data]
-        node = model.node_of[(x[:-3] * s + x[1:-2]) * s + x[2:-1]]
-        costs = model.costs[node * s + x[3:]]
-        ends = np.cumsum([len(t) + 3 for _, t in some]) - 3
-        starts = ends - [len(t) for _, t in some]
-        # Between two texts lie the costs of the padding, which is summed apart and left out.
-        edges = np.stack([starts, ends], 1).reshape(-1)[:-1]
-        np.add.at(out, [i for i, _ in some], np.add.reduceat(costs, edges, axis=0, dtype=np.uint64)[::2] / UNIT)
+        costs = _costs(model, np.frombuffer(b"".join(_PAD + t for _, t in some), dtype=np.uint8))
+        # Between two texts lie the costs of the padding, which is left out.
+        at = 0
+        edges = []
+        for _, t in some:
+            edges += [at, at + len(t)]
+            at += len(t) + DEPTH
+        np.add.at(out, [i for i, _ in some], np.add.reduceat(costs, edges[:-1], axis=0)[::2])
 
     some: list[tuple[int, bytes]] = []
     size = 0
     for i, t in enumerate(texts):
-        # A very long text is scored in parts that overlap by the context; its first part begins after the padding.
+        # A very long text is scored in parts that overlap by the context.
         for at in range(0, len(t), CHUNK):
-            part = t[at : at + CHUNK]
             if at:
-                data = np.frombuffer(t[at - 3 : at + CHUNK], dtype=np.uint8)
-                x = model.symbol_of[data]
-                node = model.node_of[(x[:-3] * s + x[1:-2]) * s + x[2:-1]]
-                out[i] += model.costs[node * s + x[3:]].sum(0, dtype=np.uint64) / UNIT
+                out[i] += _costs(model, np.frombuffer(t[at - DEPTH : at + CHUNK], dtype=np.uint8)).sum(0)
                 continue
-            some.append((i, part))
-            size += len(part)
+            some.append((i, t[:CHUNK]))
+            size += min(len(t), CHUNK)
         if size >= CHUNK:
             score(some)
             some, size = [], 0
@@ -167,20 +244,33 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from at most ``sample_docs`` texts of each language that are not held out, those of least hash."""
-    known = docs.filter(docs[lang_column].isNotNull() & docs[text_column].isNotNull() & ~held_out(docs[id_column]))
-    slim = known.select(known[lang_column].alias("_lang"), known[id_column].alias("_id"))
-    chosen = least_hashed(slim, "_lang", "_id", sample_docs, 9).select("_id").distinct()
-    # As small as the sample: its bound times the number of languages.
-    rows = known.join(F.broadcast(chosen), known[id_column].eqNullSafe(chosen["_id"]), "left_semi").select(known[lang_column].alias("la"), known[text_column].alias("t"))
+    """Learn from a bounded sample of each language's texts that are not held out, those of least hash of id and text.
+
+    The sample has at most ``sample_docs`` texts and SAMPLE_BYTES bytes of each language; texts of more than
+    SAMPLE_TEXT bytes teach nothing. Rows with a null text or language teach nothing; a null id is never held out and
+    may teach. Repeated rows count once, and reruns agree. Without any row the model is None.
+    """
+    known = docs.filter(docs[lang_column].isNotNull() & docs[text_column].isNotNull() & ~held_out(docs[id_column]) & (F.octet_length(docs[text_column]) <= SAMPLE_TEXT))
+    rows = known.select(known[lang_column].alias("la"), F.xxhash64(F.lit(9), known[id_column], known[text_column]).alias("key"), known[text_column].alias("t"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.collect()):
-        texts.setdefault(r["la"], []).append(r["t"])
+    left: dict[str, int] = {}
+    # As many rows as the bounds say, for each language.
+    for r in sorted(least_hashed(rows, "la", "key", "t", sample_docs).collect(), key=lambda r: (r["la"], r["_n"])):
+        left.setdefault(r["la"], SAMPLE_BYTES)
+        left[r["la"]] -= len(r["t"].encode())
+        if left[r["la"]] >= 0:
+            texts.setdefault(r["la"], []).append(r["t"])
     return train(texts) if texts else None
 
 
 def identify(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
-    """``docs`` with _lang_pred and _lang_score. Any order, any number of rows; repeated rows agree."""
+    """``docs`` with _lang_pred and _lang_score.
+
+    - A null text, and one without letters, is ``und`` with score 0; so is every text without a model.
+    - Texts of any length are scored whole, in parts that overlap by the context.
+    - Ties go to the first language by name. Each row is judged for itself, so repeated rows agree.
+    - An empty table gives no rows. Other columns may have any names; those of the added names are replaced.
+    """
     docs = replaced(docs, "_lang_pred", "_lang_score")
     place = docs.columns.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
