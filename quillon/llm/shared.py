@@ -95,20 +95,23 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in names])
 
 
-def least_hashed(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
-    """Of each group's rows the ``n`` of least hash of the key, with their place _n.
+def least_hashed(rows: DataFrame, group: str, key: str, value: str, n: int) -> DataFrame:
+    """Of each group the ``n`` distinct keys of least hash: group, value (of one of the key's rows, all alike) and place _n.
 
-    Group sizes come first; hashes above twice the share that is asked for cannot be among the least, so what reaches
-    a group's task is about 2 n rows, however large the group.
+    Distinct keys are estimated first; hashes above twice the share that is asked for can hardly be among the least, so
+    what reaches a group's task is about 2 n keys, however large the group and however often its rows repeat.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    hashed = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(F.lit(1), key), 1))
+    sizes = hashed.groupBy(group).agg(F.approx_count_distinct("_hash").alias("_size"))
     # Labels and languages are few; were they many, the join would shuffle and the groups be small.
     if sizes.limit(10_001).count() <= 10_000:
         sizes = F.broadcast(sizes)
-    hashed = rows.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1))
     near = hashed.join(sizes, group).filter(F.col("_hash") / F.lit(float(2**63)) <= (2.0 * n + 100) / F.col("_size"))
-    first = Window.partitionBy(group).orderBy("_hash", key)
-    return near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n).drop("_hash", "_size")
+    first = Window.partitionBy(group).orderBy("_hash")
+    chosen = near.select(group, "_hash").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n)
+    # As small as the sample.
+    found = hashed.join(F.broadcast(chosen), [group, "_hash"])
+    return found.groupBy(group, "_n").agg(F.min(value).alias(value))
 
 
 def listed(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

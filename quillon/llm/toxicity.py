@@ -24,11 +24,12 @@ from pyspark.sql.window import Window
 
 from .shared import held_out, least_hashed, mapped, replaced
 
-#: Bound of the labelled sample: documents of each label.
-SAMPLE_DOCS = 1500
+#: Bounds of the labelled sample: documents of each label, bytes of one document.
+SAMPLE_DOCS, SAMPLE_TEXT = 1500, 1 << 17
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
-#: Features kept: those that tell the labels apart most, at least this often in the sample.
+#: Parameters of the classifier: the features with a weight, those that tell the labels apart most, and in how many
+#: labelled texts a feature must stand. They bound the model, not what is scored.
 MOST_FEATURES, LEAST_DOCS = 6000, 3
 PREFIXES = (4, 5, 6)
 SHARE = 0.25
@@ -286,23 +287,33 @@ def corpus_chars(docs: DataFrame, text_column: str = "text") -> CharModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Scorer | None:
-    """Learn the labels from at most ``sample_docs`` texts of each that are not held out, those of least hash, and how words are spelled from all texts.
+    """Learn the labels from a bounded sample of the texts that are not held out, and how words are spelled from all texts.
 
-    Rows with a null id, text or label teach nothing about labels. None if no labelled text is left.
+    The sample has at most ``sample_docs`` documents of each label, those of least hash; texts of more than SAMPLE_TEXT
+    bytes teach no labels. Rows with a null id, text or label teach none either. An id with several labels is toxic if
+    one says so; an id with several texts teaches the one of least hash. Without any labelled text the model is None.
     """
     marks = labels.filter(labels[id_column].isNotNull() & labels[label_column].isin(0, 1) & ~held_out(labels[id_column]))
     marks = marks.select(marks[id_column].alias("_id"), marks[label_column].cast("int").alias("_label")).groupBy("_id").agg(F.max("_label").alias("_label"))
     # Twice the bound, as some labels may have no document.
-    chosen = least_hashed(marks, "_label", "_id", 2 * sample_docs, 7)
+    chosen = least_hashed(marks, "_label", "_id", "_id", 2 * sample_docs)
     # As small as the sample.
-    rows = docs.select(docs[id_column].alias("_id"), docs[text_column].alias("_text")).filter("_text is not null").join(F.broadcast(chosen), "_id").dropDuplicates(["_id"])
-    rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("_label").orderBy("_n"))).filter(F.col("_m") <= sample_docs).orderBy("_label", "_m")
-    got = rows.select("_text", "_label").collect()
+    texts = docs.select(docs[id_column].alias("_id"), docs[text_column].cast("string").alias("_text")).filter(F.octet_length("_text") <= SAMPLE_TEXT)
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label", "_n").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text"))
+    rows = rows.withColumn("_m", F.row_number().over(Window.partitionBy("_label").orderBy("_n"))).filter(F.col("_m") <= sample_docs)
+    got = sorted(rows.select("_label", "_m", "_text").collect())
     return train(corpus_chars(docs, text_column), [r["_text"] for r in got], [r["_label"] for r in got]) if got else None
 
 
 def score(docs: DataFrame, scorer: Scorer | None, text_column: str = "text") -> DataFrame:
-    """``docs`` with _toxicity, from 0 to 1. Null and empty texts get the score of no evidence; without a model all get 0."""
+    """``docs`` with _toxicity, from 0 to 1.
+
+    - Null and empty texts get the score of no evidence; without a model all get 0.
+    - Texts of any length are read whole; a token of many characters costs time and memory in proportion to them.
+    - Among readings of a hidden word that are equally likely the first found wins, the same in every run.
+    - Each row is scored for itself, so repeated rows agree. An empty table gives no rows.
+    - Other columns may have any names; _toxicity, in any case, is replaced.
+    """
     docs = replaced(docs, "_toxicity")
     place = docs.columns.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)

@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -466,6 +467,40 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(1 for r in held if not r["toxic"] and r["_toxicity"] >= toxicity.THRESHOLD) <= 0.02 * len(held)
 
 
+def plain_toxicity(scorer, text):
+    """The score of one text, without memories: all words of all tokens, their beginnings, and the sum of weights."""
+    restorer, names = toxicity.Restorer(scorer.chars), set()
+    for token in restorer.tokens(text or ""):
+        for w in toxicity.Restorer(scorer.chars).clear(token):
+            names |= {w} | {w[:k] + "+" for k in (4, 5, 6) if len(w) > k}
+    z = scorer.bias + sum(scorer.weights.get(x, 0.0) for x in names)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_query_matches_plain_scores(spark):
+    from quillon.llm import queries as Q
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    scorer = toxicity.fit(docs, labels)
+    # The sample: labelled documents that are not held out, here fewer than the bound.
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    again = toxicity.train(toxicity.corpus_chars(docs), [text[i] for i in known], list(known.values()))
+    assert again.weights.keys() == scorer.weights.keys() and all(abs(again.weights[k] - scorer.weights[k]) < 1e-6 for k in again.weights)
+    rows = Q.queries()["op7_toxicity"](spark, SF).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        assert r["score"] == pytest.approx(plain_toxicity(scorer, text[r["doc_id"]])) and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_toxicity_of_repeated_ids_is_the_same_in_every_run(spark):
+    rows = [(1, "you idiot"), (1, "a friend"), (2, "the plain text"), (3, None), (4, "z" * 200_000)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (4, 0)], "doc_id long, toxic int")
+    one, two = (toxicity.fit(spark.createDataFrame(rows[::k], "doc_id long, text string").repartition(3), labels, sample_docs=5) for k in (1, -1))
+    assert one == two
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 1), (7, 1, 0), (None, 1, 1), (8, 1, None)], "doc_id long, quality int, toxic int")
     scorer = toxicity.fit(odd, labels)
@@ -600,20 +635,57 @@ def test_language_of_odd_rows(spark, odd, empty):
     assert {r["_lang_pred"] for r in ppm_langid.identify(odd, None).collect()} == {"und"}
 
 
-def test_code_lengths_are_sums_of_frozen_costs(monkeypatch):
-    model = ppm_langid.train({"en": ["the cat sat on the mat", "then there was"], "fr": ["le chat est sur le tapis été"]})
-    chances = np.exp2(-model.costs.astype(float) / ppm_langid.UNIT).reshape(-1, model.n_symbols, 2).sum(1)
-    assert chances.max() < 1.01
-    texts = [b"the chat", b"", "été zq".encode(), b"the cat " * 40]
-    plain = []
-    for t in texts:
-        d = b"   " + t
-        s = [int(model.symbol_of[b]) for b in d]
-        rows = [model.node_of[(s[i - 3] * model.n_symbols + s[i - 2]) * model.n_symbols + s[i - 1]] * model.n_symbols + s[i] for i in range(3, len(s))]
-        plain.append(model.costs[rows].astype(float).sum(0) / ppm_langid.UNIT if rows else np.zeros(2))
-    assert np.allclose(ppm_langid.code_lengths(model, texts)[[0, 2, 3]], np.asarray(plain)[[0, 2, 3]])
+def plain_chances(counts, context):
+    """A byte's chances by plain PPM: escapes to the next shorter context, without the bytes already seen."""
+    if context is None:
+        return np.full(256, 1 / 256)
+    shorter = plain_chances(counts, context[1:] if context else None)
+    if context not in counts:
+        return shorter
+    n = np.zeros(256)
+    for b, k in counts[context].items():
+        n[b] = k
+    seen, rest = n > 0, shorter[n == 0].sum()
+    if rest <= 1e-12:
+        return n / n.sum()
+    return np.where(seen, n, seen.sum() * shorter / rest) / (n.sum() + seen.sum())
+
+
+def plain_bits(texts, text):
+    pad, counts = b" " * ppm_langid.DEPTH, {}
+    data = b"".join(pad + t.lower().encode() for t in texts) + pad
+    for i in range(len(pad), len(data)):
+        for k in range(len(pad) + 1):
+            counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    data = pad + text
+    return sum(-np.log2(plain_chances(counts, data[i - len(pad) : i])[data[i]]) for i in range(len(pad), len(data)))
+
+
+def test_code_lengths_are_those_of_plain_ppm(monkeypatch):
+    own = {"en": ["the cat sat on the mat, the then", "there was a hat"], "fr": ["le chat est sur le tapis été", "là bas"], "xx": ["ωωψ the", bytes(range(256)).decode("latin-1")]}
+    model = ppm_langid.train(own)
+    texts = [t.encode() for t in ("the chat é", "zzzq", "ω the ωψ", " ", "x" * 50, "été the cat\n", "日本", "the cat " * 30)]
+    want = [[plain_bits(own[la], t) for la in model.languages] for t in texts]
+    assert np.allclose(ppm_langid.code_lengths(model, texts), want)
     monkeypatch.setattr(ppm_langid, "CHUNK", 16)
-    assert np.allclose(ppm_langid.code_lengths(model, texts)[[0, 2, 3]], np.asarray(plain)[[0, 2, 3]])
+    assert np.allclose(ppm_langid.code_lengths(model, texts), want)
+
+
+def test_language_sample_is_bounded_and_exact(spark):
+    rows = [(k, f"text number {k}", "en") for k in range(2000)] + [(8, f"other {k}", "en") for k in range(5000)] + [(9, "same", "en")] * 3000 + [(None, f"null {k}", "en") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    for n in (1, 5):
+        kept = {}
+        original = ppm_langid.train
+        try:
+            ppm_langid.train = lambda texts: kept.update(texts)
+            ppm_langid.fit(docs.repartition(n), sample_docs=400)
+        finally:
+            ppm_langid.train = original
+        seen.append(kept)
+    assert seen[0] == seen[1] and len(seen[0]["en"]) == 400 == len(set(seen[0]["en"]))
+    assert {x.split()[0] for x in seen[0]["en"]} >= {"text", "other", "null"}
 
 
 # Personal data
@@ -693,6 +765,38 @@ def test_queries_match_sql(spark):
         assert_same(Q.queries()[name](spark, SF), con, sql)
 
 
+def test_language_query_matches_plain_predictions(spark):
+    from quillon.llm import queries as Q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, text = ppm_langid.fit(docs), {r["doc_id"]: r["text"] for r in docs.collect()}
+    learned = {r["lang"] for r in docs.collect()}
+    for r in Q.queries()["op9_ppm_langid"](spark, SF).collect():
+        said, score = ppm_langid.predict(model, [text[r["doc_id"]]])
+        assert (r["lang_pred"], r["score"]) == (said[0], pytest.approx(score[0])) and r["lang_pred"] in learned | {"und"}
+
+
+def test_pieces_query_matches_plain_encoding(spark, model):
+    from quillon.llm import queries as Q
+
+    coder = merge_dropout.PieceCoder(model)
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = Q.queries()["op5_merge_dropout"](spark, SF).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        # Each stretch by its own agenda of merges.
+        ids, place = [], 0
+        for w in coder_stretches(coder, text[r["doc_id"]]):
+            draw = merge_dropout._mix(merge_dropout._mix(np.asarray([r["doc_id"] % 2**64], dtype=np.uint64) + np.uint64(1)) + np.uint64(place))[0]
+            ids, place = ids + coder.encode_stretch(w, int(draw)), place + 1
+        assert (r["n_pieces"], r["lossless"]) == (len(ids), True) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def coder_stretches(coder, text):
+    apart = "".join(map(chr, coder.apart))
+    return re.findall(f"[{apart}]| *[^ {apart}]+| +" if apart else " *[^ ]+| +", " " + text) if text else []
+
+
 def test_queries_without_sql_have_their_columns(spark):
     from quillon.llm import queries as Q
 
