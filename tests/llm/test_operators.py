@@ -732,12 +732,69 @@ def test_hardware_addresses_need_no_two_digits():
 def test_boosted_trees_tell_private_from_like():
     model = pii_boost.train()
     x, y = pii_boost.examples(1000, seed=77)
-    picked = model.scores(x) >= model.threshold
+    picked = model.picked(x)
     assert (picked == (y == 1)).mean() > 0.95
     found = {k: [c.kind for c in pii_boost.find(model, k)] for k in ("call 415-555-0199 today", "order 123-456-7890 x", "mail me john [at] corp [dot] com", "he sat at home", "my ssn 123-45-6789")}
     assert list(found.values()) == [["local_phone"], [], ["hidden_email"], [], ["identity"]]
 
 
+def plain_found(model, text):
+    """Base spans and the trees' verdicts, candidate by candidate, tree by tree."""
+
+    def leaf(tree, x):
+        node = 0
+        while node < len(tree.feature):
+            node = 2 * node + (2 if x[tree.feature[node]] > tree.cut[node] else 1)
+        return tree.leaf[node - len(tree.feature)]
+
+    kept = [pii_boost.Candidate(s, e, k) for s, _, e, k in plain_private(text)]
+    scored = []
+    for c in pii_boost.loose_candidates(text or ""):
+        x = pii_boost.features(text, c)
+        z = model.bias + sum(leaf(t, x) for t in model.trees)
+        scored.append((-z, c, 1 / (1 + np.exp(-z)) >= model.thresholds[pii_boost.MORE_KINDS.index(c.kind)]))
+    for _, c, fine in sorted(scored):
+        if fine and not any(c.start < k.end and k.start < c.end for k in kept):
+            kept.append(c)
+    return sorted((c.start, pii_boost.KINDS.index(c.kind), c.end) for c in kept)
+
+
+PRIVATE = ["call 415-555-0199 or mail bob [at] corp [dot] com, ssn 123-45-6789", "iban DE89 3704 0044 0532 0130 00 and mac de:ad:be:ef:ca:fe born 03.04.1985", "x" * 90 + " [at] mail.example.com", "+1 (415) 555-0199 a@b.co 10.0.0.1 4111 1111 1111 1111"]
+
+
+def test_private_query_matches_plain_trees(spark):
+    from quillon.llm import queries as Q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = table(spark, [(i, t, "a") for i, t in enumerate(PRIVATE * 2)])
+    model = pii_boost.fit(docs)
+    assert model is pii_boost.fit(docs.repartition(5))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in Q.queries()["op10_pii_boost"](spark, SF).collect():
+        assert r["spans"] == ",".join(f"{pii_boost.KINDS[k]}:{s}:{e}" for s, k, e in plain_found(model, text[r["doc_id"]]))
+    for r in pii_boost.find_private(own, model=model).collect():
+        assert [(x["start"], x["rank"], x["end"]) for x in r["_spans"]] == plain_found(model, r["text"]) and r["_spans"]
+    # A name of any length is taken whole.
+    assert pii_boost.find(model, PRIVATE[2])[0].start == 0
+
+
+def test_private_spans_on_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    apart = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = pii_boost.fit(docs.filter(~apart))
+    held = [r["text"] for r in docs.filter(apart).collect()]
+    # The corpus's own addresses and numbers, rewritten; and its other numbers, alone or replaced by values that look personal.
+    around = [s for t in held for s in pii_boost.surroundings(t)]
+    x, y = pii_boost.corpus_examples(around, seed=99)
+    picked = model.picked(x)
+    mail = (x[:, 0] == pii_boost.MORE_KINDS.index("hidden_email")) & (y == 1)
+    assert mail.sum() > 20 and picked[mail].mean() > 0.95
+    assert y[picked].mean() > 0.95 and (y == 0).sum() >= 50
+    # Documents without a base span are left alone.
+    clean = [t for t in held if not pii_boost.base_spans(t)]
+    assert sum(bool(pii_boost.find(model, t)) for t in clean) <= 0.002 * len(clean)
+
+
 def test_redaction_merges_overlaps():
     c = pii_boost.Candidate
     assert pii_boost.redact("abcdefgh", [c(1, 4, "email"), c(3, 5, "ip"), c(6, 7, "card")]) == "a[EMAIL]f[CARD]h"
@@ -834,7 +891,7 @@ def test_pipeline_against_plain_versions(spark):
     groups = plain_components([(r["doc_id"], r["text"]) for r in steps[1].collect()])
     second = {r["doc_id"]: r["text"] for r in steps[2].collect()}
     assert set(second) == {i for i, _, c in groups if i == c}
-    model = pii_boost.train()
+    model = pii_boost.fit(steps[2])
     for r in steps[3].collect():
         assert r["text"] == pii_boost.redact(second[r["doc_id"]], pii_boost.find(model, second[r["doc_id"]])) and r["n_chars"] == len(r["text"])
     mixed = {(r["doc_id"], r["_copies"]) for r in fair_mix.fair_mix(steps[3]).collect() if r["_copies"]}
