@@ -436,7 +436,13 @@ def _bounded(whole: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
 
 
 def encode_pieces(docs: DataFrame, model: bytes, dropout: float = 0.1, seed: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with _ids. A null text has null ids, an empty one none. Rows with equal id and text agree."""
+    """``docs`` with _ids.
+
+    - A null text has null ids, an empty one none. A null id draws by the text; ids that are no numbers draw by their digest.
+    - Texts of any length are encoded whole; a stretch of many characters costs a little more than time in proportion.
+    - Ties between merges go to the leftmost. Rows with equal id and text agree.
+    - An empty table gives no rows. Other columns may have any names; _ids, in any case, is replaced.
+    """
     docs = replaced(docs, "_ids")
     place, key_at = docs.columns.index(text_column), docs.columns.index(id_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -454,7 +460,12 @@ def encode_pieces(docs: DataFrame, model: bytes, dropout: float = 0.1, seed: int
 
 
 def decode_pieces(encoded: DataFrame, model: bytes, ids_column: str = "_ids", to: str = "_decoded") -> DataFrame:
-    """``encoded`` with the texts of its ids; null ids give null."""
+    """``encoded`` with the texts of its ids.
+
+    - Null ids give null, no ids an empty text. Lists of any length are decoded whole, repeated rows alike.
+    - Ids that this model's encoder cannot give may decode to replacement characters.
+    - An empty table gives no rows. Other columns may have any names; one of the added name is replaced.
+    """
     encoded = replaced(encoded, to)
     place = encoded.columns.index(ids_column)
     shared = encoded.sparkSession.sparkContext.broadcast(model)

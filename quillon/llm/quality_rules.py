@@ -110,8 +110,12 @@ def posteriors(counts: DataFrame, n_rules: int) -> DataFrame:
 def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Id, the measures, base_failed, _good (posterior) and kept, one row per document.
 
-    Base: under 50 words, or more than half the words in repeated windows, fails. Null and empty texts have 0 words
-    and so fail. Rows are judged each for itself, so repeated rows agree; an empty table gives no rows.
+    Base: under 50 words, or more than half the words in repeated windows, fails.
+
+    - Null and empty texts have 0 words and so fail; null ids are ids.
+    - Texts of any length are measured whole.
+    - Rows are judged each for itself, so repeated rows agree; a posterior equal to the threshold is kept.
+    - An empty table gives no rows. Of other columns, those of ``carry`` are returned; the rest may have any names.
     """
     named = votes()
     vote = F.array(*[F.expr(f"CASE WHEN {yes} THEN 1 WHEN {no} THEN -1 ELSE 0 END") for yes, no in named.values()])

@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
 
-    A lost executor costs no recomputation of what is written. The files go when the driver's process ends.
+    A lost executor costs no recomputation of what is written. The files go with ``drop_written``, or when the driver's
+    process ends, as a result that reads them may be computed at any time until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,10 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Delete what ``written`` wrote; results that still read it can no longer be computed."""
-    while _written:
-        spark, path = _written.pop()
+def written_count() -> int:
+    """How many folders ``written`` has written and not yet deleted."""
+    return len(_written)
+
+
+def drop_written(first: int = 0, last: int | None = None) -> None:
+    """Delete what ``written`` wrote, from its ``first`` folder on, before its ``last``; results that read these can no longer be computed."""
+    gone = _written[first:last]
+    del _written[first:last]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,7 +80,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         yield from run(batches)
         give_back()
 
-    return df.mapInArrow(tidy, schema)
+    if not any("." in c or "`" in c for c in df.columns):
+        return df.mapInArrow(tidy, schema)
+    # Such names cannot be resolved there, so others stand in for them; operators go by place.
+    plain = {c: f"_plain{i}" for i, c in enumerate(df.columns)}
+    fields = schema.fields if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema).fields
+    out = df.toDF(*plain.values()).mapInArrow(tidy, T.StructType([T.StructField(plain.get(f.name, f.name), f.dataType) for f in fields]))
+    return out.toDF(*[f.name for f in fields])
 
 
 def give_back() -> None:

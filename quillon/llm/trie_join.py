@@ -25,16 +25,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import mapped, written
+from .shared import mapped, whole_row, written
 from .shingles import shingle_sets
 
 #: The threshold as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-#: Cells of the frequency count and of the sieve of ids, in blocks. Fixed, whatever the input.
-CELL_BITS, BLOCKS, SIEVE_BITS = 24, 64, 24
+#: Cells of the frequency count, in blocks. Fixed, whatever the input.
+CELL_BITS, BLOCKS = 22, 256
+#: Bits of a sieve of rows: about 16 for each row, within these bounds.
+LEAST_SIEVE, MOST_SIEVE = 24, 28
 #: A shingle posted by up to this many classes has its pairs counted.
 FEW = 24
 #: Postings of one bucket, and shingles of one block of a component, are about this many.
@@ -72,11 +75,11 @@ def class_key(d: bytes) -> int:
     return int.from_bytes(d[:8], "little", signed=True)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
     for whole in batches:
         for first in range(0, whole.num_rows, BATCH):
             batch = whole.slice(first, BATCH)
-            yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
 
 
 def _cells(x: np.ndarray) -> np.ndarray:
@@ -88,26 +91,26 @@ def _packed(x: np.ndarray) -> bytes:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """One scan of (_id, _text): a row for each document (_id, _n, _digest, _key), and rows of counts (_block, _counts)."""
+    """One scan of (_id, _mark, _text): a row for each document (_id, _mark, _n, _digest, _key), and rows of counts (_block, _counts)."""
     per_block = (1 << CELL_BITS) // BLOCKS
-    columns = ["_id", "_n", "_digest", "_key", "_block", "_counts"]
+    columns = ["_id", "_mark", "_n", "_digest", "_key", "_block", "_counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, dtype=np.uint16)
-        for ids, texts in _texts(batches):
+        for ids, marks, texts in _texts(batches):
             sets = shingle_sets(texts)
             seen, n = np.unique(_cells(np.concatenate(sets)), return_counts=True)
             counts[seen] = np.minimum(counts[seen].astype(np.int64) + n, 65535)
             digests = [digest(s) if len(s) else None for s in sets]
             none = pa.nulls(len(ids), pa.int32())
             keys = [None if d is None else class_key(d) for d in digests]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), none, pa.nulls(len(ids), pa.binary())], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), none, pa.nulls(len(ids), pa.binary())], names=columns)
         blocks = [(b, part) for b, part in enumerate(counts.reshape(BLOCKS, per_block)) if part.any()]
         k = len(blocks)
         if k:
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([_packed(c) for _, c in blocks], pa.binary())], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([_packed(c) for _, c in blocks], pa.binary())], names=columns)
 
-    return mapped(docs, run, "_id bigint, _n bigint, _digest binary, _key bigint, _block int, _counts binary")
+    return mapped(docs, run, "_id bigint, _mark bigint, _n bigint, _digest binary, _key bigint, _block int, _counts binary")
 
 
 def _levels(survey: DataFrame, total: int) -> np.ndarray:
@@ -128,15 +131,16 @@ def _levels(survey: DataFrame, total: int) -> np.ndarray:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([_packed(x) for _, x in out], pa.binary())], names=["_block", "_levels"])
 
-    # The result is one byte for each cell, whatever the input.
-    rows = survey.filter("_block is not null").select("_block", "_counts").repartition(BLOCKS, "_block").mapInArrow(run, "_block int, _levels binary").collect()
+    # The result is one byte for each cell, whatever the input; a task adds up the counts of its blocks as they come.
+    tasks = min(BLOCKS, max(64, int(survey.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = survey.filter("_block is not null").select("_block", "_counts").repartition(tasks, "_block").mapInArrow(run, "_block int, _levels binary").collect()
     levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
     for r in rows:
         levels[r["_block"] * per_block : (r["_block"] + 1) * per_block] = np.frombuffer(zlib.decompress(r["_levels"]), dtype=np.uint8)
     return levels
 
 
-def _postings(docs: DataFrame, levels: np.ndarray, copied: dict[bytes, int | None], buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, levels: np.ndarray, copied: dict[bytes, tuple[int | None, int]], buckets: int) -> DataFrame:
     """Rows (_bucket, _shingles, _classes, _sizes) of packed arrays: the first shingles of each class in the order."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, copied))
 
@@ -158,12 +162,12 @@ def _postings(docs: DataFrame, levels: np.ndarray, copied: dict[bytes, int | Non
             held, n_held = [], 0
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), *(pa.array([x[p].tobytes() for _, p in parts], pa.binary()) for x in (shingles, classes, sizes))], names=["_bucket", "_shingles", "_classes", "_sizes"])
 
-        for ids, texts in _texts(batches):
-            for i, s in zip(ids, shingle_sets(texts), strict=True):
+        for ids, marks, texts in _texts(batches):
+            for i, mark, s in zip(ids, marks, shingle_sets(texts), strict=True):
                 if not len(s):
                     continue
                 d = digest(s)
-                if d in here or (d in copied and copied[d] != i):
+                if d in here or (d in copied and copied[d] != (i, mark)):
                     continue
                 if len(here) < 100_000:
                     here.add(d)
@@ -365,9 +369,10 @@ def link_sets(sets: list[np.ndarray]) -> list[int]:
     return root
 
 
-def _sieve(ids: DataFrame) -> np.ndarray:
-    """A fixed number of bits, set where one of the ids falls. It thins out what is shuffled, and decides nothing."""
-    per_block = (1 << SIEVE_BITS) // BLOCKS
+def _sieve(rows: DataFrame) -> np.ndarray:
+    """Bits, bounded in number, set where one of the rows (_id, _mark) falls. It thins out what is shuffled, and decides nothing."""
+    bits = min(MOST_SIEVE, max(LEAST_SIEVE, int(16 * rows.count()).bit_length()))
+    per_block = (1 << bits) // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -377,46 +382,68 @@ def _sieve(ids: DataFrame) -> np.ndarray:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x).tobytes() for x in found.values()], pa.binary())], names=["_block", "_bits"])
 
-    cell = F.pmod(F.xxhash64("_rep"), F.lit(1 << SIEVE_BITS))
-    cells = ids.select((cell / per_block).cast("int").alias("_block"), (cell % per_block).cast("int").alias("_cell")).distinct()
-    sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
-    for r in cells.repartition(BLOCKS, "_block").mapInArrow(run, "_block int, _bits binary").collect():
+    cell = F.pmod(F.xxhash64("_id", "_mark"), F.lit(1 << bits))
+    cells = rows.select((cell / per_block).cast("int").alias("_block"), (cell % per_block).cast("int").alias("_cell")).distinct()
+    sieve = np.zeros(1 << bits, dtype=bool)
+    tasks = min(BLOCKS, max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    for r in cells.repartition(tasks, "_block").mapInArrow(run, "_block int, _bits binary").collect():
         sieve[r["_block"] * per_block : (r["_block"] + 1) * per_block] = np.unpackbits(np.frombuffer(r["_bits"], dtype=np.uint8)).astype(bool)
     return np.packbits(sieve)
 
 
+def _caught(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the rows with these hashes may be among those of the sieve."""
+    at = hashes & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
 def _sifted(slim: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """The rows of (_id, _text) whose id may be one of the sieve's."""
+    """The rows of (_id, _mark, _text) that may be among those of the sieve."""
     shared = slim.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            cell = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            kept = batch.filter(pa.array((bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)))
-            yield kept.select(["_id", "_text"])
+            kept = batch.filter(pa.array(_caught(bits, batch.column(3).to_numpy(zero_copy_only=False))))
+            yield kept.select(["_id", "_mark", "_text"])
+
+    return mapped(slim.select("_id", "_mark", "_text", F.xxhash64("_id", "_mark")), run, "_id bigint, _mark bigint, _text string")
 
-    cell = F.pmod(F.xxhash64("_id"), F.lit(1 << SIEVE_BITS)).alias("_cell")
-    return mapped(slim.select("_id", "_text", cell), run, "_id bigint, _text string")
 
+def mark_of(text: Column) -> Column:
+    """A number that tells apart the texts of rows with one id."""
+    return F.xxhash64(text)
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is among ``ids`` (_rep). Only rows that the sieve catches are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(_sieve(ids))
-    cell = F.pmod(F.xxhash64(docs[id_column].cast("long")), F.lit(1 << SIEVE_BITS)).alias("_sieve_cell")
 
-    def part(caught: bool) -> DataFrame:
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked documents: that of least id (null last), then least mark of its text.
+
+    Of rows with equal id and text, linked or not, one stays: the least by all columns. Documents without words link
+    with nothing and so stay. An empty table gives no rows; texts of any length are compared whole; other columns may
+    have any names. Only rows that a sieve of dropped and repeated ones catches are shuffled.
+    """
+    found = written(near_duplicates(docs, id_column, text_column), "groups")
+    same = F.col("_id").eqNullSafe(F.col("_component")) & (F.col("_mark") == F.col("_lead"))
+    each = found.groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("_times"), F.max(~same).alias("_drop"))
+    special = written(each.filter("_drop or _times > 1").select("_id", "_mark", "_drop"), "special")
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(special))
+    mark = mark_of(docs[text_column])
+    hashed = docs.select(whole_row(docs), F.xxhash64(docs[id_column].cast("long"), mark).alias("_hash"))
+
+    def part(which: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = shared.value
             for batch in batches:
-                at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-                hit = (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
-                yield batch.filter(pa.array(hit == caught)).select(list(range(batch.num_columns - 1)))
+                hit = _caught(bits, batch.column(1).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(hit == which)).select([0])
 
-        return mapped(docs.select("*", cell), run, docs.schema)
+        return mapped(hashed, run, hashed.select("_row").schema).select("_row.*")
 
     caught = part(True)
-    return part(False).unionByName(caught.join(ids, caught[id_column] == ids["_rep"], "left_anti"))
+    caught = caught.select(whole_row(caught), caught[id_column].cast("long").alias("_id"), mark_of(caught[text_column]).alias("_mark"))
+    dropped = special.filter("_drop").select("_id", "_mark")
+    kept = caught.join(dropped, caught["_id"].eqNullSafe(dropped["_id"]) & (caught["_mark"] == dropped["_mark"]), "left_anti")
+    return part(False).unionByName(kept.groupBy("_id", "_mark").agg(F.min("_row").alias("_row")).select("_row.*"))
 
 
 def _joined(tasks: DataFrame) -> DataFrame:
@@ -439,22 +466,29 @@ def _joined(tasks: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: _id, _n (size of its set) and _component (least id that links reach, its own included).
+    """One row for each document: _id, _mark (of its text), _n (size of its set), _component (least id that links reach, its own included) and _lead (the mark of the row with that id).
 
-    Documents without words have an empty set, link with nothing, and have their own id. Repeated rows and copies are
-    one class. Null ids join no minimum unless all ids are null. An empty table gives no rows.
+    - Ids are whole numbers. Null ids join no minimum unless all ids of a component are null.
+    - Null and empty texts, and those without words, have an empty set, link with nothing, and have their own id.
+    - Texts of any length are compared whole. Repeated rows and copies are one class.
+    - Ids that repeat with different texts are different documents; a component may be named by an id that another is.
+    - An empty table gives no rows. Other columns are not looked at and may have any names.
     """
     spark = docs.sparkSession
-    slim = docs.select(docs[id_column].cast("long").alias("_id"), docs[text_column].alias("_text"))
+    if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        raise TypeError(f"{id_column} must hold whole numbers")
+    text = docs[text_column].cast("string")
+    slim = docs.select(docs[id_column].cast("long").alias("_id"), mark_of(text).alias("_mark"), text.alias("_text"))
     survey = written(_survey(slim), "survey")
-    rows = survey.filter("_block is null").select("_id", "_n", "_digest", "_key")
-    empty = rows.filter("_digest is null").select("_id", "_n", F.col("_id").alias("_component"))
+    rows = survey.filter("_block is null").select("_id", "_mark", "_n", "_digest", "_key")
+    empty = rows.filter("_digest is null").select("_id", "_mark", "_n", F.col("_id").alias("_component"), F.col("_mark").alias("_lead"))
     rows = rows.filter("_digest is not null")
-    classes = written(rows.groupBy("_digest").agg(F.min("_id").alias("_rep"), F.first("_key").alias("_key"), F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_copies")), "classes")
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark")))
+    classes = written(rows.groupBy("_digest").agg(least.alias("_rep"), F.first("_key").alias("_key"), F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_copies")), "classes")
 
     total = rows.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).first()["t"]
     levels = _levels(survey, total)
-    copied = {bytes(r["_digest"]): r["_rep"] for r in classes.filter("_copies > 1").orderBy(F.desc("_copies"), "_digest").limit(MOST_COPIED).collect()}
+    copied = {bytes(r["_digest"]): (r["_rep"]["id"], r["_rep"]["mark"]) for r in classes.filter("_copies > 1").orderBy(F.desc("_copies"), "_digest").limit(MOST_COPIED).collect()}
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (DEN * BUCKET_POSTINGS) + 1)
     counts = _shared_counts(_postings(slim, levels, copied, buckets), buckets)
     pairs = counts.groupBy("_a", "_b").agg(F.max("_na").alias("_na"), F.max("_nb").alias("_nb"), F.sum("_shared").alias("_shared"))
@@ -471,8 +505,10 @@ def _finish(rows: DataFrame, empty: DataFrame, classes: DataFrame, member: DataF
     placed = involved.join(blocks, "_root").withColumn("_x", F.pmod("_key", F.col("_more") + 1).cast("int"))
     placed = placed.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("_more"))))
     placed = placed.select("_root", "_key", "_rep", F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"))
-    some = _sifted(slim, _sieve(involved.select("_rep")))
-    tasks = some.join(placed, some["_id"].eqNullSafe(placed["_rep"])).select("_root", "_i", "_j", "_key", "_text")
+    reps = involved.select(F.col("_rep.id").alias("_id"), F.col("_rep.mark").alias("_mark"))
+    some = _sifted(slim, _sieve(reps))
+    # Copies of the row that stands for a class are one text.
+    tasks = some.join(placed, some["_id"].eqNullSafe(placed["_rep.id"]) & (some["_mark"] == placed["_rep.mark"])).select("_root", "_i", "_j", "_key", "_text")
     links = written(_joined(tasks), "links")
     split = blocks.filter("_more > 0").limit(1).count()
     if split:
@@ -482,13 +518,14 @@ def _finish(rows: DataFrame, empty: DataFrame, classes: DataFrame, member: DataF
     else:
         stars = links.unionByName(links.select(F.col("_first").alias("_digest"), "_first").distinct())
     starred = stars.join(classes.select("_digest", "_rep"), "_digest")
-    least = starred.groupBy("_first").agg(F.min("_rep").alias("_component"))
-    linked = starred.join(least, "_first").select("_digest", "_component")
-    named = classes.select("_digest", "_rep", "_copies").join(linked, "_digest", "left").select("_digest", "_copies", F.coalesce("_component", "_rep").alias("_component"))
-    named = written(named, "named")
+    least = starred.groupBy("_first").agg(F.min("_rep").alias("_least"))
+    linked = starred.join(least, "_first").select("_digest", "_least")
+    named = classes.select("_digest", "_rep", "_copies").join(linked, "_digest", "left").select("_digest", "_copies", F.coalesce("_least", "_rep").alias("_least"))
+    named = written(named.select("_digest", "_copies", F.col("_least.id").alias("_component"), F.col("_least.mark").alias("_lead")), "named")
     # The classes with the most copies, a bounded number, reach their documents by broadcast; the rest are not skewed.
-    most = F.broadcast(named.orderBy(F.desc("_copies"), "_digest").limit(MOST_COPIED).select("_digest", F.col("_component").alias("_soon")))
+    most = F.broadcast(named.orderBy(F.desc("_copies"), "_digest").limit(MOST_COPIED).select("_digest", F.struct("_component", "_lead").alias("_soon")))
     marked = rows.join(most, "_digest", "left")
-    soon = marked.filter("_soon is not null").select("_id", "_n", F.col("_soon").alias("_component"))
-    late = marked.filter("_soon is null").join(named, "_digest").select("_id", "_n", "_component")
+    columns = ["_id", "_mark", "_n", "_component", "_lead"]
+    soon = marked.filter("_soon is not null").select("_id", "_mark", "_n", "_soon.*")
+    late = marked.filter("_soon is null").join(named, "_digest").select(*columns)
     return soon.unionByName(late).unionByName(empty)

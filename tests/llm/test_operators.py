@@ -800,6 +800,36 @@ def test_redaction_merges_overlaps():
     assert pii_boost.redact("abcdefgh", [c(1, 4, "email"), c(3, 5, "ip"), c(6, 7, "card")]) == "a[EMAIL]f[CARD]h"
 
 
+def clash(docs):
+    """With columns of names that operators use."""
+    names = ["_id", "_mark", "_text", "_row", "_hash", "_n", "_size", "_copies", "_source", "_toxicity", "_spans", "_redacted", "_ids", "_key", "_e", "_component", "a.b"]
+    return docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+
+
+def test_stages_on_odd_empty_and_clashing_tables(spark, odd, empty):
+    import corpus_pipeline as pipeline
+
+    want = {
+        "toxicity": len(ODD), "n-gram Jaccard join": len(ODD) - 2, "PII": len(ODD), "mixing sources to target weights": None, "SentencePiece encoding and decoding": len(ODD),
+    }
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+        rows = stage(spark, odd, SF)
+        if name.startswith("SentencePiece"):
+            assert [r["pieces"] for r in rows.filter("doc_id in (1, 2)").orderBy("doc_id").collect()] == [None, []]
+        else:
+            assert rows.columns == odd.columns
+            wide = stage(spark, clash(odd), SF)
+            assert wide.columns == clash(odd).columns
+            pick = ["doc_id", "text", "source"]
+            assert sorted(map(repr, wide.select(*pick).collect())) == sorted(map(repr, rows.select(*pick).collect()))
+            assert all(r["a.b"] == 16 and r["_id"] == 0 for r in wide.collect())
+        if want[name] is not None:
+            assert rows.count() == want[name], name
+        else:
+            assert all(len(WORD.findall(r["text"])) for r in rows.collect())
+
+
 @pytest.mark.parametrize("text", ["1" * 60_000, "a." * 40_000 + "@" + "b." * 2000, "+1" + "(" * 40_000, "a at " * 5000])
 def test_long_texts_take_no_square_time(text):
     import time
@@ -920,6 +950,8 @@ def test_pipeline_drops_rows_and_not_ids(spark):
 
     words = [f"word{k}" for k in range(60)]
     near, clean, other = " ".join(words), " ".join(f"clean{k}" for k in range(40)), " ".join(f"other{k}" for k in range(40))
+    few = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_copies(spark, table(spark, [(1, near, "a"), (4, near, "a"), (4, clean, "a")]), SF).collect()]
+    assert sorted(few) == [(1, near), (4, clean)]
     # 5 occurs with a near copy of 1 and a clean text; of the null ids' near copies one stays; 7 leads one group and copies another.
     rows = [(1, near), (5, near + " more"), (5, clean), (5, clean), (None, other), (None, other + " more"), (7, " ".join(words[::-1])), (7, near + " again"), (9, " ".join(words[::-1]) + " end")]
     docs = table(spark, [(i, t, "a") for i, t in rows]).repartition(3)
