@@ -35,7 +35,7 @@ from .shingles import shingle_sets
 #: The threshold as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 #: Cells of the frequency count, in blocks. Fixed, whatever the input.
-CELL_BITS, BLOCKS = 22, 256
+CELL_BITS, BLOCKS = 24, 256
 #: Bits of a sieve of rows: about 16 for each row, within these bounds.
 LEAST_SIEVE, MOST_SIEVE = 24, 28
 #: A shingle posted by up to this many classes has its pairs counted.
