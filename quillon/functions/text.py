@@ -6,7 +6,7 @@ import unicodedata
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,12 +49,25 @@ def for_search(c: Column, compose: bool = False) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(for_search(c), F.lit(TOKEN), F.lit(0))
+    """Tokens of the folded text; none holds white space, so that need not be squeezed first."""
+    return F.regexp_extract_all(turkish_lower(c), F.lit(TOKEN), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are evaluated once, however often they are used: the optimizer merges no generator."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
 
 
 def search_tokens(c: Column) -> Column:
     """Tokens of two characters or more that are not stop words."""
-    return F.filter(tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
+    return searched(tokens(c))
+
+
+def searched(found: Column) -> Column:
+    """Of tokens those that searches look for."""
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
 
 
 def numbered_tokens(c: Column) -> Column:

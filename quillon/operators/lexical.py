@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import once
+
 K1, OFFLINE_K1, B = 1.5, 1.2, 0.75
 
 
-def postings(docs: DataFrame, tokens: Column, id_column: str = "doc_id") -> DataFrame:
-    """(doc, term, tf); one shuffle on (doc, term) with partial counts first."""
-    return docs.select(docs[id_column].alias("doc"), F.explode(tokens).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: The term of the row that every document has beside its postings: its count is 1, whatever the document holds.
+DOCUMENT = ""
+
+
+def postings(docs: DataFrame, tokens: Column, id_column: str = "doc_id", wanted: DataFrame | None = None) -> DataFrame:
+    """(doc, length, term, tf) and a row of the term DOCUMENT for each document; of ``wanted`` terms (term) only, if given.
+
+    One scan, one evaluation of the tokens and one shuffle, with partial counts first. Statistics of terms and of the
+    corpus are aggregates of the same shuffle, so Spark reuses it for them.
+    """
+    slim = once(docs.select(docs[id_column].alias("doc"), *_inputs(docs, tokens)), _t=tokens)
+    terms = F.explode(F.transform(F.concat(F.array(F.lit(DOCUMENT)), F.coalesce("_t", F.array().cast("array<string>"))), lambda t: F.coalesce(t, F.lit(DOCUMENT))))
+    exploded = slim.select("doc", F.greatest(F.size("_t"), F.lit(0)).alias("length"), terms.alias("term"))
+    if wanted is not None:
+        asked = wanted.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term"))).distinct()
+        exploded = exploded.join(asked, "term", "left_semi")
+    return exploded.groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_lengths(docs: DataFrame, tokens: Column, id_column: str = "doc_id") -> DataFrame:
-    return docs.select(docs[id_column].alias("doc"), F.size(tokens).alias("length"))
+def _inputs(docs: DataFrame, tokens: Column) -> list[Column]:
+    return [docs[f"`{c}`"] for c in docs.columns if c not in ("doc", "_t")]
 
 
 def term_stats(post: DataFrame) -> DataFrame:
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return post.groupBy("term").agg(F.count("tf").alias("df"))
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
+def corpus_stats(post: DataFrame) -> DataFrame:
     """One row: number of documents and average length."""
-    return lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    whole = F.col("term") == DOCUMENT
+    return post.agg(F.sum(F.when(whole, F.col("tf")).otherwise(0)).alias("n_docs"), F.avg(F.when(whole, F.col("length"))).alias("avg_length"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -40,12 +57,8 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, tokens: Column, k: int = 10,
     Postings of terms that no query asks for go before anything is shuffled: the query terms, a vocabulary as small as
     the queries, filter the exploded tokens. Scores are rounded before ranking, ties go to the least document.
     """
-    lengths = document_lengths(docs, tokens, id_column)
-    stats = corpus_stats(lengths)
-    wanted = queries.select("term").distinct()
-    exploded = docs.select(docs[id_column].alias("doc"), F.size(tokens).alias("length"), F.explode(tokens).alias("term"))
-    post = exploded.join(wanted, "term", "left_semi").groupBy("doc", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    post = postings(docs, tokens, id_column, queries)
+    stats, df = corpus_stats(post), term_stats(post)
     scored = queries.join(post, "term").join(df, "term").join(F.broadcast(stats))
     part = idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1)
     hits = scored.withColumn("_w", part).groupBy("query", "doc").agg(F.round(F.sum("_w"), 6).alias("score"), F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("matched_terms"))
@@ -55,14 +68,14 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, tokens: Column, k: int = 10,
 
 def sparse_weights(docs: DataFrame, tokens: Column, id_column: str = "doc_id", k1: float = OFFLINE_K1) -> DataFrame:
     """Document side weights of the offline index: doc, term, weight rounded to 6."""
-    post, lengths = postings(docs, tokens, id_column), document_lengths(docs, tokens, id_column)
-    joined = post.join(term_stats(post), "term").join(lengths, "doc").join(F.broadcast(corpus_stats(lengths)))
+    post = postings(docs, tokens, id_column)
+    joined = post.join(term_stats(post), "term").join(F.broadcast(corpus_stats(post))).filter(F.col("term") != DOCUMENT)
     return joined.select("doc", "term", F.round(idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1), 6).alias("weight"))
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
     """Terms numbered from 0 in order: numbers within range partitions, and the partitions' sizes before them."""
-    terms = post.select("term").distinct().repartitionByRange("term").withColumn("_part", F.spark_partition_id())
+    terms = post.select("term").distinct().filter(F.col("term") != DOCUMENT).repartitionByRange("term").withColumn("_part", F.spark_partition_id())
     sizes = terms.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("term")) - 1

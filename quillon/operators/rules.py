@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import CLOSINGS, closing_fits, for_search, squeeze, tokens, valid_official_date, valid_official_number
+from quillon.functions.text import CLOSINGS, closing_fits, for_search, once, squeeze, tokens, valid_official_date, valid_official_number
 
 #: Rule tables up to this many rows are broadcast.
 BROADCAST_RULES = 10_000
+#: Up to this many patterns become literals of the plan.
+LITERAL_RULES = 256
 
 
 def small(rules: DataFrame) -> DataFrame:
@@ -33,11 +35,20 @@ def keyword_weight(keyword: Column, own: Column) -> Column:
 def classify(docs: DataFrame, keywords: DataFrame, id_column: str = "doc_id", text_column: str = "text", default: str = "general") -> DataFrame:
     """``keywords`` (label, keyword, weight or null) over documents: label, score, confidence, matched keywords.
 
-    Rules are few and are tested where the documents are; only hits are shuffled.
+    Rules are tested where the documents are; only hits are shuffled. Few rules are literals of the plan, each pattern
+    compiled once. Many are found by their first token, or its first five characters, and only those found are tried.
     """
-    rules = keywords.withColumn("_kt", tokens(F.col("keyword"))).filter(F.size("_kt") > 0).select("label", "keyword", phrase_pattern(F.col("_kt")).alias("_p"), keyword_weight(F.col("keyword"), F.col("weight")).alias("_w"))
-    slim = docs.select(docs[id_column].alias("doc"), token_line(tokens(docs[text_column])).alias("_tl"))
-    hits = slim.join(small(rules), F.expr("_tl rlike _p"))
+    rules = keywords.withColumn("_kt", tokens(F.col("keyword"))).filter(F.size("_kt") > 0).select("label", "keyword", phrase_pattern(F.col("_kt")).alias("_p"), keyword_weight(F.col("keyword"), F.col("weight")).alias("_w"), F.left(F.get("_kt", F.lit(0)), F.lit(5)).alias("_first"))
+    slim = once(docs.select(docs[id_column].alias("doc"), docs[text_column].alias("_text")), _tl=token_line(tokens(F.col("_text")))).select("doc", "_tl")
+    few = rules.limit(LITERAL_RULES + 1).collect()
+    if len(few) <= LITERAL_RULES:
+        tried = [F.when(F.col("_tl").rlike(r["_p"]), F.struct(F.lit(r["label"]).alias("label"), F.lit(r["keyword"]).alias("keyword"), F.lit(r["_w"]).alias("_w"))) for r in few]
+        met = F.array_compact(F.array(*tried)) if tried else F.array().cast("array<struct<label:string,keyword:string,_w:double>>")
+        hits = slim.select("doc", F.inline(met))
+    else:
+        firsts = F.array_distinct(F.transform(F.split(F.trim("_tl"), " "), lambda t: F.left(t, F.lit(5))))
+        found = slim.select("doc", F.explode(firsts).alias("_first")).join(small(rules), "_first").groupBy("doc").agg(F.collect_list(F.struct("label", "keyword", "_p", "_w")).alias("_r"))
+        hits = slim.join(found, "doc").select("doc", "_tl", F.explode("_r").alias("r")).filter(F.expr("_tl rlike r._p")).select("doc", "r.label", "r.keyword", "r._w")
     scored = hits.groupBy("doc", "label").agg(F.sum("_w").alias("score"), F.sort_array(F.collect_set("keyword")).alias("matched"))
     best = Window.partitionBy("doc").orderBy(F.desc("score"), "label")
     ranked = scored.withColumn("_r", F.row_number().over(best)).withColumn("_second", F.lead("score").over(best)).filter("_r = 1")

@@ -49,7 +49,7 @@ bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s
 
 @R.add(f"WITH {_POST} SELECT term, df FROM stat")
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.term_stats(lexical.postings(_docs(spark, d), X.search_tokens(F.col("text"))))
+    return lexical.term_stats(lexical.postings(_docs(spark, d), X.search_tokens(F.col("text")))).filter(F.col("term") != lexical.DOCUMENT)
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:

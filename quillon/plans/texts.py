@@ -22,8 +22,9 @@ def text_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS n_tokens, CAST(len({search_tokens_sql('text')}) AS BIGINT) AS n_search, CAST(len(list_distinct({search_tokens_sql('text')})) AS BIGINT) AS n_distinct, CAST(len(regexp_extract_all(text, '[0-9]+[A-Za-zÇĞİÖŞÜçğıöşü]*|[A-Za-zÇĞİÖŞÜçğıöşü]+')) AS BIGINT) AS n_numbered FROM documents")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "text").withColumn("_s", X.search_tokens(F.col("text")))
-    return docs.select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size("_s").cast("long").alias("n_search"), F.size(F.array_distinct("_s")).cast("long").alias("n_distinct"), F.size(X.numbered_tokens(F.col("text"))).cast("long").alias("n_numbered"))
+    docs = X.once(table(spark, d, "documents", "doc_id", "text"), _t=X.tokens(F.col("text")))
+    docs = X.once(docs, _s=X.searched(F.col("_t")))
+    return docs.select("doc_id", F.size("_t").cast("long").alias("n_tokens"), F.size("_s").cast("long").alias("n_search"), F.size(F.array_distinct("_s")).cast("long").alias("n_distinct"), F.size(X.numbered_tokens(F.col("text"))).cast("long").alias("n_numbered"))
 
 
 @R.add(f"SELECT doc_id, sha256(lower({squeeze_sql('text')})) AS fingerprint FROM documents")
