@@ -20,11 +20,11 @@ LATEX = {"\\": r"\textbackslash{}", "{": r"\{", "}": r"\}", "$": r"\$", "&": r"\
 UNFILLED = "[DOLDURULACAK]"
 MONTHS = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"]
 CLOSINGS = {
-    "subordinate_internal": ["rica ederim.", "gereğini rica ederim."],
-    "superior": ["arz ederim.", "bilgilerinize arz ederim."],
-    "same_level": ["arz ederim.", "bilgilerinize arz ederim."],
-    "mixed": ["arz ve rica ederim.", "arz/rica ederim."],
-    "citizen_or_external": ["saygılarımla.", "iyi dileklerimle.", "bilgilerinize sunulur."],
+    "subordinate_internal": ["Rica ederim.", "Gereğini rica ederim."],
+    "superior": ["Arz ederim.", "Bilgilerinize arz ederim."],
+    "same_level": ["Arz ederim.", "Bilgilerinize arz ederim."],
+    "mixed": ["Arz ve rica ederim.", "Arz/rica ederim."],
+    "citizen_or_external": ["Saygılarımla.", "İyi dileklerimle.", "Bilgilerinize sunulur."],
 }
 
 
@@ -138,13 +138,18 @@ def point_id(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+# The shapes of an official date and number.
+OFFICIAL_DATES = [r"^(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.\d{4}$", rf"(?iu)^(?:0?[1-9]|[12]\d|3[01])\s+(?:{'|'.join(MONTHS)})\s+\d{{4}}$"]
+OFFICIAL_NUMBER = r"(?i)^(?:E|Z|O)-\d{8}-\d+(?:\.\d+)*-[A-Za-z0-9]+$"
+OPEN_NUMBER = r"^E-\d{8}-XXX-XXX$"
+
+
 def valid_official_date(c: Column) -> Column:
-    s = F.trim(c)
-    return s.rlike(r"^(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.\d{4}$") | s.rlike(rf"(?iu)^(?:0?[1-9]|[12]\d|3[01])\s+(?:{'|'.join(MONTHS)})\s+\d{{4}}$")
+    return F.trim(c).rlike(OFFICIAL_DATES[0]) | F.trim(c).rlike(OFFICIAL_DATES[1])
 
 
 def valid_official_number(c: Column) -> Column:
-    return F.trim(c).rlike(r"(?i)^(?:E|Z|O)-\d{8}-\d+(?:\.\d+)*-[A-Za-z0-9]+$")
+    return F.trim(c).rlike(OFFICIAL_NUMBER)
 
 
 def repaired_date(c: Column) -> Column:
@@ -250,7 +255,7 @@ def normalized_document(c: Column, compose: bool = False) -> Column:
 def closing_fits(closing: Column, relation: Column) -> Column:
     """Whether a letter's closing belongs to the relation of sender and receiver."""
     said = F.lower(squeeze(closing))
-    return F.coalesce(F.array_contains(F.element_at(F.create_map(*[x for k, v in CLOSINGS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))]), relation), said), F.lit(False))
+    return F.coalesce(F.array_contains(F.element_at(F.create_map(*[x for k, v in CLOSINGS.items() for x in (F.lit(k), F.array(*[F.lower(F.lit(y)) for y in v]))]), relation), said), F.lit(False))
 
 
 def compact_label(c: Column) -> Column:
@@ -272,7 +277,7 @@ def label_forms(c: Column) -> Column:
 
 def is_number_placeholder(c: Column) -> Column:
     """An official number that says openly that it is still to be given."""
-    return F.upper(F.trim(c)).rlike(r"^E-\d{8}-XXX-XXX$")
+    return F.upper(F.trim(c)).rlike(OPEN_NUMBER)
 
 
 def query_variants(c: Column, rules: list[tuple[list[str], str]], most: int = 300) -> Column:

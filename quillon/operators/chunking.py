@@ -175,24 +175,29 @@ def structured_or_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return found.unionByName(fallback)
 
 
-_LAW = r"(\d{3,5}) sayılı"
-_SAME = r"(?iu)(?:bu kanunun|bu yönetmeliğin|aynı kanunun|aynı yönetmeliğin)\s+(\d+)\s*(?:inci|nci|uncu|üncü|ıncı|ncu|ncü|ncı)?\s+maddesi"
+# How an article is cited, of a law by number and name, or of the same document.
+_NTH = "(?:inci|ıncı|uncu|üncü)?"
+EXPLICIT_CITATION = rf"(?iu)(\d{{3,6}})\s+sayılı\s+([A-ZÇĞİÖŞÜa-zçğıöşü0-9 .,'’\-]{{2,100}}?)\s+(?:Kanun|Yönetmelik|Tüzük)[A-ZÇĞİÖŞÜa-zçğıöşü'’]*\s+(\d+[A-ZÇĞİÖŞÜ]?)\s*{_NTH}\s+maddesi"
+SAME_CITATION = rf"(?iu)(?<!sayılı\s)(\d+[A-ZÇĞİÖŞÜ]?)\s*{_NTH}\s+madde(?:si|sinin|ye|ye göre|de)?"
 #: Confidence of an explicit citation and of one inside the same document.
 EXPLICIT, WITHIN = 0.82, 0.68
 
 
 def citation_edges(leaves: DataFrame) -> DataFrame:
-    """From (leaf, text): citations of laws by number, and of articles of the same document.
+    """From (leaf, text): edge_id, leaf, raw, law, law_name, article, confidence; law is null inside the same document.
 
-    What an explicit citation covers is taken out before the second search, so no stretch is cited twice.
+    What an explicit citation covers is taken out before the second search, so no stretch is cited twice. A leaf that
+    says the same twice has one edge.
     """
-    explicit = rf"(?iu){_LAW}[^.;]{{0,80}}?(?:(\d+)\s*(?:inci|nci|uncu|üncü|ıncı|ncu|ncü|ncı)?\s+maddesi)?"
-    laws = leaves.select("leaf", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(explicit), F.lit(1)).alias("law"), F.regexp_extract_all("text", F.lit(explicit), F.lit(2)).alias("article"))).alias("m"))
-    first = laws.select("leaf", F.lit("cites").alias("relation"), F.col("m.law").alias("law"), F.nullif("m.article", F.lit("")).alias("article"), F.lit(EXPLICIT).alias("confidence"))
-    inside = leaves.select("leaf", F.explode(F.regexp_extract_all(F.regexp_replace("text", rf"(?iu){_LAW}[^.;]{{0,80}}?maddesi", " "), F.lit(_SAME), F.lit(1))).alias("article"))
-    second = inside.select("leaf", F.lit("cites_within").alias("relation"), F.lit(None).cast("string").alias("law"), "article", F.lit(WITHIN).alias("confidence"))
-    key = F.concat_ws("|", F.col("leaf").cast("string"), "relation", F.coalesce("law", F.lit("")), F.coalesce("article", F.lit("")))
-    return first.unionByName(second).distinct().withColumn("edge_id", F.substring(F.sha2(key, 256), 1, 20))
+    groups = lambda c, p, names: F.arrays_zip(*[F.regexp_extract_all(c, F.lit(p), F.lit(i)).alias(n) for i, n in enumerate(names)])
+    first = leaves.select("leaf", F.inline(groups(F.col("text"), EXPLICIT_CITATION, ("raw", "law", "law_name", "article")))).withColumn("law_name", squeeze(F.col("law_name"))).withColumn("confidence", F.lit(EXPLICIT)).withColumn("_scope", F.lit(None).cast("string"))
+    rest = F.regexp_replace("text", EXPLICIT_CITATION, "\u0001")
+    none = F.lit(None).cast("string")
+    second = leaves.select("leaf", F.inline(groups(rest, SAME_CITATION, ("raw", "article")))).select("leaf", "raw", none.alias("law"), none.alias("law_name"), "article", F.lit(WITHIN).alias("confidence"), F.lit("same-document").alias("_scope"))
+    edges = first.unionByName(second)
+    key = F.concat_ws("|", F.col("leaf").cast("string"), "raw", "_scope")
+    named = edges.select(F.concat(F.lit("edge-"), F.substring(F.sha2(key, 256), 1, 20)).alias("edge_id"), *[c for c in edges.columns if c != "_scope"])
+    return named.dropDuplicates(["edge_id"])
 
 
 def page_chunks(pages: DataFrame, limit: int = 1800) -> DataFrame:

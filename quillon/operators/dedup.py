@@ -28,11 +28,17 @@ def chunk_fingerprints(chunks: DataFrame, key: str, fields: list[str]) -> DataFr
     return chunks.select(F.col(key), F.sha2(canonical_json({c: F.col(c) for c in fields}), 256).alias("digest"))
 
 
-def corpus_fingerprint(digests: DataFrame, key: str, parts: int = 4096) -> DataFrame:
-    """One digest of all rows, in any order: digests of hash groups first, then of these, so no task holds them all."""
-    group = F.pmod(F.xxhash64(key), F.lit(parts)).alias("_g")
-    groups = digests.select(group, F.struct(F.col(key).alias("k"), "digest").alias("_s")).groupBy("_g").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("_s")), lambda s: F.concat_ws(":", s["k"].cast("string"), s["digest"])), ","), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_g", "_d"))), lambda s: s["_d"]), ","), 256).alias("fingerprint"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+def corpus_fingerprint(digests: DataFrame, key: str) -> DataFrame:
+    """One digest of all rows, in any order: a tree over the key's SHA-256, so that no task holds them all.
+
+    Leaves are groups of rows with equal first six hex digits, 16 million of them; three digits and none follow above.
+    """
+    spot = F.sha2(F.col(key).cast("string"), 256)
+    joined = lambda value: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("_s")), value), ","), 256).alias("_d")
+    level = digests.select(F.substring(spot, 1, 6).alias("_g"), F.struct(F.col(key).alias("k"), "digest").alias("_s"))
+    level = level.groupBy("_g").agg(joined(lambda s: F.concat_ws(":", s["k"].cast("string"), s["digest"])), F.count(F.lit(1)).alias("_n"))
+    level = level.select(F.substring("_g", 1, 3).alias("_up"), F.struct("_g", "_d").alias("_s"), "_n").groupBy("_up").agg(joined(lambda s: s["_d"]), F.sum("_n").alias("_n"))
+    return level.select(F.struct(F.col("_up").alias("_g"), "_d").alias("_s"), "_n").agg(joined(lambda s: s["_d"]).alias("fingerprint"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
 def data_class(rows: DataFrame, digest: str, fixtures: DataFrame) -> DataFrame:

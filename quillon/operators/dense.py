@@ -54,21 +54,31 @@ def in_blocks(rows: DataFrame, most: int, key: Column) -> list[DataFrame]:
 
 
 def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: Column | None) -> DataFrame:
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    return _scored(queries, vectors, keep).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def cosine_scores(queries: DataFrame, vectors: DataFrame, keep: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The score of every query and vector, unranked, with columns ``carry`` of the vectors: for aggregates, which keep little of it."""
+    blocks = in_blocks(queries, BROADCAST_QUERIES, F.xxhash64(F.lit(5), "query"))
+    return reduce(DataFrame.unionByName, [_scored(b, vectors, keep, carry) for b in blocks])
+
+
+def _scored(queries: DataFrame, vectors: DataFrame, keep: Column | None, carry: tuple[str, ...] = ()) -> DataFrame:
     qs = queries.withColumn("qn", norm(F.col("qv")))
     vs = vectors.withColumn("vn", norm(F.col("v"))).filter("vn > 0")
     pairs = vs.join(F.broadcast(qs))
     if keep is not None:
         pairs = pairs.filter(keep)
-    scored = pairs.select("query", "item", F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn")), 6).alias("score"))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return pairs.select("query", "item", F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn")), 6).alias("score"), *carry)
 
 
 def best_per_chunk(hits: DataFrame, k: int) -> DataFrame:
     """Of (query, chunk, item, score): the best item of each chunk, then the k best chunks; exact, without over-fetching."""
-    first = Window.partitionBy("query", "chunk").orderBy(F.desc("score"), "item")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "chunk")
-    one = hits.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    # Each partition keeps one item of a chunk before anything is shuffled.
+    one = hits.groupBy("query", "chunk").agg(F.min(F.struct((-F.col("score")).alias("s"), "item")).alias("_b"))
+    one = one.select("query", "chunk", F.col("_b.item").alias("item"), (-F.col("_b.s")).alias("score"))
     return one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import masked, squeeze
+from quillon.functions.text import is_relative_path, is_sha256, is_web_address, masked, squeeze
 
 
 def blockers(checks: dict[str, Column]) -> Column:
@@ -15,25 +15,48 @@ def blockers(checks: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks.items()]))
 
 
+# What the gates accept.
+VERIFIED_TEXT = ["text_layer_available", "ocr_verified"]
+SNAPSHOT_TEXT = ["text_layer_available", "ocr_candidate_unverified"]
+SNAPSHOT_STATUS = "competition_snapshot_not_currentness_verified"
+PUBLIC_DOMAINS = ["official_writing", "general_application", "kgm_infrastructure", "road_transport"]
+PROJECT_DOMAINS = ["aviation", "communications", "official_writing", "general_application", "internal_administration", "kgm_infrastructure", "maritime", "railway", "road_transport"]
+
+
+def _blank(name: str) -> Column:
+    return F.trim(F.col(name)) == ""
+
+
+def _source_faults(domains: list[str]) -> dict[str, Column]:
+    """What every gate of chunks asks of a source: its digest, its domain and its pages."""
+    return {"source_sha256": ~is_sha256(F.col("source_sha256")), "domain": ~F.col("domain").isin(domains), "pages": F.col("page").isNull() | F.col("page_end").isNull() | (F.col("page_end") < F.col("page"))}
+
+
 def public_blockers() -> Column:
-    """Why a chunk (columns as in the chunk schema) may not be shown as a public source."""
+    """Why a chunk (columns as in the chunk schema) may not be shown as a public source; null blocks."""
+    required = {f"no_{c}": _blank(c) for c in ("title", "section", "article", "text", "source", "context_text")}
     return blockers({
-        "source_kind": F.col("source_kind") != "official", "not_approved": ~F.col("approved_for_active_rag"), "validity": F.col("validity_status") != "verified", "source_digest": ~F.col("source_sha256").rlike("^[0-9a-f]{64}$"),
-        "source_url": ~F.col("source_url").rlike("^https://"), "page": F.col("page") < 1, "page_order": F.col("page_end") < F.col("page"), "domain": F.col("domain") == "unknown", "ocr": F.col("ocr_status").isin("required", "not_inspected"), "text": F.trim("text") == "",
+        "source_kind": F.col("source_kind") != "public_legislation", "not_approved": ~F.col("approved_for_active_rag"), "validity": F.col("validity_status") != "verified", "text_status": ~F.col("ocr_status").isin(VERIFIED_TEXT),
+        "no_document_id": F.col("document_id") == "", **required, "source_url": ~is_web_address(F.col("source_url")), **_source_faults(PUBLIC_DOMAINS),
     })
 
 
 def snapshot_blockers() -> Column:
-    """Why a chunk may not be part of a competition snapshot, which is not relied on as current law."""
+    """Why a chunk may not be part of a fixed snapshot, which must not claim to be current law; null blocks, but for the address."""
+    required = {f"no_{c}": _blank(c) for c in ("title", "section", "text", "source", "context_text")}
+    path = F.coalesce((F.trim("source") != "") & ~is_relative_path(F.col("source")), F.lit(False))
     return blockers({
-        "source_kind": F.col("source_kind") != "snapshot", "active": F.col("approved_for_active_rag"), "source_digest": ~F.col("source_sha256").rlike("^[0-9a-f]{64}$"), "context": F.trim(F.col("context_text")) == "", "text": F.trim("text") == "",
-        "path": F.col("source").rlike(r"^[/\\]|^[A-Za-z]:|(?:^|[/\\])\.\.(?:[/\\]|$)"),
+        "source_kind": F.col("source_kind") != "competition_snapshot", "active": F.col("approved_for_active_rag"), "validity": F.col("validity_status") != "needs_verification", "status": F.col("status") != SNAPSHOT_STATUS, "text_status": ~F.col("ocr_status").isin(SNAPSHOT_TEXT),
+        "no_document_id": F.col("document_id") == "", **required, "source_path": path, "source_url": F.col("source_url").isNotNull() & ~is_web_address(F.col("source_url")), **_source_faults(PROJECT_DOMAINS),
     })
 
 
 def manifest_blockers() -> Column:
-    """Why a manifest record may not be activated."""
-    return blockers({"pdf": F.col("pdf_status") != "MATCHED", "digest": ~F.col("sha256").rlike("^[0-9a-f]{64}$"), "reviewer": F.trim("reviewed_by") == "", "currentness": ~F.col("currentness_verified"), "decision": F.col("decision") != "approved", "text": F.col("text_quality") != "uygun", "domain": F.col("domain") == "unknown"})
+    """Why a manifest record may not be activated; null blocks."""
+    return blockers({
+        "document_id": F.col("document_id") == "", "review": F.col("review_status") != "approved", "scope": F.col("scope_status") != "active", "validity": F.col("validity_status") != "verified", "file": (F.col("pdf_status") != "MATCHED") | (F.col("files") != 1),
+        "text": ~F.col("text_layer_status").isin("available", "ocr_verified"), "ocr": F.col("ocr_required"), "reviewer": _blank("reviewed_by"), "reviewed_at": F.col("reviewed_at").isNull(), "source_sha256": ~is_sha256(F.col("source_sha256")), "domain": ~F.col("domain").isin(PUBLIC_DOMAINS),
+    })
 
 
 def ingestion_blockers() -> Column:

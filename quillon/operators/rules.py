@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import CLOSINGS, closing_fits, for_search, once, squeeze, tokens, valid_official_date, valid_official_number
+from quillon.functions.text import CLOSINGS, closing_fits, for_search, is_number_placeholder, once, squeeze, tokens, valid_official_date, valid_official_number
 
+# Fixed value: what a letter that rests on a fixed snapshot must say.
+SNAPSHOT_NOTICE = "Bu sonuç yalnızca projeyle birlikte sabitlenmiş yarışma veri kümesine dayanır; mevzuatın güncelliği/yürürlüğü doğrulanmamıştır ve güncel hukuki görüş değildir."
 #: Rule tables up to this many rows are broadcast.
 BROADCAST_RULES = 10_000
 #: Up to this many patterns become literals of the plan.
@@ -178,13 +180,46 @@ def draft(subject: Column, summary: Column, closing: Column, fields: Column, req
     return F.struct(F.concat(F.lit("Konu: "), F.coalesce(subject, F.lit("[DOLDURULACAK]"))).alias("heading"), F.filter(F.array(summary), lambda p: F.trim(p) != "").alias("paragraphs"), closing.alias("closing"), F.array_except(required, F.map_keys(fields)).alias("missing"))
 
 
-def compliance(letter: dict[str, Column]) -> Column:
-    """Violations of a letter (date, number, subject, closing, relation, paragraphs, recipient) and its score.
+# Templates that a letter may have, what its metadata must name, and the version of its rules.
+TEMPLATES = ["ust_yazi_v1", "cevap_yazisi_v1", "bilgilendirme_yazisi_v1", "eksik_bilgi_talebi_v1"]
+LETTER_METADATA = ["template_version", "data_class", "routing_unit_id", "official_writing_rules"]
+LETTER_LISTS = ["attachments", "distribution", "interest", "contact", "initials"]
 
-    15 checks' worth of errors costs everything, a warning 0.04.
+
+def compliance(letter: dict[str, Column], rules_version: str) -> Column:
+    """Errors and warnings of a letter, its score, and whether it passed, which it does without errors.
+
+    ``letter``: texts template, selected_template, institution, subject, recipient, date, number, relation, closing,
+    signer, signer_title, signature (null or empty: not given); arrays of texts paragraphs, attachments, distribution,
+    interest, contact, initials, missing_fields; metadata, a map of texts; references, an array of structs (verified,
+    snapshot, relied_on, notice). A date, number or signature that is not given is a warning; given and malformed, a
+    date or number is an error. The body ends with its one closing. Of 15 checks each error costs one, a warning 0.04.
     """
-    errors = [(~valid_official_date(letter["date"]), "date"), (~valid_official_number(letter["number"]), "number"), (F.trim(letter["subject"]) == "", "subject"), (~closing_fits(letter["closing"], letter["relation"]), "closing"), (F.size(letter["paragraphs"]) == 0, "body"), (F.trim(letter["recipient"]) == "", "recipient")]
-    warnings = [(F.size(F.array_distinct(letter["paragraphs"])) < F.size(letter["paragraphs"]), "repeated_paragraph"), (F.exists(letter["paragraphs"], lambda p: F.trim(p) == ""), "blank_paragraph")]
-    lists = [F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in checks])) for checks in (errors, warnings)]
-    score = F.round(F.greatest(F.lit(0.0), 1 - F.size(lists[0]) / 15 - 0.04 * F.size(lists[1])), 4)
+    given = lambda name: F.coalesce(letter[name] != "", F.lit(False))
+    paragraphs, references = letter["paragraphs"], letter["references"]
+    closings = F.array(*[F.lit(x) for x in sorted({x for xs in CLOSINGS.values() for x in xs})])
+    known = letter["relation"].isin(list(CLOSINGS))
+    ends = (F.size(F.filter(paragraphs, lambda p: F.array_contains(closings, F.trim(p)))) == 1) & (F.element_at(paragraphs, -1) == letter["closing"])
+
+    def repeats(name: str) -> Column:
+        folded = F.transform(letter[name], lambda x: F.lower(F.trim(x)))
+        return F.exists(folded, lambda x: x == "") | (F.size(F.array_distinct(folded)) < F.size(folded))
+
+    unsigned = F.filter(F.array(F.when(~given("signer"), F.lit("imzalayan")), F.when(~given("signer_title"), F.lit("unvan"))), lambda x: x.isNotNull())
+    declared = F.size(F.array_except(unsigned, letter["missing_fields"])) == 0
+    metadata = F.size(F.array_except(F.array(*[F.lit(k) for k in LETTER_METADATA]), F.map_keys(letter["metadata"]))) > 0
+    snapshot = F.exists(references, lambda r: r["snapshot"])
+    errors = {
+        "template": ~letter["template"].isin(TEMPLATES), "template_differs": letter["template"] != letter["selected_template"],
+        "institution": ~given("institution"), "subject": ~given("subject"), "recipient": ~given("recipient"),
+        "date": given("date") & ~valid_official_date(letter["date"]), "number": given("number") & ~is_number_placeholder(letter["number"]) & ~valid_official_number(letter["number"]),
+        "body": F.size(paragraphs) == 0, "relation": ~known, "closing": known & ~closing_fits(letter["closing"], letter["relation"]), "ending": ~F.coalesce(ends, F.lit(False)),
+        **{name: repeats(name) for name in LETTER_LISTS},
+        "metadata": metadata, "rules_version": ~metadata & (F.element_at(letter["metadata"], "official_writing_rules") != rules_version),
+        "unverified_reference": F.exists(references, lambda r: ~r["verified"]), "signer": (F.size(unsigned) > 0) & ~declared,
+        "snapshot_notice": snapshot & ~F.array_contains(paragraphs, SNAPSHOT_NOTICE), "snapshot_relied_on": F.exists(references, lambda r: r["snapshot"] & (r["relied_on"] | (r["notice"] != SNAPSHOT_NOTICE))),
+    }
+    warnings = {"date": ~given("date"), "number": ~given("number") | is_number_placeholder(letter["number"]), "no_reference": F.size(references) == 0, "signer": (F.size(unsigned) > 0) & declared, "signature": ~given("signature"), "snapshot": snapshot, "missing_fields": F.size(letter["missing_fields"]) > 0}
+    lists = [F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks.items()])) for checks in (errors, warnings)]
+    score = F.round(F.greatest(F.lit(0.0), 1 - F.size(lists[0]) / 15 - 0.04 * F.size(lists[1])), 2)
     return F.struct(lists[0].alias("errors"), lists[1].alias("warnings"), score.alias("score"), (F.size(lists[0]) == 0).alias("passed"))

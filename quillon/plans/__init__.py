@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contracts, relational, retrieval, rulebook, texts
+from . import cases, contracts, relational, retrieval, rulebook, texts
 
-_MODULES = (retrieval, texts, rulebook, contracts, relational)
+_MODULES = (retrieval, texts, rulebook, contracts, relational, cases)
 
 
 def queries() -> dict:

@@ -150,12 +150,12 @@ def percentiles_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return metrics.nearest_rank(table(spark, d, "orders"), "o_totalprice", ["o_orderpriority"])
 
 
-@R.add("WITH a AS (SELECT o_orderpriority AS metric, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS value FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1), b AS (SELECT o_orderpriority AS metric, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1) SELECT metric, a.value AS before, b.value AS after, round(b.value - a.value, 4) AS delta FROM a JOIN b USING (metric)")
+@R.add("WITH a AS (SELECT o_orderpriority AS metric, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS value FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1), b AS (SELECT o_orderpriority AS metric, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 4) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1) SELECT metric, a.value AS before, b.value AS after, round(b.value - a.value, 4) AS delta FROM a JOIN b USING (metric)")
 def metric_delta(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
     share = F.round(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)), 4).alias("value")
     run = lambda c: orders.filter(c).groupBy(F.col("o_orderpriority").alias("metric")).agg(share)
-    at = F.to_timestamp(F.lit("1995-01-01"))
+    at = F.to_timestamp(F.lit("1998-01-01"))
     return metrics.metric_delta(run(F.col("o_orderdate") < at), run(F.col("o_orderdate") >= at))
 
 
@@ -188,19 +188,43 @@ def pii_redacted(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(quality.redacted(F.col("text"), PRIVATE), 256).alias("redacted_sha256"))
 
 
-@R.add()
-def field_extract(spark: SparkSession, d: str) -> DataFrame:
-    aliases = spark.createDataFrame([("sender", "sender", 100), ("konu", "subject", 100), ("password", "secret", 85), ("token", "secret", 75)], "alias string, field string, priority int")
-    return rules.labelled_lines(table(spark, d, "documents", "doc_id", "text"), aliases)
+_K = "o_orderkey"
+#: A letter's faults by the order's key: (condition, error or warning); letters without any pass.
+_ERRORS = [("template", 17, 0), ("institution", 19, 1), ("subject", 23, 2), ("date", 29, 3), ("number", 31, 4), ("closing", 37, 5), ("ending", 37, 5), ("ending", 41, 6), ("attachments", 43, 7), ("metadata", 47, 8), ("rules_version", 53, 9), ("unverified_reference", 59, 10), ("signer", 61, 11)]
+_WARNED = [("date", 7, 1), ("number", 5, 2), ("no_reference", 3, 0), ("signature", 2, 1)]
+_ORDER = ["template", "template_differs", "institution", "subject", "recipient", "date", "number", "body", "relation", "closing", "ending", "attachments", "distribution", "interest", "contact", "initials", "metadata", "rules_version", "unverified_reference", "signer"]
 
 
-@R.add()
-def signature_senders(spark: SparkSession, d: str) -> DataFrame:
-    return rules.signature_sender(table(spark, d, "documents", "doc_id", "text"))
+def _letter_sql() -> str:
+    when = lambda m, r: f"({_K} % {m} = {r})"
+    cases = {name: " OR ".join(when(m, r) for n, m, r in _ERRORS if n == name) or "false" for name in _ORDER}
+    # A letter of another template also differs from the chosen one; what is not given, not cited or not there cannot be malformed.
+    cases["template_differs"] = cases["template"]
+    cases["date"] = f"({cases['date']}) AND NOT {when(7, 1)}"
+    cases["number"] = f"({cases['number']}) AND NOT {when(5, 2)}"
+    cases["rules_version"] = f"({cases['rules_version']}) AND NOT {when(47, 8)}"
+    cases["unverified_reference"] = f"({cases['unverified_reference']}) AND NOT {when(3, 0)}"
+    cases["ending"] = f"({cases['ending']}) OR {when(37, 5)}"
+    lists = ["[" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in cs) + "]" for cs in (cases.items(), [(n, when(m, r)) for n, m, r in _WARNED])]
+    kept = [f"list_filter({x}, lambda y: y IS NOT NULL)" for x in lists]
+    return f"WITH c AS (SELECT o_orderkey, {kept[0]} AS e, {kept[1]} AS w FROM orders) SELECT o_orderkey, array_to_string(e, ',') AS errors, array_to_string(w, ',') AS warnings, round(greatest(0, 1 - len(e) / 15 - 0.04 * len(w)), 2) AS score, len(e) = 0 AS passed FROM c"
 
 
-@R.add("WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'closing' END AS errors FROM orders) SELECT o_orderkey, errors, '' AS warnings, CASE WHEN errors = '' THEN 1.0 ELSE round(1 - 1 / 15, 4) END AS score, errors = '' AS passed FROM c")
+@R.add(_letter_sql())
 def letter_compliance(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders")
-    letter = {"date": F.date_format("o_orderdate", "dd.MM.yyyy"), "number": F.concat(F.lit("E-"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.lit("-105.02-"), F.col("o_orderkey").cast("string")), "subject": F.col("o_orderpriority"), "closing": F.when(F.col("o_orderstatus") == "F", "Arz ederim.").otherwise("Rica ederim."), "relation": F.lit("superior"), "paragraphs": F.array(F.col("o_orderpriority"), F.col("o_orderstatus")), "recipient": F.col("o_orderstatus")}
-    return orders.select("o_orderkey", rules.compliance(letter).alias("c")).select("o_orderkey", F.array_join("c.errors", ",").alias("errors"), F.array_join("c.warnings", ",").alias("warnings"), "c.score", "c.passed")
+    """Letters with one fault or several by their order's number; the SQL lists the faults by number."""
+    at = lambda m, r: F.col(_K) % m == r
+    texts = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    closing = F.when(at(37, 5), "Rica ederim.").otherwise("Arz ederim.")
+    metadata = F.map_from_arrays(texts(*rules.LETTER_METADATA), F.array(F.lit("1"), F.lit("public"), F.lit("u1"), F.when(at(53, 9), "other").otherwise("v1")))
+    short = F.map_from_arrays(texts("data_class"), texts("public"))
+    reference = F.struct((~at(59, 10)).alias("verified"), F.lit(False).alias("snapshot"), F.lit(False).alias("relied_on"), F.lit("").alias("notice"))
+    letter = {
+        "template": F.when(at(17, 0), "invented").otherwise("ust_yazi_v1"), "selected_template": F.lit("ust_yazi_v1"), "institution": F.when(at(19, 1), "").otherwise("Kurum"), "subject": F.when(~at(23, 2), F.col("o_orderpriority")),
+        "recipient": F.col("o_orderstatus"), "date": F.when(at(7, 1), None).when(at(29, 3), "1.13.2024").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")),
+        "number": F.when(at(5, 2), "E-12345678-XXX-XXX").when(at(31, 4), "12").otherwise(F.concat(F.lit("E-"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.lit("-105.02-"), F.col(_K).cast("string"))),
+        "relation": F.lit("superior"), "closing": closing, "paragraphs": F.when(at(41, 6) | at(37, 5), F.array(F.lit("Gövde."), F.lit("Arz ederim."), F.lit("Son."))).otherwise(F.array(F.lit("Gövde."), closing)),
+        "attachments": F.when(at(43, 7), texts("Plan", " plan ")).otherwise(texts("Plan")), **{n: texts("x") for n in rules.LETTER_LISTS if n != "attachments"}, "metadata": F.when(at(47, 8), short).otherwise(metadata),
+        "references": F.when(at(3, 0), F.slice(F.array(reference), 1, 0)).otherwise(F.array(reference)), "signer": F.when(~at(61, 11), "A B"), "signer_title": F.lit("Müdür"), "signature": F.when(~at(2, 1), "imza"), "missing_fields": F.array().cast("array<string>"),
+    }
+    return table(spark, d, "orders").select("o_orderkey", rules.compliance(letter, "v1").alias("c")).select("o_orderkey", F.array_join("c.errors", ",").alias("errors"), F.array_join("c.warnings", ",").alias("warnings"), "c.score", "c.passed")

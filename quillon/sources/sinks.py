@@ -32,11 +32,11 @@ def still_missing(rows: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 
 def overwritten_payload(points: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
-    """Points with the payload columns that a table has for them, vectors untouched."""
-    new = payloads.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_new_{c}") for c in payloads.columns if c != key])
+    """Points with the payload columns that a table has for them, null ones included; vectors untouched."""
+    new = payloads.select(F.col(key).alias("_k"), F.lit(True).alias("_given"), *[F.col(c).alias(f"_new_{c}") for c in payloads.columns if c != key])
     both = points.join(new, points[key] == new["_k"], "left")
     changed = set(payloads.columns) - {key}
-    return both.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in points.columns])
+    return both.select(*[F.when(F.col("_given"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in points.columns])
 
 
 def review_table(records: DataFrame, columns: list[str]) -> DataFrame:

@@ -120,11 +120,25 @@ def test_legal_structure(spark):
 
 
 def test_citations_do_not_overlap(spark):
-    leaves = spark.createDataFrame([(1, "5018 sayılı Kanunun 9 uncu maddesi ile bu Kanunun 12 nci maddesi uygulanır.")], "leaf bigint, text string")
-    rows = {(r["relation"], r["law"], r["article"]) for r in chunking.citation_edges(leaves).collect()}
-    assert ("cites_within", None, "12") in rows
-    assert {x[1] for x in rows if x[0] == "cites"} == {"5018"}
-    assert not any(x[0] == "cites_within" and x[2] == "9" for x in rows)
+    text = "5018 sayılı Kamu Mali  Yönetimi Kanununun 9 uncu maddesi ile 12 inci maddesi ve 12 inci maddesi uygulanır; 4734 sayılı 3 üncü maddesi, 7A maddeye göre."
+    leaves = spark.createDataFrame([(1, text), (2, None), (3, "")], "leaf bigint, text string")
+    rows = {(r["law"], r["law_name"], r["article"], r["raw"], r["confidence"]) for r in chunking.citation_edges(leaves).collect()}
+    assert rows == {("5018", "Kamu Mali Yönetimi", "9", "5018 sayılı Kamu Mali  Yönetimi Kanununun 9 uncu maddesi", 0.82), (None, None, "12", "12 inci maddesi", 0.68), (None, None, "7A", "7A maddeye", 0.68)}
+    assert len({r["edge_id"] for r in chunking.citation_edges(leaves).collect()}) == 3
+
+
+def test_addresses_are_joined_as_the_standard_library_does(spark):
+    from urllib.parse import urljoin
+
+    from quillon.sources import readers
+
+    hrefs = ["", "b", "./b", "../b", "../../b?x=1#y", "/a//b/../c/", "//other.org/x", "https://x.org/a", "mailto:a@b", "?q", "#f", "a/./b/..", "a/", "..", "é/ü", "a?b=/../c"]
+    for base in ("https://base/dir/page.html?z#w", "http://h:80/", "https://h.org/a/b/c/"):
+        df = spark.createDataFrame([(h,) for h in hrefs], "h string")
+        got = [r[0] for r in df.select(readers.joined_address(base, F.col("h"))).collect()]
+        assert got == [urljoin(base, h) for h in hrefs]
+    pages = spark.createDataFrame([(1, "<ul><li>no link</li><li><b>A&eacute;</b> <a class=x href='../d?a&amp;b'>x\n y</a></li><li><a href=z>&lt;</a></li></ul>")], "page_id int, html string")
+    assert [tuple(r) for r in readers.html_links(pages, base="https://base/dir/p").collect()] == [(1, 2, "https://base/d?a&b", "Aé x y"), (1, 3, "https://base/dir/z", "<")]
 
 
 def test_pages(spark):
