@@ -117,11 +117,11 @@ def articles_complete(articles: Column, expected: list[str]) -> Column:
     return F.array_distinct(articles) == F.array(*[F.lit(x) for x in expected])
 
 
-_SECTION = re.compile(r"(?m)^[ \t]*(?P<label>(?:[A-ZÇĞİÖŞÜ]+İNCİ|[A-ZÇĞİÖŞÜ]+NCI|[A-ZÇĞİÖŞÜ]+NCÜ|[A-ZÇĞİÖŞÜ]+) (?:BÖLÜM|KISIM))[ \t]*\n?(?P<title>[^\n]*)$")
-_ARTICLE = re.compile(r"(?im)^[ \t]*(?P<mark>(?:geçici |GEÇİCİ |ek )?madde[ \t]+\d+)[ \t]*[-–—.:]?[ \t]*")
-_PARAGRAPH = re.compile(r"(?m)(?:(?<=^)|(?<=\s))\((?P<n>[1-9]\d?)\)[ \t]*")
-_CLAUSE = re.compile(r"(?m)^[ \t]*(?P<c>[a-zçğıöşü])\)[ \t]+")
-STRUCTURE = "doc bigint, section string, article string, paragraph int, clause string, level string, start int, text string"
+_SECTION = re.compile(r"(?m)^[ \t]*(?P<label>(?:[A-ZÇĞİÖŞÜ]+|\d+\.?) (?:BÖLÜM|KISIM))[ \t]*\n?(?P<title>[^\n]*)$")
+_ARTICLE = re.compile(r"(?im)^[ \t]*(?P<mark>(?:geçici |GEÇİCİ |ek )?madde[ \t]+\d+[A-ZÇĞİÖŞÜ]?)(?!\w)[ \t]*[-–—.:]?[ \t]*")
+_PARAGRAPH = re.compile(r"(?<!\w)\((?P<n>[1-9]\d?)\)[ \t]*")
+_CLAUSE = re.compile(r"(?i)(?<!\w)\(?(?P<c>[a-zçğıöşü])\)\s*")
+STRUCTURE = "doc bigint, section string, article string, paragraph int, clause string, level string, start int, prefix string, text string"
 
 
 def _cut(text: str, pattern: re.Pattern[str], group: str, start: int, end: int) -> list[tuple[str | None, int, int]]:
@@ -143,16 +143,22 @@ def _structure(doc: int, text: str) -> Iterator[tuple]:
         a1 = min([a1, *(s for s, _ in sections if a0 < s < a1)])
         section = next((label for s, label in reversed(sections) if s < a0), None)
         for number, p0, p1 in _cut(text, _PARAGRAPH, "n", a0, a1):
-            for clause, c0, c1 in _cut(text, _CLAUSE, "c", p0, p1):
+            parts = _cut(text, _CLAUSE, "c", p0, p1)
+            # What stands before the first clause belongs to every clause, and is no part by itself.
+            prefix = " ".join(text[parts[0][1] : parts[0][2]].split()) if len(parts) > 1 and parts[0][0] is None else None
+            for clause, c0, c1 in parts[1:] if prefix else parts:
                 body = " ".join(text[c0:c1].split())
                 if body:
                     level = "clause" if clause else "paragraph" if number else "article"
-                    yield doc, section, " ".join(article.split()), int(number) if number else None, clause, level, c0, body
+                    yield doc, section, " ".join(article.split()), int(number) if number else None, clause.lower() if clause else None, level, c0, prefix, body
 
 
 def legal_structure(docs: DataFrame) -> DataFrame:
     """(doc, text) cut into articles, numbered paragraphs and lettered clauses, with the section each stands in.
 
+    Articles are those of the law, temporary and additional ones, and such as "5A"; clauses "a)" and "(a)" carry the
+    text that leads to them as ``prefix``.
+
     Places of matches are needed, which SQL functions do not give, so this runs in Arrow batches.
     """
 
@@ -171,7 +177,7 @@ def structured_or_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """The structure of each document, or its pages as leaves where it has no article."""
     found = legal_structure(docs)
     rest = pages.join(found.select("doc").distinct(), "doc", "left_anti").filter(F.trim("text") != "")
-    fallback = rest.select("doc", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("string").alias("clause"), F.lit("page").alias("level"), F.col("page").cast("int").alias("start"), squeeze(F.col("text")).alias("text"))
+    fallback = rest.select("doc", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("string").alias("clause"), F.lit("page").alias("level"), F.col("page").cast("int").alias("start"), F.lit(None).cast("string").alias("prefix"), squeeze(F.col("text")).alias("text"))
     return found.unionByName(fallback)
 
 
@@ -215,3 +221,18 @@ def chunk_records(parts: DataFrame, tags: list[str]) -> DataFrame:
     trail = F.concat_ws(" > ", "title", "section", "article", "paragraph", "clause")
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("document_id", "section", "article", "paragraph", "clause", "part")])
     return parts.select(F.concat(F.lit("MEV-"), F.upper(F.substring(F.sha2(key, 256), 1, 16))).alias("chunk_id"), "*", trail.alias("context_text"), F.array(*[F.lit(t) for t in tags]).alias("tags"))
+
+
+def parents_of(leaves: DataFrame) -> DataFrame:
+    """The articles over (doc, section, article, start, text) leaves: parent id, first start, leaves, and their text in order."""
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc", "section", "article")]
+    whole = F.sort_array(F.collect_list(F.struct("start", "text")))
+    out = leaves.groupBy("doc", "section", "article").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("leaves"), F.array_join(F.transform(whole, lambda x: x["text"]), "\n").alias("text"))
+    return out.withColumn("parent", F.concat(F.lit("parent-"), F.substring(F.sha2(F.concat_ws("|", *key), 256), 1, 20)))
+
+
+def zipped(a: DataFrame, b: DataFrame, place: str) -> DataFrame:
+    """Rows of equal place side by side; a place that only one side has fails, as lists of unequal length cannot be zipped."""
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), place, "full_outer")
+    uneven = F.col("_a").isNull() | F.col("_b").isNull()
+    return both.withColumn(place, F.when(uneven, F.raise_error(F.lit("the two sides differ in length")).cast(dict(a.dtypes)[place])).otherwise(F.col(place))).drop("_a", "_b")

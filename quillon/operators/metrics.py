@@ -70,3 +70,10 @@ def nearest_rank(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 def metric_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     """(metric, value) of two runs: differences of the metrics that both have."""
     return a.select("metric", F.col("value").alias("before")).join(b.select("metric", F.col("value").alias("after")), "metric").withColumn("delta", F.round(F.col("after") - F.col("before"), 4))
+
+
+def top_k_accuracy(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """One row: of ``truth`` (query, expected) the share whose expected item is among the first k of ``ranked`` (query, item, rank); a query without hits misses."""
+    at = ranked.join(truth, "query").filter(F.col("item") == F.col("expected")).groupBy("query").agg(F.min("rank").alias("_at"))
+    both = truth.join(at, "query", "left")
+    return both.agg(*[F.round(F.avg(F.when(F.col("_at") <= k, 1.0).otherwise(0.0)), 4).alias(f"top{k}") for k in ks], F.count(F.lit(1)).alias("queries"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import chunking, dedup, dense, fusion, graph, lexical, quality, rules
+from quillon.operators import chunking, dedup, dense, fusion, graph, lexical, metrics, quality, rules
 from quillon.sources import readers, sinks
 from quillon.streaming import lifecycle
 
@@ -207,15 +207,30 @@ def vocabulary_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: A short law, and what its structure is.
-LAW = "BİRİNCİ BÖLÜM\nAmaç\nMADDE 1- (1) Bu Kanun yolu düzenler.\n(2) Kapsam:\na) Yollar.\nb) Köprüler.\nMADDE 2 - Tanımlar burada.\nİKİNCİ BÖLÜM\nSon\nGeçici Madde 1- (1) Geçiş."
-_STRUCTURE = [("Amaç", "MADDE 1", 1, None, "paragraph", "Bu Kanun yolu düzenler."), ("Amaç", "MADDE 1", 2, None, "paragraph", "Kapsam:"), ("Amaç", "MADDE 1", 2, "a", "clause", "Yollar."), ("Amaç", "MADDE 1", 2, "b", "clause", "Köprüler."), ("Amaç", "MADDE 2", None, None, "article", "Tanımlar burada."), ("Son", "Geçici Madde 1", 1, None, "paragraph", "Geçiş.")]
+LAW = "BİRİNCİ BÖLÜM\nAmaç\nMADDE 1- (1) Bu Kanun yolu düzenler.\n(2) Kapsam:\na) Yollar.\nb) Köprüler.\nMADDE 2A - Tanımlar burada.\n3. BÖLÜM\nSon\nGeçici Madde 1- (1) Geçiş: (a) Süre, (b) Usul."
+_STRUCTURE = [("Amaç", "MADDE 1", 1, None, "paragraph", None, "Bu Kanun yolu düzenler."), ("Amaç", "MADDE 1", 2, "a", "clause", "Kapsam:", "Yollar."), ("Amaç", "MADDE 1", 2, "b", "clause", "Kapsam:", "Köprüler."), ("Amaç", "MADDE 2A", None, None, "article", None, "Tanımlar burada."), ("Son", "Geçici Madde 1", 1, "a", "clause", "Geçiş:", "Süre,"), ("Son", "Geçici Madde 1", 1, "b", "clause", "Geçiş:", "Usul.")]
 
 
-@R.add("SELECT CAST(doc AS BIGINT) AS doc, s AS section, a AS article, CAST(p AS INTEGER) AS paragraph, c AS clause, l AS level, t AS text FROM (VALUES " + ", ".join("(" + ", ".join([_literal(s), _literal(a), "NULL" if p is None else str(p), _literal(c), _literal(level), _literal(t)]) + ")" for s, a, p, c, level, t in _STRUCTURE) + ") AS v(s, a, p, c, l, t), (SELECT n_nationkey AS doc FROM nation)")
+@R.add("SELECT CAST(doc AS BIGINT) AS doc, s AS section, a AS article, CAST(p AS INTEGER) AS paragraph, c AS clause, l AS level, f AS prefix, t AS text FROM (VALUES " + ", ".join("(" + ", ".join([_literal(s), _literal(a), "NULL" if p is None else str(p), _literal(c), _literal(level), _literal(f), _literal(t)]) + ")" for s, a, p, c, level, f, t in _STRUCTURE) + ") AS v(s, a, p, c, l, f, t), (SELECT n_nationkey AS doc FROM nation)")
 def structure_of_laws(spark: SparkSession, d: str) -> DataFrame:
     """The same law under every nation's key."""
-    laws = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc"), F.lit(LAW).alias("text"))
-    return chunking.legal_structure(laws).select("doc", F.element_at(F.split("section", " "), -1).alias("section"), "article", "paragraph", "clause", "level", "text")
+    return _laws(spark, d).select("doc", F.element_at(F.split("section", " "), -1).alias("section"), "article", "paragraph", "clause", "level", "prefix", "text")
+
+
+def _laws(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.legal_structure(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc"), F.lit(LAW).alias("text")))
+
+
+@R.add("SELECT CAST(n_nationkey AS BIGINT) AS doc, a AS article, CAST(n AS BIGINT) AS leaves, t AS text FROM nation, (VALUES ('MADDE 1', 3, 'Bu Kanun yolu düzenler.' || chr(10) || 'Yollar.' || chr(10) || 'Köprüler.'), ('MADDE 2A', 1, 'Tanımlar burada.'), ('Geçici Madde 1', 2, 'Süre,' || chr(10) || 'Usul.')) AS v(a, n, t)")
+def parents_of_laws(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.parents_of(_laws(spark, d)).select("doc", "article", "leaves", "text")
+
+
+@R.add("SELECT p_partkey, p_name, p_size FROM part")
+def zipped_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two columns of a table, put side by side again by place."""
+    part = table(spark, d, "part")
+    return chunking.zipped(part.select("p_partkey", "p_name"), part.select("p_partkey", "p_size"), "p_partkey")
 
 
 #: Letters in lines, and the fields that labels give.
@@ -233,3 +248,36 @@ def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
 def signed_letters(spark: SparkSession, d: str) -> DataFrame:
     letters = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 2 == 0, _LETTER).otherwise("Gereğini arz ederim.\n12.03.2024\nSayı: 5\n").alias("text"))
     return rules.signature_sender(letters)
+
+
+@R.add("""WITH e AS (SELECT user_id AS document, event_id, ts, ['alindi', 'okunuyor', 'siniflandiriliyor', 'tamamlandi', 'bilinmeyen'][1 + event_id % 5] AS status FROM events),
+s AS (SELECT *, lag(status) OVER (PARTITION BY document ORDER BY ts, event_id) AS previous FROM e), p(status, i) AS (VALUES ('alindi', 0), ('okunuyor', 1), ('siniflandiriliyor', 2), ('tamamlandi', 12))
+SELECT event_id, s.status, previous FROM s LEFT JOIN p ON p.status = s.status LEFT JOIN p q ON q.status = previous WHERE p.i IS NULL OR p.i < q.i - 1""")
+def lifecycle_out_of_order(spark: SparkSession, d: str) -> DataFrame:
+    named = F.get(F.array(*[F.lit(x) for x in ("alindi", "okunuyor", "siniflandiriliyor", "tamamlandi", "bilinmeyen")]), (F.col("event_id") % 5).cast("int"))
+    events = table(spark, d, "events").select(F.col("user_id").alias("document"), "event_id", "ts", named.alias("status"))
+    return lifecycle.out_of_order(events, lifecycle.LIFECYCLE).select("event_id", "status", "previous")
+
+
+@R.add("""WITH r AS (SELECT o_custkey AS query, o_orderpriority AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+t AS (SELECT c_custkey AS query, ['1-URGENT', '2-HIGH', '5-LOW'][1 + c_custkey % 3] AS expected FROM customer),
+a AS (SELECT t.query, min(rank) AS place FROM t JOIN r ON r.query = t.query AND item = expected GROUP BY 1)
+SELECT round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 4) AS top1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END), 4) AS top3, count(*) AS queries FROM t LEFT JOIN a ON a.query = t.query""")
+def top_k_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    best = Window.partitionBy("query").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderpriority").alias("item"), "o_totalprice", "o_orderkey").withColumn("rank", F.row_number().over(best))
+    expected = F.get(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"), F.lit("5-LOW")), (F.col("c_custkey") % 3).cast("int"))
+    return metrics.top_k_accuracy(ranked, table(spark, d, "customer").select(F.col("c_custkey").alias("query"), expected.alias("expected")))
+
+
+_RANKED = "row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)"
+
+
+@R.add(f"""WITH r AS (SELECT o_custkey AS query, o_orderstatus AS channel, o_orderpriority AS item, {_RANKED} AS rank FROM orders), one AS (SELECT query, channel, item, min(rank) AS rank FROM r WHERE rank <= 5 GROUP BY ALL),
+f AS (SELECT query, item, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(channel, '+' ORDER BY channel) AS corpora FROM one GROUP BY 1, 2)
+SELECT query, item, score, corpora, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS INTEGER) AS rank FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= 3""")
+def federated_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of three corpora, each ranked by itself, fused."""
+    best = Window.partitionBy("query", "channel").orderBy(F.desc("raw_score"), "o_orderkey")
+    ranked = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderstatus").alias("channel"), F.col("o_orderpriority").alias("item"), F.col("o_totalprice").alias("raw_score"), "o_orderkey").withColumn("rank", F.row_number().over(best)).filter("rank <= 5")
+    return fusion.fuse(ranked, top=3).select("query", "item", "score", F.array_join(F.array_sort(F.transform("contributions", lambda c: c["channel"])), "+").alias("corpora"), "rank")

@@ -134,7 +134,7 @@ def canonical_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The driver's documents hold no article, so each is one page; articles are those of structure_of_laws.
-@R.add(f"SELECT doc_id AS doc, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS article, CAST(NULL AS INTEGER) AS paragraph, CAST(NULL AS VARCHAR) AS clause, 'page' AS level, CAST(1 AS INTEGER) AS start, {squeeze_sql('text')} AS text FROM documents WHERE trim(text) <> ''")
+@R.add(f"SELECT doc_id AS doc, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS article, CAST(NULL AS INTEGER) AS paragraph, CAST(NULL AS VARCHAR) AS clause, 'page' AS level, CAST(1 AS INTEGER) AS start, CAST(NULL AS VARCHAR) AS prefix, {squeeze_sql('text')} AS text FROM documents WHERE trim(text) <> ''")
 def legal_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("doc"), "text")
     return chunking.structured_or_pages(docs, docs.withColumn("page", F.lit(1)))

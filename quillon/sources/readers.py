@@ -118,13 +118,13 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 
 
-def _without_dots(path: Column) -> Column:
-    """A path's segments with ``.`` and ``..`` applied and empty ones gone; it begins with a slash."""
+def _without_dots(path: Column, squash: bool) -> Column:
+    """A path's segments with ``.`` and ``..`` applied, and with ``squash`` without empty ones; it begins with a slash."""
     parts = F.split(path, "/")
-    inner = F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda x: x != "")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     last = F.element_at(parts, -1)
     step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
-    kept = F.aggregate(F.concat(inner, F.array(last)), F.array().cast("array<string>"), step)
+    kept = F.aggregate(F.concat(F.filter(inner, lambda x: x != "") if squash else inner, F.array(last)), F.array().cast("array<string>"), step)
     # A path that ends in dots names a folder.
     return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
 
@@ -137,7 +137,7 @@ def joined_address(base: str, href: Column) -> Column:
     bare = base.partition("#")[0]
     out = F.when(href == "", F.lit(base)).when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.lit(f"{at.scheme}:"), href))
     out = out.when(href.startswith("#"), F.concat(F.lit(bare), href)).when(href.startswith("?"), F.concat(F.lit(bare.partition("?")[0]), href))
-    return out.when(href.startswith("/"), F.concat(F.lit(origin), _without_dots(path), rest)).otherwise(F.concat(F.lit(origin), _without_dots(F.concat(F.lit(folder + "/"), path)), rest))
+    return out.when(href.startswith("/"), F.concat(F.lit(origin), _without_dots(path, False), rest)).otherwise(F.concat(F.lit(origin), _without_dots(F.concat(F.lit(folder + "/"), path), True), rest))
 
 
 def html_links(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", base: str = "https://localhost/") -> DataFrame:

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ["COMPLETED", "FAILED", "REJECTED"]
+# The states of a document's lifecycle, in the order in which it goes through them.
+LIFECYCLE = ["alindi", "okunuyor", "siniflandiriliyor", "mevzuat_araniyor", "kaynak_dogrulaniyor", "eksik_bilgi_bekleniyor", "yazi_turu_seciliyor", "birim_yonlendiriliyor", "yanit_stratejisi_bekleniyor", "taslak_hazirlaniyor", "uygunluk_kontrolunde", "kullanici_onayi_bekleniyor", "tamamlandi", "hata"]
+ENDED = ["tamamlandi", "hata"]
+
+
+def out_of_order(events: DataFrame, states: list[str], key: str = "document", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Events of unknown states, and those that go back by more than one stage, with their previous state."""
+    place = F.create_map(*[x for i, s in enumerate(states) for x in (F.lit(s), F.lit(i))])
+    steps = events.withColumn("previous", F.lag("status").over(Window.partitionBy(key).orderBy(*order)))
+    now, before = F.element_at(place, F.col("status")), F.element_at(place, F.col("previous"))
+    return steps.filter(now.isNull() | (now < before - 1))
 
 
 def accepted_events(events: DataFrame, terminal: list[str], key: str = "document", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -82,3 +95,33 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything that is there, once, to Parquet."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def save_checkpoint(spark: SparkSession, path: str, state: dict) -> None:
+    """A JSON checkpoint that is there as a whole or not at all: written beside its place, then renamed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = place.getFileSystem(conf)
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
+    finally:
+        out.close()
+    files.delete(place, False)
+    if not files.rename(beside, place):
+        raise OSError(f"the checkpoint {path} cannot be put in place")
+
+
+def load_checkpoint(spark: SparkSession, path: str, identity: dict, overwrite: bool = False) -> dict | None:
+    """The state saved at ``path``, or None if there is none or it is to be overwritten.
+
+    A checkpoint of another identity, such as another corpus fingerprint or collection, is refused and not continued.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if overwrite or not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    state = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    differs = sorted(k for k, v in identity.items() if state.get(k) != v)
+    if differs:
+        raise ValueError(f"the checkpoint belongs to another {', '.join(differs)}")
+    return state

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.sources import readers, sinks
@@ -93,3 +94,26 @@ def test_windowed_stream_to_files(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     lifecycle.run_available(lifecycle.windowed(stream, "1 minute"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).columns == ["start", "event_type", "n", "total"]
+
+
+def test_checkpoints_refuse_other_corpora(spark, tmp_path):
+    from quillon.streaming import lifecycle
+
+    path = f"file://{tmp_path}/state.json"
+    assert lifecycle.load_checkpoint(spark, path, {"fingerprint": "a"}) is None
+    for last in (5, 9):
+        lifecycle.save_checkpoint(spark, path, {"fingerprint": "a", "last": last})
+    assert lifecycle.load_checkpoint(spark, path, {"fingerprint": "a"})["last"] == 9
+    assert lifecycle.load_checkpoint(spark, path, {"fingerprint": "b"}, overwrite=True) is None
+    with pytest.raises(ValueError, match="another fingerprint"):
+        lifecycle.load_checkpoint(spark, path, {"fingerprint": "b"})
+    assert [f.name for f in tmp_path.iterdir() if "crc" not in f.name] == ["state.json"]
+
+
+def test_zipped_sides_of_unequal_length_fail(spark):
+    from quillon.operators import chunking
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "i int, a string"), spark.createDataFrame([(1, "z")], "i int, b string")
+    assert [tuple(r) for r in chunking.zipped(a.limit(1), b, "i").collect()] == [(1, "x", "z")]
+    with pytest.raises(Exception, match="differ in length"):
+        chunking.zipped(a, b, "i").collect()

@@ -111,8 +111,8 @@ LAW = "BİRİNCİ BÖLÜM\nAmaç\nMADDE 1- (1) Bu yönetmelik (2008) yılında.
 def test_legal_structure(spark):
     docs = spark.createDataFrame([(1, LAW), (2, None), (3, "düz metin")], "doc bigint, text string")
     rows = chunking.legal_structure(docs).orderBy("start").collect()
-    assert [(r["article"], r["paragraph"], r["clause"]) for r in rows] == [("MADDE 1", 1, None), ("MADDE 1", 2, None), ("MADDE 1", 2, "a"), ("MADDE 1", 2, "b"), ("MADDE 2", None, None), ("GEÇİCİ MADDE 1", 1, None)]
-    assert "(2008)" in rows[0]["text"]
+    assert [(r["article"], r["paragraph"], r["clause"]) for r in rows] == [("MADDE 1", 1, None), ("MADDE 1", 2, "a"), ("MADDE 1", 2, "b"), ("MADDE 2", None, None), ("GEÇİCİ MADDE 1", 1, None)]
+    assert "(2008)" in rows[0]["text"] and rows[0]["prefix"] is None and rows[1]["prefix"] == rows[2]["prefix"] != ""
     assert rows[0]["section"].endswith("Amaç")
     pages = docs.withColumn("page", F.lit(4))
     rest = chunking.structured_or_pages(docs, pages).filter("level = 'page'").collect()
