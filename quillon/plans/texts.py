@@ -70,7 +70,31 @@ def line_layout(spark: SparkSession, d: str) -> DataFrame:
     return readers.text_lines(table(spark, d, "documents", "doc_id", "text"))
 
 
-@R.add()
+LIMIT = 1800
+
+
+def _pack_sql(pieces: str) -> str:
+    """Pieces joined by blanks while they fit, as one text with chr(1) between parts; what ends in chr(2) stands alone."""
+    return f"coalesce(list_reduce({pieces}, lambda a, s: CASE WHEN ends_with(a, chr(2)) OR ends_with(s, chr(2)) OR length(list_last(string_split(a, chr(1)))) + 1 + length(s) > {LIMIT} THEN a || chr(1) || s ELSE a || ' ' || s END), '')"
+
+
+def _words_sql(sentence: str) -> str:
+    """A long sentence's words packed; words beyond the limit in slices."""
+    sliced = f"array_to_string(list_transform(range(0, (length(w) - 1) // {LIMIT} + 1), lambda k: substring(w, k * {LIMIT} + 1, {LIMIT})), chr(1)) || chr(2)"
+    return _pack_sql(f"list_transform(string_split({sentence}, ' '), lambda w: CASE WHEN length(w) > {LIMIT} THEN {sliced} ELSE w END)")
+
+
+def _filled(pieces: str) -> str:
+    return f"CASE WHEN len({pieces}) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split(replace({_pack_sql(pieces)}, chr(2), ''), chr(1)) END"
+
+
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(3), 'g'), chr(3)), lambda s: {squeeze_sql('s')}), lambda s: s <> '')"
+
+
+@R.add(f"""WITH s AS (SELECT doc_id, text, list_transform({_SENTENCES}, lambda s: CASE WHEN length(s) > {LIMIT} THEN {_words_sql('s')} || chr(2) ELSE s END) AS p FROM documents),
+c AS (SELECT doc_id, CASE WHEN length(text) <= {LIMIT} THEN [text] ELSE {_filled('p')} END AS parts FROM s),
+n AS (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM c)
+SELECT doc_id, CAST(i AS INTEGER) AS part_no, parts[i + 1] AS part, 'MEV-' || upper(substring(sha256(doc_id || '|' || i || '|' || parts[i + 1]), 1, 16)) AS chunk_id FROM n""")
 def bounded_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents", "doc_id", "text"))
 
@@ -168,7 +192,13 @@ def label_folding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(X.compact_label(F.col("text")), 256).alias("compact"), F.sha2(X.folded_label(F.col("text")), 256).alias("folded"))
 
 
-@R.add()
+_BLOCKS = f"list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda b: {squeeze_sql('b')}), lambda b: b <> '')"
+
+
+@R.add(f"""WITH b AS (SELECT doc_id, source, flatten(list_transform({_BLOCKS}, lambda b: CASE WHEN length(b) <= {LIMIT} THEN [b] ELSE string_split(replace({_words_sql('b')}, chr(2), ''), chr(1)) END)) AS p FROM documents),
+c AS (SELECT doc_id, CASE WHEN len(p) = 0 THEN ['[' || coalesce(source, '') || ', 1]'] ELSE {_filled('p')} END AS parts, len(p) = 0 AS bare FROM b),
+n AS (SELECT doc_id, parts, bare, unnest(range(len(parts))) AS i FROM c)
+SELECT doc_id AS doc, 1 AS page, CAST(i AS INTEGER) AS part_no, parts[i + 1] AS part, bare AS metadata_only FROM n""")
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lit(1).alias("page"), F.col("source").alias("title"), "text")
     return chunking.page_chunks(pages)
