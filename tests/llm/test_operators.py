@@ -194,6 +194,65 @@ def test_gif_interlace_and_local_palette():
     assert gif_media.decode_gif(data)[0].canvas[0, 0].tolist() == [9, 9, 9, 255]
 
 
+def plain_lzw(stream, least):
+    """The textbook decoder, a code at a time."""
+    clear, out, bits, n, at = 1 << least, [], 0, 0, 0
+    table, width, before = {}, least + 1, None
+    while True:
+        while n < width:
+            bits, n, at = bits | stream[at] << n, n + 8, at + 1
+        code, bits, n = bits & ((1 << width) - 1), bits >> width, n - width
+        if code == clear:
+            table, width, before = {i: bytes([i]) for i in range(clear)}, least + 1, None
+            free = clear + 2
+            continue
+        if code == clear + 1:
+            return b"".join(out)
+        entry = table[code] if code in table else before + before[:1]
+        out.append(entry)
+        if before is not None and free < 4096:
+            table[free] = before + entry[:1]
+            free += 1
+            if free == 1 << width and width < 12:
+                width += 1
+        before = entry
+
+
+def plain_grey_gif(data):
+    """Pixels of a full-width grey animation, its frames, time and grey levels as shown."""
+    width, height = struct.unpack("<HH", data[6:10])
+    at, canvas, pixels, frames, ms, levels = 13 + 768, [None] * height, b"", 0, 0, [0] * 8
+    while data[at] != 0x3B:
+        assert data[at : at + 2] == b"\x21\xf9" and data[at + 8] == 0x2C
+        ms += struct.unpack("<H", data[at + 4 : at + 6])[0] * 10
+        left, top, w, h = struct.unpack("<HHHH", data[at + 9 : at + 17])
+        least, at, stream = data[at + 18], at + 19, b""
+        while data[at]:
+            stream, at = stream + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        own = plain_lzw(stream, least)
+        assert (left, top, w, len(own)) == (0, 0, width, w * h)
+        for y in range(h):
+            canvas[y] = own[y * w : (y + 1) * w]
+        for row in canvas:
+            for v in row or b"":
+                levels[v // 32] += 1
+        pixels, frames = pixels + own, frames + 1
+    return pixels, f"frames={frames};ms={ms};levels={','.join(map(str, levels))}"
+
+
+def test_gif_query_matches_a_plain_decoder(spark):
+    from quillon.llm import queries as Q
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy(F.length("text")).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs}
+    for r in Q.queries()["op3_gif_media"](spark, SF).collect():
+        media = gif_media.encode_gif(gif_media.payload_of(texts[r["doc_id"]]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        pixels, feature = plain_grey_gif(media)
+        assert pixels == gif_media.payload_of(texts[r["doc_id"]]) and r["feature"] == feature
+
+
 def test_gif_lzw_fuzz():
     r = random.Random(1)
     for n in (1, 63, 4000, 70_000):
