@@ -44,6 +44,17 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, keep: Colu
     return reduce(DataFrame.unionByName, [_block_top_k(b, vectors, k, keep) for b in blocks])
 
 
+def trusted(vectors: DataFrame, equal: dict[str, object], allowed: DataFrame | None = None) -> DataFrame:
+    """Vectors whose columns have the values that a search is bound to (such as a corpus fingerprint), with items of the list if one is given.
+
+    Columns that are null differ from every value. The values reach the scan as filters; the list is a semi-join, which
+    keeps each vector once however often the list names it.
+    """
+    for name, value in equal.items():
+        vectors = vectors.filter(F.col(name) == F.lit(value))
+    return vectors if allowed is None else vectors.join(allowed.select("item"), "item", "left_semi")
+
+
 def in_blocks(rows: DataFrame, most: int, key: Column) -> list[DataFrame]:
     """``rows`` whole if there are at most so many, else split by a hash into blocks of about half as many, which chance hardly fills."""
     n = rows.count()

@@ -51,6 +51,26 @@ def ranking_metrics(hits: DataFrame, grades: DataFrame, k: int = 5, least: int =
     return out.select("query", safe(F.col("found"), F.col("returned")).alias("precision_returned"), F.round(F.col("found") / k, 4).alias("precision_at_k"), safe(F.col("found"), F.col("relevant")).alias("recall_at_k"), F.coalesce(F.round(1 / F.col("first"), 4), F.lit(0.0)).alias("reciprocal_rank"), safe(F.col("dcg"), F.nullif("ideal", F.lit(0.0))).alias("ndcg"))
 
 
+def family_recall(hits: DataFrame, grades: DataFrame, k: int = 5, least: int = 2) -> DataFrame:
+    """For each query of ``grades`` (query, item, grade, family): the share of its relevant families among the first k hits; 0 without any."""
+    relevant = grades.filter(F.col("grade") >= least)
+    total = relevant.groupBy("query").agg(F.count_distinct("family").alias("families"))
+    found = hits.filter(F.col("rank") <= k).join(relevant, ["query", "item"]).groupBy("query").agg(F.count_distinct("family").alias("_n"))
+    out = grades.select("query").distinct().join(total, "query", "left").join(found, "query", "left").fillna(0)
+    return out.select("query", "families", F.coalesce(F.round(F.col("_n") / F.nullif("families", F.lit(0)), 4), F.lit(0.0)).alias("family_recall"))
+
+
+def hard_negatives(queries: DataFrame, hits: DataFrame, negatives: DataFrame, k: int = 5) -> DataFrame:
+    """For each query: how many of its ``negatives`` (query, item) are among the first k hits."""
+    met = hits.filter(F.col("rank") <= k).join(negatives.select("query", "item").distinct(), ["query", "item"]).groupBy("query").agg(F.count_distinct("item").alias("hard_negatives"))
+    return queries.select("query").join(met, "query", "left").fillna({"hard_negatives": 0})
+
+
+def macro(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of each per-query metric over all queries, each query counting once, with their number."""
+    return rows.agg(*[F.round(F.avg(F.col(c).cast("double")), 4).alias(c) for c in columns], F.count(F.lit(1)).alias("queries"))
+
+
 def control_metrics(rows: DataFrame) -> DataFrame:
     """(expected_abstain, abstained): false answers and false abstentions."""
     return rows.agg(F.count_if(F.col("expected_abstain") & ~F.col("abstained")).alias("false_answers"), F.count_if(~F.col("expected_abstain") & F.col("abstained")).alias("false_abstentions"), F.count(F.lit(1)).alias("queries"))

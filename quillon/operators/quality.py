@@ -78,6 +78,21 @@ def manifest(records: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return out.withColumn("pdf_status", F.when(F.col("files") == 0, "MISSING").when(F.col("files") == 1, "MATCHED").otherwise("DUPLICATE"))
 
 
+def manifest_summary(records: DataFrame, source_records: int, unmatched: int) -> DataFrame:
+    """One row: the counts of a manifest's records by state, their domains, and what its caller counted.
+
+    ``records`` (pdf_status, candidate, approved, scope_status, ocr_required, text_layer_status, domain); a null state
+    counts nowhere, and as the domain 'unknown'. Domains are few, so their counts meet in one map, in order.
+    """
+    states = {
+        "matched_pdf": F.col("pdf_status") == "MATCHED", "missing_pdf": F.col("pdf_status") == "MISSING", "duplicate_pdf": F.col("pdf_status") == "DUPLICATE", "candidates": F.col("candidate"), "approved": F.col("approved"),
+        "review_required": F.col("scope_status") == "review_required", "out_of_scope": F.col("scope_status") == "out_of_scope", "ocr_required": F.col("ocr_required"), "read_errors": F.col("text_layer_status") == "read_error", "not_inspected": F.col("text_layer_status") == "not_inspected",
+    }
+    by_domain = records.groupBy(F.coalesce("domain", F.lit("unknown")).alias("_d")).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(k) for k, c in states.items()])
+    sums = by_domain.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("records"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in states], F.map_from_entries(F.array_sort(F.collect_list(F.struct("_d", "_n")))).alias("domains"))
+    return sums.select(F.lit(source_records).cast("long").alias("source_records"), "records", *states, F.lit(unmatched).cast("long").alias("unmatched_files"), "domains")
+
+
 def unmatched_files(records: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return files.join(records, key, "left_anti")
 

@@ -101,6 +101,20 @@ def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
     return manifest_match(spark, d).groupBy("pdf_status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("files") > 20).alias("large"))
 
 
+@R.add("""WITH r AS (SELECT doc_id, ['MATCHED', 'MISSING', 'DUPLICATE'][1 + doc_id % 3] AS s, ['review_required', 'out_of_scope', 'active'][1 + doc_id % 3] AS sc, ['available', 'read_error', 'not_inspected', 'ocr_required'][1 + doc_id % 4] AS t, lang FROM documents)
+SELECT count(*) AS source_records, count(*) AS records, count(*) FILTER (WHERE s = 'MATCHED') AS matched_pdf, count(*) FILTER (WHERE s = 'MISSING') AS missing_pdf, count(*) FILTER (WHERE s = 'DUPLICATE') AS duplicate_pdf, count(*) FILTER (WHERE doc_id % 5 = 0) AS candidates, count(*) FILTER (WHERE doc_id % 10 = 0) AS approved,
+count(*) FILTER (WHERE sc = 'review_required') AS review_required, count(*) FILTER (WHERE sc = 'out_of_scope') AS out_of_scope, count(*) FILTER (WHERE t = 'ocr_required') AS ocr_required, count(*) FILTER (WHERE t = 'read_error') AS read_errors, count(*) FILTER (WHERE t = 'not_inspected') AS not_inspected, CAST(7 AS BIGINT) AS unmatched_files,
+(SELECT string_agg(l || ':' || n, ',' ORDER BY l) FROM (SELECT coalesce(lang, 'unknown') AS l, count(*) AS n FROM documents GROUP BY 1)) AS domains FROM r""")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest whose records' states follow from their numbers."""
+    docs = table(spark, d, "documents", "doc_id", "lang")
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs)).cast("int"))
+    layer = pick("available", "read_error", "not_inspected", "ocr_required")
+    records = docs.select(pick("MATCHED", "MISSING", "DUPLICATE").alias("pdf_status"), (F.col("doc_id") % 5 == 0).alias("candidate"), (F.col("doc_id") % 10 == 0).alias("approved"), pick("review_required", "out_of_scope", "active").alias("scope_status"), (layer == "ocr_required").alias("ocr_required"), layer.alias("text_layer_status"), F.col("lang").alias("domain"))
+    out = quality.manifest_summary(records, docs.count(), 7)
+    return out.withColumn("domains", F.array_join(F.transform(F.map_entries("domains"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
+
+
 @R.add("""WITH u AS (SELECT p_partkey + 100 AS p_partkey, p_brand || '!' AS p_brand FROM part WHERE p_size = 7)
 SELECT coalesce(p.p_partkey, u.p_partkey) AS p_partkey, CASE WHEN p.p_partkey IS NOT NULL AND u.p_partkey IS NOT NULL THEN u.p_brand ELSE p.p_brand END AS p_brand, CASE WHEN p.p_partkey IS NULL THEN 'unknown_key' END AS fault FROM (SELECT p_partkey, p_brand FROM part) p FULL JOIN u ON p.p_partkey = u.p_partkey""")
 def merge_updates(spark: SparkSession, d: str) -> DataFrame:

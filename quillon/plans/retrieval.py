@@ -117,6 +117,18 @@ def best_per_chunk(spark: SparkSession, d: str) -> DataFrame:
     return dense.best_per_chunk(hits, 5).select("query", "chunk", "item", "score", "rank")
 
 
+@R.add(f"WITH {_COS} SELECT query, item, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos JOIN documents ON doc_id = item WHERE il = 3 AND lang = 'en') WHERE rank <= {TOP}")
+def cosine_topk_trusted(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of one label, of items on a list: the English documents."""
+    queries, vectors = _vectors(spark, d)
+    listed = _english(spark, d)
+    return dense.cosine_top_k(queries, dense.trusted(vectors, {"label": 3}, listed), TOP)
+
+
+def _english(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "lang").filter("lang = 'en'").select(F.col("doc_id").alias("item"))
+
+
 def _channels(spark: SparkSession, d: str) -> DataFrame:
     """Lexical hits of benchmark items, and dense hits of the vectors of the same ids."""
     lex = _bm25(spark, d).select("query", F.lit("lexical").alias("channel"), F.col("doc").alias("item"), "rank", F.col("score").alias("raw_score"))
@@ -200,6 +212,36 @@ def ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ranking_metrics(hits, grades, 5)
 
 
+_FIVE = "dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos WHERE query <> item) WHERE rank <= 5)"
+
+
+@R.add(f"""WITH {_COS}, {_FIVE}, g AS (SELECT vec_id AS query, vec_id - o AS item, o % 4 AS grade, (vec_id - o) % 5 AS family FROM embeddings, range(40) AS t(o) WHERE vec_id % 20 = 0 AND vec_id >= o),
+rel AS (SELECT * FROM g WHERE grade >= 2), tot AS (SELECT query, count(DISTINCT family) AS families FROM rel GROUP BY 1), got AS (SELECT query, count(DISTINCT family) AS n FROM dn JOIN rel USING (query, item) GROUP BY 1)
+SELECT query, coalesce(families, 0) AS families, coalesce(round(coalesce(n, 0) / families, 4), 0) AS family_recall FROM (SELECT DISTINCT query FROM g) LEFT JOIN tot USING (query) LEFT JOIN got USING (query)""")
+def family_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    """Forty items before a query are judged, in grades and families by their numbers."""
+    queries, vectors = _vectors(spark, d)
+    judged = queries.select("query", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("_o")).filter(F.col("query") >= F.col("_o"))
+    grades = judged.select("query", (F.col("query") - F.col("_o")).alias("item"), (F.col("_o") % 4).alias("grade"), ((F.col("query") - F.col("_o")) % 5).alias("family"))
+    hits = dense.cosine_top_k(queries, vectors, 5, keep=F.col("query") != F.col("item"))
+    return metrics.family_recall(hits, grades)
+
+
+_MACRO = ["precision_returned", "precision_at_k", "recall_at_k", "reciprocal_rank", "ndcg", "hard_negatives"]
+
+
+@R.add(f"""WITH m AS ({_NDCG}), {_COS}, {_FIVE}, h AS (SELECT query, count(*) AS n FROM dn WHERE ql <> il GROUP BY 1)
+SELECT {', '.join(f"round(avg({c}), 4) AS {c}" for c in _MACRO[:-1])}, round(avg(coalesce(n, 0)), 4) AS hard_negatives, count(*) AS queries FROM m LEFT JOIN h USING (query)""")
+def macro_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means over queries; hits of another label that a search without the query itself returns are the hard negatives."""
+    queries, vectors = _vectors(spark, d)
+    near = dense.cosine_top_k(queries, vectors, 5, keep=F.col("query") != F.col("item"))
+    labels = vectors.select("item", F.col("label").alias("i_label"))
+    other = near.select("query", "item").join(labels, "item").join(queries.select("query", "q_label"), "query").filter("q_label <> i_label")
+    each = ndcg_at_k(spark, d).join(metrics.hard_negatives(queries, near, other), "query")
+    return metrics.macro(each, _MACRO)
+
+
 _ALL = tokens_sql("text")
 
 
