@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import chunking, dedup, dense, fusion, graph, lexical, metrics, quality, rules
+from quillon.operators import chunking, dedup, dense, fusion, graph, labels, lexical, metrics, quality, rules
 from quillon.sources import readers, sinks
 from quillon.streaming import lifecycle
 
@@ -244,6 +244,31 @@ def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
     return rules.labelled_lines(letters, aliases)
 
 
+#: Letters with the fields that their labels give: field, value, rank, line.
+_ALIASES = {"sender": ["Gönderen", "Başvuran"], "subject": ["Konu"], "date": ["Tarih"], "phone": ["Telefon"], "email": ["E-posta"], "place": ["Konum"], "request": ["Talep"]}
+_ROLES = {k: k for k in ("sender", "date", "email", "phone", "request")}
+_SCANS = [
+    ("Konu: Yol bakımı Tarih: 01.02.2024", [("subject", "Yol bakımı", 100, 0), ("date", "01.02.2024", 100, 0)]),
+    ("K0NU: Köprü onarımı\nTARİH O1.O2.2O24", [("subject", "Köprü onarımı", 85, 0), ("date", "01.02.2024", 100, 1)]),
+    ("Gönderen:\nAyşe Kaya\nKonum: Ankara,\nÇankaya", [("sender", "Ayşe Kaya", 75, 0), ("place", "Ankara, Çankaya", 75, 2)]),
+    ("K O N U : Tünel\nKonu: Baraj", [("subject", "Baraj", 100, 1)]),
+    ("GÖNDEREN Ulaşım Dairesi\nE-posta: a@b.org - Telefon: 0532 123 45 67", [("sender", "Ulaşım Dairesi", 100, 0), ("email", "a@b.org", 100, 1), ("phone", "0532 123 45 67", 100, 1)]),
+    ("Bu yazının Konu: kısmı\nTarih: 31.02.2024\nKonu: yok\nTelefon: 12", []),
+    ("Gönderen\n:\nYol Şube\nMüdürlüğü\nTalep: bakım istiyorum", [("sender", "Yol Şube Müdürlüğü", 75, 0), ("request", "bakım istiyorum", 100, 4)]),
+    ("• Konu = asfalt\nyenileme işi\n\nKonu: ikinci değer", [("subject", "ikinci değer", 100, 3)]),
+    ("", []),
+    (None, []),
+]
+
+
+@R.add("SELECT c_custkey AS doc, field, value, CAST(r AS INTEGER) AS rank, CAST(l AS INTEGER) AS line FROM customer JOIN (VALUES " + ", ".join(f"({i}, {_literal(f)}, {_literal(v)}, {r}, {n})" for i, (_, xs) in enumerate(_SCANS) for f, v, r, n in xs) + f") AS t(scan, field, value, r, l) ON scan = c_custkey % {len(_SCANS)}")
+def scanned_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's letter is one of the scans."""
+    text = F.get(F.array(*[F.lit(t) for t, _ in _SCANS]), (F.col("c_custkey") % len(_SCANS)).cast("int"))
+    letters = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    return labels.labelled_fields(letters, _ALIASES, _ROLES, ("subject", "place"))
+
+
 @R.add("SELECT c_custkey AS doc, 'Ayşe Kaya' AS sender FROM customer WHERE c_custkey % 2 = 0")
 def signed_letters(spark: SparkSession, d: str) -> DataFrame:
     letters = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_custkey") % 2 == 0, _LETTER).otherwise("Gereğini arz ederim.\n12.03.2024\nSayı: 5\n").alias("text"))
