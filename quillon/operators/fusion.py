@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,46 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return F.round(F.size(F.array_intersect(asked, tokens(text))) / F.greatest(F.size(asked), F.lit(1)), 6)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """How far a search in rounds may go. It ends early once ``enough`` queries of later rounds were asked and ``least_rounds`` are over."""
+
+    rounds: int = 4
+    queries: int = 4
+    calls: int = 6
+    enough: int = 4
+    least_rounds: int = 3
+
+
+def in_rounds(plan: Callable[[int, DataFrame | None], list[str]], search: Callable[[list[str]], DataFrame], bounds: Bounds = Bounds()) -> tuple[DataFrame | None, list[tuple[int, str]]]:
+    """Search in rounds: ``plan`` sees the round and the hits so far and names queries, ``search`` answers them.
+
+    Returns the hits of all rounds with their round (null if nothing was asked), and what was asked in which round. A
+    round asks at most ``queries`` queries, all rounds at most ``calls``; a query that reads like an earlier one, but for
+    case and blanks, is not asked again. A round that plans nothing new ends the search. Queries are few and live on
+    the driver; hits stay distributed, and the caller checkpoints them if a plan is costly to repeat.
+    """
+    asked: list[tuple[int, str]] = []
+    seen: set[str] = set()
+    hits: DataFrame | None = None
+    for n in range(1, bounds.rounds + 1):
+        fresh: dict[str, str] = {}
+        for query in plan(n, hits):
+            key = " ".join(query.casefold().split())
+            if key and key not in seen:
+                fresh.setdefault(key, query)
+        chosen = list(fresh.items())[: min(bounds.queries, bounds.calls - len(asked))]
+        if not chosen:
+            break
+        seen.update(key for key, _ in chosen)
+        asked += [(n, query) for _, query in chosen]
+        found = search([query for _, query in chosen]).withColumn("round", F.lit(n))
+        hits = found if hits is None else hits.unionByName(found)
+        if n >= bounds.least_rounds and sum(r > 1 for r, _ in asked) >= bounds.enough:
+            break
+    return hits, asked
+
+
 def content_terms(c: Column, stop: list[str]) -> Column:
     """Distinct tokens of four or more characters, no numbers, no stop words."""
     words = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")

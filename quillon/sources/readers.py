@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.text import decoded, squeeze
+from quillon.operators import dedup, quality
 from quillon.operators.rules import small
 
 #: The chunk schema; parsed when used, as parsing needs a session.
@@ -46,6 +47,63 @@ def read_corpus(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return chunks.fillna(defaults).fillna({"approved_for_active_rag": False})
 
 
+# What a chunk of made-up law must be, by its source's kind and its status.
+SYNTHETIC_KINDS, SYNTHETIC_STATUS = ["unknown", "synthetic"], "sentetik_demo_kurali"
+
+
+def mode_blockers(mode: str) -> Column:
+    """Why a chunk may not be in a corpus of that mode: 'synthetic', 'snapshot' or 'public'. Null blocks, and so does an empty id."""
+    no_id = {"chunk_id": F.trim("chunk_id") == ""}
+    if mode == "synthetic":
+        return quality.blockers({**no_id, "source_kind": ~F.col("source_kind").isin(SYNTHETIC_KINDS), "status": F.col("status") != SYNTHETIC_STATUS})
+    gate = {"snapshot": quality.snapshot_blockers, "public": quality.public_blockers}[mode]
+    return F.concat(quality.blockers(no_id), gate())
+
+
+def read_trusted(spark: SparkSession, path: str, mode: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks of a corpus of a mode, and its binding; one chunk that the mode blocks, or one id twice, refuses all.
+
+    The refusal is decided by one aggregate over the corpus before anything is handed on, and names five chunks.
+    """
+    chunks = read_corpus(spark, path)
+    judged = chunks.select("chunk_id", mode_blockers(mode).alias("_b"))
+    faults = judged.filter(F.size("_b") > 0).select("chunk_id", F.array_join("_b", ",").alias("fault")).unionByName(dedup.repeated(chunks, "chunk_id").select("chunk_id", F.lit("repeated").alias("fault")))
+    few = faults.orderBy("chunk_id", "fault").limit(5).collect()
+    if few:
+        raise ValueError(f"not a {mode} corpus: " + "; ".join(f"{r['chunk_id']}: {r['fault']}" for r in few))
+    if mode == "synthetic":
+        chunks = chunks.withColumn("source_kind", F.lit("synthetic"))
+    return chunks, binding(chunks)
+
+
+def binding(chunks: DataFrame) -> DataFrame:
+    """One row (fingerprint, rows): the identity of a corpus, whatever the order of its chunks. Every column counts."""
+    return dedup.corpus_fingerprint(dedup.chunk_fingerprints(chunks, "chunk_id", sorted(chunks.columns)), "chunk_id")
+
+
+def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """path, page (from 1), text of the text layer of each PDF; needs the optional package pypdf on the executors.
+
+    A file that cannot be read gives one row with page 0 and null text. Files, not pages, are the unit of work.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+
+    def pages(batches):
+        from io import BytesIO
+
+        from pypdf import PdfReader
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows = [(name, n, page.extract_text() or "") for n, page in enumerate(PdfReader(BytesIO(content)).pages, 1)]
+                except Exception:  # noqa: BLE001 - malformed files raise whatever their bytes led to
+                    rows = [(name, 0, None)]
+                yield pd.DataFrame(rows, columns=["path", "page", "text"])
+
+    return files.mapInPandas(pages, "path string, page int, text string")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 

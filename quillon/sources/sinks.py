@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import quality
+
+#: Tasks over which the chunks of one domain are spread.
+FILES_A_PART = 16
+
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """One JSON object a line, nulls kept; committed as a whole by the file committer."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_corpus(chunks: DataFrame, path: str, partition: str = "domain") -> None:
-    """Chunks sorted within files and laid out by domain, so that domain filters read only their part."""
-    chunks.repartition(partition).sortWithinPartitions("chunk_id").write.mode("overwrite").partitionBy(partition).parquet(path)
+def write_corpus(chunks: DataFrame, path: str, partition: str = "domain", documents: DataFrame | None = None) -> None:
+    """Chunks sorted within files and laid out by domain, so that domain filters read only their part.
+
+    Ids that are null, empty or repeated refuse the write, and so do, with ``documents`` (document, chunk_count), counts
+    that the chunks do not bear out. A domain is split over tasks by a hash of the id, as one may hold most chunks.
+    """
+    bad = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR chunk_id IS NULL OR trim(chunk_id) = ''").orderBy("chunk_id").limit(5).collect()
+    if bad:
+        raise ValueError("chunk ids are repeated or missing: " + ", ".join(str(r["chunk_id"]) for r in bad))
+    faults = quality.envelope_faults(documents, chunks.withColumnRenamed("document_id", "document")).orderBy("document").limit(5).collect() if documents is not None else []
+    if faults:
+        raise ValueError("documents and chunks differ: " + ", ".join(f"{r['document']}: {r['fault']}" for r in faults))
+    spread = chunks.repartition(F.col(partition), F.pmod(F.xxhash64("chunk_id"), F.lit(FILES_A_PART)))
+    spread.sortWithinPartitions(partition, "chunk_id").write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def envelope(chunks: DataFrame, documents: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import chunking, dedup, dense, fusion, graph, lexical, metrics, quality, rules
+from quillon.operators import chunking, dedup, dense, domains, fusion, graph, lexical, metrics, quality, rules
 from quillon.plans import retrieval
 from quillon.sources import readers
 
@@ -194,3 +194,27 @@ def test_routing_fallback(spark):
     docs = spark.createDataFrame([(1, "Ankara yol onarım"), (2, "hiç")], "doc_id int, text string")
     got = {(r["doc"], r["rank"]): (r["unit"], r["score"], r["needs_review"]) for r in rules.route(docs, units, F.col("text"), fallback="u2").collect()}
     assert got[1, 1] == ("u1", 11.0, False) and got[2, 1] == ("u2", 0.0, True)
+
+
+def test_search_in_rounds(spark):
+    search = lambda qs: spark.createDataFrame([(q, f"{q}!") for q in qs], "query string, item string")
+    plans = {1: ["a", "b"], 2: [" A ", "c", "d", "c"], 3: ["e", "f", "g"], 4: ["h"]}
+    hits, asked = fusion.in_rounds(lambda n, seen: plans[n], search)
+    # Six calls in all; 'A' was asked; after three rounds four later queries are enough.
+    assert asked == [(1, "a"), (1, "b"), (2, "c"), (2, "d"), (3, "e"), (3, "f")]
+    assert {(r["round"], r["query"]) for r in hits.collect()} == set(asked)
+    hits, asked = fusion.in_rounds(lambda n, seen: ["a"] if n == 1 else ["A"], search)
+    assert asked == [(1, "a")] and hits.count() == 1
+    assert fusion.in_rounds(lambda n, seen: ["", " "], search) == (None, [])
+    wide, asked = fusion.in_rounds(lambda n, seen: [f"{n}{i}" for i in range(9)], search, fusion.Bounds(calls=99, enough=99))
+    assert len(asked) == 16 and wide.count() == 16
+
+
+def test_domains_of_odd_rows(spark):
+    rules = {"road": [("yol", 4)], "sea": [("gemi", 4)]}
+    docs = spark.createDataFrame([(1, None, None), (2, "", "road"), (3, "YOL", "??"), (4, "yol gemi", None), (4, "yol gemi", None)], "id int, text string, named string")
+    law = domains.legislation_domain(docs, F.col("text"), rules, {}, ["sea"], ["road"], ["yol"]).orderBy("id").collect()
+    assert [(r["domain"], r["confidence"], r["ambiguous"]) for r in law] == [("unknown", 0.0, False), ("unknown", 0.0, False), ("road", 0.82, False), ("road", 0.62, True), ("road", 0.62, True)]
+    found = domains.retrieval_domain(docs, F.col("text"), F.lit(None).cast("string"), F.col("named"), rules, {}).orderBy("id").collect()
+    assert [(r["domain"], r["status"]) for r in found] == [(None, "none"), ("road", "explicit"), (None, "inactive"), ("road", "resolved"), ("road", "resolved")]
+    assert domains.legislation_domain(docs.limit(0), F.col("text"), rules, {}, [], [], []).count() == 0

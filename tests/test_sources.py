@@ -117,3 +117,52 @@ def test_zipped_sides_of_unequal_length_fail(spark):
     assert [tuple(r) for r in chunking.zipped(a.limit(1), b, "i").collect()] == [(1, "x", "z")]
     with pytest.raises(Exception, match="differ in length"):
         chunking.zipped(a, b, "i").collect()
+
+
+def _chunk(number, **changes):
+    row = {"chunk_id": f"c{number}", "document_id": "d", "title": "t", "section": "s", "article": "a", "text": f"x{number}", "source": "data/x.pdf", "context_text": "c", "source_sha256": "a" * 64, "domain": "road_transport", "page": 1, "page_end": 2, "source_url": "https://a.org/x"}
+    return {**row, **changes}
+
+
+def _corpus(tmp_path, name, rows):
+    path = tmp_path / f"{name}.json"
+    path.write_text(json.dumps({"dataset_name": name, "data": rows}))
+    return str(path)
+
+
+PUBLIC = {"source_kind": "public_legislation", "approved_for_active_rag": True, "validity_status": "verified", "ocr_status": "ocr_verified"}
+SNAPSHOT = {"source_kind": "competition_snapshot", "approved_for_active_rag": False, "validity_status": "needs_verification", "status": "competition_snapshot_not_currentness_verified", "ocr_status": "text_layer_available"}
+
+
+def test_trusted_corpora_by_mode(spark, tmp_path):
+    made = {"status": readers.SYNTHETIC_STATUS}
+    for mode, extra in (("synthetic", made), ("public", PUBLIC), ("snapshot", SNAPSHOT)):
+        rows = [_chunk(i, **extra) for i in (1, 2)]
+        chunks, bound = readers.read_trusted(spark, _corpus(tmp_path, mode, rows), mode)
+        assert chunks.count() == 2 and bound.first()["rows"] == 2
+        again = readers.read_trusted(spark, _corpus(tmp_path, f"{mode}2", rows[::-1]), mode)[1]
+        assert again.first() == bound.first()
+        changed = readers.read_trusted(spark, _corpus(tmp_path, f"{mode}3", [rows[0], {**rows[1], "text": "y"}]), mode)[1]
+        assert changed.first()["fingerprint"] != bound.first()["fingerprint"]
+        for other in {"synthetic", "public", "snapshot"} - {mode}:
+            with pytest.raises(ValueError, match="c1"):
+                readers.read_trusted(spark, _corpus(tmp_path, "other", rows), other)
+    assert {r[0] for r in readers.read_trusted(spark, _corpus(tmp_path, "s", [_chunk(1, **made)]), "synthetic")[0].select("source_kind").collect()} == {"synthetic"}
+    with pytest.raises(ValueError, match="repeated"):
+        readers.read_trusted(spark, _corpus(tmp_path, "twice", [_chunk(1, **PUBLIC)] * 2), "public")
+    with pytest.raises(ValueError, match="chunk_id"):
+        readers.read_trusted(spark, _corpus(tmp_path, "blank", [_chunk(1, **{**PUBLIC, "chunk_id": " "})]), "public")
+
+
+def test_corpus_writer_refuses(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "d1", "road"), ("b", "d1", "road"), ("c", "d2", "sea")], "chunk_id string, document_id string, domain string")
+    counts = spark.createDataFrame([("d1", 2), ("d2", 1)], "document string, chunk_count int")
+    sinks.write_corpus(rows, str(tmp_path / "ok"), documents=counts)
+    assert spark.read.parquet(str(tmp_path / "ok")).filter("domain = 'road'").count() == 2
+    with pytest.raises(ValueError, match="a"):
+        sinks.write_corpus(rows.union(rows.limit(1)), str(tmp_path / "no"))
+    with pytest.raises(ValueError, match="missing"):
+        sinks.write_corpus(rows.withColumn("chunk_id", F.lit(None).cast("string")), str(tmp_path / "no"))
+    with pytest.raises(ValueError, match="d2"):
+        sinks.write_corpus(rows, str(tmp_path / "no"), documents=counts.filter("document = 'd1'"))
+    assert not (tmp_path / "no").exists()
