@@ -52,6 +52,30 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def similar_sets(rows: DataFrame, group: str, key: str, tokens: str, threshold: float) -> DataFrame:
+    """Pairs of token sets of one group whose Jaccard similarity reaches the threshold: group, a, b, copies_a, copies_b, jaccard.
+
+    Equal sets form a class named by its least key, so copies make no pairs: pairs are of classes, with their copies.
+    Similar sets share one of their first tokens in any common order, as many as the threshold leaves room for; rare
+    tokens come first, so hot ones are hardly ever met, and only sets that meet and fit in size are compared. Empty and
+    null sets are like nothing.
+    """
+    sets = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("w")).filter(F.size("w") > 0)
+    classes = sets.groupBy("g", "w").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    each = classes.select("g", "rep", F.size("w").alias("n"), F.explode("w").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    rare = Window.partitionBy("g", "rep").orderBy("f", "t")
+    # A hair less than the threshold, so that no rounding shortens the beginnings.
+    first = F.col("n") - F.ceil(F.col("n") * (threshold - 1e-9)) + 1
+    posts = each.join(often, "t").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= first).select("g", "t", "rep", "n")
+    a, b = posts.select("g", "t", F.col("rep").alias("a"), F.col("n").alias("na")), posts.select("g", "t", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("na") >= F.col("nb") * (threshold - 1e-9)) & (F.col("nb") >= F.col("na") * (threshold - 1e-9))
+    met = a.join(b, ["g", "t"]).filter((F.col("a") < F.col("b")) & near).select("g", "a", "b").distinct()
+    side = lambda name: classes.select("g", F.col("rep").alias(name), F.col("w").alias(f"w{name}"), F.col("copies").alias(f"copies_{name}"))
+    both = met.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).withColumn("jaccard", jaccard(F.col("wa"), F.col("wb")))
+    return both.filter(F.col("jaccard") >= threshold).select(F.col("g").alias(group), "a", "b", "copies_a", "copies_b", F.round("jaccard", 6).alias("jaccard"))
+
+
 def greedy_distinct(items: Column, threshold: float, keep: int | None = None) -> Column:
     """From an ordered array of struct(id, tokens): those not too like one kept before them."""
     start = F.slice(items, 1, 0)

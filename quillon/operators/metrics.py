@@ -76,9 +76,14 @@ def control_metrics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if(F.col("expected_abstain") & ~F.col("abstained")).alias("false_answers"), F.count_if(~F.col("expected_abstain") & F.col("abstained")).alias("false_abstentions"), F.count(F.lit(1)).alias("queries"))
 
 
-def pass_by_category(rows: DataFrame, category: str, passed: str, key: str) -> DataFrame:
-    """Pass ratios with the failed ids; a category's failures are a report and stay few."""
-    return rows.groupBy(category).agg(*ratio(F.col(passed), "pass_rate"), F.array_sort(F.collect_list(F.when(~F.col(passed), F.col(key)))).alias("failed"))
+def pass_by_category(rows: DataFrame, category: str, passed: str) -> DataFrame:
+    """Pass ratios; what failed is ``failures``, a table of its own, as a category's failures may be many."""
+    return rows.groupBy(category).agg(*ratio(F.col(passed), "pass_rate"))
+
+
+def failures(rows: DataFrame, category: str, passed: str, key: str) -> DataFrame:
+    """The keys of the rows that did not pass, with their category; a verdict that is null did not pass."""
+    return rows.filter(~F.coalesce(F.col(passed), F.lit(False))).select(category, key)
 
 
 def nearest_rank(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -134,22 +134,35 @@ def missing_fields(required: Column, present: Column) -> Column:
 def route(docs: DataFrame, units: DataFrame, text: Column, id_column: str = "doc_id", fallback: str | None = None, k: int = 4) -> DataFrame:
     """Ranked units (unit, keywords, responsibilities, places): 4 a keyword, 1 a responsibility token, 6 a place.
 
-    A best score under 4 puts the fallback unit first. Only the best ``k`` of each document are kept.
+    A best score under 4 puts the fallback unit first. Only the best ``k`` of each document are kept. Few units are one
+    array beside every row, in which each document ranks them by itself: no rows of pairs, no shuffle. More are matched
+    in pairs, and each document's are brought together again.
     """
-    slim = docs.select(docs[id_column].alias("doc"), for_search(text).alias("_q")).withColumn("_qt", F.array_distinct(F.regexp_extract_all("_q", F.lit("[0-9a-zçğıöşü]+"), F.lit(0))))
-    listed = units.withColumn("_rt", F.array_distinct(tokens(F.array_join("responsibilities", " "))))
-    pairs = slim.join(small(listed))
-    n_key = F.size(F.filter("keywords", lambda x: F.contains(F.col("_q"), for_search(x))))
-    n_place = F.size(F.filter("places", lambda x: F.contains(F.col("_q"), for_search(x))))
-    scored = pairs.select("doc", "unit", (4 * n_key + F.size(F.array_intersect("_qt", "_rt")) + 6 * n_place).cast("double").alias("score"))
-    best = Window.partitionBy("doc").orderBy(F.desc("score"), "unit")
-    ranked = scored.withColumn("_top", F.max("score").over(Window.partitionBy("doc")))
-    lifted = (F.col("_top") < 4) & (F.col("unit") == fallback) if fallback else F.lit(False)
-    order = Window.partitionBy("doc").orderBy(F.when(lifted, 0).otherwise(1), F.desc("score"), "unit")
-    out = ranked.withColumn("rank", F.row_number().over(order)).withColumn("_second", F.lead("score").over(order)).filter(F.col("rank") <= k)
-    margin = F.round(F.greatest(F.col("score") - F.coalesce("_second", F.lit(0.0)), F.lit(0.0)) / F.greatest("score", F.lit(1.0)), 2)
-    review = (F.col("score") < 4) | ((F.coalesce("_second", F.lit(0.0)) > 0) & (margin < 0.20))
-    return out.withColumn("margin", margin).withColumn("needs_review", review).select("doc", "unit", "score", "rank", "margin", "needs_review")
+    slim = once(docs.select(docs[id_column].alias("doc"), for_search(text).alias("_q")), _qt=F.array_distinct(F.regexp_extract_all("_q", F.lit("[0-9a-zçğıöşü]+"), F.lit(0))))
+    folded = lambda c: F.transform(c, lambda x: for_search(x))
+    listed = units.select("unit", folded("keywords").alias("_k"), F.array_distinct(tokens(F.array_join("responsibilities", " "))).alias("_rt"), folded("places").alias("_p"))
+
+    def score(u: Column) -> Column:
+        held = lambda xs: F.size(F.filter(xs, lambda x: F.contains(F.col("_q"), x)))
+        points = (4 * held(u["_k"]) + F.size(F.array_intersect("_qt", u["_rt"])) + 6 * held(u["_p"])).cast("double")
+        # Ascending order is best first, ties by unit.
+        return F.struct((-points).alias("lost"), u["unit"].alias("unit"))
+
+    if listed.limit(LITERAL_RULES + 1).count() <= LITERAL_RULES:
+        beside = listed.agg(F.collect_list(F.struct("unit", "_k", "_rt", "_p")).alias("_units"))
+        each = once(slim.join(F.broadcast(beside)), _s=F.array_sort(F.transform("_units", score))).select("doc", "_s")
+    else:
+        # Rows of one id stay apart by their number within the id.
+        numbered = slim.withColumn("_i", F.monotonically_increasing_id())
+        each = numbered.join(small(listed)).select("doc", "_i", score(F.struct("unit", "_k", "_rt", "_p")).alias("_u")).groupBy("doc", "_i").agg(F.array_sort(F.collect_list("_u")).alias("_s"))
+    first = F.lit(False) if fallback is None else F.get("_s", F.lit(0))["lost"] > -4
+    lifted = F.concat(F.filter("_s", lambda u: u["unit"] == fallback), F.filter("_s", lambda u: u["unit"] != fallback))
+    ranked = once(each, _r=F.when(first, lifted).otherwise(F.col("_s")))
+    out = ranked.select("doc", "_r", F.posexplode(F.slice("_r", 1, k)).alias("_n", "_u"))
+    points, second = -F.col("_u.lost"), F.coalesce(-F.get("_r", F.col("_n") + 1)["lost"], F.lit(0.0))
+    margin = F.round(F.greatest(points - second, F.lit(0.0)) / F.greatest(points, F.lit(1.0)), 2)
+    review = (points < 4) | ((second > 0) & (margin < 0.20))
+    return out.select("doc", F.col("_u.unit").alias("unit"), points.alias("score"), (F.col("_n") + 1).alias("rank"), margin.alias("margin"), review.alias("needs_review"))
 
 
 def template_for(kind: Column, table: dict[str, str], default: str) -> Column:

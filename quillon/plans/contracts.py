@@ -68,12 +68,12 @@ def greedy_near_dups(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("conv_id", F.array_join(F.transform(dedup.greedy_distinct(F.col("items"), 0.5), lambda x: x["id"].cast("string")), ",").alias("kept"))
 
 
-@R.add(f"WITH t AS (SELECT conv_id, turn, list_distinct({_CT}) AS w FROM conversations) SELECT a.conv_id, a.turn AS a, b.turn AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1), 6) AS jaccard FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn")
+@R.add(f"""WITH t AS (SELECT conv_id, list_sort(list_distinct({_CT})) AS w, min(turn) AS rep, count(*) AS copies FROM conversations GROUP BY 1, 2),
+p AS (SELECT a.conv_id, a.rep AS a, b.rep AS b, a.copies AS copies_a, b.copies AS copies_b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.rep < b.rep)
+SELECT conv_id, a, b, copies_a, copies_b, round(i / (n - i), 6) AS jaccard FROM p WHERE i > 0 AND i / (n - i) >= 0.2""")
 def jaccard_turns(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(X.search_tokens(F.col("text"))).alias("w"))
-    a, b = t.select("conv_id", F.col("turn").alias("a"), F.col("w").alias("wa")), t.select("conv_id", F.col("turn").alias("b"), F.col("w").alias("wb"))
-    pairs = a.join(b, "conv_id").filter("a < b")
-    return pairs.select("conv_id", "a", "b", F.round(F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size(F.array_union("wa", "wb")), F.lit(1)), 6).alias("jaccard"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.array_distinct(X.search_tokens(F.col("text"))).alias("w"))
+    return dedup.similar_sets(turns, "conv_id", "turn", "w", 0.2)
 
 
 @R.add("SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > 45 THEN 'quantity' END, CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_returnflag = 'R' THEN 'returned' END], lambda x: x IS NOT NULL), ',') AS blockers FROM lineitem")

@@ -159,10 +159,18 @@ def metric_delta(spark: SparkSession, d: str) -> DataFrame:
     return metrics.metric_delta(run(F.col("o_orderdate") < at), run(F.col("o_orderdate") >= at))
 
 
-@R.add(f"WITH {_CLASSIFIED} SELECT d.lang, round(count(*) FILTER (WHERE c.label = 'prose') / count(*), 4) AS pass_rate, count(*) FILTER (WHERE c.label = 'prose') AS pass_rate_num, count(*) AS pass_rate_den, coalesce(string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY d.doc_id) FILTER (WHERE coalesce(c.label, '') <> 'prose'), '') AS failed FROM documents d LEFT JOIN c ON c.doc = d.doc_id GROUP BY d.lang")
+@R.add(f"WITH {_CLASSIFIED} SELECT d.lang, round(count(*) FILTER (WHERE c.label = 'prose') / count(*), 4) AS pass_rate, count(*) FILTER (WHERE c.label = 'prose') AS pass_rate_num, count(*) AS pass_rate_den FROM documents d LEFT JOIN c ON c.doc = d.doc_id GROUP BY d.lang")
 def pass_by_category(spark: SparkSession, d: str) -> DataFrame:
-    both = _classified(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang"), "doc").withColumn("ok", F.col("label") == "prose")
-    return metrics.pass_by_category(both, "lang", "ok", "doc").withColumn("failed", F.array_join(F.col("failed").cast("array<string>"), ","))
+    return metrics.pass_by_category(_prose(spark, d), "lang", "ok")
+
+
+@R.add(f"WITH {_CLASSIFIED} SELECT d.lang, d.doc_id AS doc FROM documents d LEFT JOIN c ON c.doc = d.doc_id WHERE coalesce(c.label, '') <> 'prose'")
+def failed_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.failures(_prose(spark, d), "lang", "ok", "doc")
+
+
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    return _classified(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "lang"), "doc").withColumn("ok", F.col("label") == "prose")
 
 
 PRIVATE = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "PHONE": r"\+?1? ?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "SECRET": r"AKIA[A-Z0-9]{16}", "ACCOUNT": r"TR[0-9]{24}"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import quality
+from quillon.operators import dedup, quality
 
 #: Tasks over which the chunks of one domain are spread.
 FILES_A_PART = 16
@@ -76,9 +76,10 @@ def process_id_fits(c: Column) -> Column:
 
 
 def build_manifest(files: DataFrame) -> DataFrame:
-    """One row over written files (path, content): number, bytes and a digest of their digests."""
-    each = files.select("path", F.length("content").alias("b"), F.sha2("content", 256).alias("d"))
-    return each.agg(F.count(F.lit(1)).alias("files"), F.sum("b").alias("bytes"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+    """One row over written files (path, content): number, bytes and a digest of paths and contents, however many there are."""
+    each = files.select("path", F.length("content").alias("b"), F.sha2("content", 256).alias("digest"))
+    whole = dedup.corpus_fingerprint(each, "path").select(F.col("rows").alias("files"), F.col("fingerprint").alias("digest"))
+    return whole.join(each.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))).select("files", "bytes", "digest")
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:

@@ -64,11 +64,13 @@ def streamed_state(events: DataFrame, terminal: list[str], key: str = "document"
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, n, at = state.get if state.exists else (None, 0, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for s, t in zip(rows["status"], rows["ts"], strict=True):
-            if status in terminal:
-                break
-            status, n, at = s, n + 1, t if at is None else max(at, t)
+        if status not in terminal:
+            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            # Up to and including the first event that ends the document.
+            ended = rows["status"].isin(terminal)
+            rows = rows[ended.cumsum() - ended == 0]
+            last = rows["ts"].max()
+            status, n, at = rows["status"].iloc[-1], n + len(rows), last if at is None else max(at, last)
         state.update((status, n, at))
         yield pd.DataFrame({key: [name[0]], "status": [status], "events": [n], "updated_at": [at]})
 

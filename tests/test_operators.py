@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,32 @@ def test_domains_of_odd_rows(spark):
     found = domains.retrieval_domain(docs, F.col("text"), F.lit(None).cast("string"), F.col("named"), rules, {}).orderBy("id").collect()
     assert [(r["domain"], r["status"]) for r in found] == [(None, "none"), ("road", "explicit"), (None, "inactive"), ("road", "resolved"), ("road", "resolved")]
     assert domains.legislation_domain(docs.limit(0), F.col("text"), rules, {}, [], [], []).count() == 0
+
+
+def test_similar_sets_match_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(g, k, [f"t{min(int(rng.expovariate(0.25)), 30)}" for _ in range(rng.randint(0, 9))]) for g in range(4) for k in range(40)]
+    rows += [(1, 100 + k, ["x", "y"]) for k in range(30)] + [(1, 99, None)]
+    for threshold in (0.2, 0.5, 2 / 3, 0.8, 1.0):
+        got = dedup.similar_sets(spark.createDataFrame(rows, "g int, k int, w array<string>"), "g", "k", "w", threshold)
+        classes: dict = {}
+        for g, k, w in rows:
+            if w:
+                classes.setdefault((g, frozenset(w)), []).append(k)
+        want = set()
+        for (g, x), ks in classes.items():
+            for (h, y), js in classes.items():
+                if g == h and min(ks) < min(js) and len(x & y) / len(x | y) >= threshold:
+                    want.add((g, min(ks), min(js), len(ks), len(js), round(len(x & y) / len(x | y), 6)))
+        assert {tuple(r) for r in got.collect()} == want
+        assert got.count() == len(want)
+
+
+def test_many_units_route_as_few_do(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "yol asfalt ankara"), (2, ""), (3, None), (4, "gemi"), (4, "gemi")], "doc_id int, text string")
+    units = spark.createDataFrame([("a", ["yol"], ["asfalt işi"], ["ankara"]), ("b", ["gemi"], [], []), ("c", [], [], [])], "unit string, keywords array<string>, responsibilities array<string>, places array<string>")
+    few = sorted(map(tuple, rules.route(docs, units, F.col("text"), fallback="c", k=2).collect()), key=repr)
+    monkeypatch.setattr(rules, "LITERAL_RULES", 1)
+    assert sorted(map(tuple, rules.route(docs, units, F.col("text"), fallback="c", k=2).collect()), key=repr) == few
+    assert [r[1:4] for r in few if r[0] == 1] == [("a", 11.0, 1), ("b", 0.0, 2)]
+    assert {r[1]: r[3] for r in few if r[0] == 2} == {"c": 1, "a": 2} and len([r for r in few if r[0] == 4]) == 4
