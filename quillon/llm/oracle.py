@@ -108,4 +108,54 @@ SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(r) FR
 FROM d LEFT JOIN n USING (doc_id)"""
 
 
-SQL = {"op1_quality_rules": op1(), "op2_url_filters": op2(), "op6_secret_scan": op6(), "op8_trie_join": op8()}
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of ASCII text, four bits at a time."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ 0xEDB88320 * (value & 1)
+        table.append(value)
+    half = lambda c: f"xor({c} >> 4, {table}[({c} & 15) + 1])"
+    low = f"list_transform([xor(c, b)], lambda x: {half('x')})"
+    step = f"list_transform({low}, lambda y: {half('y')})[1]"
+    return f"xor(list_reduce(list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii({text}[i]) AS BIGINT)), lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def op13() -> str:
+    # Lists of nodes instead of joins: each level of a source is one list, and six levels hold 16 ** 6 leaves of a source.
+    levels = 6
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field(text)]) + ")"
+    up = lambda below: f"CASE WHEN len({below}) > 1 THEN list_transform(range((len({below}) + 15) // 16), lambda r: sha256(array_to_string({below}[r*16+1:r*16+16], ''))) ELSE {below} END"
+
+    def climbing(name: str, base: str) -> str:
+        out = f"{name}0 AS ({base})"
+        for k in range(levels):
+            out += f",\n{name}{k + 1} AS (SELECT *, {up(f'l{k}')} AS l{k + 1} FROM {name}{k})"
+        return out
+
+    run = lambda k, i: f"(({i}) // {16**k} // 16)"
+
+    def sides(k: int, i: str, t: str) -> tuple[str, str, str]:
+        """What stands before and after a node's place at level k, and whether there is a run at all."""
+        return f"array_to_string({t}.l{k}[{run(k, i)}*16+1:(({i}) // {16**k})], '')", f"array_to_string({t}.l{k}[(({i}) // {16**k})+2:{run(k, i)}*16+16], '')", f"len({t}.l{k}) > 1"
+
+    steps = [sides(k, "x.i", "t") for k in range(levels)] + [sides(k, "t.j", "u") for k in range(levels)]
+    said = " || ".join(f"CASE WHEN {some} THEN {a} || {b} ELSE '' END" for a, b, some in steps)
+    ways = ", ".join(f"CASE WHEN {some} THEN [{a}, {b}] END AS s{k}" for k, (a, b, some) in enumerate(steps))
+    folds = ""
+    for k in range(len(steps)):
+        folds += f",\nf{k} AS (SELECT * EXCLUDE (h), CASE WHEN s{k} IS NULL THEN h ELSE sha256(s{k}[1] || h || s{k}[2]) END AS h FROM {f'f{k - 1}' if k else 'w'})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS g, {leaf("text")} AS leaf,
+  CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM documents),
+x AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{climbing("t", "SELECT g, list(leaf ORDER BY i) AS l0 FROM x GROUP BY g")},
+t AS (SELECT *, l{levels}[1] AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS j FROM t{levels}),
+{climbing("u", "SELECT list(subroot ORDER BY j) AS l0 FROM t")},
+u AS (SELECT *, l{levels}[1] AS root FROM u{levels}),
+w AS (SELECT x.doc_id, x.leaf, t.subroot, u.root, sha256({said}) AS proof_sha256, coalesce(x.changed, x.leaf) AS h, {ways} FROM x JOIN t USING (g), u){folds}
+SELECT doc_id, leaf, subroot, root, proof_sha256, h AS folded_root, h = root AS verified FROM f{len(steps) - 1}"""
+
+
+SQL = {"op1_quality_rules": op1(), "op2_url_filters": op2(), "op6_secret_scan": op6(), "op8_trie_join": op8(), "op13_merkle_manifest": op13()}
