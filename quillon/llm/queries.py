@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, gif_media, merge_dropout, merkle, pii_boost, ppm_langid, quality_rules, secret_scan, toxicity, trie_join, url_filter
+from . import fair_mix, gif_media, merge_dropout, merkle, pii_boost, ppm_langid, quality_rules, secret_scan, token_alignment, toxicity, trie_join, url_filter
 from .oracle import SQL
 from .shared import held_out
 
@@ -98,12 +98,20 @@ def op10_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(pii_boost.joined(base), 256).alias("base_sha256"), pii_boost.joined(spans).alias("spans"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = []
+    for path in (token_alignment.FIRST_MODEL, token_alignment.SECOND_MODEL):
+        with open(path, "rb") as f:
+            models.append(f.read())
+    return token_alignment.token_links(_read(spark, sf_dir, "documents", "doc_id", "text"), *models)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_gif_media, op4_fair_mix, op5_merge_dropout, op6_secret_scan, op7_toxicity, op8_trie_join, op9_ppm_langid, op10_pii_boost, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_gif_media, op4_fair_mix, op5_merge_dropout, op6_secret_scan, op7_toxicity, op8_trie_join, op9_ppm_langid, op10_pii_boost, op11_token_alignment, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -34,15 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet, with options of the writer, and read it back.
 
     A lost executor costs no recomputation of what is written. The files go with ``drop_written``, or when the driver's
     process ends, as a result that reads them may be computed at any time until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
