@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fair_mix, gif_media, merge_dropout, merkle, pii_boost, ppm_langid, quality_rules, secret_scan, token_alignment, toxicity, trie_join, url_filter
+from . import fair_mix, gif_media, merge_dropout, merkle, page_text, pii_boost, ppm_langid, quality_rules, secret_scan, token_alignment, toxicity, trie_join, url_filter
 from .oracle import SQL
 from .shared import held_out
 
@@ -106,12 +106,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.token_links(_read(spark, sf_dir, "documents", "doc_id", "text"), *models)
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(_read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_gif_media, op4_fair_mix, op5_merge_dropout, op6_secret_scan, op7_toxicity, op8_trie_join, op9_ppm_langid, op10_pii_boost, op11_token_alignment, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_url_filters, op3_gif_media, op4_fair_mix, op5_merge_dropout, op6_secret_scan, op7_toxicity, op8_trie_join, op9_ppm_langid, op10_pii_boost, op11_token_alignment, op12_page_text, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
