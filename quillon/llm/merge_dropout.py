@@ -101,23 +101,17 @@ def _places(left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarr
     return left.astype(np.uint64) * _U(_A) + right.astype(np.uint64) * _U(_B) + length.astype(np.uint64)
 
 
-_steps: dict[int, list[np.ndarray]] = {}
+def _spans_hashed(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each of the stretches that cover the code points: every point is mixed with its place before they are summed."""
+    place = np.arange(len(points)) - np.repeat(starts, lengths)
+    return _mix(np.add.reduceat(_mix(points.astype(np.uint64) << _U(40) | place.astype(np.uint64)), starts) ^ lengths.astype(np.uint64))
 
 
-def _spans_hashed(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: int) -> np.ndarray:
-    """A polynomial hash, modulo 2 ** 64, of each stretch of code points; there are two of them."""
-    base = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[which]
-    if which not in _steps or len(_steps[which][0]) < len(points):
-        n = max(len(points), BATCH_CHARS)
-        _steps[which] = []
-        for b in (base, pow(base, -1, 2**64)):
-            powers = np.full(n, b, dtype=np.uint64)
-            powers[0] = 1
-            _steps[which].append(np.multiply.accumulate(powers))
-    up, down = _steps[which]
-    sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum((points.astype(np.uint64) + _U(0x632BE59BD9B4E019)) * up[: len(points)], out=sums[1:])
-    return _mix((sums[starts + lengths] - sums[starts]) * down[starts])
+def _differ(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which stretches are not equal, point by point, to the stretches at the places ``like``."""
+    there = np.repeat(starts[like] - starts, lengths) + np.arange(len(points))
+    wrong = points[np.minimum(there, len(points) - 1)] != points
+    return np.flatnonzero((np.add.reduceat(wrong.astype(np.int64), starts) > 0) | (lengths[like] != lengths))
 
 
 class PairTable:
@@ -329,10 +323,9 @@ class PieceCoder:
         owner = np.searchsorted(bounds, starts, side="right") - 1
         place = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[owner]
         draws = _mix(_mix(np.asarray([k % 2**64 for k in keys], dtype=np.uint64)[owner] + _U(self.seed)) + place.astype(np.uint64))
-        # Two hashes of each stretch; the first finds equal ones, the second makes sure of them.
-        one, two = (_spans_hashed(points, starts, lengths, k) for k in (0, 1))
-        _, rep, which = np.unique(_mix(one ^ lengths.astype(np.uint64)), return_index=True, return_inverse=True)
-        odd = np.flatnonzero((two[rep[which]] != two) | (lengths[rep[which]] != lengths))
+        # Equal hashes find equal stretches; their code points make sure of it.
+        _, rep, which = np.unique(_spans_hashed(points, starts, lengths), return_index=True, return_inverse=True)
+        odd = _differ(points, starts, lengths, rep[which])
         if len(odd):
             which[odd] = len(rep) + np.arange(len(odd))
             rep = np.concatenate([rep, odd])

@@ -15,8 +15,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _rng = np.random.Generator(np.random.PCG64(20240817))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 2**63, SIZE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,28 +25,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, PIECE + 1)
-        _powers.clear()
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of lower-cased bytes."""
     raw = np.frombuffer(data, dtype=np.uint8)
     space = _SPACE[raw]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return starts, mixed((sums[ends] - sums[starts]) * down[starts])
+    if not len(starts):
+        return starts, np.empty(0, dtype=np.uint64)
+    sizes = ends - starts
+    firsts = np.cumsum(sizes) - sizes
+    # Every byte is mixed with its place in the word before they are summed: a sum of powers has words that collide
+    # whatever its base is.
+    place = (np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)).astype(np.uint64)
+    return starts, mixed(np.add.reduceat(mixed(_BYTE[raw[~space]] + place * _STEP), firsts))
 
 
 def _pieces(data: bytes) -> list[bytes]:
