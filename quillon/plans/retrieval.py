@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import dense, fusion, lexical, metrics
+from quillon.operators import dense, fusion, lexical, lexical_index, metrics, storage
 
 from .base import Registry, search_tokens_sql, table, tokens_sql
 
@@ -47,14 +47,27 @@ hits AS (SELECT query, doc, round(sum({_weight(1.5)}), 6) AS score, string_agg(t
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM hits WHERE score > 0) WHERE rank <= {TOP})"""
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> lexical_index.Index:
+    """The stored index of the documents: built by the first query that asks for it, and anew when the table's files differ."""
+    docs = _docs(spark, d)
+    state = (spark.sparkContext.applicationId, storage.signature(docs))
+    if state not in _indexes:
+        path = storage.new_folder(spark, "bm25")
+        lexical_index.append(docs, X.search_tokens(F.col("text")), path)
+        _indexes[state] = path
+    return lexical_index.Index(spark, _indexes[state])
+
+
 @R.add(f"WITH {_POST} SELECT term, df FROM stat")
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.term_stats(lexical.postings(_docs(spark, d), X.search_tokens(F.col("text")))).filter(F.col("term") != lexical.DOCUMENT)
+    return _index(spark, d).terms()
 
 
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).select("doc_id", X.search_tokens(F.col("text")).alias("t"))
-    return lexical.bm25_top_k(_asked(spark, d), docs, F.col("t"), TOP)
+    return _index(spark, d).search(_asked(spark, d), TOP)
 
 
 @R.add(f"WITH {_POST}, {_ITEM} SELECT query, doc, CAST(rank AS INTEGER) AS rank, score, matched FROM bm")
@@ -62,14 +75,24 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d).select("query", "doc", "rank", "score", F.array_join("matched_terms", " ").alias("matched"))
 
 
+@R.add(f"WITH {_POST}, {_ITEM} SELECT query, doc, CAST(rank AS INTEGER) AS rank, score, matched FROM bm")
+def bm25_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits from an index to which the documents came in three runs."""
+    docs, path = _docs(spark, d), storage.new_folder(spark, "bm25-appended")
+    for part in range(3):
+        lexical_index.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part), X.search_tokens(F.col("text")), path)
+    hits = lexical_index.Index(spark, path).search(_asked(spark, d), TOP)
+    return hits.select("query", "doc", "rank", "score", F.array_join("matched_terms", " ").alias("matched"))
+
+
 @R.add(f"WITH {_POST} SELECT doc, term, round({_weight(1.2)}, 6) AS weight FROM post JOIN stat USING (term) JOIN len USING (doc), corpus")
 def bm25_sparse_weights(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.sparse_weights(_docs(spark, d).select("doc_id", X.search_tokens(F.col("text")).alias("t")), F.col("t"))
+    return _index(spark, d).weights()
 
 
 @R.add(f"WITH {_POST} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM stat")
 def term_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.vocabulary(lexical.postings(_docs(spark, d), X.search_tokens(F.col("text")))).select("term", F.col("term_id").cast("long").alias("term_id"))
+    return lexical.vocabulary(_index(spark, d).terms()).select("term", F.col("term_id").cast("long").alias("term_id"))
 
 
 _V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
