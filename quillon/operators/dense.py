@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import products
+
+#: Pairs of columns, of queries and of vectors.
+Names = tuple[tuple[str, str], ...]
 #: Query vectors up to this many are broadcast at once; more are matched in blocks of the queries, one after the other.
-BROADCAST_QUERIES = 10_000
+BROADCAST_QUERIES, BROADCAST_BYTES = 10_000, 64 << 20
 
 
 def norm(v: Column) -> Column:
@@ -33,15 +39,62 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, keep: Column | None = None) -> DataFrame:
-    """``queries`` (query, qv) against ``vectors`` (item, v, ...): query, item, rank, score rounded to 6.
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, equal: Names = (), differ: Names = ()) -> DataFrame:
+    """``queries`` (query, qv, ...) against ``vectors`` (item, v, ...): query, item, rank, score rounded to 6.
 
-    ``keep`` is a trust filter on the vectors, and may use the query's columns. Each partition of the vectors first
-    keeps its own best, so only k rows a query and partition are shuffled. Queries beyond the bound are split by hash
-    into blocks, each of which is broadcast; a query's rows share a block, so its top k is exact.
+    ``equal`` and ``differ`` name pairs of columns, of the queries and of the vectors, that have to agree or to differ;
+    null does neither. Scores are matrix products of blocks inside each task, which keeps its own best, so only k rows a
+    query and task are shuffled. Queries beyond the bound are split by hash into blocks, each of which is broadcast; a
+    query's rows share a block, so its top k is exact. Vectors and queries that are null, zero, not finite or of another
+    dimension have no scores. Ties go to the least item.
     """
-    blocks = in_blocks(queries, BROADCAST_QUERIES, F.xxhash64(F.lit(5), "query"))
-    return reduce(DataFrame.unionByName, [_block_top_k(b, vectors, k, keep) for b in blocks])
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+
+    def top(asked: products.Asked, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        kept = products.Best(k)
+        for batch in batches:
+            for first, held, scores in asked.scores(batch, equal, differ):
+                kept.add(first, held.column(held.schema.get_field_index("item")), scores)
+        if (found := kept.table(asked.ids)) is not None:
+            yield found
+
+    hits = _multiplied(queries, vectors, top, [], equal, differ)
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def cosine_best(queries: DataFrame, vectors: DataFrame, group: str, equal: Names = (), differ: Names = ()) -> DataFrame:
+    """(query, group, item, score): of each block of vectors the best item of each group; for ``best_per_chunk``."""
+
+    def best(asked: products.Asked, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            for first, held, scores in asked.scores(batch, equal, differ, (group, "item")):
+                column = lambda c: held.column(held.schema.get_field_index(c))  # noqa: B023, E731
+                for row, place, score in products.best_of_groups(held, group, scores):
+                    yield pa.table({"query": asked.ids.take(pa.array(row + first)), "item": column("item").take(pa.array(place)), "score": pa.array(score), group: column(group).take(pa.array(place))})
+
+    return _multiplied(queries, vectors, best, [group], equal, differ)
+
+
+def _multiplied(queries: DataFrame, vectors: DataFrame, run: Callable, carry: list[str], equal: Names, differ: Names) -> DataFrame:
+    """What ``run`` makes of the queries, a block at a time, and each task's vectors: query, item, score, and carried columns."""
+    mine = list(dict.fromkeys(["query", "qv", *[a for a, _ in (*equal, *differ)]]))
+    theirs = list(dict.fromkeys(["item", "v", *carry, *[b for _, b in (*equal, *differ)]]))
+    asked, held = queries.select(*mine), vectors.select(*theirs)
+    schema = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("item", held.schema["item"].dataType), T.StructField("score", T.DoubleType()), *[held.schema[c] for c in carry]])
+
+    def of(block: DataFrame) -> DataFrame:
+        shared = block.sparkSession.sparkContext.broadcast(products.Asked(block.toArrow()))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in run(shared.value, batches):
+                yield from table.combine_chunks().to_batches(max_chunksize=10_000)
+
+        return held.mapInArrow(each, schema)
+
+    wide = asked.agg(F.max(F.size("qv"))).first()[0] or 1
+    most = max(1, min(BROADCAST_QUERIES, BROADCAST_BYTES // (8 * max(wide, 1))))
+    blocks = in_blocks(asked, most, F.xxhash64(F.lit(5), "query"))
+    return reduce(DataFrame.unionByName, [of(b) for b in blocks])
 
 
 def trusted(vectors: DataFrame, equal: dict[str, object], allowed: DataFrame | None = None) -> DataFrame:
@@ -64,26 +117,6 @@ def in_blocks(rows: DataFrame, most: int, key: Column) -> list[DataFrame]:
     return [rows.filter(F.pmod(key, F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def _block_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: Column | None) -> DataFrame:
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return _scored(queries, vectors, keep).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def cosine_scores(queries: DataFrame, vectors: DataFrame, keep: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The score of every query and vector, unranked, with columns ``carry`` of the vectors: for aggregates, which keep little of it."""
-    blocks = in_blocks(queries, BROADCAST_QUERIES, F.xxhash64(F.lit(5), "query"))
-    return reduce(DataFrame.unionByName, [_scored(b, vectors, keep, carry) for b in blocks])
-
-
-def _scored(queries: DataFrame, vectors: DataFrame, keep: Column | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    qs = queries.withColumn("qn", norm(F.col("qv")))
-    vs = vectors.withColumn("vn", norm(F.col("v"))).filter("vn > 0")
-    pairs = vs.join(F.broadcast(qs))
-    if keep is not None:
-        pairs = pairs.filter(keep)
-    return pairs.select("query", "item", F.round(dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn")), 6).alias("score"), *carry)
-
-
 def best_per_chunk(hits: DataFrame, k: int) -> DataFrame:
     """Of (query, chunk, item, score): the best item of each chunk, then the k best chunks; exact, without over-fetching."""
     best = Window.partitionBy("query").orderBy(F.desc("score"), "chunk")

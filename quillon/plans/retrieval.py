@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import dense, fusion, lexical, lexical_index, metrics, storage
+from quillon.operators import dense, fusion, lexical, lexical_index, metrics, storage, vector_index
 
 from .base import Registry, search_tokens_sql, table, tokens_sql
 
@@ -123,7 +123,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"WITH {_COS} SELECT query, item, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos WHERE ql = il AND query <> item) WHERE rank <= {TOP}")
 def cosine_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return dense.cosine_top_k(*_vectors(spark, d), TOP, keep=(F.col("q_label") == F.col("label")) & (F.col("query") != F.col("item")))
+    return dense.cosine_top_k(*_vectors(spark, d), TOP, equal=(("q_label", "label"),), differ=(("query", "item"),))
 
 
 @R.add("SELECT max(vec_id) + 1 AS expected, count(*) AS total, count(*) FILTER (WHERE len(embedding) = 64) AS compatible, (count(*) = max(vec_id) + 1 AND count(*) = count(*) FILTER (WHERE len(embedding) = 64)) AS ready FROM embeddings")
@@ -136,7 +136,7 @@ def vector_readiness(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"WITH {_COS}, best AS (SELECT query, il AS chunk, item, score, row_number() OVER (PARTITION BY query, il ORDER BY score DESC, item) AS r FROM cos) SELECT query, chunk, item, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS INTEGER) AS rank FROM best WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) <= 5")
 def best_per_chunk(spark: SparkSession, d: str) -> DataFrame:
     queries, vectors = _vectors(spark, d)
-    hits = dense.cosine_scores(queries, vectors.withColumn("chunk", F.col("label")), carry=("chunk",))
+    hits = dense.cosine_best(queries, vectors.withColumn("chunk", F.col("label")), "chunk")
     return dense.best_per_chunk(hits, 5).select("query", "chunk", "item", "score", "rank")
 
 
@@ -148,6 +148,31 @@ def cosine_topk_trusted(spark: SparkSession, d: str) -> DataFrame:
     return dense.cosine_top_k(queries, dense.trusted(vectors, {"label": 3}, listed), TOP)
 
 
+def _vector_index(spark: SparkSession, d: str) -> vector_index.VectorIndex:
+    """The stored cells of the embeddings, in two generations; built once, and anew when the table's files differ."""
+    vectors = _vectors(spark, d)[1].select("item", "v")
+    state = (spark.sparkContext.applicationId, "vectors " + storage.signature(vectors))
+    if state not in _indexes:
+        path = storage.new_folder(spark, "vectors")
+        cells = vector_index.fit(vectors)
+        for part in range(2):
+            vector_index.append(vectors.filter(F.pmod(F.xxhash64("item"), F.lit(2)) == part), path, cells)
+        _indexes[state] = path
+    return vector_index.VectorIndex(spark, _indexes[state])
+
+
+@R.add(f"WITH {_COS} SELECT query, item, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos) WHERE rank <= {TOP}")
+def vector_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of ``cosine_topk``, from the stored cells."""
+    return _vector_index(spark, d).search(_vectors(spark, d)[0], TOP, exact=True)
+
+
+@R.add()
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the nearest cells; tests measure how many of the true ones they are."""
+    return _vector_index(spark, d).search(_vectors(spark, d)[0], TOP)
+
+
 def _english(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "lang").filter("lang = 'en'").select(F.col("doc_id").alias("item"))
 
@@ -246,7 +271,7 @@ def family_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     queries, vectors = _vectors(spark, d)
     judged = queries.select("query", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("_o")).filter(F.col("query") >= F.col("_o"))
     grades = judged.select("query", (F.col("query") - F.col("_o")).alias("item"), (F.col("_o") % 4).alias("grade"), ((F.col("query") - F.col("_o")) % 5).alias("family"))
-    hits = dense.cosine_top_k(queries, vectors, 5, keep=F.col("query") != F.col("item"))
+    hits = dense.cosine_top_k(queries, vectors, 5, differ=(("query", "item"),))
     return metrics.family_recall(hits, grades)
 
 
@@ -258,7 +283,7 @@ SELECT {', '.join(f"round(avg({c}), 4) AS {c}" for c in _MACRO[:-1])}, round(avg
 def macro_means(spark: SparkSession, d: str) -> DataFrame:
     """Means over queries; hits of another label that a search without the query itself returns are the hard negatives."""
     queries, vectors = _vectors(spark, d)
-    near = dense.cosine_top_k(queries, vectors, 5, keep=F.col("query") != F.col("item"))
+    near = dense.cosine_top_k(queries, vectors, 5, differ=(("query", "item"),))
     labels = vectors.select("item", F.col("label").alias("i_label"))
     other = near.select("query", "item").join(labels, "item").join(queries.select("query", "q_label"), "query").filter("q_label <> i_label")
     each = ndcg_at_k(spark, d).join(metrics.hard_negatives(queries, near, other), "query")
@@ -318,5 +343,5 @@ def profile_expansion(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"""WITH {_COS}, t AS (SELECT query, max(score) AS top FROM cos WHERE query <> item GROUP BY 1) SELECT count(*) FILTER (WHERE query % 40 = 0 AND top >= 0.3) AS false_answers, count(*) FILTER (WHERE query % 40 <> 0 AND top < 0.3) AS false_abstentions, count(*) AS queries FROM t""")
 def control_metrics(spark: SparkSession, d: str) -> DataFrame:
     queries, vectors = _vectors(spark, d)
-    top = dense.cosine_top_k(queries, vectors, 1, keep=F.col("query") != F.col("item"))
+    top = dense.cosine_top_k(queries, vectors, 1, differ=(("query", "item"),))
     return metrics.control_metrics(top.select((F.col("query") % 40 == 0).alias("expected_abstain"), (F.col("score") < 0.3).alias("abstained")))

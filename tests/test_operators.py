@@ -125,7 +125,7 @@ def test_greedy_and_owners(spark):
 def test_many_queries_are_matched_in_blocks(spark, monkeypatch):
     vectors = spark.range(300).select(F.col("id").alias("item"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 7)).alias("v"))
     queries = vectors.filter("item % 3 = 0").select(F.col("item").alias("query"), F.col("v").alias("qv"))
-    top = lambda: sorted(map(tuple, dense.cosine_top_k(queries, vectors, 4, F.col("query") != F.col("item")).collect()))
+    top = lambda: sorted(map(tuple, dense.cosine_top_k(queries, vectors, 4, differ=(("query", "item"),)).collect()))
     whole = top()
     monkeypatch.setattr(dense, "BROADCAST_QUERIES", 30)
     assert len(dense.in_blocks(queries, 30, F.xxhash64("query"))) == 7
