@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import distinct_parts, tokens
 
+from .phrases import rule_hits
+
 RRF_K = 60
 #: Fixed order of the channels in a hit's contributions; others follow by name.
 CHANNELS = ["lexical", "dense"]
@@ -120,9 +122,7 @@ def intent(queries: DataFrame, rules: DataFrame, mandatory: int = 2) -> DataFram
     ``queries`` (query, text), ``rules`` (profile, group, phrase, kind): any phrase of kind 'any' finds its group, the
     first ``mandatory`` groups must all be found, and a phrase of kind 'veto' rejects.
     """
-    # A rule table is small by nature; its size is checked before it is broadcast.
-    rules = F.broadcast(rules) if rules.limit(10_001).count() <= 10_000 else rules
-    hits = queries.join(rules, F.contains(queries["text"], rules["phrase"]))
+    hits = rule_hits(queries.select("query", "text"), rules, "text")
     found = hits.groupBy("query", "profile").agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "any", F.col("group")))).alias("groups"), F.max(F.when(F.col("kind") == "veto", 1).otherwise(0)).alias("vetoed"))
     enough = F.size(F.filter("groups", lambda g: g <= mandatory)) == mandatory
     return found.withColumn("supported", enough & (F.col("vetoed") == 0))

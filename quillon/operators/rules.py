@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import CLOSINGS, closing_fits, for_search, is_number_placeholder, once, squeeze, tokens, valid_official_date, valid_official_number
 
+from .phrases import rule_hits
+
 # Fixed value: what a letter that rests on a fixed snapshot must say.
 SNAPSHOT_NOTICE = "Bu sonuç yalnızca projeyle birlikte sabitlenmiş yarışma veri kümesine dayanır; mevzuatın güncelliği/yürürlüğü doğrulanmamıştır ve güncel hukuki görüş değildir."
 #: Rule tables up to this many rows are broadcast.
@@ -64,14 +66,14 @@ def classify(docs: DataFrame, keywords: DataFrame, id_column: str = "doc_id", te
 def first_match(rows: DataFrame, text: Column, rules: DataFrame, id_column: str, default: str) -> DataFrame:
     """The label of the first rule (place, phrase, label) whose phrase the text holds."""
     slim = rows.select(rows[id_column].alias("id"), text.alias("_t"))
-    hits = slim.join(small(rules), F.contains(F.col("_t"), F.col("phrase"))).groupBy("id").agg(F.min(F.struct("place", "label"))["label"].alias("label"))
+    hits = rule_hits(slim, rules, "_t").groupBy("id").agg(F.min(F.struct("place", "label"))["label"].alias("label"))
     return slim.select("id").join(hits, "id", "left").fillna({"label": default})
 
 
 def domain_scores(rows: DataFrame, text: Column, rules: DataFrame, id_column: str) -> DataFrame:
     """Weighted substring rules (domain, phrase, weight): domain, score, runner-up, and whether the two are too close."""
     slim = rows.select(rows[id_column].alias("id"), text.alias("_t"))
-    sums = slim.join(small(rules), F.contains(F.col("_t"), F.col("phrase"))).groupBy("id", "domain").agg(F.sum("weight").alias("score"))
+    sums = rule_hits(slim, rules, "_t").groupBy("id", "domain").agg(F.sum("weight").alias("score"))
     best = Window.partitionBy("id").orderBy(F.desc("score"), "domain")
     top = sums.withColumn("_r", F.row_number().over(best)).withColumn("second", F.lead("score").over(best)).filter("_r = 1").drop("_r")
     unclear = F.coalesce((F.col("second") >= 3) & (F.col("second") >= 0.55 * F.col("score")), F.lit(False))

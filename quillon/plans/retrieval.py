@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import dense, fusion, lexical, lexical_index, metrics, storage, vector_index
+from quillon.operators import dense, fusion, lexical, lexical_index, metrics, phrases, storage, vector_index
 
 from .base import Registry, search_tokens_sql, table, tokens_sql
 
 R = Registry()
 TOP = 10
-#: Passages up to this many are broadcast at once.
-BROADCAST_PASSAGES = 100_000
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -239,9 +235,9 @@ def mrr_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents (text, ...) with each of the items (query, passage) that they hold; more items than one broadcast takes go in blocks."""
-    blocks = dense.in_blocks(items, BROADCAST_PASSAGES, F.xxhash64("query", "passage"))
-    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(b), F.contains(F.col("text"), F.col("passage"))) for b in blocks])
+    """Documents (text, ...), without their texts, with each of the items (query, passage) that they hold."""
+    found = phrases.held(docs, items.select(F.col("passage").alias("phrase")))
+    return found.withColumnRenamed("phrase", "passage").join(items, "passage")
 
 
 _NDCG = f"""WITH {_COS}, dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos) WHERE rank <= 5),

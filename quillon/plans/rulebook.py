@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import metrics, quality, rules
+from quillon.operators import metrics, phrases, quality, rules
 
 from .base import Registry, fold_sql, table, tokens_sql
 
@@ -58,6 +58,16 @@ def first_match_label(spark: SparkSession, d: str) -> DataFrame:
     return rules.first_match(table(spark, d, "documents"), F.lower("text"), spark.createDataFrame(FIRST, "place int, phrase string, label string"), "doc_id", "other")
 
 
+@R.add("""WITH p AS (SELECT DISTINCT array_to_string(regexp_extract_all(text, '[^ ]+')[1:4], ' ') AS phrase FROM documents WHERE len(regexp_extract_all(text, '[^ ]+')) >= 4)
+SELECT phrase, count(*) AS documents FROM p JOIN documents ON contains(text, phrase) GROUP BY phrase""")
+def opening_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The first four words of every document, and how many documents hold them anywhere."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    words = F.regexp_extract_all("text", F.lit("[^ ]+"), F.lit(0))
+    openings = docs.filter(F.size(words) >= 4).select(F.array_join(F.slice(words, 1, 4), " ").alias("phrase"))
+    return phrases.held(docs, openings).groupBy("phrase").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @R.add("SELECT conv_id, array_to_string(list_filter(['user', 'assistant', 'system'], lambda x: NOT list_contains(list(DISTINCT role), x)), ',') AS missing FROM conversations GROUP BY conv_id")
 def missing_fields(spark: SparkSession, d: str) -> DataFrame:
     present = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_set("role").alias("p"))

@@ -2,7 +2,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import chunking, dedup, dense, domains, fusion, graph, lexical, metrics, quality, rules
+from quillon.operators import chunking, dedup, dense, domains, fusion, graph, lexical, metrics, phrases, quality, rules
 from quillon.plans import retrieval
 from quillon.sources import readers
 
@@ -135,7 +135,7 @@ def test_many_queries_are_matched_in_blocks(spark, monkeypatch):
 def test_no_passage_range_or_policy_is_dropped(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"before <{k}> after") for k in range(50)], "doc_id long, text string")
     items = spark.range(50).select(F.col("id").alias("query"), F.format_string("<%d>", "id").alias("passage"))
-    monkeypatch.setattr(retrieval, "BROADCAST_PASSAGES", 20)
+    monkeypatch.setattr(phrases, "BLOCK_PHRASES", 20)
     assert sorted((r["doc_id"], r["query"]) for r in retrieval.holding(docs, items).collect()) == [(k, k) for k in range(50)]
     many = 10_500
     ranges = spark.range(many).select((F.col("id") * 2).alias("first"), (F.col("id") * 2 + 1).alias("last"), F.col("id").alias("section"))
