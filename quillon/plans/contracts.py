@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import dedup, graph, quality
+from quillon.operators import dedup, graph, ownership, quality
 from quillon.sources import sinks
 
-from .base import Registry, search_tokens_sql, squeeze_sql, table
+from .base import Registry, fold_sql, search_tokens_sql, squeeze_sql, table
 
 R = Registry()
 _FP = f"sha256(lower({squeeze_sql('text')}))"
@@ -257,3 +257,22 @@ def inventory_check(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), "c_acctbal", F.lit(1).alias("bytes"), F.lit("d").alias("sha256"), "c_custkey")
     found = listed.filter("c_acctbal >= 0").select("path", "bytes", F.when(F.col("c_custkey") % 5 == 0, "e").otherwise("d").alias("sha256"))
     return quality.inventory_match(listed, found).select("c_custkey", "status")
+
+
+# Word runs are marked, so that whole words can be told in any script.
+_MARKED = f"regexp_replace({fold_sql("left(text, 24)")}, '([\\p{{L}}\\p{{N}}\\p{{M}}_]+)', chr(1) || '\\1' || chr(1), 'g')"
+_TITLE = squeeze_sql(f"replace(regexp_replace({_MARKED}, chr(1) || '({ownership.REVISION_WORDS})' || chr(1), ' ', 'g'), chr(1), '')")
+
+
+@R.add(f"""WITH RECURSIVE f AS (SELECT doc_id AS id, coalesce({_TITLE}, '') AS title, coalesce({fold_sql('source')}, '') AS article, coalesce({fold_sql('text')}, '') AS said FROM documents),
+k AS (SELECT id, list_filter([CASE WHEN title <> '' AND article <> '' THEN 'title-article:' || title || '|' || article END, CASE WHEN length(said) >= 80 THEN 'excerpt:' || left(said, 360) END], lambda x: x IS NOT NULL) AS keys FROM f),
+n AS (SELECT id, unnest(range(1, len(keys) + 1)) AS nth, unnest(keys) AS key FROM k),
+p AS (SELECT id, nth, lag(id) OVER (PARTITION BY key ORDER BY id) AS earlier FROM n),
+parents AS (SELECT id, arg_min(earlier, nth) AS parent FROM p WHERE earlier IS NOT NULL GROUP BY id),
+walk AS (SELECT k.id, k.id AS root FROM k UNION ALL SELECT walk.id, parents.parent FROM walk JOIN parents ON walk.root = parents.id)
+SELECT CAST(id AS VARCHAR) AS id, CAST(min(root) AS VARCHAR) AS owner FROM walk GROUP BY walk.id""")
+def equivalence_owners(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are the same reference: equal beginnings and sources, or equal first 360 characters, in the order of ids."""
+    docs = table(spark, d, "documents", "doc_id", "text", "source")
+    keys = ownership.reference_keys(F.left("text", F.lit(24)), F.col("source"), F.col("text"), F.col("doc_id"))
+    return ownership.owners(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("place"), keys.alias("keys")))
