@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import storage
 from quillon.sources import readers
-from quillon.streaming import lifecycle
+from quillon.streaming import lifecycle, stateful
 
 from .base import Registry, table
 
@@ -203,3 +204,26 @@ def events_stream_state(spark: SparkSession, d: str) -> DataFrame:
     lifecycle.streamed_state(log, _ENDS).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     latest = Window.partitionBy("document").orderBy(F.desc("events"))
     return spark.table(name).withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r")
+
+
+_STAGES, _IDLE, _KEEP = ["view", "click", "error", "signup", "purchase"], 2 * 86_400, 86_400
+
+
+@R.add(f"""WITH RECURSIVE l AS (SELECT user_id AS document, event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS status, list_position({_STAGES}, event_type) AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT document, n, event_id, ts, CASE WHEN place IS NULL THEN 'unknown' ELSE 'accepted' END AS verdict, CASE WHEN place IS NOT NULL THEN status END AS status, CASE WHEN place IS NULL THEN 0 ELSE 1 END AS events, place AS at_place, CASE WHEN place IS NOT NULL THEN ts END AS last FROM l WHERE n = 1
+UNION ALL SELECT document, n, event_id, ts, verdict, CASE WHEN moved THEN status WHEN NOT gone THEN was END, CASE WHEN moved AND gone THEN 1 WHEN moved THEN events + 1 WHEN gone THEN 0 ELSE events END, CASE WHEN moved THEN place WHEN NOT gone THEN at_place END, CASE WHEN moved THEN ts WHEN NOT gone THEN last END
+FROM (SELECT *, verdict IN ('accepted', 'back') AS moved FROM (SELECT *, CASE WHEN place IS NULL THEN 'unknown' WHEN gone THEN 'accepted' WHEN was = 'purchase' THEN 'refused' WHEN place < at_place - 1 THEN 'back' ELSE 'accepted' END AS verdict
+FROM (SELECT l.*, w.status AS was, w.events, w.at_place, w.last, w.last IS NULL OR epoch(l.ts) > epoch(w.last) + CASE WHEN w.status = 'purchase' THEN {_KEEP} ELSE {_IDLE} END AS gone FROM w JOIN l ON l.document = w.document AND l.n = w.n + 1))))
+SELECT document, event_id, verdict, status, CAST(events AS BIGINT) AS events FROM w""")
+def lifecycle_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Every event judged by the stateful stream; a user is a document, who ends with a purchase and expires in two days."""
+    log = _streamed(spark, d).select(F.col("user_id").cast("long").alias("document"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+    path, held = storage.new_folder(spark, "verdicts"), {k: spark.conf.get(k, None) for k in stateful.STORE}
+    for k, v in stateful.STORE.items():
+        spark.conf.set(k, v)
+    try:
+        lifecycle.run_available(stateful.lifecycles(log, _STAGES, _ENDS, idle=_IDLE, keep=_KEEP), f"{path}/rows", f"{path}/checkpoint")
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(f"{path}/rows").filter("event_id IS NOT NULL").select("document", "event_id", "verdict", "status", "events")
