@@ -37,13 +37,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file that is there as a whole, the old one or the new one: written beside its place, then put there in one step.
+
+    A crash between the steps leaves the old file as it was, and a file beside it that nothing reads.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    files = place.getFileSystem(conf)
+    out = files.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    where = files.makeQualified(place)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(files.makeQualified(beside), where, over)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _file_system(spark, path)
+    fs, where = file_system(spark, path)
     return fs.exists(where)
 
 
@@ -52,7 +73,7 @@ def signature(df: DataFrame) -> str:
     spark = df.sparkSession
     out = []
     for file in sorted(df.inputFiles()):
-        fs, where = _file_system(spark, file)
+        fs, where = file_system(spark, file)
         status = fs.getFileStatus(where)
         out.append(f"{file}:{status.getLen()}:{status.getModificationTime()}")
     return "\n".join(out)
@@ -62,7 +83,7 @@ def signature(df: DataFrame) -> str:
 def drop_folders() -> None:
     for spark, path in _folders:
         try:
-            fs, where = _file_system(spark, path)
+            fs, where = file_system(spark, path)
             fs.delete(where, True)
         except Exception:  # noqa: BLE001  the session may have ended before
             continue

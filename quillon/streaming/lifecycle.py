@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators.storage import replace_text
+
 TERMINAL = ["COMPLETED", "FAILED", "REJECTED"]
 # The states of a document's lifecycle, in the order in which it goes through them.
 LIFECYCLE = ["alindi", "okunuyor", "siniflandiriliyor", "mevzuat_araniyor", "kaynak_dogrulaniyor", "eksik_bilgi_bekleniyor", "yazi_turu_seciliyor", "birim_yonlendiriliyor", "yanit_stratejisi_bekleniyor", "taslak_hazirlaniyor", "uygunluk_kontrolunde", "kullanici_onayi_bekleniyor", "tamamlandi", "hata"]
@@ -100,18 +101,8 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
 
 def save_checkpoint(spark: SparkSession, path: str, state: dict) -> None:
-    """A JSON checkpoint that is there as a whole or not at all: written beside its place, then renamed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    files = place.getFileSystem(conf)
-    out = files.create(beside, True)
-    try:
-        out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
-    finally:
-        out.close()
-    files.delete(place, False)
-    if not files.rename(beside, place):
-        raise OSError(f"the checkpoint {path} cannot be put in place")
+    """A JSON checkpoint that a crash at any point leaves whole, the old one or the new one."""
+    replace_text(spark, path, json.dumps(state, sort_keys=True))
 
 
 def load_checkpoint(spark: SparkSession, path: str, identity: dict, overwrite: bool = False) -> dict | None:
