@@ -102,7 +102,7 @@ def carried_forward(rows: DataFrame, value: str, by: str, *order: str) -> DataFr
 def marked_pages(text: Column, marker: str = r"(?m)^=+ *(?:PAGE|SAYFA) +(\d+) *=+ *$") -> Column:
     """Pages of a text with page markers: struct(page, text); null unless the numbers run 1, 2, ... without a gap."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(1)), lambda n: n.cast("int"))
-    parts = F.slice(F.split(text, marker), 2, 1 << 20)
+    parts = F.filter(F.split(text, marker), lambda t, i: i > 0)
     pages = F.zip_with(numbers, parts, lambda n, t: F.struct(n.alias("page"), F.trim(F.regexp_replace(t, "^\\s+|\\s+$", "")).alias("text")))
     return F.when((F.size(numbers) > 0) & (numbers == F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)))), pages)
 
@@ -117,11 +117,25 @@ def articles_complete(articles: Column, expected: list[str]) -> Column:
     return F.array_distinct(articles) == F.array(*[F.lit(x) for x in expected])
 
 
-_SECTION = re.compile(r"(?m)^[ \t]*(?P<label>(?:[A-ZÇĞİÖŞÜ]+|\d+\.?) (?:BÖLÜM|KISIM))[ \t]*\n?(?P<title>[^\n]*)$")
-_ARTICLE = re.compile(r"(?im)^[ \t]*(?P<mark>(?:geçici |GEÇİCİ |ek )?madde[ \t]+\d+[A-ZÇĞİÖŞÜ]?)(?!\w)[ \t]*[-–—.:]?[ \t]*")
-_PARAGRAPH = re.compile(r"(?<!\w)\((?P<n>[1-9]\d?)\)[ \t]*")
-_CLAUSE = re.compile(r"(?i)(?<!\w)\(?(?P<c>[a-zçğıöşü])\)\s*")
-STRUCTURE = "doc bigint, section string, article string, paragraph int, clause string, level string, start int, prefix string, text string"
+# How articles, paragraphs, clauses and sections of a law are marked. A mark may stand inside a line, and
+# an article's ends with a dash, so that a sentence about an article opens none.
+_ARTICLE = re.compile(r"(?i)\b(?P<mark>(?:(?:GEÇİCİ|EK)\s+)?MADDE\s+(?P<number>\d+[A-ZÇĞİÖŞÜ]?))\s*[-–—]")
+_PARAGRAPH = re.compile(r"(?<!\w)\((?P<n>\d+)\)\s*")
+_CLAUSE = re.compile(r"(?i)(?<!\w)(?:\((?P<c>[a-zçğıöşü])\)|(?P<plain>[a-zçğıöşü])\))\s*")
+_SECTION = re.compile(r"(?i)\b(?P<label>(?:BİRİNCİ|İKİNCİ|ÜÇÜNCÜ|DÖRDÜNCÜ|BEŞİNCİ|ALTINCI|YEDİNCİ|SEKİZİNCİ|DOKUZUNCU|ONUNCU|\d+\.?)\s+BÖLÜM)\b(?:\s*[-–—:]?\s*(?P<title>[^\n]{0,180}))?")
+_TITLE_END = re.compile(r"(?i)\b(?:(?:GEÇİCİ|EK)\s+)?MADDE\b")
+STRUCTURE = "doc bigint, section string, article string, paragraph string, clause string, level string, start int, prefix string, text string"
+
+
+def _titled(mark: str) -> str:
+    """Words of a mark with a capital first letter, in Turkish."""
+    words = mark.translate(str.maketrans("Iİ", "ıi")).lower().split()
+    return " ".join({"i": "İ", "ı": "I"}.get(w[0], w[0].upper()) + w[1:] for w in words)
+
+
+def _section(m: re.Match[str]) -> str:
+    title = " ".join(_TITLE_END.split(m["title"] or "", maxsplit=1)[0].split()).strip(" -–—:")
+    return f"{_titled(m['label'])} — {title}" if title else _titled(m["label"])
 
 
 def _cut(text: str, pattern: re.Pattern[str], group: str, start: int, end: int) -> list[tuple[str | None, int, int]]:
@@ -132,16 +146,18 @@ def _cut(text: str, pattern: re.Pattern[str], group: str, start: int, end: int)
     if text[start:first].strip():
         out.append((None, start, first))
     bounds = [m.start() for m in found[1:]] + [end]
-    return out + [(m[group], m.end(), upto) for m, upto in zip(found, bounds, strict=False)]
+    return out + [(m[group] or m.groupdict().get("plain"), m.end(), upto) for m, upto in zip(found, bounds, strict=False)]
 
 
 def _structure(doc: int, text: str) -> Iterator[tuple]:
-    sections = [(m.start(), " ".join(x for x in (m["label"].title(), (m["title"] or "").strip(" -–—:")) if x)) for m in _SECTION.finditer(text)]
-    for article, a0, a1 in _cut(text, _ARTICLE, "mark", 0, len(text)):
-        if article is None:
-            continue
+    sections = [(m.start(), _section(m)) for m in _SECTION.finditer(text)]
+    marks = list(_ARTICLE.finditer(text))
+    for m, after in zip(marks, [*marks[1:], None], strict=False):
+        a0, a1 = m.end(), after.start() if after else len(text)
         a1 = min([a1, *(s for s, _ in sections if a0 < s < a1)])
-        section = next((label for s, label in reversed(sections) if s < a0), None)
+        article = _titled(m["mark"])
+        # An article outside any section is its own.
+        section = next((label for s, label in reversed(sections) if s < m.start()), article)
         for number, p0, p1 in _cut(text, _PARAGRAPH, "n", a0, a1):
             parts = _cut(text, _CLAUSE, "c", p0, p1)
             # What stands before the first clause belongs to every clause, and is no part by itself.
@@ -150,14 +166,14 @@ def _structure(doc: int, text: str) -> Iterator[tuple]:
                 body = " ".join(text[c0:c1].split())
                 if body:
                     level = "clause" if clause else "paragraph" if number else "article"
-                    yield doc, section, " ".join(article.split()), int(number) if number else None, clause.lower() if clause else None, level, c0, prefix, body
+                    yield doc, section, article, number, clause.lower() if clause else None, level, c0, prefix, body
 
 
 def legal_structure(docs: DataFrame) -> DataFrame:
     """(doc, text) cut into articles, numbered paragraphs and lettered clauses, with the section each stands in.
 
-    Articles are those of the law, temporary and additional ones, and such as "5A"; clauses "a)" and "(a)" carry the
-    text that leads to them as ``prefix``.
+    Articles are those of the law, temporary and additional ones, and such as "5A"; paragraphs have numbers of any size;
+    clauses "a)" and "(a)" carry the text that leads to them as ``prefix``. An article ends at the next section.
 
     Places of matches are needed, which SQL functions do not give, so this runs in Arrow batches.
     """
@@ -166,9 +182,7 @@ def legal_structure(docs: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in STRUCTURE.split(", ")]
         for f in frames:
             rows = [r for d, t in zip(f["doc"], f["text"], strict=True) if isinstance(t, str) for r in _structure(d, t)]
-            out = pd.DataFrame(rows, columns=names)
-            out["paragraph"] = out["paragraph"].astype("Int32")
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc", "text").mapInPandas(run, STRUCTURE)
 
@@ -177,7 +191,7 @@ def structured_or_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """The structure of each document, or its pages as leaves where it has no article."""
     found = legal_structure(docs)
     rest = pages.join(found.select("doc").distinct(), "doc", "left_anti").filter(F.trim("text") != "")
-    fallback = rest.select("doc", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("int").alias("paragraph"), F.lit(None).cast("string").alias("clause"), F.lit("page").alias("level"), F.col("page").cast("int").alias("start"), F.lit(None).cast("string").alias("prefix"), squeeze(F.col("text")).alias("text"))
+    fallback = rest.select("doc", F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("article"), F.lit(None).cast("string").alias("paragraph"), F.lit(None).cast("string").alias("clause"), F.lit("page").alias("level"), F.col("page").cast("int").alias("start"), F.lit(None).cast("string").alias("prefix"), squeeze(F.col("text")).alias("text"))
     return found.unionByName(fallback)
 
 

@@ -206,22 +206,52 @@ def vocabulary_numbers(spark: SparkSession, d: str) -> DataFrame:
     return lexical.vocabulary(table(spark, d, "part").select(F.col("p_name").alias("term"))).select("term", F.col("term_id").cast("long").alias("term_id"))
 
 
-#: A short law, and what its structure is.
-LAW = "BİRİNCİ BÖLÜM\nAmaç\nMADDE 1- (1) Bu Kanun yolu düzenler.\n(2) Kapsam:\na) Yollar.\nb) Köprüler.\nMADDE 2A - Tanımlar burada.\n3. BÖLÜM\nSon\nGeçici Madde 1- (1) Geçiş: (a) Süre, (b) Usul."
-_STRUCTURE = [("Amaç", "MADDE 1", 1, None, "paragraph", None, "Bu Kanun yolu düzenler."), ("Amaç", "MADDE 1", 2, "a", "clause", "Kapsam:", "Yollar."), ("Amaç", "MADDE 1", 2, "b", "clause", "Kapsam:", "Köprüler."), ("Amaç", "MADDE 2A", None, None, "article", None, "Tanımlar burada."), ("Son", "Geçici Madde 1", 1, "a", "clause", "Geçiş:", "Süre,"), ("Son", "Geçici Madde 1", 1, "b", "clause", "Geçiş:", "Usul.")]
+#: Laws of three shapes, composed of every customer's columns: sections with clauses and sentences about articles, marks
+#: inside lines with numbers of any size, and a text without articles.
+_SHAPES = [
+    ["BİRİNCİ BÖLÜM\nAmaç ", "c_mktsegment", "\nMADDE ", "n", "- (1) Bu Kanun ", "c_name", " işini düzenler.\n(2) Kapsam ", "n", ":\na) Yollar ", "c_custkey", ".\n(b) Köprüler.\nMadde 5 uyarınca yapılır.\nEK MADDE ", "n", "A – Tanımlar ", "c_name", "."],
+    ["MADDE ", "n", "- Giriş (", "c_custkey", ") ", "c_mktsegment", " payı. 3. BÖLÜM: Son\nGEÇİCİ MADDE ", "n", " - ", "c_name", " (1) Süre: (a) Bir, b) İki"],
+    ["Madde ", "n", " uyarınca ", "c_name", " bildirir."],
+]
+#: What each shape's leaves are: section, article, paragraph, clause, level, prefix, text, in parts as above.
+_LEAVES = [
+    (0, ["Birinci Bölüm — Amaç ", "c_mktsegment"], ["Madde ", "n"], ["1"], None, "paragraph", None, ["Bu Kanun ", "c_name", " işini düzenler."]),
+    (0, ["Birinci Bölüm — Amaç ", "c_mktsegment"], ["Madde ", "n"], ["2"], "a", "clause", ["Kapsam ", "n", ":"], ["Yollar ", "c_custkey", "."]),
+    (0, ["Birinci Bölüm — Amaç ", "c_mktsegment"], ["Madde ", "n"], ["2"], "b", "clause", ["Kapsam ", "n", ":"], ["Köprüler. Madde 5 uyarınca yapılır."]),
+    (0, ["Birinci Bölüm — Amaç ", "c_mktsegment"], ["Ek Madde ", "n", "a"], None, None, "article", None, ["Tanımlar ", "c_name", "."]),
+    (1, ["Madde ", "n"], ["Madde ", "n"], None, None, "article", None, ["Giriş"]),
+    (1, ["Madde ", "n"], ["Madde ", "n"], ["c_custkey"], None, "paragraph", None, ["c_mktsegment", " payı."]),
+    (1, ["3. Bölüm — Son"], ["Geçici Madde ", "n"], None, None, "article", None, ["c_name"]),
+    (1, ["3. Bölüm — Son"], ["Geçici Madde ", "n"], ["1"], "a", "clause", ["Süre:"], ["Bir,"]),
+    (1, ["3. Bölüm — Son"], ["Geçici Madde ", "n"], ["1"], "b", "clause", ["Süre:"], ["İki"]),
+]
+_FIELDS = ("c_custkey", "c_name", "c_mktsegment", "n")
+
+
+def _composed_sql(parts: list[str] | None) -> str:
+    return "CAST(NULL AS VARCHAR)" if parts is None else " || ".join(f"CAST({p} AS VARCHAR)" if p in _FIELDS else _literal(p) for p in parts)
+
+
+_LAW_LEAVES = " UNION ALL ".join(
+    f"SELECT doc, {_composed_sql(s)} AS section, {_composed_sql(a)} AS article, {_composed_sql(p)} AS paragraph, {_literal(c)} AS clause, {_literal(level)} AS level, {_composed_sql(f)} AS prefix, {_composed_sql(t)} AS text, {k} AS nth FROM c WHERE doc % 3 = {shape}" for k, (shape, s, a, p, c, level, f, t) in enumerate(_LEAVES)
+)
+_LAW_SQL = f"WITH c AS (SELECT *, CAST(c_custkey AS BIGINT) AS doc, c_custkey % 97 + 1 AS n FROM customer), leaves AS ({_LAW_LEAVES})"
 
 
-@R.add("SELECT CAST(doc AS BIGINT) AS doc, s AS section, a AS article, CAST(p AS INTEGER) AS paragraph, c AS clause, l AS level, f AS prefix, t AS text FROM (VALUES " + ", ".join("(" + ", ".join([_literal(s), _literal(a), "NULL" if p is None else str(p), _literal(c), _literal(level), _literal(f), _literal(t)]) + ")" for s, a, p, c, level, f, t in _STRUCTURE) + ") AS v(s, a, p, c, l, f, t), (SELECT n_nationkey AS doc FROM nation)")
+@R.add(f"{_LAW_SQL} SELECT doc, section, article, paragraph, clause, level, prefix, text FROM leaves")
 def structure_of_laws(spark: SparkSession, d: str) -> DataFrame:
-    """The same law under every nation's key."""
-    return _laws(spark, d).select("doc", F.element_at(F.split("section", " "), -1).alias("section"), "article", "paragraph", "clause", "level", "prefix", "text")
+    """Laws composed of customers, in three shapes."""
+    return _laws(spark, d).select("doc", "section", "article", "paragraph", "clause", "level", "prefix", "text")
 
 
 def _laws(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.legal_structure(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc"), F.lit(LAW).alias("text")))
+    rows = table(spark, d, "customer").withColumn("n", F.col("c_custkey") % 97 + 1)
+    text = lambda parts: F.concat(*[F.col(p).cast("string") if p in _FIELDS else F.lit(p) for p in parts])
+    shape = F.pmod("c_custkey", F.lit(3))
+    return chunking.legal_structure(rows.select(F.col("c_custkey").cast("long").alias("doc"), F.when(shape == 0, text(_SHAPES[0])).when(shape == 1, text(_SHAPES[1])).otherwise(text(_SHAPES[2])).alias("text")))
 
 
-@R.add("SELECT CAST(n_nationkey AS BIGINT) AS doc, a AS article, CAST(n AS BIGINT) AS leaves, t AS text FROM nation, (VALUES ('MADDE 1', 3, 'Bu Kanun yolu düzenler.' || chr(10) || 'Yollar.' || chr(10) || 'Köprüler.'), ('MADDE 2A', 1, 'Tanımlar burada.'), ('Geçici Madde 1', 2, 'Süre,' || chr(10) || 'Usul.')) AS v(a, n, t)")
+@R.add(f"{_LAW_SQL} SELECT doc, article, count(*) AS leaves, string_agg(text, chr(10) ORDER BY nth) AS text FROM leaves GROUP BY doc, section, article")
 def parents_of_laws(spark: SparkSession, d: str) -> DataFrame:
     return chunking.parents_of(_laws(spark, d)).select("doc", "article", "leaves", "text")
 

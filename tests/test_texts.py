@@ -111,14 +111,31 @@ LAW = "BİRİNCİ BÖLÜM\nAmaç\nMADDE 1- (1) Bu yönetmelik (2008) yılında.
 def test_legal_structure(spark):
     docs = spark.createDataFrame([(1, LAW), (2, None), (3, "düz metin")], "doc bigint, text string")
     rows = chunking.legal_structure(docs).orderBy("start").collect()
-    assert [(r["article"], r["paragraph"], r["clause"]) for r in rows] == [("MADDE 1", 1, None), ("MADDE 1", 2, "a"), ("MADDE 1", 2, "b"), ("MADDE 2", None, None), ("GEÇİCİ MADDE 1", 1, None)]
-    assert "(2008)" in rows[0]["text"] and rows[0]["prefix"] is None and rows[1]["prefix"] == rows[2]["prefix"] != ""
-    assert rows[0]["section"].endswith("Amaç")
+    # Any number in brackets marks a paragraph.
+    assert [(r["article"], r["paragraph"], r["clause"]) for r in rows] == [("Madde 1", "1", None), ("Madde 1", "2008", None), ("Madde 1", "2", "a"), ("Madde 1", "2", "b"), ("Madde 2", None, None), ("Geçici Madde 1", "1", None)]
+    assert rows[0]["prefix"] is None and rows[2]["prefix"] == rows[3]["prefix"] == "İkinci fıkra:"
+    assert rows[0]["section"] == "Birinci Bölüm — Amaç"
     pages = docs.withColumn("page", F.lit(4))
     rest = chunking.structured_or_pages(docs, pages).filter("level = 'page'").collect()
     assert [(r["doc"], r["start"]) for r in rest] == [(3, 4)]
 
 
+def test_marks_of_articles_and_sections(spark):
+    texts = {
+        1: "Madde 5 uyarınca işlem yapılır.\nMADDE 6 – Metin. Madde 7 gereği; bkz. MADDE 8- içeride.",
+        2: "MADDE 1- (100) Yüzüncü. (123456789012345678901234567890) Uzun.\nKISA BÖLÜM\nMADDE 2- Son.",
+        3: "3. BÖLÜM: Son Hükümler MADDE 9- a) bir (b) iki\nonuncu bölüm\nEK MADDE 1A— x",
+        4: "Madde 5 uyarınca",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc bigint, text string")
+    rows = sorted((r["doc"], r["start"], r["section"], r["article"], r["paragraph"], r["clause"], r["text"]) for r in chunking.legal_structure(docs).collect())
+    assert [r[:1] + r[2:] for r in rows] == [
+        (1, "Madde 6", "Madde 6", None, None, "Metin. Madde 7 gereği; bkz."), (1, "Madde 8", "Madde 8", None, None, "içeride."),
+        (2, "Madde 1", "Madde 1", "100", None, "Yüzüncü."), (2, "Madde 1", "Madde 1", "123456789012345678901234567890", None, "Uzun. KISA BÖLÜM"), (2, "Madde 2", "Madde 2", None, None, "Son."),
+        (3, "3. Bölüm — Son Hükümler", "Madde 9", None, "a", "bir"), (3, "3. Bölüm — Son Hükümler", "Madde 9", None, "b", "iki"), (3, "Onuncu Bölüm", "Ek Madde 1a", None, None, "x"),
+    ]
+
+
 def test_citations_do_not_overlap(spark):
     text = "5018 sayılı Kamu Mali  Yönetimi Kanununun 9 uncu maddesi ile 12 inci maddesi ve 12 inci maddesi uygulanır; 4734 sayılı 3 üncü maddesi, 7A maddeye göre."
     leaves = spark.createDataFrame([(1, text), (2, None), (3, "")], "leaf bigint, text string")
