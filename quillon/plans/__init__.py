@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cases, contracts, domains, relational, retrieval, rulebook, texts
+from . import cases, composed, contracts, domains, relational, retrieval, rulebook, texts
 
-_MODULES = (retrieval, texts, rulebook, contracts, relational, domains, cases)
+_MODULES = (retrieval, texts, rulebook, contracts, relational, domains, cases, composed)
 
 
 def queries() -> dict:
