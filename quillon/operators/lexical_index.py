@@ -2,8 +2,10 @@
 
 ``append`` tokenizes documents once and writes a generation of three tables: postings (a row for each term and block of
 documents), terms (document frequencies) and corpus (number and length of documents), which is written last and makes
-the generation visible. A block keeps, for each term frequency in it, its shortest document: whatever the corpus's
-average length becomes as documents are appended, the greatest of these impacts is the block's, so nothing is rewritten.
+the generation visible. Documents that stand together in the input share a block, so each task makes the postings of its
+own blocks, and no posting is shuffled. A block keeps, for each term frequency in it, its shortest document: whatever the
+corpus's average length becomes as documents are appended, the greatest of these impacts is the block's, so nothing is
+rewritten.
 
 ``search`` sums the bounds of a query's terms in each block, scores the blocks of the highest bounds, and so learns a
 score that a query's last hit has at least. Blocks whose bound is below it are skipped; the others are scored. The
@@ -12,16 +14,20 @@ result is exact. A frequent term's postings are dealt out by block, so none of t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import once
-
 from .lexical import DOCUMENT, K1, OFFLINE_K1, idf, weight
 from .storage import exists, written
 
-#: Documents of a block; blocks of each query that are scored before any is skipped.
-BLOCK, FIRST_BLOCKS = 64, 4
+#: Documents of a block, and about as many tokens; blocks of each query that are scored before any is skipped.
+BLOCK, BLOCK_TOKENS, FIRST_BLOCKS = 256, 500_000, 4
 #: Sums of doubles in another order differ by less than this; scores are rounded to six places.
 SLACK = 2e-6
 
@@ -35,15 +41,10 @@ def append(docs: DataFrame, tokens: Column, path: str, id_column: str = "doc_id"
     """
     spark = docs.sparkSession
     generation = _generations(spark, path)
-    # Neighbours in the files share a block: partitions are numbered from multiples of 2^33. Numbered before any row is spread.
-    slim = docs.select(docs[f"`{id_column}`"].alias("doc"), F.expr(f"monotonically_increasing_id() div {block}").alias("block"), *[docs[f"`{c}`"] for c in docs.columns if c not in ("doc", "block", "_t")])
-    slim = once(slim, _t=F.coalesce(tokens, F.array().cast("array<string>")))
-    found = slim.select("doc", F.size("_t").alias("length"), "block", F.explode(F.concat(F.array(F.lit(DOCUMENT)), "_t")).alias("term"))
-    counts = found.groupBy("block", "doc", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    posts = counts.repartitionByRange("term", "block").groupBy("term", "block").agg(F.collect_list(F.struct("doc", "tf", "length")).alias("docs"))
-    shortest = F.transform(F.array_distinct(F.transform("docs", lambda p: p["tf"])), lambda t: F.struct(t.alias("tf"), F.array_min(F.transform(F.filter("docs", lambda p: p["tf"] == t), lambda p: p["length"])).alias("length")))
+    slim = docs.select(docs[f"`{id_column}`"].alias("doc"), *[docs[f"`{c}`"] for c in docs.columns if c not in ("doc", "_t")])
+    slim = slim.select("doc", F.coalesce(tokens, F.array().cast("array<string>")).alias("_t"))
     target = f"{path}/postings/generation={generation}"
-    posts.select("term", "block", F.size("docs").alias("n"), shortest.alias("shortest"), "docs").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(target)
+    _postings(slim, block).write.mode("overwrite").option("compression", "zstd").parquet(target)
     stored = spark.read.parquet(target)
     stored.groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("term") != DOCUMENT).write.mode("overwrite").parquet(f"{path}/terms/generation={generation}")
     lengths = F.aggregate("docs", F.lit(0).cast("long"), lambda a, p: a + p["length"])
@@ -52,6 +53,59 @@ def append(docs: DataFrame, tokens: Column, path: str, id_column: str = "doc_id"
     return generation
 
 
+def _postings(slim: DataFrame, block: int) -> DataFrame:
+    """(term, block, n, shortest, docs) of (doc, _t), each task numbering blocks of its own."""
+    kind = slim.schema["doc"].dataType.simpleString()
+    schema = f"term string, block long, n int, shortest array<struct<tf:int,length:int>>, docs array<struct<doc:{kind},tf:int,length:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        waiting: list[pa.RecordBatch] = []
+        rows = tokens = 0
+        for whole in batches:
+            sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False)
+            first = 0
+            for i, n in enumerate(sizes.tolist()):
+                rows, tokens = rows + 1, tokens + n
+                if rows >= block or tokens >= BLOCK_TOKENS:
+                    yield one(number, [*waiting, whole.slice(first, i + 1 - first)])
+                    waiting, first, rows, tokens, number = [], i + 1, 0, 0, number + 1
+            if first < whole.num_rows:
+                waiting.append(whole.slice(first))
+        if waiting:
+            yield one(number, waiting)
+
+    def one(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        lists = table.column(1).combine_chunks()
+        ids, length = table.column(0).combine_chunks(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        coded = pc.fill_null(lists.flatten(), DOCUMENT).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        # Every document has one posting of the term that stands for it, which sorts first.
+        term = np.concatenate([np.zeros(len(ids), dtype=np.int64), rank[coded.indices.to_numpy()] + 1])
+        owner = np.concatenate([np.arange(len(ids)), np.repeat(np.arange(len(ids)), length)])
+        found, tf = np.unique(term * len(ids) + owner, return_counts=True)
+        term, owner = found // len(ids), found % len(ids)
+        tf, size = tf.astype(np.int32), length[owner].astype(np.int32)
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        ends = np.append(starts[1:], len(term)).astype(np.int32)
+        docs = pa.StructArray.from_arrays([ids.take(pa.array(owner)), pa.array(tf), pa.array(size)], names=["doc", "tf", "length"])
+        # The first of each term and frequency, in the order of lengths, is the shortest.
+        by = np.lexsort((size, tf, term))
+        new = np.flatnonzero((np.diff(term[by], prepend=-1) != 0) | (np.diff(tf[by], prepend=-1) != 0))
+        least = by[new]
+        counts = np.bincount(np.searchsorted(starts, least, side="right") - 1, minlength=len(starts))
+        shortest = pa.StructArray.from_arrays([pa.array(tf[least]), pa.array(size[least])], names=["tf", "length"])
+        names = pa.concat_arrays([pa.array([DOCUMENT]), coded.dictionary.take(pa.array(order))]).take(pa.array(term[starts]))
+        offsets = lambda upto: pa.array(np.concatenate([[0], upto]), pa.int32())
+        columns = [names, pa.array(np.full(len(starts), number)), pa.array(ends - starts.astype(np.int32)), pa.ListArray.from_arrays(offsets(np.cumsum(counts)), shortest), pa.ListArray.from_arrays(offsets(ends), docs)]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "shortest", "docs"])
+
+    return slim.mapInArrow(run, schema)
+
+
 def _generations(spark: SparkSession, path: str) -> int:
     """How many generations are whole; they are numbered from 0 and written one after another."""
     n = 0
