@@ -27,7 +27,9 @@ from .lexical import DOCUMENT, K1, OFFLINE_K1, idf, weight
 from .storage import exists, written
 
 #: Documents of a block, and about as many tokens; blocks of each query that are scored before any is skipped.
-BLOCK, BLOCK_TOKENS, FIRST_BLOCKS = 256, 500_000, 4
+BLOCK, BLOCK_TOKENS, FIRST_BLOCKS = 128, 500_000, 4
+#: Places of terms in one word of bits.
+WORD = 62
 #: Sums of doubles in another order differ by less than this; scores are rounded to six places.
 SLACK = 2e-6
 
@@ -149,34 +151,44 @@ class Index:
         blocks = self.postings.select("term", "generation", "block", most.alias("impact"))
         return asked.join(blocks, "term").groupBy("query", "generation", "block").agg(F.sum(F.col("idf") * F.col("impact")).alias("bound"))
 
-    def _scored(self, asked: DataFrame, blocks: DataFrame, k1: float) -> DataFrame:
+    def _scored(self, asked: DataFrame, blocks: DataFrame, k1: float, words: int) -> DataFrame:
         """Scores of all documents of (query, generation, block) that hold a term of the query."""
-        wanted = asked.join(blocks.select("query", "generation", "block"), "query")
-        each = wanted.join(self.postings.select("term", "generation", "block", "docs"), ["term", "generation", "block"]).select("query", "term", "place", "idf", F.inline("docs"))
+        # Terms and blocks are written tables, so Spark knows whether they are small enough to go to where the postings are.
+        met = self.postings.select("term", "generation", "block", "docs").join(asked, "term").join(blocks.select("query", "generation", "block"), ["query", "generation", "block"])
+        each = met.select("query", "place", "idf", F.inline("docs"))
         part = F.col("idf") * self._impact(F.col("tf"), F.col("length"), k1)
-        matched = F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])
-        return each.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"), matched.alias("matched_terms"))
-
-    def _split(self, queries: DataFrame, k: int, k1: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Asked terms, scored documents of the first blocks, and all blocks of each query with ``first`` and ``skipped``."""
+        # Which terms are met is kept in bits, by place, so that rows are summed without lists.
+        bits = [F.bit_or(F.when(F.floor(F.col("place") / WORD) == w, F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}") for w in range(words)]
+        return each.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"), *bits)
+
+    def _matched(self, asked: DataFrame, hits: DataFrame, words: int) -> DataFrame:
+        """``hits`` with the terms that their bits stand for, in order of places."""
+        terms = asked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("_terms"))
+        word = F.array(*[F.col(f"bits{w}") for w in range(words)])
+        met = F.filter("_terms", lambda t: F.getbit(F.get(word, F.floor(t["place"] / WORD).cast("int")), (t["place"] % WORD).cast("int")) == 1)
+        return hits.join(terms, "query").select("query", "doc", "score", "rank", F.transform(met, lambda t: t["term"]).alias("matched_terms"))
+
+    def _split(self, queries: DataFrame, k: int, k1: float) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """Asked terms, scored documents of the first blocks, all blocks of each query with ``first`` and ``skipped``, and words of bits."""
         asked = self._asked(queries)
+        words = (asked.agg(F.max("place")).first()[0] or 0) // WORD + 1
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "generation", "block")
         bounds = written(self._bounds(asked, k1).withColumn("first", F.row_number().over(best) <= FIRST_BLOCKS), "bm25-bounds")
-        hits = written(self._scored(asked, bounds.filter("first"), k1), "bm25-first")
+        hits = written(self._scored(asked, bounds.filter("first"), k1, words), "bm25-first")
         last = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
         least = hits.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") == k).select("query", F.col("score").alias("least"))
         skipped = ~F.col("first") & F.coalesce(F.col("bound") + SLACK < F.col("least"), F.lit(False))
-        return asked, hits, bounds.join(least, "query", "left").withColumn("skipped", skipped)
+        return asked, hits, bounds.join(least, "query", "left").withColumn("skipped", skipped), words
 
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
         """From ``queries`` (query, term, place), distinct terms in order: query, doc, rank, score, matched_terms.
 
         Scores are rounded before ranking, ties go to the least document. A query without terms of the index has no hits.
         """
-        asked, first, blocks = self._split(queries, k, k1)
-        hits = first.unionByName(self._scored(asked, blocks.filter("not first and not skipped"), k1)).filter("score > 0")
+        asked, first, blocks, words = self._split(queries, k, k1)
+        hits = first.unionByName(self._scored(asked, written(blocks.filter("not first and not skipped"), "bm25-rest"), k1, words)).filter("score > 0")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-        return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return self._matched(asked, hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), words)
 
     def work(self, queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
         """(query, blocks, skipped): how many blocks hold a term of the query, and how many of them a search skips."""

@@ -57,9 +57,9 @@ def test_no_block_that_is_skipped_holds_a_hit(spark, docs, asked):
     path = new_folder(spark, "test")
     lexical_index.append(docs, X.search_tokens(F.col("text")), path, block=8)
     index = lexical_index.Index(spark, path)
-    terms, first, blocks = index._split(asked, 10, 1.5)
+    terms, first, blocks, words = index._split(asked, 10, 1.5)
     bounds = {(r["query"], r["generation"], r["block"]): (r["bound"], r["least"], r["skipped"]) for r in blocks.collect()}
-    scored = index._scored(terms, blocks, 1.5)
+    scored = index._scored(terms, blocks, 1.5, words)
     place = index.postings.select("generation", "block", F.explode("docs.doc").alias("doc")).distinct()
     for r in scored.join(place, "doc").collect():
         bound, least, skipped = bounds[(r["query"], r["generation"], r["block"])]
@@ -88,6 +88,14 @@ def test_nothing_indexed_and_no_index(spark, docs, asked):
     assert index.search(asked).count() == 0 and index.weights().count() == 0 and index.n_docs == 0
 
 
+def test_long_queries(spark, docs):
+    """More terms than one word of bits holds."""
+    path = new_folder(spark, "test")
+    lexical_index.append(docs, X.search_tokens(F.col("text")), path)
+    asked = spark.createDataFrame([(1, f"w{i}", i) for i in range(200)] + [(2, "w1", 150)], "query long, term string, place int")
+    assert hits(lexical_index.Index(spark, path).search(asked)) == everything(docs, asked)
+
+
 def test_weights(spark, docs):
     path = new_folder(spark, "test")
     lexical_index.append(docs, X.search_tokens(F.col("text")), path)
