@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import distinct_parts, tokens
+from quillon.functions.text import distinct_parts, once, tokens
 
 from .phrases import rule_hits
 
@@ -106,13 +106,30 @@ def terms_agree(a: Column, b: Column) -> Column:
     return (a == b) | ((n >= 4) & (F.left(a, n) == F.left(b, n)))
 
 
+def agreement_keys(term: Column, asked: bool) -> Column:
+    """Keys such that two terms agree exactly if an asked one and a held one have a key in common.
+
+    Terms of five characters or more meet in their first five; where one of the two has four, these are the other's
+    first four; all meet that are equal.
+    """
+    five, four = F.char_length(term) >= 5, F.left(term, F.lit(4))
+    longer, shorter = (F.lit("4"), F.lit("x")) if asked else (F.lit("x"), F.lit("4"))
+    return F.array_compact(F.array(F.concat(F.lit("="), term), F.when(five, F.concat(F.lit("5"), F.left(term, F.lit(5)))), F.when(five, F.concat(longer, four)), F.when(F.char_length(term) == 4, F.concat(F.lit("x"), term)), F.when((F.char_length(term) == 4) & F.lit(not asked), F.concat(shorter, term))))
+
+
 def archive_gate(pairs: DataFrame, query_terms: str, text_terms: str, threshold: float = 0.75) -> DataFrame:
-    """Pairs with matched terms, score and acceptance by the overlap of content terms."""
-    matched = F.filter(query_terms, lambda q: F.exists(text_terms, lambda t: terms_agree(q, t)))
+    """Pairs with matched terms, score and acceptance by the overlap of content terms.
+
+    Terms that agree are found by hashing their keys once a row, not by comparing every term with every other.
+    """
+    asked = F.transform(query_terms, lambda q: agreement_keys(q, True))
+    met = F.array_intersect(F.flatten(asked), F.flatten(F.transform(text_terms, lambda t: agreement_keys(t, False))))
+    pairs = once(pairs, _met=met)
+    matched = F.filter(query_terms, lambda q: F.arrays_overlap(agreement_keys(q, True), F.col("_met")))
     n, m = F.size(query_terms), F.size("matched")
     needed = F.least(F.lit(3), n)
     score = F.when(m > 0, F.round(0.5 + 0.5 * F.least(F.lit(1.0), m / F.greatest(F.least(F.lit(4), n), F.lit(1))), 4)).otherwise(0.0)
-    out = pairs.withColumn("matched", matched).withColumn("relevance", score)
+    out = pairs.withColumn("matched", matched).drop("_met").withColumn("relevance", score)
     return out.withColumn("accepted", (needed >= 2) & (m >= needed) & (F.col("relevance") >= threshold))
 
 

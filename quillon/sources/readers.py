@@ -209,7 +209,12 @@ def html_links(pages: DataFrame, id_column: str = "page_id", html_column: str =
     found = F.regexp_extract("_li", r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
     rows = rows.withColumn("_a", found).filter("_a <> ''").withColumn("_href", F.regexp_replace(F.regexp_replace("_a", r"""(?is)^.*?\bhref\s*=\s*["']?""", ""), r"""["']$""", ""))
     texts = F.filter(F.transform(F.split("_li", "(?s)<[^>]*>"), lambda x: squeeze(x)), lambda x: x != "")
-    return rows.select("page", (F.col("_p") + 1).alias("place"), joined_address(base, F.trim(unescaped(F.col("_href")))).alias("address"), F.trim(unescaped(F.array_join(texts, " "))).alias("title"))
+    rows = rows.select("page", (F.col("_p") + 1).alias("place"), "_href", F.array_join(texts, " ").alias("_title"))
+    # Only items with entities leave the JVM; the others are most.
+    marked = F.contains("_href", F.lit("&")) | F.contains("_title", F.lit("&"))
+    plain, others = rows.filter(~marked), rows.filter(marked)
+    decoded_ = others.select("page", "place", unescaped(F.col("_href")).alias("_href"), unescaped(F.col("_title")).alias("_title"))
+    return plain.unionByName(decoded_).select("page", "place", joined_address(base, F.trim("_href")).alias("address"), F.trim("_title").alias("title"))
 
 
 def keyword_reasons(text: Column, terms: list[str]) -> Column:

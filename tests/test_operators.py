@@ -248,3 +248,15 @@ def test_many_units_route_as_few_do(spark, monkeypatch):
     assert sorted(map(tuple, rules.route(docs, units, F.col("text"), fallback="c", k=2).collect()), key=repr) == few
     assert [r[1:4] for r in few if r[0] == 1] == [("a", 11.0, 1), ("b", 0.0, 2)]
     assert {r[1]: r[3] for r in few if r[0] == 2} == {"c": 1, "a": 2} and len([r for r in few if r[0] == 4]) == 4
+
+
+def test_terms_agree_by_keys_as_by_comparison(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abç") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randrange(0, 8))], [rng.choice(words) for _ in range(rng.randrange(0, 8))]) for i in range(300)]
+    pairs = spark.createDataFrame([*rows, (900, None, ["abab"]), (901, ["abab"], None)], "i int, q array<string>, t array<string>")
+    compared = F.filter("q", lambda q: F.exists("t", lambda t: fusion.terms_agree(q, t)))
+    out = fusion.archive_gate(pairs, "q", "t")
+    assert "exists(" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.withColumn("compared", compared).collect():
+        assert (r["matched"] or []) == (r["compared"] or []), r
