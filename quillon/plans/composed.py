@@ -238,6 +238,26 @@ _composed(
     quality.redacted, "CASE o_orderkey % 4 WHEN 0 THEN 'IBAN [IBAN]' WHEN 1 THEN '[PHONE] ara' WHEN 2 THEN 'key [API_TOKEN]' ELSE CASE WHEN length(s) = 16 THEN 'no [TCKN] x' ELSE s END END",
 )
 
+#: A closed schema for what is said of an order, and texts with every kind of fault.
+_ORDER = {
+    "type": "object", "required": ["id", "status"],
+    "properties": {"id": {"type": "integer", "minimum": 100, "maximum": 14000}, "status": {"type": "string", "enum": ["F", "O"]}, "note": {"type": ["string", "null"], "maxLength": 8}, "tags": {"type": "array", "maxItems": 2, "items": {"type": "string"}}, "price": {"type": "number"}, "paid": {"const": True}},
+}
+_ID = _text("o_orderkey")
+_composed(
+    "json_faults", "orders", "o_orderkey",
+    {"s": f"""CASE o_orderkey % 16 WHEN 0 THEN concat('{{"id": ', {_ID}, '.5, "status": "F"}}') WHEN 1 THEN concat('{{"status": "', o_orderstatus, '"}}') WHEN 2 THEN concat('{{"id": ', {_ID}, ', "status": "O", "more": ', {_text('o_custkey')}, '}}')
+    WHEN 3 THEN concat('{{"id": ', {_ID}, ', "id": 1, "status": "O"}}') WHEN 4 THEN concat('{{"id": NaN, "status": "', o_orderstatus, '"}}') WHEN 5 THEN concat('{{"id": ', {_ID}, ', "status": "F"}} ', o_orderpriority) WHEN 6 THEN o_orderpriority
+    WHEN 7 THEN concat('{{"id": 500, "status": "F", "note": "', o_orderpriority, '"}}') WHEN 8 THEN concat('{{"id": 500, "status": "F", "tags": ["', o_orderstatus, '", ', CASE o_custkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '"a"' ELSE '"a", "b"' END, ']}}')
+    WHEN 9 THEN concat('{{"id": 500, "status": "F", "price": ', {_text('o_custkey')}, CASE o_custkey % 2 WHEN 0 THEN 'e2' ELSE '.25' END, ', "note": null}}') WHEN 10 THEN concat('[', {_ID}, ']') WHEN 11 THEN '' WHEN 12 THEN NULL WHEN 13 THEN concat('{{"id": 500, "status": "F", "paid": ', CASE o_custkey % 2 WHEN 0 THEN 'true' ELSE '1' END, '}}')
+    ELSE concat('{{"status": "', o_orderstatus, '", "id": ', {_ID}, '}}') END"""},
+    quality.strict_json(_ORDER),
+    """CASE o_orderkey % 16 WHEN 0 THEN '$.id: not integer' WHEN 1 THEN '$.id: missing' WHEN 2 THEN '$.more: unknown' WHEN 3 THEN 'not JSON' WHEN 4 THEN 'not JSON' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'not JSON'
+    WHEN 7 THEN CASE WHEN length(split_part(s, '"', 10)) > 8 THEN '$.note: length' END WHEN 8 THEN CASE o_custkey_third WHEN 0 THEN '$.tags[]: not string' WHEN 2 THEN '$.tags: items' END WHEN 10 THEN '$: not object' WHEN 11 THEN 'not JSON' WHEN 12 THEN 'null'
+    WHEN 13 THEN CASE WHEN contains(s, 'true') THEN NULL ELSE '$.paid: not allowed' END WHEN 9 THEN NULL
+    ELSE CASE WHEN o_orderkey < 100 OR o_orderkey > 14000 THEN '$.id: out of bounds' WHEN s[13] NOT IN ('F', 'O') THEN '$.status: not allowed' END END""".replace("o_custkey_third", "CASE WHEN contains(s, ', 1]') THEN 0 WHEN contains(s, '\"b\"') THEN 2 ELSE 1 END"),
+)
+
 
 @R.add("""WITH RECURSIVE k AS (SELECT conv_id, turn AS id, [role, left(coalesce(text, ''), 1)] AS keys FROM conversations),
 n AS (SELECT conv_id, id, unnest([1, 2]) AS nth, unnest(keys) AS key FROM k),

@@ -92,6 +92,20 @@ def test_strict_json(spark):
     assert got[0] is None and all(got[1:])
 
 
+def test_strict_json_of_odd_texts_and_nested_schemas(spark):
+    schema = {"type": "object", "properties": {"a b": {"type": ["integer", "null"]}, "it's": {"type": "object", "required": ["x"], "properties": {"x": {"type": "array", "minItems": 1, "items": {"type": "object", "properties": {"y": {"type": "boolean"}}}}}}, "n": {"type": "number", "minimum": -1, "maximum": 1}, "e": {"enum": ["p", 2, None, True]}}, "maxProperties": 3}
+    cases = {
+        '{}': None, ' {"n": 0.5} ': None, '{"a b": null}': None, '{"a b": 12345678901234567890123}': None, '{"a b": 1.5}': "$.a b: not integer or null", '{"a b": "1"}': "$.a b: not integer or null",
+        '{"it\'s": {}}': "$.it's.x: missing", '{"it\'s": {"x": []}}': "$.it's.x: items", '{"it\'s": {"x": [{"y": true}, {"y": 1}]}}': "$.it's.x[].y: not boolean", '{"it\'s": {"x": [{"z": 1}]}}': "$.it's.x[].z: unknown", '{"it\'s": {"x": [{}]}}': None,
+        '{"n": 1e3}': "$.n: out of bounds", '{"n": -1}': None, '{"n": "0"}': "$.n: not number", '{"e": "p"}': None, '{"e": 2}': None, '{"e": null}': None, '{"e": true}': None, '{"e": false}': "$.e: not allowed", '{"e": "2"}': "$.e: not allowed",
+        '{"a b": 1, "n": 0, "e": 2, "it\'s": {"x": [{}]}}': "$: properties", 'null': "$: not object", '[]': "$: not object", '"x"': "$: not object", '{"n": 0} {}': "not JSON", '{"n": 0}, 1': "not JSON", '1],[2': "not JSON", '1},{"x":2': "not JSON", '1, "y": 2': "not JSON", '{"n": Infinity}': "not JSON", '```json {}```': "not JSON", '{"n": 0, "n": 0}': "not JSON", "": "not JSON", " ": "not JSON", '{"n": 01}': "not JSON", None: "null",
+    }
+    got = {r["t"]: r["f"] for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", quality.strict_json(schema)(F.col("t")).alias("f")).collect()}
+    assert got == cases
+    plan = spark.createDataFrame([("x",)], "t string").select(quality.strict_json(schema)(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_merge_faults(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(1, "x"), (2, None), (9, "z")], "k int, v string")
