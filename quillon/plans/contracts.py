@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as X
-from quillon.operators import dedup, graph, ownership, quality
+from quillon.operators import builds, dedup, graph, ownership, quality, storage
 from quillon.sources import sinks
 
 from .base import Registry, fold_sql, search_tokens_sql, squeeze_sql, table
@@ -276,3 +276,19 @@ def equivalence_owners(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "source")
     keys = ownership.reference_keys(F.left("text", F.lit(24)), F.col("source"), F.col("text"), F.col("doc_id"))
     return ownership.owners(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("place"), keys.alias("keys")))
+
+
+_BUILDS = """b AS (SELECT doc_id, CASE WHEN doc_id % 97 = 5 THEN 'xx' ELSE lang END AS lang, source, text FROM documents WHERE doc_id % 89 <> 7 UNION ALL SELECT doc_id, lang, source, text FROM documents WHERE doc_id % 101 = 3),
+a AS (SELECT doc_id, lang, source, text FROM documents)"""
+
+
+@R.add(f"WITH {_BUILDS} SELECT *, 'a' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def build_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Two stored builds of the documents, of which the second has rows changed, left out and repeated."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text")
+    changed = docs.filter("doc_id % 89 <> 7").withColumn("lang", F.when(F.col("doc_id") % 97 == 5, "xx").otherwise(F.col("lang")))
+    paths = []
+    for rows in (docs, changed.unionByName(docs.filter("doc_id % 101 = 3"))):
+        paths.append(storage.new_folder(spark, "build"))
+        builds.write_build(rows, ["doc_id"], paths[-1], groups=64)
+    return builds.differences(spark, *paths)
