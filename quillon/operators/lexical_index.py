@@ -8,8 +8,10 @@ corpus's average length becomes as documents are appended, the greatest of these
 rewritten.
 
 ``search`` sums the bounds of a query's terms in each block, scores the blocks of the highest bounds, and so learns a
-score that a query's last hit has at least. Blocks whose bound is below it are skipped; the others are scored. The
-result is exact. A frequent term's postings are dealt out by block, so none of them meets in one task.
+score that a query's last hit has at least. Terms whose greatest impacts together stay below it cannot make a hit:
+documents are found by the other terms only, those that cannot reach the score are dropped, and what the frequent terms
+add is asked for the rest. Blocks without such a term are skipped. The result is exact. A frequent term's postings are
+dealt out by block, so none of them meets in one task.
 """
 
 from __future__ import annotations
@@ -146,20 +148,24 @@ class Index:
         return written(queries.select("query", "term", "place").join(self.terms(), "term").withColumn("idf", idf(F.lit(float(self.n_docs)), F.col("df"))), "bm25-asked")
 
     def _bounds(self, asked: DataFrame, k1: float) -> DataFrame:
-        """(query, generation, block, bound): what a document of the block can score at most. Reads no postings."""
+        """(query, term, generation, block, bound): what a term adds to a document of the block at most. Reads no postings."""
         most = F.array_max(F.transform("shortest", lambda s: self._impact(s["tf"], s["length"], k1)))
         blocks = self.postings.select("term", "generation", "block", most.alias("impact"))
-        return asked.join(blocks, "term").groupBy("query", "generation", "block").agg(F.sum(F.col("idf") * F.col("impact")).alias("bound"))
+        return blocks.join(asked, "term").select("query", "term", "generation", "block", (F.col("idf") * F.col("impact")).alias("bound"))
 
-    def _scored(self, asked: DataFrame, blocks: DataFrame, k1: float, words: int) -> DataFrame:
-        """Scores of all documents of (query, generation, block) that hold a term of the query."""
-        # Terms and blocks are written tables, so Spark knows whether they are small enough to go to where the postings are.
-        met = self.postings.select("term", "generation", "block", "docs").join(asked, "term").join(blocks.select("query", "generation", "block"), ["query", "generation", "block"])
-        each = met.select("query", "place", "idf", F.inline("docs"))
+    def _parts(self, asked: DataFrame, k1: float, words: int, blocks: DataFrame | None = None) -> DataFrame:
+        """(query, doc, generation, block, part, bits): what each term adds to each document that holds it, in some blocks or all.
+
+        Terms and blocks are written tables, so Spark knows whether they are small enough to go to where the postings are.
+        Which terms are met is kept in bits, by place, so that rows are summed without lists.
+        """
+        met = self.postings.select("term", "generation", "block", "docs").join(asked.select("query", "term", "place", "idf"), "term")
+        if blocks is not None:
+            met = met.join(blocks.select("query", "generation", "block"), ["query", "generation", "block"])
+        each = met.select("query", "generation", "block", "place", "idf", F.inline("docs"))
         part = F.col("idf") * self._impact(F.col("tf"), F.col("length"), k1)
-        # Which terms are met is kept in bits, by place, so that rows are summed without lists.
-        bits = [F.bit_or(F.when(F.floor(F.col("place") / WORD) == w, F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}") for w in range(words)]
-        return each.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"), *bits)
+        bits = [F.when(F.floor(F.col("place") / WORD) == w, F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")).otherwise(F.lit(0).cast("long")).alias(f"bits{w}") for w in range(words)]
+        return each.select("query", "doc", "generation", "block", part.alias("part"), *bits)
 
     def _matched(self, asked: DataFrame, hits: DataFrame, words: int) -> DataFrame:
         """``hits`` with the terms that their bits stand for, in order of places."""
@@ -168,28 +174,55 @@ class Index:
         met = F.filter("_terms", lambda t: F.getbit(F.get(word, F.floor(t["place"] / WORD).cast("int")), (t["place"] % WORD).cast("int")) == 1)
         return hits.join(terms, "query").select("query", "doc", "score", "rank", F.transform(met, lambda t: t["term"]).alias("matched_terms"))
 
-    def _split(self, queries: DataFrame, k: int, k1: float) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-        """Asked terms, scored documents of the first blocks, all blocks of each query with ``first`` and ``skipped``, and words of bits."""
+    def _essential(self, queries: DataFrame, k: int, k1: float) -> tuple[DataFrame, DataFrame, int]:
+        """Asked terms with ``essential``, (query, least, rest), and words of bits.
+
+        ``least`` is a score that the k-th hit has at least, learned from the blocks of the highest bounds; null if these
+        have fewer hits. A query's terms of the lowest bounds that together stay below it are not essential: ``rest`` is
+        the most that they add, and a document that holds no other term is no hit.
+        """
         asked = self._asked(queries)
         words = (asked.agg(F.max("place")).first()[0] or 0) // WORD + 1
+        each = self._bounds(asked, k1)
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "generation", "block")
-        bounds = written(self._bounds(asked, k1).withColumn("first", F.row_number().over(best) <= FIRST_BLOCKS), "bm25-bounds")
-        hits = written(self._scored(asked, bounds.filter("first"), k1, words), "bm25-first")
+        blocks = each.groupBy("query", "generation", "block").agg(F.sum("bound").alias("bound"))
+        first = written(blocks.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= FIRST_BLOCKS).drop("_r"), "bm25-first")
+        hits = self._parts(asked, k1, words, first).groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
         last = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
         least = hits.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") == k).select("query", F.col("score").alias("least"))
-        skipped = ~F.col("first") & F.coalesce(F.col("bound") + SLACK < F.col("least"), F.lit(False))
-        return asked, hits, bounds.join(least, "query", "left").withColumn("skipped", skipped), words
+        most = each.groupBy("query", "term").agg(F.max("bound").alias("most"))
+        lowest = Window.partitionBy("query").orderBy("most", "term")
+        flagged = most.join(least, "query", "left").withColumn("_sum", F.sum("most").over(lowest.rowsBetween(Window.unboundedPreceding, 0)))
+        flagged = flagged.withColumn("essential", F.col("least").isNull() | (F.col("_sum") + SLACK >= F.col("least")))
+        terms = written(asked.join(flagged.select("query", "term", "most", "least", "essential"), ["query", "term"]), "bm25-terms")
+        known = terms.groupBy("query").agg(F.first("least").alias("least"), F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("most"))).alias("rest"))
+        return terms, written(known, "bm25-known"), words
 
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
         """From ``queries`` (query, term, place), distinct terms in order: query, doc, rank, score, matched_terms.
 
         Scores are rounded before ranking, ties go to the least document. A query without terms of the index has no hits.
         """
-        asked, first, blocks, words = self._split(queries, k, k1)
-        hits = first.unionByName(self._scored(asked, written(blocks.filter("not first and not skipped"), "bm25-rest"), k1, words)).filter("score > 0")
+        terms, known, words = self._essential(queries, k, k1)
+        bits = [f"bits{w}" for w in range(words)]
+        summed = [F.sum("part").alias("part"), *[F.bit_or(c).alias(c) for c in bits]]
+        some = self._parts(terms.filter("essential"), k1, words).groupBy("query", "doc", "generation", "block").agg(*summed)
+        able = F.col("least").isNull() | (F.col("part") + F.col("rest") + SLACK >= F.col("least"))
+        candidates = written(some.join(known, "query").filter(able).select(*some.columns), "bm25-candidates")
+        # What the other terms add is asked of the candidates alone.
+        blocks = written(candidates.select("query", "generation", "block").distinct(), "bm25-blocks")
+        more = self._parts(terms.filter("not essential"), k1, words, blocks).join(candidates.select("query", "doc"), ["query", "doc"], "left_semi")
+        each = candidates.select("query", "doc", "part", *bits).unionByName(more.select("query", "doc", "part", *bits))
+        hits = each.groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"), *summed[1:]).filter("score > 0")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-        return self._matched(asked, hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), words)
+        return self._matched(terms, hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), words)
 
     def work(self, queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
-        """(query, blocks, skipped): how many blocks hold a term of the query, and how many of them a search skips."""
-        return self._split(queries, k, k1)[2].groupBy("query").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("skipped").alias("skipped"))
+        """(query, blocks, skipped): how many blocks hold a term of the query, and in how many of them no document can be a hit.
+
+        In these no essential term stands, so none of their postings is read.
+        """
+        terms, _, _ = self._essential(queries, k, k1)
+        each = self._bounds(terms, k1).join(terms.select("query", "term", "essential"), ["query", "term"])
+        blocks = each.groupBy("query", "generation", "block").agg(F.max("essential").alias("read"))
+        return blocks.groupBy("query").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(~F.col("read")).alias("skipped"))

@@ -48,23 +48,25 @@ def test_equal_to_scoring_everything(spark, docs, asked):
         assert hits(index.search(asked, k)) == everything(docs, asked, k)
     assert index.n_docs == len(ROWS)
     work = index.work(asked).collect()
-    # Of the blocks that hold a term of a query, some cannot reach its tenth hit.
-    assert len(work) == 30 and sum(r["skipped"] for r in work) > 0 and all(0 <= r["skipped"] <= r["blocks"] - lexical_index.FIRST_BLOCKS for r in work)
+    # Of the blocks that hold a term of a query, some have no document that can be a hit.
+    assert len(work) == 30 and sum(r["skipped"] for r in work) > 0 and all(0 <= r["skipped"] < r["blocks"] for r in work)
     assert all(r["skipped"] == 0 for r in index.work(asked, 5000).collect())
 
 
-def test_no_block_that_is_skipped_holds_a_hit(spark, docs, asked):
+def test_no_document_without_an_essential_term_is_a_hit(spark, docs, asked):
     path = new_folder(spark, "test")
     lexical_index.append(docs, X.search_tokens(F.col("text")), path, block=8)
     index = lexical_index.Index(spark, path)
-    terms, first, blocks, words = index._split(asked, 10, 1.5)
-    bounds = {(r["query"], r["generation"], r["block"]): (r["bound"], r["least"], r["skipped"]) for r in blocks.collect()}
-    scored = index._scored(terms, blocks, 1.5, words)
-    place = index.postings.select("generation", "block", F.explode("docs.doc").alias("doc")).distinct()
-    for r in scored.join(place, "doc").collect():
-        bound, least, skipped = bounds[(r["query"], r["generation"], r["block"])]
-        assert r["score"] <= bound + 1e-6
-        assert not skipped or r["score"] < least
+    terms, known, words = index._essential(asked, 10, 1.5)
+    least = {r["query"]: (r["least"], r["rest"]) for r in known.collect()}
+    assert any(rest > 0 for _, rest in least.values())
+    scores = index._parts(terms, 1.5, words).groupBy("query", "doc").agg(F.sum("part").alias("score"))
+    other = index._parts(terms.filter("not essential"), 1.5, words).groupBy("query", "doc").agg(F.sum("part").alias("rest"))
+    for r in scores.join(other, ["query", "doc"]).collect():
+        low, rest = least[r["query"]]
+        assert r["rest"] <= rest + 1e-9 and rest < low
+    tenth = {(r["query"]): r["score"] for r in index.search(asked, 10).filter("rank = 10").collect()}
+    assert all(tenth[q] >= low for q, (low, _) in least.items() if low is not None)
 
 
 def test_appended_and_failed_runs(spark, docs, asked):
