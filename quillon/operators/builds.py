@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import replace_text
+from .storage import replace_text, written
 
 GROUPS, FANOUT = 256, 16
 
@@ -87,8 +87,9 @@ def differences(spark: SparkSession, a: str, b: str) -> DataFrame:
     changed = changed_groups(spark, a, b)
     sides = [build_rows(spark, p).filter(F.col("_group").isin(changed) if changed else F.lit(False)) for p in (a, b)]
     names = [c for c in sides[0].columns if c not in ("_digest", "_group")]
-    marked = sides[0].withColumn("_side", F.lit(1)).unionByName(sides[1].withColumn("_side", F.lit(-1)))
-    # Equal rows have equal digests: counted by them, whatever types the columns have.
-    count = marked.groupBy("_digest").agg(F.sum("_side").alias("_more"), *[F.first(f"`{c}`").alias(c) for c in names]).filter(F.col("_more") != 0)
-    repeated = count.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int"))))
+    # Equal rows have equal digests, whatever types the columns have: digests alone are counted, then their rows fetched.
+    marked = sides[0].select("_digest", F.lit(1).alias("_side")).unionByName(sides[1].select("_digest", F.lit(-1).alias("_side")))
+    more = written(marked.groupBy("_digest").agg(F.sum("_side").alias("_more")).filter(F.col("_more") != 0), "build-more")
+    rows = sides[0].unionByName(sides[1]).join(more, "_digest").groupBy("_digest").agg(F.first("_more").alias("_more"), *[F.first(f"`{c}`").alias(c) for c in names])
+    repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in names], F.when(F.col("_more") > 0, "a").otherwise("b").alias("only_in"))
