@@ -30,6 +30,8 @@ from .storage import exists, written
 
 #: Documents of a block, and about as many tokens; blocks of each query that are scored before any is skipped.
 BLOCK, BLOCK_TOKENS, FIRST_BLOCKS = 128, 500_000, 4
+#: Rows of a few numbers that are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
 #: Places of terms in one word of bits.
 WORD = 62
 #: Sums of doubles in another order differ by less than this; scores are rounded to six places.
@@ -110,6 +112,11 @@ def _postings(slim: DataFrame, block: int) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
+def _near(small: DataFrame) -> DataFrame:
+    """A table of short rows, broadcast if a count of them says that it is small; else Spark shuffles both sides."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _generations(spark: SparkSession, path: str) -> int:
     """How many generations are whole; they are numbered from 0 and written one after another."""
     n = 0
@@ -161,7 +168,7 @@ class Index:
         """
         met = self.postings.select("term", "generation", "block", "docs").join(asked.select("query", "term", "place", "idf"), "term")
         if blocks is not None:
-            met = met.join(blocks.select("query", "generation", "block"), ["query", "generation", "block"])
+            met = met.join(_near(blocks.select("query", "generation", "block")), ["query", "generation", "block"])
         each = met.select("query", "generation", "block", "place", "idf", F.inline("docs"))
         part = F.col("idf") * self._impact(F.col("tf"), F.col("length"), k1)
         bits = [F.when(F.floor(F.col("place") / WORD) == w, F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")).otherwise(F.lit(0).cast("long")).alias(f"bits{w}") for w in range(words)]
@@ -211,7 +218,7 @@ class Index:
         candidates = written(some.join(known, "query").filter(able).select(*some.columns), "bm25-candidates")
         # What the other terms add is asked of the candidates alone.
         blocks = written(candidates.select("query", "generation", "block").distinct(), "bm25-blocks")
-        more = self._parts(terms.filter("not essential"), k1, words, blocks).join(candidates.select("query", "doc"), ["query", "doc"], "left_semi")
+        more = self._parts(terms.filter("not essential"), k1, words, blocks).join(_near(candidates.select("query", "doc")), ["query", "doc"], "left_semi")
         each = candidates.select("query", "doc", "part", *bits).unionByName(more.select("query", "doc", "part", *bits))
         hits = each.groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"), *summed[1:]).filter("score > 0")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
