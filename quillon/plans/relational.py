@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import storage
+from quillon.operators import sketches, storage
 from quillon.sources import readers
 from quillon.streaming import lifecycle, stateful
 
@@ -227,3 +227,30 @@ def lifecycle_verdicts(spark: SparkSession, d: str) -> DataFrame:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.parquet(f"{path}/rows").filter("event_id IS NOT NULL").select("document", "event_id", "verdict", "status", "events")
+
+
+@R.add("""WITH e AS (SELECT event_type, CAST(ts AS DATE) AS day, user_id, value FROM events), x AS (SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, median(value) AS half FROM e GROUP BY 1)
+SELECT event_type, rows, users, true AS users_fit, true AS median_fits FROM x""")
+def sketched_events(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users and median values of event types from sketches by day, merged, and whether they are within their bounds."""
+    events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    kept = storage.written(sketches.sketched(events, ["event_type", "day"], "user_id", "value"), "sketches")
+    whole = sketches.merged(kept, ["event_type"]).select("event_type", "rows", sketches.distinct_estimate(F.col("distinct_sketch")).alias("about"), sketches.quantile_estimate(F.col("quantile_sketch"), 0.5).alias("half"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    # The share of values up to the estimated median is near one half.
+    below = events.join(F.broadcast(whole.select("event_type", "half")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("half")).cast("double")).alias("share"))
+    both = whole.join(exact, "event_type").join(below, "event_type")
+    return both.select("event_type", "rows", "users", (F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1), 0.03 * F.col("users"))).alias("users_fit"), (F.abs(F.col("share") - 0.5) <= 0.02).alias("median_fits"))
+
+
+_SAMPLE = 200
+
+
+@R.add(f"""WITH p AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS w, o_totalprice / ((CAST('0x' || left(md5('7|' || o_orderkey), 13) AS BIGINT) + 1) / 4503599627370496.0) AS priority FROM orders WHERE o_totalprice > 0),
+r AS (SELECT *, row_number() OVER (ORDER BY priority DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM p)
+SELECT o_orderkey, o_orderpriority, round(greatest(w, coalesce((SELECT priority FROM r WHERE n = {_SAMPLE + 1}), 0)), 4) AS estimate FROM r WHERE n <= {_SAMPLE}""")
+def priority_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Two hundred orders by priority of price, with what each stands for."""
+    orders = table(spark, d, "orders")
+    out = sketches.priority_sample(orders, F.col("o_orderkey"), F.col("o_totalprice"), _SAMPLE, seed=7)
+    return out.select("o_orderkey", "o_orderpriority", F.round("estimate", 4).alias("estimate"))
