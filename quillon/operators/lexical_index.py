@@ -8,15 +8,16 @@ corpus's average length becomes as documents are appended, the greatest of these
 rewritten.
 
 ``search`` sums the bounds of a query's terms in each block, scores the blocks of the highest bounds, and so learns a
-score that a query's last hit has at least. Terms whose greatest impacts together stay below it cannot make a hit:
-documents are found by the other terms only, those that cannot reach the score are dropped, and what the frequent terms
-add is asked for the rest. Blocks without such a term are skipped. The result is exact. A frequent term's postings are
-dealt out by block, so none of them meets in one task.
+score that a query's last hit has at least. Blocks in which no query can reach its score are skipped. In the others the
+asked terms' postings meet once a block, where all queries are scored together and only the best documents leave, so
+neither documents nor hits are multiplied by queries before they are shuffled. The result is exact. A frequent term's
+postings are dealt out by block, so none of them meets in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lexical import DOCUMENT, K1, OFFLINE_K1, idf, weight
+from .dense import in_blocks
+from .lexical import DOCUMENT, K1, OFFLINE_K1, B, idf, weight
 from .storage import exists, written
 
 #: Documents of a block, and about as many tokens; blocks of each query that are scored before any is skipped.
 BLOCK, BLOCK_TOKENS, FIRST_BLOCKS = 128, 500_000, 4
 #: Rows of a few numbers that are broadcast, at most.
 BROADCAST_ROWS = 1_000_000
-#: Places of terms in one word of bits.
-WORD = 62
 #: Sums of doubles in another order differ by less than this; scores are rounded to six places.
 SLACK = 2e-6
 
@@ -160,76 +160,101 @@ class Index:
         blocks = self.postings.select("term", "generation", "block", most.alias("impact"))
         return blocks.join(asked, "term").select("query", "term", "generation", "block", (F.col("idf") * F.col("impact")).alias("bound"))
 
-    def _parts(self, asked: DataFrame, k1: float, words: int, blocks: DataFrame | None = None) -> DataFrame:
-        """(query, doc, generation, block, part, bits): what each term adds to each document that holds it, in some blocks or all.
+    def _scored(self, asked: DataFrame, blocks: DataFrame, k: int, k1: float) -> DataFrame:
+        """(query, doc, score, matched_terms): of each block the best k documents of each query, those below its ``least`` left out.
 
-        Terms and blocks are written tables, so Spark knows whether they are small enough to go to where the postings are.
-        Which terms are met is kept in bits, by place, so that rows are summed without lists.
-        """
-        met = self.postings.select("term", "generation", "block", "docs").join(asked.select("query", "term", "place", "idf"), "term")
-        if blocks is not None:
-            met = met.join(_near(blocks.select("query", "generation", "block")), ["query", "generation", "block"])
-        each = met.select("query", "generation", "block", "place", "idf", F.inline("docs"))
-        part = F.col("idf") * self._impact(F.col("tf"), F.col("length"), k1)
-        bits = [F.when(F.floor(F.col("place") / WORD) == w, F.expr(f"shiftleft(1L, CAST(place % {WORD} AS INT))")).otherwise(F.lit(0).cast("long")).alias(f"bits{w}") for w in range(words)]
-        return each.select("query", "doc", "generation", "block", part.alias("part"), *bits)
-
-    def _matched(self, asked: DataFrame, hits: DataFrame, words: int) -> DataFrame:
-        """``hits`` with the terms that their bits stand for, in order of places."""
-        terms = asked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("_terms"))
-        word = F.array(*[F.col(f"bits{w}") for w in range(words)])
-        met = F.filter("_terms", lambda t: F.getbit(F.get(word, F.floor(t["place"] / WORD).cast("int")), (t["place"] % WORD).cast("int")) == 1)
-        return hits.join(terms, "query").select("query", "doc", "score", "rank", F.transform(met, lambda t: t["term"]).alias("matched_terms"))
-
-    def _essential(self, queries: DataFrame, k: int, k1: float) -> tuple[DataFrame, DataFrame, int]:
-        """Asked terms with ``essential``, (query, least, rest), and words of bits.
-
-        ``least`` is a score that the k-th hit has at least, learned from the blocks of the highest bounds; null if these
-        have fewer hits. A query's terms of the lowest bounds that together stay below it are not essential: ``rest`` is
-        the most that they add, and a document that holds no other term is no hit.
+        ``asked`` has query, term, place, idf and least. The postings of the asked terms meet once a block, however many
+        queries ask for them; a block is bounded, and the queries come to it by a broadcast of at most so many rows.
         """
+        wanted = self.postings.select("term", "generation", "block", "docs").join(_near(blocks.select("generation", "block").distinct()), ["generation", "block"], "left_semi")
+        parts = in_blocks(asked, BROADCAST_ROWS, F.xxhash64(F.lit(9), "query"))
+        return reduce(DataFrame.unionByName, [self._scored_by(part, wanted, k, k1) for part in parts])
+
+    def _scored_by(self, asked: DataFrame, wanted: DataFrame, k: int, k1: float) -> DataFrame:
+        kinds = asked.schema["query"].dataType.simpleString(), self.postings.schema["docs"].dataType.elementType["doc"].dataType.simpleString()
+        shared = asked.sparkSession.sparkContext.broadcast(_Asked(asked.select("query", "term", "place", "idf", "least").toArrow()))
+        average, b = max(float(self.average), 1.0), B
+
+        def score(table: pa.Table) -> pa.Table:
+            return shared.value.best(table.combine_chunks(), average, k, k1, b)
+
+        terms = asked.select("term").distinct()
+        # The terms of the queries are a broadcast or a shuffle, as Spark finds them small or not.
+        return wanted.join(terms, "term", "left_semi").groupBy("generation", "block").applyInArrow(score, f"query {kinds[0]}, doc {kinds[1]}, score double, matched_terms array<string>")
+
+    def _blocks(self, queries: DataFrame, k: int, k1: float) -> tuple[DataFrame, DataFrame]:
+        """Asked terms with ``least``, a score that the k-th hit of the query has at least (or null), and (query, generation, block, bound, least)."""
         asked = self._asked(queries)
-        words = (asked.agg(F.max("place")).first()[0] or 0) // WORD + 1
-        each = self._bounds(asked, k1)
         best = Window.partitionBy("query").orderBy(F.desc("bound"), "generation", "block")
-        blocks = each.groupBy("query", "generation", "block").agg(F.sum("bound").alias("bound"))
-        first = written(blocks.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= FIRST_BLOCKS).drop("_r"), "bm25-first")
-        hits = self._parts(asked, k1, words, first).groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"))
+        bounds = written(self._bounds(asked, k1).groupBy("query", "generation", "block").agg(F.sum("bound").alias("bound")), "bm25-bounds")
+        first = written(bounds.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= FIRST_BLOCKS).drop("_r"), "bm25-first")
+        # What the first blocks of any query hold, for every query.
+        hits = self._scored(asked.withColumn("least", F.lit(None).cast("double")), first, k, k1)
         last = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
         least = hits.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") == k).select("query", F.col("score").alias("least"))
-        most = each.groupBy("query", "term").agg(F.max("bound").alias("most"))
-        lowest = Window.partitionBy("query").orderBy("most", "term")
-        flagged = most.join(least, "query", "left").withColumn("_sum", F.sum("most").over(lowest.rowsBetween(Window.unboundedPreceding, 0)))
-        flagged = flagged.withColumn("essential", F.col("least").isNull() | (F.col("_sum") + SLACK >= F.col("least")))
-        terms = written(asked.join(flagged.select("query", "term", "most", "least", "essential"), ["query", "term"]), "bm25-terms")
-        known = terms.groupBy("query").agg(F.first("least").alias("least"), F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("most"))).alias("rest"))
-        return terms, written(known, "bm25-known"), words
+        least = written(least, "bm25-least")
+        return written(asked.join(least, "query", "left"), "bm25-terms"), bounds.join(least, "query", "left")
 
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
         """From ``queries`` (query, term, place), distinct terms in order: query, doc, rank, score, matched_terms.
 
         Scores are rounded before ranking, ties go to the least document. A query without terms of the index has no hits.
         """
-        terms, known, words = self._essential(queries, k, k1)
-        bits = [f"bits{w}" for w in range(words)]
-        summed = [F.sum("part").alias("part"), *[F.bit_or(c).alias(c) for c in bits]]
-        some = self._parts(terms.filter("essential"), k1, words).groupBy("query", "doc", "generation", "block").agg(*summed)
-        able = F.col("least").isNull() | (F.col("part") + F.col("rest") + SLACK >= F.col("least"))
-        candidates = written(some.join(known, "query").filter(able).select(*some.columns), "bm25-candidates")
-        # What the other terms add is asked of the candidates alone.
-        blocks = written(candidates.select("query", "generation", "block").distinct(), "bm25-blocks")
-        more = self._parts(terms.filter("not essential"), k1, words, blocks).join(_near(candidates.select("query", "doc")), ["query", "doc"], "left_semi")
-        each = candidates.select("query", "doc", "part", *bits).unionByName(more.select("query", "doc", "part", *bits))
-        hits = each.groupBy("query", "doc").agg(F.round(F.sum("part"), 6).alias("score"), *summed[1:]).filter("score > 0")
+        asked, blocks = self._blocks(queries, k, k1)
+        hits = self._scored(asked, blocks.filter(~_skipped()), k, k1)
         best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-        return self._matched(terms, hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), words)
+        return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def work(self, queries: DataFrame, k: int = 10, k1: float = K1) -> DataFrame:
-        """(query, blocks, skipped): how many blocks hold a term of the query, and in how many of them no document can be a hit.
-
-        In these no essential term stands, so none of their postings is read.
-        """
-        terms, _, _ = self._essential(queries, k, k1)
-        each = self._bounds(terms, k1).join(terms.select("query", "term", "essential"), ["query", "term"])
-        blocks = each.groupBy("query", "generation", "block").agg(F.max("essential").alias("read"))
-        return blocks.groupBy("query").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(~F.col("read")).alias("skipped"))
+        """(query, blocks, skipped): how many blocks hold a term of the query, and in how many of them no document can be a hit."""
+        return self._blocks(queries, k, k1)[1].groupBy("query").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(_skipped()).alias("skipped"))
+
+
+def _skipped() -> Column:
+    return F.coalesce(F.col("bound") + SLACK < F.col("least"), F.lit(False))
+
+
+class _Asked:
+    """Terms of queries, to score a block at a time."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks().sort_by([("query", "ascending"), ("place", "ascending")])
+        self.terms = table.column("term").to_pylist()
+        ids = table.column("query").combine_chunks().dictionary_encode()
+        self.queries, self.query = ids.dictionary, ids.indices.to_numpy()
+        self.idf = table.column("idf").to_numpy()
+        self.least = np.full(len(self.queries), -np.inf)
+        self.least[self.query] = table.column("least").to_pandas().fillna(-np.inf).to_numpy()
+        self.rows: dict[str, list[int]] = {}
+        for i, t in enumerate(self.terms):
+            self.rows.setdefault(t, []).append(i)
+
+    def best(self, block: pa.Table, average: float, k: int, k1: float, b: float) -> pa.Table:
+        terms, lists = block.column("term").to_pylist(), block.column("docs").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy()
+        docs = lists.flatten()
+        ids = docs.field("doc").dictionary_encode()
+        tf, length = docs.field("tf").to_numpy().astype(float), docs.field("length").to_numpy()
+        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * np.maximum(length, 1) / average))
+        asked = [self.rows.get(t, []) for t in terms]
+        # Every posting of a term, for every query that asks for it.
+        starts = np.cumsum(sizes) - sizes
+        row = np.concatenate([np.repeat(np.asarray(r, dtype=np.int64), n) for r, n in zip(asked, sizes.tolist(), strict=True)])
+        at = np.concatenate([np.tile(np.arange(s, s + n), len(r)) for r, s, n in zip(asked, starts.tolist(), sizes.tolist(), strict=True)])
+        width = len(ids.dictionary)
+        spot = self.query[row].astype(np.int64) * width + ids.indices.to_numpy()[at]
+        order = np.argsort(spot, kind="stable")
+        spot, row = spot[order], row[order]
+        first = np.flatnonzero(np.diff(spot, prepend=-1))
+        score = np.round(np.add.reduceat((self.idf[row] * impact[at[order]]), first), 6) if len(first) else np.empty(0)
+        query, doc = spot[first] // width, spot[first] % width
+        keep = (score > 0) & (score + SLACK >= self.least[query])
+        # The best k of each query, by score, then by document.
+        by_doc = np.empty(width, dtype=np.int64)
+        by_doc[pc.sort_indices(ids.dictionary).to_numpy()] = np.arange(width)
+        some = np.flatnonzero(keep)
+        some = some[np.lexsort((by_doc[doc[some]], -score[some], query[some]))]
+        some = some[np.arange(len(some)) - np.searchsorted(query[some], query[some]) < k]
+        ends = np.append(first[1:], len(spot))
+        matched = [[self.terms[i] for i in np.sort(row[first[j] : ends[j]])] for j in some.tolist()]
+        return pa.table({"query": self.queries.take(pa.array(query[some])), "doc": ids.dictionary.take(pa.array(doc[some])), "score": pa.array(score[some]), "matched_terms": pa.array(matched, pa.list_(pa.string()))})

@@ -53,20 +53,20 @@ def test_equal_to_scoring_everything(spark, docs, asked):
     assert all(r["skipped"] == 0 for r in index.work(asked, 5000).collect())
 
 
-def test_no_document_without_an_essential_term_is_a_hit(spark, docs, asked):
+def test_no_block_that_is_skipped_holds_a_hit(spark, docs, asked):
     path = new_folder(spark, "test")
     lexical_index.append(docs, X.search_tokens(F.col("text")), path, block=8)
     index = lexical_index.Index(spark, path)
-    terms, known, words = index._essential(asked, 10, 1.5)
-    least = {r["query"]: (r["least"], r["rest"]) for r in known.collect()}
-    assert any(rest > 0 for _, rest in least.values())
-    scores = index._parts(terms, 1.5, words).groupBy("query", "doc").agg(F.sum("part").alias("score"))
-    other = index._parts(terms.filter("not essential"), 1.5, words).groupBy("query", "doc").agg(F.sum("part").alias("rest"))
-    for r in scores.join(other, ["query", "doc"]).collect():
-        low, rest = least[r["query"]]
-        assert r["rest"] <= rest + 1e-9 and rest < low
-    tenth = {(r["query"]): r["score"] for r in index.search(asked, 10).filter("rank = 10").collect()}
-    assert all(tenth[q] >= low for q, (low, _) in least.items() if low is not None)
+    terms, blocks = index._blocks(asked, 10, 1.5)
+    bounds = {(r["query"], r["generation"], r["block"]): (r["bound"], r["least"], r["s"]) for r in blocks.withColumn("s", lexical_index._skipped()).collect()}
+    scored = index._scored(terms.withColumn("least", F.lit(None).cast("double")), blocks, 5000, 1.5)
+    place = index.postings.select("generation", "block", F.explode("docs.doc").alias("doc")).distinct()
+    seen = 0
+    for r in scored.join(place, "doc").collect():
+        bound, least, skipped = bounds[(r["query"], r["generation"], r["block"])]
+        assert r["score"] <= bound + 1e-6 and (not skipped or r["score"] < least)
+        seen += skipped
+    assert seen > 0
 
 
 def test_appended_and_failed_runs(spark, docs, asked):
