@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 from .storage import replace_text, written
 
 GROUPS, FANOUT = 256, 16
+#: Digests of changed rows that are broadcast, at most (about 10 MB).
+BROADCAST_CHANGES = 100_000
 
 
 def row_digest(df: DataFrame) -> Column:
@@ -90,6 +92,8 @@ def differences(spark: SparkSession, a: str, b: str) -> DataFrame:
     # Equal rows have equal digests, whatever types the columns have: digests alone are counted, then their rows fetched.
     marked = sides[0].select("_digest", F.lit(1).alias("_side")).unionByName(sides[1].select("_digest", F.lit(-1).alias("_side")))
     more = written(marked.groupBy("_digest").agg(F.sum("_side").alias("_more")).filter(F.col("_more") != 0), "build-more")
-    rows = sides[0].unionByName(sides[1]).join(more, "_digest").groupBy("_digest").agg(F.first("_more").alias("_more"), *[F.first(f"`{c}`").alias(c) for c in names])
+    # Few changes go to where the rows are; many are met by a shuffle of the changed groups.
+    few = F.broadcast(more) if more.count() <= BROADCAST_CHANGES else more
+    rows = sides[0].unionByName(sides[1]).join(few, "_digest").groupBy("_digest").agg(F.first("_more").alias("_more"), *[F.first(f"`{c}`").alias(c) for c in names])
     repeated = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int"))))
     return repeated.select(*[F.col(f"`{c}`") for c in names], F.when(F.col("_more") > 0, "a").otherwise("b").alias("only_in"))
