@@ -4,8 +4,10 @@ Documents link if their sets of word shingles have a Jaccard similarity of the t
 the connected components of these links, and loses none.
 
 1. Equal sets form a class (a digest of the set); from here on classes are compared, not documents.
-2. All documents' shingles are counted in a fixed number of cells. The count's magnitude, then the hash, is the
-   global order: common shingles come last. The order only steers the work; any order gives the same links.
+2. All documents' shingles are counted by the first 32 bits of their hash. The count's magnitude, then the hash, is
+   the global order: common shingles come last. The order only steers the work; any order gives the same links.
+   Fewer bits would fill with the input until common shingles no longer stand out; then many classes post them, and
+   ties of these grow into components of a large part of the corpus.
 3. Two sets that link share shingles among their first (1 - threshold) parts in that order, the more the closer their
    sizes are. Each class posts these shingles; for each posted shingle of few classes all pairs of fitting sizes are
    counted, for one of many classes neighbours by size are tied together. Pairs with enough shared shingles and ties
@@ -34,8 +36,14 @@ from .shingles import shingle_sets
 
 #: The threshold as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-#: Cells of the frequency count, in blocks. Fixed, whatever the input.
-CELL_BITS, BLOCKS = 24, 256
+#: Bits of a hash that name its cell in the frequency count, and blocks of cells.
+CELL_BITS, BLOCK_BITS = 32, 10
+#: Cells that a task counts before it passes them on.
+HELD_CELLS = 1 << 22
+#: A cell of at least so many documents is common; the most common ones, at most so many, reach the driver.
+COMMON, MOST_COMMON = 8, 1 << 22
+#: Blocks of a sieve.
+BLOCKS = 256
 #: Bits of a sieve of rows: about 16 for each row, within these bounds.
 LEAST_SIEVE, MOST_SIEVE = 24, 28
 #: A shingle posted by up to this many classes has its pairs counted.
@@ -83,64 +91,105 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list
 
 
 def _cells(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return (x >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+def _packed(x: bytes) -> bytes:
+    return zlib.compress(x, 1)
+
+
+def pack_counts(cells: np.ndarray, counts: np.ndarray, block: int) -> bytes:
+    """Ascending cells of a block with their counts: differences by planes of bytes, which are mostly zeros above."""
+    steps = np.diff(cells.astype(np.int64), prepend=block << (CELL_BITS - BLOCK_BITS)).astype("<u4")
+    return _packed(steps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.minimum(counts, 65535).astype("<u2").tobytes())
+
+
+def unpack_counts(packed: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    n = len(raw) // 6
+    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").reshape(-1)
+    return (np.cumsum(steps, dtype=np.int64) + (block << (CELL_BITS - BLOCK_BITS))).astype(np.uint32), raw[4 * n :].view("<u2").astype(np.int64)
 
 
 def _survey(docs: DataFrame) -> DataFrame:
     """One scan of (_id, _mark, _text): a row for each document (_id, _mark, _n, _digest, _key), and rows of counts (_block, _counts)."""
-    per_block = (1 << CELL_BITS) // BLOCKS
     columns = ["_id", "_mark", "_n", "_digest", "_key", "_block", "_counts"]
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells, counts = np.unique(np.concatenate(held), return_counts=True)
+        block = (cells >> np.uint32(CELL_BITS - BLOCK_BITS)).astype(np.int32)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends, k = np.append(starts[1:], len(cells)), len(starts)
+        packed = [pack_counts(cells[i:j], counts[i:j], int(block[i])) for i, j in zip(starts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(block[starts], pa.int32()), pa.array(packed, pa.binary())], names=columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, dtype=np.uint16)
+        held, n_held = [], 0
         for ids, marks, texts in _texts(batches):
             sets = shingle_sets(texts)
-            seen, n = np.unique(_cells(np.concatenate(sets)), return_counts=True)
-            counts[seen] = np.minimum(counts[seen].astype(np.int64) + n, 65535)
+            held.append(_cells(np.concatenate(sets)))
+            n_held += len(held[-1])
             digests = [digest(s) if len(s) else None for s in sets]
             none = pa.nulls(len(ids), pa.int32())
             keys = [None if d is None else class_key(d) for d in digests]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), none, pa.nulls(len(ids), pa.binary())], names=columns)
-        blocks = [(b, part) for b, part in enumerate(counts.reshape(BLOCKS, per_block)) if part.any()]
-        k = len(blocks)
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([_packed(c) for _, c in blocks], pa.binary())], names=columns)
+            if n_held >= HELD_CELLS:
+                yield counted(held)
+                held, n_held = [], 0
+        if n_held:
+            yield counted(held)
 
     return mapped(docs, run, "_id bigint, _mark bigint, _n bigint, _digest binary, _key bigint, _block int, _counts binary")
 
 
-def _levels(survey: DataFrame, total: int) -> np.ndarray:
-    """For each cell the magnitude of its count above what chance fills it with; 0 for uncommon ones."""
-    per_block = (1 << CELL_BITS) // BLOCKS
+def _levels(survey: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common cells, ascending, and for each the magnitude of its count above what chance fills it with."""
     mean = total / (1 << CELL_BITS)
-    usual = mean + 4 * mean**0.5 + 4
+    usual = max(COMMON, mean + 4 * mean**0.5 + 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        packed: dict[int, list[bytes]] = {}
         for batch in batches:
             for b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(c), dtype=np.uint16)
-                if b not in sums:
-                    sums[b] = np.zeros(per_block, dtype=np.int64)
-                sums[b] += part
-        out = [(b, np.where(c > usual, np.log2(np.maximum(c - mean, 1)), 0).astype(np.uint8)) for b, c in sums.items()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([_packed(x) for _, x in out], pa.binary())], names=["_block", "_levels"])
-
-    # The result is one byte for each cell, whatever the input; a task adds up the counts of its blocks as they come.
-    tasks = min(BLOCKS, max(64, int(survey.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = survey.filter("_block is not null").select("_block", "_counts").repartition(tasks, "_block").mapInArrow(run, "_block int, _levels binary").collect()
-    levels = np.zeros(1 << CELL_BITS, dtype=np.uint8)
-    for r in rows:
-        levels[r["_block"] * per_block : (r["_block"] + 1) * per_block] = np.frombuffer(zlib.decompress(r["_levels"]), dtype=np.uint8)
-    return levels
-
-
-def _postings(docs: DataFrame, levels: np.ndarray, copied: dict[bytes, tuple[int | None, int]], buckets: int) -> DataFrame:
+                packed.setdefault(b, []).append(c)
+        for b in list(packed):
+            cells, counts = (np.concatenate(x) for x in zip(*(unpack_counts(c, b) for c in packed.pop(b)), strict=True))
+            order = np.argsort(cells, kind="stable")
+            cells, counts = cells[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            cells, counts = cells[first], np.add.reduceat(counts, first)
+            common = counts >= usual
+            cells, level = cells[common], (2 * np.log2(counts[common] - mean)).astype(np.uint8)
+            some = np.unique(level)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([int((level == x).sum()) for x in some], pa.int64()), pa.array([_packed(cells[level == x].tobytes()) for x in some], pa.binary())], names=["_level", "_n", "_cells"])
+
+    # A task adds up the counts of its blocks, one block at a time.
+    tasks = min(1 << BLOCK_BITS, max(64, int(survey.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    found = written(mapped(survey.filter("_block is not null").select("_block", "_counts").repartition(tasks, "_block"), run, "_level int, _n bigint, _cells binary"), "common")
+    least, n = 256, 0
+    for r in found.groupBy("_level").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_level")).collect():
+        n += r["_n"]
+        if n > MOST_COMMON:
+            break
+        least = r["_level"]
+    rows = found.filter(F.col("_level") >= least).collect()
+    parts = [np.frombuffer(zlib.decompress(r["_cells"]), dtype=np.uint32) for r in rows]
+    cells = np.concatenate([np.empty(0, dtype=np.uint32), *parts])
+    levels = np.concatenate([np.empty(0, dtype=np.uint8), *(np.full(len(p), r["_level"], dtype=np.uint8) for p, r in zip(parts, rows, strict=True))])
+    order = np.argsort(cells)
+    return cells[order], levels[order]
+
+
+def level_of(cells: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The levels of cells, 0 for those that are not common."""
+    known, levels = common
+    if not len(known):
+        return np.zeros(len(cells), dtype=np.uint8)
+    at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
+    return np.where(known[at] == cells, levels[at], 0)
+
+
+def _postings(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray], copied: dict[bytes, tuple[int | None, int]], buckets: int) -> DataFrame:
     """Rows (_bucket, _shingles, _classes, _sizes) of packed arrays: the first shingles of each class in the order."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, copied))
 
@@ -171,7 +220,7 @@ def _postings(docs: DataFrame, levels: np.ndarray, copied: dict[bytes, tuple[int
                     continue
                 if len(here) < 100_000:
                     here.add(d)
-                level = levels[_cells(s)]
+                level = level_of(_cells(s), levels)
                 first = s[np.argsort(level, kind="stable")[: prefix_length(len(s))]]
                 held.append((first, class_key(d), len(s)))
                 n_held += len(first)
