@@ -120,10 +120,13 @@ _composed(
     lambda s: _joined(X.query_variants(s, [(["yol", "karayolu"], "karayolu altyapısı"), (["gemi"], "denizcilik")])),
     f"s || CASE WHEN contains({_LOW.format('s')}, 'yol') OR contains({_LOW.format('s')}, 'gemi') THEN concat_ws(' ', '|' || s, CASE WHEN contains({_LOW.format('s')}, 'yol') THEN 'karayolu altyapısı' END, CASE WHEN contains({_LOW.format('s')}, 'gemi') THEN 'denizcilik' END) ELSE '' END",
 )
+_URL_SHA1 = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({0}))"
+_NAME_BASED = f"concat_ws('-', {_URL_SHA1}[1:8], {_URL_SHA1}[9:12], '5' || {_URL_SHA1}[14:16], substr('89ab', 1 + (strpos('0123456789abcdef', {_URL_SHA1}[17]) - 1) % 4, 1) || {_URL_SHA1}[18:20], {_URL_SHA1}[21:32])"
+# Of every four customers two have an id in one of its spellings, one a text that is hashed, one null.
 _composed(
     "point_id_cases", "customer", "c_custkey",
-    {"s": f"CASE c_custkey % 3 WHEN 0 THEN concat('6ba7b811-9dad-11d1-80b4-', {_padded('c_custkey', 12)}) WHEN 1 THEN concat('6BA7B8119DAD11D180B4', {_padded('c_custkey', 12)}) ELSE NULL END"},
-    X.point_id, f"CASE WHEN c_custkey % 3 < 2 THEN '6ba7b811-9dad-11d1-80b4-' || {_padded('c_custkey', 12)} END",
+    {"s": f"CASE c_custkey % 4 WHEN 0 THEN concat('6ba7b811-9dad-11d1-80b4-', {_padded('c_custkey', 12)}) WHEN 1 THEN concat('6BA7B8119DAD11D180B4', {_padded('c_custkey', 12)}) WHEN 2 THEN concat('http://www.python.org/', c_name) ELSE NULL END"},
+    X.point_id, f"CASE c_custkey % 4 WHEN 2 THEN {_NAME_BASED.format('s')} WHEN 3 THEN NULL ELSE '6ba7b811-9dad-11d1-80b4-' || {_padded('c_custkey', 12)} END",
 )
 _composed(
     "page_at_cases", "lineitem", "l_orderkey, l_linenumber, l_partkey", {"a": _array("CAST(l_linenumber AS INT)", "CAST(l_linenumber + l_quantity AS INT)", "CAST(l_linenumber + l_quantity * 2 AS INT)"), "n": "CAST(l_suppkey AS INT)"},
