@@ -38,12 +38,18 @@ def sliced(rows: DataFrame, tags: str, hit: str) -> DataFrame:
     return rows.select(F.explode(tags).alias("slice"), F.col(hit).alias("_h")).groupBy("slice").agg(*ratio(F.col("_h"), "accuracy"))
 
 
-def ranking_metrics(hits: DataFrame, grades: DataFrame, k: int = 5, least: int = 2) -> DataFrame:
-    """For each query of ``grades`` (query, item, grade): precision, recall, reciprocal rank and nDCG at k."""
-    order = Window.partitionBy("query").orderBy(F.desc("grade"), "item")
+def ranking_metrics(hits: DataFrame, grades: DataFrame, k: int = 5, least: int = 2, counts: DataFrame | None = None) -> DataFrame:
+    """For each query of ``grades`` (query, item, grade): precision, recall, reciprocal rank and nDCG at k.
+
+    With ``counts`` (query, grade, n), how many items of each grade a query has, ``grades`` needs only those of the hits.
+    """
+    counts = grades.groupBy("query", "grade").agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    better = Window.partitionBy("query").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)
     gain = (F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col("rank") + 1)
-    ideal = grades.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).groupBy("query").agg(F.sum(gain).alias("ideal"))
-    total = grades.groupBy("query").agg(F.count_if(F.col("grade") >= least).alias("relevant"))
+    # The best k items of a query stand at the ranks after those of better grades.
+    placed = counts.withColumn("_before", F.coalesce(F.sum("n").over(better), F.lit(0))).filter(F.col("_before") < k)
+    ideal = placed.select("query", "grade", F.explode(F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("n"), F.lit(k)))).alias("rank")).groupBy("query").agg(F.sum(gain).alias("ideal"))
+    total = counts.groupBy("query").agg(F.coalesce(F.sum(F.when(F.col("grade") >= least, F.col("n"))), F.lit(0)).alias("relevant"))
     seen = hits.filter(F.col("rank") <= k).join(grades, ["query", "item"], "left").fillna({"grade": 0})
     got = seen.groupBy("query").agg(F.sum(gain).alias("dcg"), F.count_if(F.col("grade") >= least).alias("found"), F.count(F.lit(1)).alias("returned"), F.min(F.when(F.col("grade") >= least, F.col("rank"))).alias("first"))
     out = total.join(ideal, "query").join(got, "query", "left").fillna({"dcg": 0.0, "found": 0, "returned": 0})

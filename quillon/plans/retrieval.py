@@ -252,8 +252,23 @@ SELECT query, round(found / returned, 4) AS precision_returned, round(found / 5,
 def ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
     queries, vectors = _vectors(spark, d)
     hits = dense.cosine_top_k(queries, vectors, 5)
-    grades = queries.join(vectors, F.col("q_label") == F.col("label")).select("query", "item", F.when(F.col("query") == F.col("item"), 3).otherwise(2).alias("grade"))
-    return metrics.ranking_metrics(hits, grades, 5)
+    return metrics.ranking_metrics(hits, _label_grades(hits, queries, vectors), 5, counts=_label_counts(queries, vectors))
+
+
+def _label_grades(hits: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query, item, grade) of the hits whose label is the query's: 3 for the query itself, 2 for others."""
+    found = hits.select("query", "item").distinct().join(queries.select("query", "q_label"), "query").join(vectors.select("item", "label"), "item")
+    return found.filter(F.col("q_label") == F.col("label")).select("query", "item", F.when(F.col("query") == F.col("item"), 3).otherwise(2).alias("grade"))
+
+
+def _label_counts(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query, grade, n): how many items of each grade a query's label has, counted by label and never paired."""
+    of_label = vectors.groupBy(F.col("label").alias("q_label")).agg(F.count(F.lit(1)).alias("_all"))
+    itself = vectors.groupBy(F.col("item").alias("query"), F.col("label").alias("q_label")).agg(F.count(F.lit(1)).alias("_own"))
+    each = queries.select("query", "q_label").join(of_label, "q_label").join(itself, ["query", "q_label"], "left")
+    own = F.coalesce("_own", F.lit(0))
+    sums = each.groupBy("query").agg(F.sum(own).alias("_own"), F.sum(F.col("_all") - own).alias("_rest"))
+    return sums.select("query", F.inline(F.array(F.struct(F.lit(3).alias("grade"), F.col("_own").alias("n")), F.struct(F.lit(2).alias("grade"), F.col("_rest").alias("n"))))).filter("n > 0")
 
 
 _FIVE = "dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM cos WHERE query <> item) WHERE rank <= 5)"
