@@ -83,7 +83,8 @@ def closure(tree: DataFrame, node: str = "node", parent: str = "parent", depth:
         if d == depth or level.isEmpty():
             break
         d += 1
-        level = level.filter("node <> ancestor").join(step, F.col("ancestor") == F.col("_n")).filter(~F.array_contains("_seen", F.col("_a")))
+        # A merge join: a broadcast would send the tree through the driver once for each level.
+        level = level.filter("node <> ancestor").join(step.hint("merge"), F.col("ancestor") == F.col("_n")).filter(~F.array_contains("_seen", F.col("_a")))
         level = level.select("node", F.col("_a").alias("ancestor"), F.lit(d).alias("distance"), F.concat("_seen", F.array("_a")).alias("_seen"))
     return tree.sparkSession.read.schema(level.schema).parquet(*[f"{folder}/{k}" for k in range(1, d + 1)]).drop("_seen")
 
