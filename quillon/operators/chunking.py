@@ -27,23 +27,11 @@ def _packed(pieces: Column, limit: int) -> Column:
 
 
 def _words(s: Column, limit: int, slice_long: bool) -> Column:
-    """A long sentence's parts: words packed, words beyond the limit cut into slices that stand alone."""
-    words = F.split(s, " ")
+    """A long sentence's parts: words packed, words beyond the limit cut into slices that stand alone. White space is squeezed."""
     if not slice_long:
-        return _packed(words, limit)
-    # A slice that must stand alone is marked, so that packing leaves it.
-    marked = F.transform(words, lambda w: F.named_struct(F.lit("alone"), F.length(w) > limit, F.lit("w"), w))
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur"))
-
-    def add(acc: Column, m: Column) -> Column:
-        s = m["w"]
-        full = (acc["cur"] != "") & (F.length(acc["cur"]) + 1 + F.length(s) > limit)
-        slices = F.transform(F.sequence(F.lit(0), ((F.length(s) - 1) / limit).cast("int")), lambda k: F.substring(s, k * limit + 1, F.lit(limit)))
-        done = F.when(acc["cur"] != "", F.concat(acc["parts"], F.array(acc["cur"]))).otherwise(acc["parts"])
-        longer = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        return F.struct(F.when(m["alone"], F.concat(done, slices)).when(full, done).otherwise(acc["parts"]).alias("parts"), F.when(m["alone"], F.lit("")).when(full, s).otherwise(longer).alias("cur"))
-
-    return F.aggregate(marked, start, add, lambda acc: F.when(acc["cur"] == "", acc["parts"]).otherwise(F.concat(acc["parts"], F.array(acc["cur"]))))
+        return _packed(F.split(s, " "), limit)
+    # As many whole words as fit, from a word's beginning; inside and at the beginning of a word that does not fit, a slice.
+    return F.regexp_extract_all(s, F.lit(rf"(?s)(?<![^ ])[^ ].{{0,{limit - 1}}}(?![^ ])|[^ ]{{1,{limit}}}"), F.lit(0))
 
 
 def bounded_parts(text: Column, limit: int = 1800, slice_long: bool = True) -> Column:
