@@ -122,12 +122,14 @@ def _assigned(rows: DataFrame, vector_column: str, centres: np.ndarray, nearest:
     shared = rows.sparkSession.sparkContext.broadcast(centres)
     schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("near", T.DoubleType())])
     place = rows.columns.index(vector_column)
+    # A row leaves once for each cell, so fewer are taken at once where these are many.
+    step = max(1, products.VECTORS // max(1, min(nearest, len(centres))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, products.VECTORS):
-                batch = whole.slice(at, products.VECTORS)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 good, vs = products.matrix(batch.column(place), c.shape[1])
                 if not len(good):
                     continue
